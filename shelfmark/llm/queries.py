@@ -1,8 +1,8 @@
 """The queries of this subpackage and their SQL, for ``__spark_entry__``."""
 
-from shelfmark.llm import bpe, jaccard, language, media, quality, secrets, sharding
+from shelfmark.llm import bpe, jaccard, language, lines, media, quality, secrets, sharding
 
-_MODULES = (sharding, language, secrets, quality, bpe, media, jaccard)
+_MODULES = (sharding, language, secrets, quality, bpe, media, jaccard, lines)
 
 QUERIES = {name: query for m in _MODULES for name, query in m.QUERIES.items()}
 ORACLE_SQL = {name: sql for m in _MODULES for name, sql in m.ORACLE_SQL.items()}
