@@ -10,7 +10,7 @@ import uuid
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from shelfmark.functions.scalars import epoch_seconds
+from shelfmark.functions.scalars import epoch_seconds, excluded
 
 COLUMNS = ("entry_id", "parent_id", "name", "path", "is_dir", "size", "modified", "is_deleted")
 SCHEMA = "entry_id bigint, parent_id bigint, name string, path string, is_dir boolean, size bigint, modified bigint, is_deleted boolean"
@@ -104,7 +104,7 @@ def _checkpointed(df: DataFrame) -> DataFrame:
 
 
 def resolve_paths(nodes: DataFrame) -> DataFrame:
-    """``path`` and ``hops`` for rows with parent pointers, by pointer doubling.
+    """``path``, ``hops`` and ``root_id`` (where the path begins) for rows with parent pointers, by pointer doubling.
 
     A parent that is missing or no folder ends the path, which then starts at the child. Rows whose chain is longer than
     MAX_HOPS or goes in a circle get a null path. Each round joins on the ancestor and doubles the distance, so the number
@@ -113,11 +113,12 @@ def resolve_paths(nodes: DataFrame) -> DataFrame:
     folders = nodes.where("is_dir").select(F.col("entry_id").alias("parent_id")).distinct()
     linked = nodes.join(folders.withColumn("__known", F.lit(True)), "parent_id", "left")
     state = linked.select("entry_id", F.when(F.col("__known"), F.col("parent_id")).alias("anc"), F.col("name").alias("path"), F.when(F.col("__known"), 1).otherwise(0).alias("hops"))
+    state = state.withColumn("root_id", F.when(F.col("anc").isNull(), F.col("entry_id")))
     state = _checkpointed(state)
     for _ in range(MAX_HOPS.bit_length()):
         if not state.where("anc IS NOT NULL").take(1):
             break
-        above = state.select(F.col("entry_id").alias("anc"), F.col("anc").alias("next"), F.col("path").alias("head"), F.col("hops").alias("more"))
+        above = state.select(F.col("entry_id").alias("anc"), F.col("anc").alias("next"), F.col("path").alias("head"), F.col("hops").alias("more"), F.col("root_id").alias("top"))
         glue = F.when(F.endswith("head", F.lit("/")) | F.endswith("head", F.lit("\\")), F.lit("")).otherwise(F.lit("/"))
         joined = state.join(above, "anc", "left")
         state = _checkpointed(
@@ -126,21 +127,17 @@ def resolve_paths(nodes: DataFrame) -> DataFrame:
                 F.col("next").alias("anc"),
                 F.when(F.col("head").isNull(), F.col("path")).otherwise(F.concat("head", glue, "path")).alias("path"),
                 (F.col("hops") + F.coalesce("more", F.lit(0))).alias("hops"),
+                F.coalesce("root_id", "top").alias("root_id"),
             )
         )
     whole = F.col("anc").isNull() & (F.col("hops") <= MAX_HOPS)
-    return nodes.drop("path").join(state.select("entry_id", F.when(whole, F.col("path")).alias("path"), "hops"), "entry_id")
+    return nodes.drop("path").join(state.select("entry_id", F.when(whole, F.col("path")).alias("path"), "hops", "root_id"), "entry_id")
 
 
 def reachable(nodes: DataFrame, patterns: list[str] | None = None) -> DataFrame:
     """Resolved rows below a root: orphans are dropped, and whole subtrees of excluded folders."""
-    from shelfmark.functions.scalars import excluded
-
-    known = nodes.select(F.col("entry_id").alias("parent_id")).distinct()
-    orphans = nodes.where("parent_id IS NOT NULL").join(known, "parent_id", "left_anti").select("entry_id")
-    cut = nodes.join(orphans, "entry_id", "left_anti")
-    rooted = resolve_paths(cut).where("path IS NOT NULL")
-    rooted = rooted.join(nodes.where("parent_id IS NULL").select(F.col("name").alias("root")), F.startswith("path", "root"), "left_semi") if orphans.take(1) else rooted
+    roots = nodes.where("parent_id IS NULL").select(F.col("entry_id").alias("root_id"))
+    rooted = resolve_paths(nodes).where("path IS NOT NULL").join(roots, "root_id", "left_semi")
     return rooted.where(~excluded(F.col("path"), patterns)) if patterns else rooted
 
 

@@ -21,6 +21,11 @@ def test_corrupt_parents(spark):
     assert got == {1: "C:\\", 2: "C:\\video.mp4", 3: "thing.png", 4: "lost", 5: None, 6: None}
 
 
+def test_reachable(spark):
+    nodes = spark.createDataFrame([(1, None, "/r", True), (2, 1, "a", True), (3, 2, "f", False), (4, 99, "lost", True), (5, 4, "below", False), (6, 1, ".git", True), (7, 6, "x", False)], NODES)
+    assert {r["path"] for r in cat.reachable(nodes, [".git"]).collect()} == {"/r", "/r/a", "/r/a/f"}
+
+
 @pytest.mark.parametrize("depth", [40, 256, 257])
 def test_deep_chains(spark, depth):
     nodes = spark.createDataFrame([(k, k - 1 if k else None, f"n{k}", True) for k in range(depth + 1)], NODES)
