@@ -10,13 +10,16 @@ Documents become sets of hashed word n-grams. Documents with equal sets form one
    discarded. The bound: if two sets overlap in ``o`` or more, then their first ``min(p - (n - o))`` common n-grams,
    over both sets with prefix ``p`` and size ``n``, stand in both prefixes. n-grams too frequent to be counted are
    granted to every pair that has them.
-3. A column with more classes is not expanded. In rounds, each such column picks a pivot class and its other classes are
-   compared with it alone; what is linked becomes one component. Columns that still join several components go
-   through a blocked product: their classes are dealt into blocks of about ``BLOCK_ROWS``, those outside the column's
+3. A column with more classes is not expanded. Each such column picks ``PIVOTS`` pivot classes by hash and its other
+   classes are compared with these alone; what is linked becomes one component. A column that still holds several goes
+   on: if few of its classes stand outside the largest, these are compared with all others; else the column goes
+   through a blocked product, where its classes are dealt into blocks of about ``BLOCK_ROWS``, those outside the column's
    largest component against all, with one task per pair of blocks that returns spanning links. So a large group of
    near copies costs rows in proportion to its size, and no pair is skipped that could join two components.
 4. Every surviving pair is verified on its whole sets. Links give components.
 
+Sets are told apart by 64-bit hashes: among d different sets about d * d / 2**65 pairs would be taken for one.
+
 Defined results: null, empty and wordless texts have an empty set and are linked with nothing. A document with fewer
 words than the n-gram has one n-gram, all its words. Repeated texts are one class. A null doc_id takes no part: its
 row is kept, with a null component. An empty table gives an empty result. Extra columns are ignored.
@@ -34,12 +37,15 @@ from pyspark.sql import functions as F
 
 from shelfmark.llm.common import slices, stored, table
 from shelfmark.llm.components import components
+from shelfmark.llm.lines import maybe_in
 
 SKETCH = 1 << 18
 #: Classes of an n-gram up to which all its pairs are counted.
 BLOCK = 128
 BLOCK_ROWS = 256
-ROUNDS = 4
+#: Classes outside the largest component of an n-gram up to which they are paired with the others one by one.
+FEW = 32
+PIVOTS = 4
 #: Bytes of a text that are hashed at a time.
 PIECE = 1 << 20
 
@@ -118,12 +124,11 @@ def shingle_sets(texts: list[bytes], n: int) -> list[np.ndarray]:
     return out
 
 
-def signature(grams: np.ndarray) -> bytes:
-    """128 bits that stand for a set."""
+def identity(grams: np.ndarray) -> int:
+    """64 bits that stand for a set, as a signed integer."""
     with np.errstate(over="ignore"):
-        a = mix(grams ^ np.uint64(0xA5A5A5A5A5A5A5A5)).sum(dtype=np.uint64)
-        b = mix(mix(grams) + np.uint64(len(grams))).sum(dtype=np.uint64)
-    return a.tobytes() + b.tobytes()
+        total = mix(mix(grams) + np.uint64(len(grams))).sum(dtype=np.uint64)
+    return int(mix(np.array([total], np.uint64)).view(np.int64)[0])
 
 
 def _map(docs: DataFrame, n: int, schema: str, make) -> DataFrame:  # noqa: ANN001
@@ -140,12 +145,12 @@ def _map(docs: DataFrame, n: int, schema: str, make) -> DataFrame:  # noqa: ANN0
 
 
 def classes(docs: DataFrame, n: int) -> DataFrame:
-    """(doc_id, n, sig) of every document."""
+    """(doc_id, n, id) of every document."""
 
     def make(ids: pa.Array, sets: list[np.ndarray]) -> list[pa.Array]:
-        return [ids, pa.array([len(s) for s in sets], pa.int64()), pa.array([signature(s) for s in sets], pa.binary())]
+        return [ids, pa.array([len(s) for s in sets], pa.int64()), pa.array([identity(s) for s in sets], pa.int64())]
 
-    return _map(docs, n, "doc_id long, n long, sig binary", make)
+    return _map(docs, n, "doc_id long, n long, id long", make)
 
 
 def sketch(docs: DataFrame, n: int) -> np.ndarray:
@@ -175,7 +180,7 @@ def prefix_length(n: np.ndarray | int, percent: int):  # noqa: ANN201
 
 
 def prefixes(docs: DataFrame, n: int, percent: int, order: np.ndarray) -> DataFrame:
-    """(h, s, n): the first n-grams of every document in the order of the sketch, with its class and size."""
+    """(h, id, n): the first n-grams of every document in the order of the sketch, with its class and size."""
     shared = docs.sparkSession.sparkContext.broadcast(order.astype(np.uint32) if order.max(initial=0) < 1 << 32 else order)
 
     def make(ids: pa.Array, sets: list[np.ndarray]) -> list[pa.Array]:
@@ -187,12 +192,12 @@ def prefixes(docs: DataFrame, n: int, percent: int, order: np.ndarray) -> DataFr
             else:
                 first.append(s)
         counts = [len(x) for x in first]
-        sigs = pa.array([signature(s) for s in sets], pa.binary()).take(pa.array(np.repeat(np.arange(len(sets)), counts)))
-        sizes = pa.array(np.repeat([len(s) for s in sets], counts), pa.int64()) if sets else pa.array([], pa.int64())
+        ids_ = np.repeat(np.array([identity(s) for s in sets], np.int64), counts)
+        sizes = np.repeat(np.array([len(s) for s in sets], np.int64), counts)
         flat = np.concatenate(first) if first else np.zeros(0, np.uint64)
-        return [pa.array(flat.view(np.int64)), sigs, sizes]
+        return [pa.array(flat.view(np.int64)), pa.array(ids_), pa.array(sizes)]
 
-    return _map(docs, n, "h long, sig binary, n long", make)
+    return _map(docs, n, "h long, id long, n long", make)
 
 
 def _near(a: Column, b: Column, percent: int) -> Column:
@@ -220,22 +225,24 @@ class Join:
         self.docs = docs.select("doc_id", "text")
         self.known = self.docs.where(F.col("doc_id").isNotNull())
         self.rows = stored(classes(self.docs, n), "classes")
+        self.labels: DataFrame | None = None
 
     def sets(self, wanted: DataFrame) -> DataFrame:
-        """(sig, grams) of the classes in ``wanted`` (sig), from the whole text of one document of each."""
-        of = self.rows.where("doc_id IS NOT NULL").join(wanted, "sig", "left_semi").groupBy("sig").agg(F.min("doc_id").alias("doc_id")).select("doc_id").distinct()
+        """(id, grams) of the classes in ``wanted`` (id), from the whole text of one document of each."""
+        of = self.rows.where("doc_id IS NOT NULL").join(wanted, "id", "left_semi").groupBy("id").agg(F.min("doc_id").alias("doc_id")).select("doc_id").distinct()
 
         def make(ids: pa.Array, sets: list[np.ndarray]) -> list[pa.Array]:
-            return [pa.array([signature(s) for s in sets], pa.binary()), pa.array([s.tobytes() for s in sets], pa.binary())]
+            return [pa.array([identity(s) for s in sets], pa.int64()), pa.array([s.tobytes() for s in sets], pa.binary())]
 
-        found = _map(self.known.join(of, "doc_id", "left_semi"), self.n, "sig binary, grams binary", make)
-        return found.join(wanted, "sig", "left_semi").groupBy("sig").agg(F.first("grams").alias("grams"))
+        spots = stored(of, "spots")
+        found = _map(maybe_in(self.known, "doc_id", spots).join(spots, "doc_id", "left_semi"), self.n, "id long, grams binary", make)
+        return found.join(wanted, "id", "left_semi").groupBy("id").agg(F.first("grams").alias("grams"))
 
     def verified(self, pairs: DataFrame, sets: DataFrame) -> DataFrame:
         """Those of ``pairs`` (a, b) whose whole sets are similar enough."""
         percent = self.percent
-        with_a = pairs.join(sets.select(F.col("sig").alias("a"), F.col("grams").alias("ga")), "a")
-        with_b = with_a.join(sets.select(F.col("sig").alias("b"), F.col("grams").alias("gb")), "b")
+        with_a = pairs.join(sets.select(F.col("id").alias("a"), F.col("grams").alias("ga")), "a")
+        with_b = with_a.join(sets.select(F.col("id").alias("b"), F.col("grams").alias("gb")), "b")
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
@@ -243,88 +250,91 @@ class Join:
                 ok = [_alike(np.frombuffer(ga[k].as_py(), np.uint64), np.frombuffer(gb[k].as_py(), np.uint64), percent) for k in range(batch.num_rows)]
                 yield batch.select(["a", "b"]).filter(pa.array(ok, pa.bool_()))
 
-        return with_b.select("a", "b", "ga", "gb").mapInArrow(run, "a binary, b binary")
+        return with_b.select("a", "b", "ga", "gb").mapInArrow(run, "a long, b long")
 
     def links(self) -> DataFrame:
         """Links (a, b) between classes: enough of them to join whatever is joined."""
         percent = self.percent
         first = stored(prefixes(self.known, self.n, percent, sketch(self.known, self.n)), "prefixes")
-        live = first.groupBy("h").agg(F.min("sig").alias("lo"), F.max("sig").alias("hi")).where("lo <> hi").select("h")
-        live = stored(first.join(live, "h", "left_semi").groupBy("h", "sig").agg(F.first("n").alias("n")), "live")
+        live = stored(first.groupBy("h").agg(F.min("id").alias("lo"), F.max("id").alias("hi")).where("lo <> hi").select("h"), "columns")
+        live = stored(maybe_in(first, "h", live).join(live, "h", "left_semi").groupBy("h", "id", "n").agg(F.lit(1).alias("one")).drop("one"), "live")
         many = live.groupBy("h").agg(F.count("*").alias("m"))
         sized = stored(live.join(many, "h"), "sized")
-        hot = sized.where(F.col("m") > BLOCK)
-        granted = hot.groupBy("sig").agg(F.count("*").alias("g"))
-        few = sized.where(F.col("m") <= BLOCK).select("h", "sig", "n")
+        hot = sized.where(F.col("m") > BLOCK).select("h", "id", "n", "m")
+        few = sized.where(F.col("m") <= BLOCK).select("h", "id", "n")
         a, b = few.toDF("h", "a", "na"), few.toDF("h", "b", "nb")
-        overlaps = a.join(b, "h").where((F.col("a") < F.col("b")) & _near(F.col("na"), F.col("nb"), percent)).groupBy("a", "b").agg(
-            F.count("*").alias("o"), F.first("na").alias("na"), F.first("nb").alias("nb")
-        )
+        overlaps = a.join(b, "h").where((F.col("a") < F.col("b")) & _near(F.col("na"), F.col("nb"), percent)).groupBy("a", "na", "b", "nb").agg(F.count("*").alias("o"))
         some_hot = bool(hot.take(1))
         if some_hot:
-            overlaps = overlaps.join(granted.toDF("a", "g"), "a", "left").join(granted.toDF("b", "gb"), "b", "left")
-            overlaps = overlaps.withColumn("o", F.col("o") + F.least(F.coalesce("g", F.lit(0)), F.coalesce("gb", F.lit(0))))
-        pairs = stored(overlaps.where(F.col("o") >= _bound(F.col("na"), F.col("nb"), percent)).select("a", "b"), "pairs")
-        wanted = pairs.select(F.explode(F.array("a", "b")).alias("sig"))
+            granted = hot.groupBy("id").agg(F.count("*").alias("g"))
+            overlaps = overlaps.join(granted.toDF("a", "ga"), "a", "left").join(granted.toDF("b", "gb"), "b", "left")
+            overlaps = overlaps.withColumn("o", F.col("o") + F.least(F.coalesce("ga", F.lit(0)), F.coalesce("gb", F.lit(0))))
+        pairs = overlaps.where(F.col("o") >= _bound(F.col("na"), F.col("nb"), percent)).select("a", "b")
+        if some_hot:
+            pairs = pairs.union(self._pivots(hot)).distinct()
+        pairs = stored(pairs, "pairs")
+        wanted = pairs.select(F.explode(F.array("a", "b")).alias("id"))
         if some_hot:
-            wanted = wanted.union(hot.select("sig"))
+            wanted = wanted.union(hot.select("id"))
         sets = stored(self.sets(stored(wanted.distinct(), "wanted")), "sets")
         found = stored(self.verified(pairs, sets), "links")
-        return self._hot(hot.select("h", "sig", "n"), sets, found) if some_hot else found
-
-    def _hot(self, hot: DataFrame, sets: DataFrame, found: DataFrame) -> DataFrame:
-        """``found`` and links that join the classes of frequent n-grams."""
-        percent = self.percent
-        tested = found.limit(0)
-        for k in range(ROUNDS + 1):
-            labels = components(found)
-            open_ = hot.join(labels.withColumnRenamed("node", "sig"), "sig", "left").withColumn("label", F.coalesce("label", "sig"))
-            parts = open_.groupBy("h", "label").agg(F.count("*").alias("c"))
-            split = parts.groupBy("h").agg(F.count("*").alias("parts"), F.max_by("label", F.struct("c", "label")).alias("main"), F.sum("c").alias("m"), F.max("c").alias("most"))
-            split = split.where("parts > 1").drop("parts")
-            open_ = stored(open_.join(split, "h"), "open")
-            if not open_.take(1):
-                return found
-            if k == ROUNDS:
-                break
-            pivot = open_.groupBy("h").agg(F.min_by(F.struct("sig", "n", "label"), F.xxhash64("sig", "h", F.lit(k))).alias("p"))
-            pairs = open_.join(pivot, "h").where((F.col("label") != F.col("p.label")) & _near(F.col("n"), F.col("p.n"), percent))
-            pairs = pairs.select(F.least("sig", "p.sig").alias("a"), F.greatest("sig", "p.sig").alias("b")).distinct().join(tested, ["a", "b"], "left_anti")
-            pairs = stored(pairs, "pivots")
-            tested = tested.union(pairs)
-            found = stored(found.union(self.verified(pairs, sets)), "links")
-        return found.union(self._blocks(open_, sets))
+        return self._rest(hot, sets, found) if some_hot else found
+
+    def _pivots(self, hot: DataFrame) -> DataFrame:
+        """Pairs (a, b) of the classes of a frequent n-gram and some of them that a hash picks as pivots."""
+        picks = [F.min_by(F.struct("id", "n"), F.xxhash64("id", "h", F.lit(k))) for k in range(PIVOTS)]
+        pivots = hot.groupBy("h").agg(F.array_distinct(F.array(*picks)).alias("p")).select("h", F.explode("p").alias("p"))
+        pairs = hot.join(pivots, "h").where((F.col("id") != F.col("p.id")) & _near(F.col("n"), F.col("p.n"), self.percent))
+        return pairs.select(F.least("id", "p.id").alias("a"), F.greatest("id", "p.id").alias("b"))
+
+    def _rest(self, hot: DataFrame, sets: DataFrame, found: DataFrame) -> DataFrame:
+        """``found`` and the links that still join classes of frequent n-grams."""
+        labels = components(found)
+        open_ = hot.join(labels.withColumnRenamed("node", "id"), "id", "left").withColumn("label", F.coalesce("label", "id"))
+        parts = open_.groupBy("h", "label").agg(F.count("*").alias("c"))
+        split = parts.groupBy("h").agg(F.count("*").alias("parts"), F.max_by("label", F.struct("c", "label")).alias("main"), F.max("c").alias("most"))
+        open_ = stored(open_.join(split.where("parts > 1").drop("parts"), "h"), "open")
+        if not open_.take(1):
+            self.labels = labels
+            return found
+        small = open_.where(F.col("m") - F.col("most") <= FEW)
+        one, all_ = small.where("label <> main").select("h", "id", "n", "label"), small.select("h", F.col("id").alias("o"), F.col("n").alias("on"), F.col("label").alias("ol"))
+        pairs = one.join(all_, "h").where((F.col("label") != F.col("ol")) & _near(F.col("n"), F.col("on"), self.percent))
+        pairs = stored(pairs.select(F.least("id", "o").alias("a"), F.greatest("id", "o").alias("b")).distinct(), "few")
+        found = found.union(self.verified(pairs, sets))
+        large = open_.where(F.col("m") - F.col("most") > FEW)
+        return stored(found.union(self._blocks(large, sets)) if large.take(1) else found, "all-links")
 
     def _blocks(self, open_: DataFrame, sets: DataFrame) -> DataFrame:
         """Spanning links of the classes outside the largest component of their n-gram against all of its classes."""
         percent = self.percent
         rest = F.col("label") != F.col("main")
         blocks = lambda rows: F.greatest(F.ceil(rows / F.lit(float(BLOCK_ROWS))), F.lit(1)).cast("int")
-        dealt = open_.join(sets, "sig").withColumn("ni", blocks(F.col("m"))).withColumn("nj", blocks(F.col("m") - F.col("most")))
-        spot = lambda count, seed: F.pmod(F.xxhash64("sig", F.lit(seed)), count).cast("int")
+        dealt = open_.join(sets, "id").withColumn("ni", blocks(F.col("m"))).withColumn("nj", blocks(F.col("m") - F.col("most")))
+        spot = lambda count, seed: F.pmod(F.xxhash64("id", F.lit(seed)), count).cast("int")
         every = lambda count: F.explode(F.sequence(F.lit(0), count - 1))
-        left = dealt.select("h", "sig", "label", "grams", F.lit(0).alias("side"), spot(F.col("ni"), 1).alias("i"), every(F.col("nj")).alias("j"))
-        right = dealt.where(rest).select("h", "sig", "label", "grams", F.lit(1).alias("side"), every(F.col("ni")).alias("i"), spot(F.col("nj"), 2).alias("j"))
+        left = dealt.select("h", "id", "label", "grams", F.lit(0).alias("side"), spot(F.col("ni"), 1).alias("i"), every(F.col("nj")).alias("j"))
+        right = dealt.where(rest).select("h", "id", "label", "grams", F.lit(1).alias("side"), every(F.col("ni")).alias("i"), spot(F.col("nj"), 2).alias("j"))
 
         def product(block: pd.DataFrame) -> pd.DataFrame:
             rows, columns = (block[block["side"] == s].reset_index(drop=True) for s in (0, 1))
             links = spanning(rows, columns, percent)
-            return pd.DataFrame(links, columns=["a", "b"], dtype=object)
+            return pd.DataFrame(links, columns=["a", "b"], dtype=np.int64)
 
-        return left.union(right).groupBy("h", "i", "j").applyInPandas(product, "a binary, b binary")
+        return left.union(right).groupBy("h", "i", "j").applyInPandas(product, "a long, b long")
 
     def grouped(self) -> DataFrame:
         """(doc_id, n_shingles, component_id) of every document."""
-        labels = stored(components(self.links()), "labels").withColumnRenamed("node", "sig")
-        first = self.rows.where("doc_id IS NOT NULL AND n > 0").groupBy("sig").agg(F.min("doc_id").alias("first"))
-        linked = labels.join(first, "sig")
-        least = linked.join(linked.groupBy("label").agg(F.min("first").alias("least")), "label").select("sig", "least")
-        own = first.join(least, "sig", "left").select("sig", F.coalesce("least", "first").alias("component"))
-        out = self.rows.join(own, "sig", "left")
+        links = self.links()
+        labels = (components(links) if self.labels is None else self.labels).withColumnRenamed("node", "id")
+        first = self.rows.where("doc_id IS NOT NULL AND n > 0").join(labels, "id").groupBy("label").agg(F.min("doc_id").alias("least"))
+        twins = self.rows.where("doc_id IS NOT NULL AND n > 0").groupBy("id").agg(F.min("doc_id").alias("first"))
+        own = twins.join(labels.join(first, "label").select("id", "least"), "id", "left").select("id", F.coalesce("least", "first").alias("component"))
+        out = self.rows.join(own, "id", "left")
         return out.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("doc_id").isNull(), None).when(F.col("n") == 0, F.col("doc_id")).otherwise(F.col("component")).alias("component_id"))
 
 
-def spanning(rows: pd.DataFrame, columns: pd.DataFrame, percent: int) -> list[tuple[bytes, bytes]]:
+def spanning(rows: pd.DataFrame, columns: pd.DataFrame, percent: int) -> list[tuple[int, int]]:
     """Links between rows and columns of different components, as few as join what can be joined.
 
     The overlap counts are a product of two 0/1 matrices over the n-grams of the block, accumulated over strips of
@@ -350,9 +360,9 @@ def spanning(rows: pd.DataFrame, columns: pd.DataFrame, percent: int) -> list[tu
 
         counts += incidence(xs) @ incidence(ys).T
     union = nx[:, None] + ny[None, :] - counts
-    parent: dict[bytes, bytes] = {}
+    parent: dict[int, int] = {}
 
-    def root(x: bytes) -> bytes:
+    def root(x: int) -> int:
         while parent.setdefault(x, x) != x:
             parent[x] = x = parent[parent[x]]
         return x
@@ -362,7 +372,7 @@ def spanning(rows: pd.DataFrame, columns: pd.DataFrame, percent: int) -> list[tu
         a, b = root(rows["label"][i]), root(columns["label"][j])
         if a != b:
             parent[a] = b
-            out.append((rows["sig"][i], columns["sig"][j]))
+            out.append((rows["id"][i], columns["id"][j]))
     return out
 
 
