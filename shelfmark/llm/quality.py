@@ -184,5 +184,49 @@ def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judged.select("doc_id", "quality.*").withColumn("distance", F.round("distance", 6))
 
 
+def _sql() -> str:
+    """The same rules in DuckDB's SQL, one row per bin where the columns above hold arrays."""
+    blank = r"[ \t\n\v\f\r]"
+    quoted = lambda text: "'" + text.replace("'", "''") + "'"
+    commons = ", ".join(f"({quoted(k)}, {quoted(w)})" for k, v in COMMON_WORDS.items() for w in v.split())
+    known = ", ".join(map(quoted, COMMON_WORDS))
+    count = lambda c: f"length(solid) - length(translate(solid, {quoted(c)}, ''))"
+    bins = {
+        "space": "n_chars - length(solid)",
+        "lower": "length(solid) - length(regexp_replace(solid, '[a-z]', '', 'g'))",
+        "upper": "length(solid) - length(regexp_replace(solid, '[A-Z]', '', 'g'))",
+        "digit": "length(solid) - length(regexp_replace(solid, '[0-9]', '', 'g'))",
+        "symbol": count(SYMBOLS),
+        "mark": count(MARKS),
+    }
+    bins["other"] = "length(solid) - (" + " + ".join(f"({v})" for k, v in bins.items() if k != "space") + ")"
+    classes = " UNION ALL ".join(f"SELECT doc_id, lang, '{k}' AS bin, {v} AS c FROM d" for k, v in bins.items())
+    distance = lambda own, ref: f"""SELECT doc_id, lang, sqrt(greatest(sum(CASE WHEN p > 0 THEN p * log2(2 * p / (p + q)) ELSE 0 END + CASE WHEN q > 0 THEN q * log2(2 * q / (p + q)) ELSE 0 END) / 2, 0)) AS js
+        FROM (SELECT o.doc_id, r.lang, o.c / o.total AS p, r.c / r.total AS q FROM {own} o JOIN {ref} r ON o.bin = r.bin AND o.{"lang" if own == "own_words" else "same"} = r.{"lang" if own == "own_words" else "same"}) GROUP BY ALL"""
+    return f"""
+    WITH t0 AS (SELECT doc_id, lang, coalesce(text, '') AS t FROM documents),
+    d AS (SELECT doc_id, lang, t, length(t) AS n_chars, regexp_replace(t, '{blank}', '', 'g') AS solid, list_filter(regexp_split_to_array(t, '{blank}+'), lambda x: x <> '') AS ws,
+          list_filter(string_split(t, chr(10)), lambda x: regexp_matches(x, '[^ \t\n\v\f\r]')) AS ls FROM t0),
+    grams AS (SELECT doc_id, i, ws[i] || chr(1) || ws[i + 1] || chr(1) || ws[i + 2] AS g FROM d, unnest(range(1, len(ws) - 1)) AS u(i)),
+    twice AS (SELECT doc_id, g FROM grams GROUP BY ALL HAVING count(*) > 1),
+    covered AS (SELECT doc_id, count(DISTINCT i + k) AS n FROM grams JOIN twice USING (doc_id, g), (VALUES (0), (1), (2)) AS v(k) GROUP BY doc_id),
+    m AS (SELECT d.doc_id, d.lang, len(ws) AS n_words, length(array_to_string(ws, '')) AS word_chars, {count(SYMBOLS)} AS n_symbols, len(ls) - len(list_distinct(ls)) AS n_dup_lines,
+          coalesce(c.n, 0) AS n_repeat_words FROM d LEFT JOIN covered c USING (doc_id)),
+    cls AS (SELECT *, 1 AS same, greatest(sum(c) OVER (PARTITION BY doc_id), 1)::DOUBLE AS total FROM ({classes})),
+    lowered AS (SELECT doc_id, unnest(regexp_split_to_array(lower(t), '{blank}+')) AS w FROM d),
+    common AS (SELECT * FROM (VALUES {commons}) AS v(lang, w)),
+    hit AS (SELECT doc_id, w, count(*) AS c FROM lowered WHERE w IN (SELECT w FROM common) GROUP BY ALL),
+    listed AS (SELECT m.doc_id, m.lang AS doc_lang, k.lang, k.w AS bin, coalesce(h.c, 0) AS c, m.n_words FROM m CROSS JOIN common k LEFT JOIN hit h ON h.doc_id = m.doc_id AND h.w = k.w),
+    own_words AS (SELECT doc_id, doc_lang, lang, bin, c, greatest(n_words, 1)::DOUBLE AS total FROM listed
+        UNION ALL SELECT doc_id, doc_lang, lang, chr(1), n_words - sum(c), greatest(n_words, 1)::DOUBLE FROM listed GROUP BY doc_id, doc_lang, lang, n_words),
+    ref_words AS (SELECT lang, bin, sum(c) AS c, sum(sum(c)) OVER (PARTITION BY lang)::DOUBLE AS total FROM own_words WHERE doc_lang = lang GROUP BY lang, bin),
+    ref_cls AS (SELECT lang, 1 AS same, bin, sum(c) AS c, sum(sum(c)) OVER (PARTITION BY lang)::DOUBLE AS total FROM cls WHERE lang IN ({known}) GROUP BY lang, bin),
+    far AS (SELECT a.doc_id, min(greatest(a.js, b.js)) AS distance FROM ({distance("cls", "ref_cls")}) a JOIN ({distance("own_words", "ref_words")}) b USING (doc_id, lang)
+            WHERE a.lang IN (SELECT lang FROM ref_words WHERE total > 0) GROUP BY a.doc_id),
+    v AS (SELECT m.*, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed, f.distance AS js FROM m LEFT JOIN far f USING (doc_id))
+    SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, round(CASE WHEN NOT base_failed AND n_words >= {MIN_WORDS} THEN js END, 6) AS distance,
+           NOT base_failed AND (n_words < {MIN_WORDS} OR coalesce(js, 0) <= {MAX_DISTANCE}) AS kept FROM v"""
+
+
 QUERIES = {"op7_quality_rules": op7_quality_rules}
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL = {"op7_quality_rules": _sql()}
