@@ -183,8 +183,11 @@ def prefixes(docs: DataFrame, n: int, percent: int, order: np.ndarray) -> DataFr
     """(h, id, n): the first n-grams of every document in the order of the sketch, with its class and size."""
     shared = docs.sparkSession.sparkContext.broadcast(order.astype(np.uint32) if order.max(initial=0) < 1 << 32 else order)
 
+    seen: set[int] = set()  # of the classes that a task has given out: copies beside each other add no rows
+
     def make(ids: pa.Array, sets: list[np.ndarray]) -> list[pa.Array]:
         rank, first = shared.value, []
+        sets = [s for s in sets if (i := identity(s)) not in seen and not seen.add(i)]
         for s in sets:
             if len(s):
                 by = np.lexsort((s, rank[(s & np.uint64(SKETCH - 1)).astype(np.int64)]))
@@ -235,7 +238,7 @@ class Join:
             return [pa.array([identity(s) for s in sets], pa.int64()), pa.array([s.tobytes() for s in sets], pa.binary())]
 
         spots = stored(of, "spots")
-        found = _map(maybe_in(self.known, "doc_id", spots).join(spots, "doc_id", "left_semi"), self.n, "id long, grams binary", make)
+        found = _map(maybe_in(self.known, "doc_id", spots).join(spots, "doc_id"), self.n, "id long, grams binary", make)
         return found.join(wanted, "id", "left_semi").groupBy("id").agg(F.first("grams").alias("grams"))
 
     def verified(self, pairs: DataFrame, sets: DataFrame) -> DataFrame:
@@ -257,7 +260,8 @@ class Join:
         percent = self.percent
         first = stored(prefixes(self.known, self.n, percent, sketch(self.known, self.n)), "prefixes")
         live = stored(first.groupBy("h").agg(F.min("id").alias("lo"), F.max("id").alias("hi")).where("lo <> hi").select("h"), "columns")
-        live = stored(maybe_in(first, "h", live).join(live, "h", "left_semi").groupBy("h", "id", "n").agg(F.lit(1).alias("one")).drop("one"), "live")
+        # An inner join, as a semi-join would be planned before the filter. One shuffle by n-gram serves the join, the removal of copies, the count and the join with it.
+        live = maybe_in(first, "h", live).join(live, "h").groupBy("h", "id", "n").agg(F.count("*").alias("copies")).drop("copies")
         many = live.groupBy("h").agg(F.count("*").alias("m"))
         sized = stored(live.join(many, "h"), "sized")
         hot = sized.where(F.col("m") > BLOCK).select("h", "id", "n", "m")
