@@ -23,9 +23,9 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without the lines that earlier ones have; a document of which nothing is left goes."""
-    done = lines.dedup_lines(docs.select(*COLUMNS))
-    left = done.where((F.col("n_dropped") == 0) | F.col("text").rlike(r"[^ \t\n\x0B\f\r]"))
+    """Documents without the lines, short ones too, that earlier ones have; a document of which nothing is left goes."""
+    done = lines.dedup_lines(docs.select(*COLUMNS), every=True)
+    left = done.where((F.col("n_dropped") == 0) | F.col("text").rlike(lines.NOT_BLANK))
     return left.withColumn("n_chars", F.coalesce(F.length("text").cast("long"), F.col("n_chars"))).select(*COLUMNS)
 
 

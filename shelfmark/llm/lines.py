@@ -1,7 +1,9 @@
 """Line dedup by a deletion-neighbourhood join, with an edit bound of one.
 
 A line is dropped if an earlier line, in the order of (doc_id, line number), equals it or is within one edit of it:
-one code point replaced, inserted or deleted. Lines of fewer than ``MIN_CHARS`` code points are never dropped.
+one code point replaced, inserted or deleted. Lines of fewer than ``MIN_CHARS`` code points are never compared by edits.
+With ``every`` such a line is dropped if an earlier one equals it, unless it is blank; without, as the SQL of the query
+has it, it stays.
 
 1. Equal lines are found by a 128-bit hash; the first place of each distinct line is kept.
 2. Two different lines within one edit agree in the first or the second half. Only distinct lines that share a hashed
@@ -31,6 +33,7 @@ from shelfmark.llm.common import let, stored, table
 MIN_CHARS = 20
 SEGMENT = 64
 BITS = 1 << 23
+NOT_BLANK = r"[^ \t\n\x0B\f\r]"
 
 
 def maybe_in(df: DataFrame, key: str, wanted: DataFrame) -> DataFrame:
@@ -41,10 +44,16 @@ def maybe_in(df: DataFrame, key: str, wanted: DataFrame) -> DataFrame:
     return joined.where(F.expr("shiftright(__mask, cast(__p % 64 as int)) & 1L = 1L")).select(*df.columns)
 
 
-def split_lines(docs: DataFrame) -> DataFrame:
+def droppable(line: Column, every: bool) -> Column:
+    """Whether a line can be dropped; ``every`` adds the short ones that are not blank."""
+    long = F.length(line) >= MIN_CHARS
+    return long | line.rlike(NOT_BLANK) if every else long
+
+
+def split_lines(docs: DataFrame, every: bool = False) -> DataFrame:
     """(doc_id, line_no, line, a, b, len) of the lines that can be dropped."""
     given = docs.where(F.col("doc_id").isNotNull() & F.col("text").isNotNull())
-    rows = given.select("doc_id", F.posexplode(F.split("text", "\n", -1)).alias("line_no", "line")).withColumn("len", F.length("line")).where(F.col("len") >= MIN_CHARS)
+    rows = given.select("doc_id", F.posexplode(F.split("text", "\n", -1)).alias("line_no", "line")).withColumn("len", F.length("line")).where(droppable(F.col("line"), every))
     return rows.select("doc_id", "line_no", "line", F.xxhash64("line").alias("a"), F.xxhash64(F.lit(1), F.col("line")).alias("b"), "len")
 
 
@@ -115,22 +124,25 @@ def near_repeats(docs: DataFrame, first: DataFrame) -> DataFrame:
     return both.where(F.levenshtein("line", "o", 1).between(0, 1)).select("a", "b").distinct()
 
 
-def kept_lines(docs: DataFrame) -> DataFrame:
+def kept_lines(docs: DataFrame, every: bool = False) -> DataFrame:
     """(doc_id, kept): for each document the sorted numbers of its droppable lines that stay."""
-    first = stored(split_lines(docs).groupBy("a", "b").agg(F.min(F.struct("doc_id", "line_no")).alias("at")), "first")
+    first = stored(split_lines(docs, every).groupBy("a", "b").agg(F.min(F.struct("doc_id", "line_no")).alias("at")), "first")
     stay = first.join(stored(near_repeats(docs, first), "near"), ["a", "b"], "left_anti")
     return stay.select("at.doc_id", "at.line_no").groupBy("doc_id").agg(F.array_sort(F.collect_set("line_no")).alias("kept"))
 
 
-def dedup_lines(docs: DataFrame) -> DataFrame:
-    """``docs`` with superfluous lines cut out of ``text``, and long columns ``n_lines`` and ``n_dropped``."""
-    kept = kept_lines(docs.select("doc_id", "text"))
+def dedup_lines(docs: DataFrame, every: bool = False) -> DataFrame:
+    """``docs`` with superfluous lines cut out of ``text``, and long columns ``n_lines`` and ``n_dropped``.
+
+    ``every`` finds exact repeats of short lines too.
+    """
+    kept = kept_lines(docs.select("doc_id", "text"), every)
     lines = F.split("text", "\n", -1)
     gap = lambda k, j: F.concat(F.array_repeat(F.lit(False), k - F.when(j == 0, F.lit(-1)).otherwise(F.get("kept", F.greatest(j - 1, F.lit(0)))) - 1), F.array(F.lit(True)))
     mask = F.flatten(F.transform(F.coalesce("kept", F.array().cast("array<int>")), gap))
 
     def cut(x: Column) -> Column:
-        stays = F.filter(x["lines"], lambda line, i: (F.length(line) < MIN_CHARS) | F.coalesce(F.get(x["mask"], i), F.lit(False)))
+        stays = F.filter(x["lines"], lambda line, i: ~droppable(line, every) | F.coalesce(F.get(x["mask"], i), F.lit(False)))
         return let(stays, lambda s: F.struct(F.concat_ws("\n", s).alias("text"), F.size(x["lines"]).cast("long").alias("n"), (F.size(x["lines"]) - F.size(s)).cast("long").alias("dropped")))
 
     done = F.when(F.col("text").isNotNull() & F.col("doc_id").isNotNull(), let(F.struct(lines.alias("lines"), mask.alias("mask")), cut))

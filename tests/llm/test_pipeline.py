@@ -18,6 +18,15 @@ def test_stages_on_odd_rows(spark, odd, none):
         assert pipeline.STAGES[-1][1](spark, docs, "").count() == docs.count()
 
 
+def test_short_lines_are_deduplicated(spark):
+    """An exact copy with short lines leaves no stub; blank lines stay; short lines are not compared by edits."""
+    long = "a line that is long enough to be compared by edits"
+    rows = [(1, f"{long}\nshort\n\nshort\nshork", "en", "a", 1), (2, f"{long}\nshort\n\nshort\nshork", "en", "a", 1), (3, f"own words\n \n{long}!\nshort\n", "en", "a", 1)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, lang string, source string, n_chars bigint")
+    got = {r["doc_id"]: r["text"] for r in pipeline.line_dedup(spark, docs, "").collect()}
+    assert got == {1: f"{long}\nshort\n\nshork", 3: "own words\n \n"}
+
+
 def test_run(spark):
     d = "/root/testdata/sf0.001"
     docs = {r["doc_id"]: r for r in spark.read.parquet(f"{d}/documents.parquet").collect()}
