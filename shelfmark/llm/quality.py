@@ -4,7 +4,8 @@ Two histograms describe a document: its code points by character class, and its
 language (one bin each, one more for the rest). The references are the same histograms summed over all documents of
 that language in the corpus. A document is compared with every reference, and its distance is the least over the
 languages of the larger of the two Jensen-Shannon distances (base 2, so 0 to 1). Documents under ``MIN_WORDS`` words
-are not judged by distance: their histograms are too thin.
+are not judged by distance by the query, as its SQL has it; ``keep_good`` judges them too, within ``SHORT_DISTANCE``, as
+thin histograms stray further.
 
 Base rules come first: fewer than 50 words, or more than half of the words in repeated 3-word windows, fail.
 
@@ -37,6 +38,8 @@ MARKS = "!\"'()+,-./:;=?@[\\]^_`{}~"
 MIN_WORDS = 100
 #: A document further than this from every reference is rejected.
 MAX_DISTANCE = 0.25
+#: The same for documents of fewer than MIN_WORDS words, where these are judged.
+SHORT_DISTANCE = 0.28
 
 
 def _count(text: Column, characters: str) -> Column:
@@ -137,8 +140,11 @@ def js_distance(p: Column, q: Column) -> Column:
     return F.sqrt(F.greatest(total / 2, F.lit(0.0)))
 
 
-def judge(docs: DataFrame, refs: DataFrame | None = None) -> DataFrame:
-    """``docs`` with struct ``quality``: the base measures, base_failed, distance (null if not judged) and kept."""
+def judge(docs: DataFrame, refs: DataFrame | None = None, short: bool = False) -> DataFrame:
+    """``docs`` with struct ``quality``: the base measures, base_failed, distance (null if not judged) and kept.
+
+    ``short`` judges documents of fewer than MIN_WORDS words by distance too.
+    """
     refs = references(docs) if refs is None else refs
     one = refs.agg(F.array_sort(F.collect_list(F.struct("lang", "classes", "words"))).alias("__refs"))  # a row of four entries at most
     languages = sorted(COMMON_WORDS)
@@ -158,14 +164,15 @@ def judge(docs: DataFrame, refs: DataFrame | None = None) -> DataFrame:
         failed = (m["n_words"] < 50) | (100 * m["n_repeat_words"] > 50 * m["n_words"])
         t = F.coalesce(F.col("text"), F.lit(""))
         far = F.when(
-            ~failed & (m["n_words"] >= MIN_WORDS),
+            ~failed if short else ~failed & (m["n_words"] >= MIN_WORDS),
             let(F.struct(_class_counts(t).alias("a"), _common_counts(words(F.lower(t))).alias("b")), lambda h: nearest(h["a"], h["b"], m["n_words"])),
         )
+        limit = F.when(m["n_words"] < MIN_WORDS, SHORT_DISTANCE).otherwise(MAX_DISTANCE) if short else F.lit(MAX_DISTANCE)
         names = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
         return let(
             far,
             lambda d: F.struct(
-                *(m[k].alias(k) for k in names), failed.alias("base_failed"), d.alias("distance"), (~failed & (F.coalesce(d, F.lit(0.0)) <= MAX_DISTANCE)).alias("kept")
+                *(m[k].alias(k) for k in names), failed.alias("base_failed"), d.alias("distance"), (~failed & (F.coalesce(d, F.lit(0.0)) <= limit)).alias("kept")
             ),
         )
 
@@ -175,7 +182,7 @@ def judge(docs: DataFrame, refs: DataFrame | None = None) -> DataFrame:
 
 def keep_good(docs: DataFrame) -> DataFrame:
     """The documents that pass, unchanged."""
-    return judge(docs).where("quality.kept").select(*docs.columns)
+    return judge(docs, short=True).where("quality.kept").select(*docs.columns)
 
 
 def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:

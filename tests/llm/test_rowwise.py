@@ -154,6 +154,17 @@ def test_divergence(spark):
     assert 20 not in kept
 
 
+def test_short_documents_are_judged(spark):
+    """Junk of 50 to 99 words goes, good text of that length stays; the query leaves both to the base rules."""
+    common = ["the", "of", "and", "in", "is"]
+    plain = lambda k, n: " ".join(common[i // 3 % 5] if i % 3 == 0 else "".join(chr(97 + (i * i * (j + 3) + k * j) % 26) for j in range(6)) for i in range(n))
+    texts = [*(plain(k, 200) for k in range(20)), plain(3, 60), " ".join(f"{i}$$$#{i * 7}" for i in range(60))]
+    docs = spark.createDataFrame([(k, t, "en") for k, t in enumerate(texts)], "doc_id bigint, text string, lang string")
+    assert {r["doc_id"] for r in quality.keep_good(docs).collect()} == set(range(21))
+    query = {r["doc_id"]: r["quality"] for r in quality.judge(docs).collect()}
+    assert query[20]["distance"] is None and query[21]["distance"] is None and query[21]["kept"]
+
+
 # Byte-level BPE
 
 
