@@ -139,13 +139,15 @@ def _map(docs: DataFrame, n: int, schema: str, make) -> DataFrame:  # noqa: ANN0
         for batch in batches:
             for part in slices(batch, "text", 2_000_000):
                 sets = shingle_sets([x or b"" for x in part.column("text").to_pylist()], n)
-                yield pa.RecordBatch.from_arrays(make(part.column("doc_id"), sets), names)
+                yield pa.RecordBatch.from_arrays([*make(part.column("doc_id"), sets), *(part.column(k) for k in extra)], [*names, *extra])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("binary").alias("text")).mapInArrow(run, schema)
+    extra = [k for k in docs.columns if k == "t"]
+    columns = (F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("binary").alias("text"), *extra)
+    return docs.select(*columns).mapInArrow(run, schema + ", t long" * len(extra))
 
 
 def classes(docs: DataFrame, n: int) -> DataFrame:
-    """(doc_id, n, id) of every document."""
+    """(doc_id, n, id) of every document, and the column t if it is there."""
 
     def make(ids: pa.Array, sets: list[np.ndarray]) -> list[pa.Array]:
         return [ids, pa.array([len(s) for s in sets], pa.int64()), pa.array([identity(s) for s in sets], pa.int64())]
@@ -227,7 +229,7 @@ class Join:
         self.n, self.percent = n, percent
         self.docs = docs.select("doc_id", "text")
         self.known = self.docs.where(F.col("doc_id").isNotNull())
-        self.rows = stored(classes(self.docs, n), "classes")
+        self.rows = stored(classes(self.docs.withColumn("t", F.xxhash64("text")), n), "classes")
         self.labels: DataFrame | None = None
 
     def sets(self, wanted: DataFrame) -> DataFrame:
@@ -327,6 +329,20 @@ class Join:
 
         return left.union(right).groupBy("h", "i", "j").applyInPandas(product, "a long, b long")
 
+    def lost(self) -> tuple[DataFrame, DataFrame]:
+        """(doc_id, t) of the rows that a row of lesser (doc_id, t) in their component makes superfluous, and of the repeated ones among the rest.
+
+        ``t`` is the hash of the text, which tells apart rows that share an id.
+        """
+        links = self.links()
+        labels = (components(links) if self.labels is None else self.labels).withColumnRenamed("node", "id")
+        rows = self.rows.where("doc_id IS NOT NULL AND n > 0")
+        counted = stored(rows.groupBy("doc_id", "t", "id").agg(F.count("*").alias("c")), "rows")
+        firsts = counted.groupBy("id").agg(F.min(F.struct("doc_id", "t", "c")).alias("first"))
+        firsts = firsts.join(labels, "id", "left").groupBy(F.coalesce("label", "id").alias("label")).agg(F.min("first").alias("first"))
+        firsts = stored(firsts.select("first.doc_id", "first.t", "first.c"), "firsts")
+        return counted.join(firsts, ["doc_id", "t"], "left_anti").select("doc_id", "t"), firsts.where("c > 1").select("doc_id", "t")
+
     def grouped(self) -> DataFrame:
         """(doc_id, n_shingles, component_id) of every document."""
         links = self.links()
@@ -386,9 +402,15 @@ def near_groups(docs: DataFrame, n: int = 3, percent: int = 90) -> DataFrame:
 
 
 def keep_first(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame:
-    """One document of each group of near copies: the one of least id. Documents without id or words all stay."""
-    groups = near_groups(docs, n, percent).where("component_id <> doc_id").select("doc_id").distinct()
-    return docs.join(groups, "doc_id", "left_anti").select(*docs.columns)
+    """One row of each group of near copies: the one of least id. Rows without id or words all stay.
+
+    Rows that share an id are told apart by their texts; of rows with one id and one text the least in all columns stays.
+    """
+    lost, twice = (stored(x.toDF("__id", "__t"), "verdict") for x in Join(docs, n, percent).lost())
+    keyed = docs.withColumn("__id", F.col("doc_id").cast("long")).withColumn("__t", F.xxhash64("text"))
+    rest = keyed.join(lost.union(twice), ["__id", "__t"], "left_anti")
+    one = keyed.join(twice, ["__id", "__t"], "left_semi").groupBy("__id", "__t").agg(F.min(F.struct(*docs.columns)).alias("row"))
+    return rest.select(*docs.columns).union(one.select("row.*"))
 
 
 def op10_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:

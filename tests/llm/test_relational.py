@@ -92,6 +92,16 @@ def test_keep_first(spark, odd):
     assert Counter(r["doc_id"] for r in kept.collect()) == Counter([1, 2, 3, 4, 5, None, 7, 8, 9])
 
 
+def test_keep_first_of_repeated_ids(spark):
+    """One of the rows with one id and text stays; a row that shares its id with a copy of another document stays."""
+    one, two, three = ("the quick brown fox jumps over the lazy dog", "an unrelated text with words of its own here", "a third text that has nothing to do with others")
+    rows = [(1, one, "b"), (2, two, "a"), (2, two, "a"), (3, one, "a"), (3, three, "a"), (4, three + " at", "a"), (5, three, "a"), (None, one, "a"), (None, one, "a"), (6, "", "a"), (6, "", "a")]
+    got = jaccard.keep_first(spark.createDataFrame(rows, "doc_id bigint, text string, source string"))
+    want = [(1, one, "b"), (2, two, "a"), (3, three, "a"), (None, one, "a"), (None, one, "a"), (6, "", "a"), (6, "", "a")]
+    assert Counter(map(tuple, got.collect())) == Counter(want)
+    assert got.schema == spark.createDataFrame([], "doc_id bigint, text string, source string").schema
+
+
 def test_long_texts_are_hashed_in_pieces(monkeypatch):
     text = (" ".join(f"Word{i}" for i in range(5000)) + " " + "y" * 900).encode()
     whole = jaccard.shingle_sets([text], 3)[0]
