@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -25,13 +26,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def shared_folder(spark: SparkSession) -> str:
     """The folder that driver and executors share.
 
-    It is the one named by ``spark.checkpoint.dir``; a folder of this machine is chosen only where that
-    setting is missing, as in local tests.
+    It is the one named by ``spark.checkpoint.dir``, else the session's checkpoint folder. Where neither is set, a session
+    whose executors are threads of the driver (as in tests) gets a temporary folder; on a cluster that is an error.
     """
-    folder = spark.conf.get("spark.checkpoint.dir", None)
-    if not folder:
-        folder = spark.sparkContext.getCheckpointDir()
+    folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not folder:
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         folder = "file://" + tempfile.mkdtemp(prefix="shelfmark-")
         spark.sparkContext.setCheckpointDir(folder)
     return folder.rstrip("/")
@@ -45,7 +46,17 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/shelfmark/{uuid.uuid4().hex}-{name}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.stored_at = path
+    return out
+
+
+def release(*tables: DataFrame) -> None:
+    """Delete tables of ``stored`` that no later plan reads."""
+    for df in tables:
+        spark = df.sparkSession
+        at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(df.stored_at)
+        at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
 
 
 def let(value: Column, body: Callable[[Column], Column]) -> Column:

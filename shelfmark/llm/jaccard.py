@@ -2,9 +2,12 @@
 
 Documents become sets of hashed word n-grams. Documents with equal sets form one class, and the join works on classes.
 
-1. The n-grams are ordered by how frequent they are in the corpus (a sketch of ``SKETCH`` counters over all documents),
-   rare ones first. Two sets of the wanted similarity share n-grams among their first ``n - ceil(t * n) + 1``; only this
-   part of the incidence matrix is multiplied.
+1. The n-grams are ordered by how many documents are expected to have them, rare ones first: the product of the shares of
+   their words in the corpus or, for n-grams that stand out in a count of n-grams (shared passages), that count. Both
+   counts cover all documents and have a fixed number of counters (``WORDS``, ``SKETCH``). Words repeat ever more as a
+   corpus grows, so the first estimate does not wear out; counters only decide the order, never the result. Two sets of
+   the wanted similarity share n-grams among their first ``n - ceil(t * n) + 1``; only this part of the incidence matrix
+   is multiplied.
 2. Each n-gram (a column of the matrix) with at most ``BLOCK`` classes adds one to the overlap count of each of its
    pairs. Pairs whose sizes differ too much, or whose count stays under the bound that follows from their sizes, are
    discarded. The bound: if two sets overlap in ``o`` or more, then their first ``min(p - (n - o))`` common n-grams,
@@ -18,7 +21,8 @@ Documents become sets of hashed word n-grams. Documents with equal sets form one
    near copies costs rows in proportion to its size, and no pair is skipped that could join two components.
 4. Every surviving pair is verified on its whole sets. Links give components.
 
-Sets are told apart by 64-bit hashes: among d different sets about d * d / 2**65 pairs would be taken for one.
+Sets are told apart by two 64-bit hashes. The first is the key of a class; sets that agree in the first alone are found by
+an aggregate and told apart by the second.
 
 Defined results: null, empty and wordless texts have an empty set and are linked with nothing. A document with fewer
 words than the n-gram has one n-gram, all its words. Repeated texts are one class. A null doc_id takes no part: its
@@ -27,7 +31,7 @@ row is kept, with a null component. An empty table gives an empty result. Extra
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -35,11 +39,12 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from shelfmark.llm.common import slices, stored, table
+from shelfmark.llm.common import release, slices, stored, table
 from shelfmark.llm.components import components
 from shelfmark.llm.lines import maybe_in
 
-SKETCH = 1 << 18
+#: Counters of n-grams and of words.
+SKETCH, WORDS = 1 << 18, 1 << 17
 #: Classes of an n-gram up to which all its pairs are counted.
 BLOCK = 128
 BLOCK_ROWS = 256
@@ -93,24 +98,45 @@ def _whole(text: bytes) -> np.ndarray:
     return np.concatenate(out) if out else np.zeros(0, np.uint64)
 
 
-def _grams(words: np.ndarray, n: int) -> np.ndarray:
-    """The sorted distinct n-gram hashes of a sequence of word hashes."""
-    if not len(words):
-        return words
-    size = min(n, len(words))
-    h = np.full(len(words) - size + 1, size, np.uint64)
-    for k in range(size):
+def _sums(words: np.ndarray, n: int) -> np.ndarray:
+    """The hash of the n-gram that begins at each word of a sequence of word hashes."""
+    h = np.full(max(len(words) - n + 1, 0), n, np.uint64)
+    for k in range(n):
         h = mix(h * np.uint64(0x2545F4914F6CDD1D) + words[k : k + len(h)])
-    return np.unique(h)
+    return h
 
 
-def shingle_sets(texts: list[bytes], n: int) -> list[np.ndarray]:
-    """For each text the sorted distinct hashes of its word n-grams."""
-    out: list[np.ndarray] = []
+Weigh = Callable[[np.ndarray, np.ndarray, int], np.ndarray]
+Sets = list[tuple[np.ndarray, np.ndarray | None]]
+
+
+def shingle_sets(texts: list[bytes], n: int, weigh: Weigh | None = None, words_seen: list | None = None) -> Sets:
+    """For each text the sorted distinct hashes of its word n-grams and, with ``weigh``, the weight of each.
+
+    ``weigh`` takes word hashes, the hashes of the n-grams at their places and the number of words of an n-gram.
+    ``words_seen`` gets the hashes of all words.
+    """
+    out: Sets = []
+
+    def add(words: np.ndarray, bounds: list[tuple[int, int]]) -> None:
+        if words_seen is not None:
+            words_seen.append(words)
+        grams = _sums(words, n)
+        weights = weigh(words, grams, n) if weigh else None
+        for a, b in bounds:
+            if b - a >= n:
+                own, some = grams[a : b - n + 1], None if weights is None else weights[a : b - n + 1]
+            else:
+                own = _sums(words[a:b], b - a) if b > a else words[:0]
+                some = weigh(words[a:b], own, b - a) if weigh and b > a else own.astype(np.int64)
+            own, at = np.unique(own, return_index=True)
+            out.append((own, None if weigh is None else some[at]))
+
     k = 0
     while k < len(texts):
         if len(texts[k]) > PIECE:
-            out.append(_grams(_whole(texts[k]), n))
+            words = _whole(texts[k])
+            add(words, [(0, len(words))])
             k += 1
             continue
         group, size = [], 0
@@ -119,90 +145,120 @@ def shingle_sets(texts: list[bytes], n: int) -> list[np.ndarray]:
             size += len(texts[k]) + 1
             k += 1
         hashes, start = word_hashes(b"\n".join(group))
-        bounds = np.searchsorted(start, np.cumsum([0, *(len(t) + 1 for t in group)]))
-        out += [_grams(hashes[a:b], n) for a, b in zip(bounds[:-1], bounds[1:], strict=True)]
+        bounds = np.searchsorted(start, np.cumsum([0, *(len(t) + 1 for t in group)])).tolist()
+        add(hashes, list(zip(bounds[:-1], bounds[1:], strict=True)))
     return out
 
 
-def identity(grams: np.ndarray) -> int:
-    """64 bits that stand for a set, as a signed integer."""
-    with np.errstate(over="ignore"):
-        total = mix(mix(grams) + np.uint64(len(grams))).sum(dtype=np.uint64)
-    return int(mix(np.array([total], np.uint64)).view(np.int64)[0])
-
-
-def _map(docs: DataFrame, n: int, schema: str, make) -> DataFrame:  # noqa: ANN001
-    """``make(ids, sets)`` over the sets of all documents; it returns the columns of ``schema``."""
-    names = [x.split()[0] for x in schema.split(", ")]
+def identities(sets: list[np.ndarray], clashes: frozenset[int] = frozenset()) -> tuple[np.ndarray, np.ndarray]:
+    """Two 64-bit hashes of each set, as signed integers. The second takes the place of a first that is among ``clashes``."""
+    lengths = np.array([len(s) for s in sets], np.int64)
+    flat, some = np.concatenate([np.zeros(0, np.uint64), *sets]), lengths > 0
+    starts = (np.cumsum(lengths) - lengths)[some]
+    both = []
+    for seed in (np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD1B54A32D192ED03)):
+        total = lengths.astype(np.uint64) * seed
+        if len(starts):
+            total[some] += np.add.reduceat(mix(flat ^ seed), starts)
+        both.append(mix(total).view(np.int64))
+    if clashes:
+        both[0] = np.where(np.isin(both[0], list(clashes)), both[1], both[0])
+    return both[0], both[1]
+
+
+def _map(docs: DataFrame, schema: str, make: Callable[[pa.RecordBatch, list[bytes]], Iterator[dict]]) -> DataFrame:
+    """The rows that ``make`` gives for the texts of each part of a batch, and for none at the end of a task."""
+    kinds = dict(x.split() for x in schema.split(", "))
+    types = {"long": pa.int64(), "int": pa.int32(), "binary": pa.binary()}
+    fields = pa.schema([(k, types[t]) for k, t in kinds.items()])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def given(rows: dict) -> pa.RecordBatch:
+            n = len(next(iter(rows.values())))
+            return pa.RecordBatch.from_arrays([pa.array(rows[f.name], f.type) if f.name in rows else pa.nulls(n, f.type) for f in fields], schema=fields)
+
         for batch in batches:
             for part in slices(batch, "text", 2_000_000):
-                sets = shingle_sets([x or b"" for x in part.column("text").to_pylist()], n)
-                yield pa.RecordBatch.from_arrays([*make(part.column("doc_id"), sets), *(part.column(k) for k in extra)], [*names, *extra])
+                yield from map(given, make(part, [x or b"" for x in part.column("text").to_pylist()]))
+        yield from map(given, make(None, []))
 
-    extra = [k for k in docs.columns if k == "t"]
-    columns = (F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("binary").alias("text"), *extra)
-    return docs.select(*columns).mapInArrow(run, schema + ", t long" * len(extra))
+    columns = [F.col(c).cast("binary") if c == "text" else F.col(c).cast("long") for c in docs.columns]
+    return docs.select(*(c.alias(n) for c, n in zip(columns, docs.columns, strict=True))).mapInArrow(run, schema)
 
 
-def classes(docs: DataFrame, n: int) -> DataFrame:
-    """(doc_id, n, id) of every document, and the column t if it is there."""
+def survey(docs: DataFrame, n: int) -> DataFrame:
+    """One pass over (doc_id, t, text): rows (doc_id, t, n, id, other) of the documents, and (g, c) of the counts.
 
-    def make(ids: pa.Array, sets: list[np.ndarray]) -> list[pa.Array]:
-        return [ids, pa.array([len(s) for s in sets], pa.int64()), pa.array([identity(s) for s in sets], pa.int64())]
+    ``g`` is the number of a counter of n-grams or, from SKETCH on, of words; ``c`` is what a task has counted.
+    """
+    totals: list[np.ndarray] = []
+
+    def make(part: pa.RecordBatch | None, texts: list[bytes]) -> Iterator[dict]:
+        if not totals:
+            totals.append(np.zeros(SKETCH + WORDS, np.int64))
+        if part is not None:
+            words: list[np.ndarray] = []
+            sets = [s for s, _ in shingle_sets(texts, n, words_seen=words)]
+            flat = np.concatenate([np.zeros(0, np.uint64), *sets])
+            totals[0][:SKETCH] += np.bincount((flat & np.uint64(SKETCH - 1)).astype(np.int64), minlength=SKETCH)
+            for w in words:
+                totals[0][SKETCH:] += np.bincount((w & np.uint64(WORDS - 1)).astype(np.int64), minlength=WORDS)
+            first, other = identities(sets)
+            yield {"doc_id": part.column("doc_id"), "t": part.column("t"), "n": [len(s) for s in sets], "id": first, "other": other}
+            return
+        some = np.flatnonzero(totals[0])
+        for k in range(0, len(some), 50_000):
+            yield {"g": some[k : k + 50_000], "c": totals[0][some[k : k + 50_000]]}
+        totals.clear()
 
-    return _map(docs, n, "doc_id long, n long, id long", make)
+    return _map(docs, "doc_id long, t long, n long, id long, other long, g int, c long", make)
 
 
-def sketch(docs: DataFrame, n: int) -> np.ndarray:
-    """How many documents have an n-gram of each of SKETCH groups: one counter per group, over all documents."""
+class Order:
+    """The weight of an n-gram: about 64 times the logarithm of the number of documents expected to have it."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(SKETCH, np.int64)
-        for batch in batches:
-            for part in slices(batch, "text", 2_000_000):
-                for s in shingle_sets([x or b"" for x in part.column("text").to_pylist()], n):
-                    total += np.bincount((s & np.uint64(SKETCH - 1)).astype(np.int64), minlength=SKETCH) if len(s) > SKETCH // 8 else 0
-                    if len(s) <= SKETCH // 8:
-                        np.add.at(total, (s & np.uint64(SKETCH - 1)).astype(np.int64), 1)
-        some = np.flatnonzero(total)
-        for k in range(0, len(some), 50_000):
-            at = some[k : k + 50_000]
-            yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), pa.array(total[at])], ["g", "c"])
+    def __init__(self, counts: DataFrame):
+        found = counts.toPandas()  # at most SKETCH + WORDS rows
+        total = np.zeros(SKETCH + WORDS, np.int64)
+        total[found["g"].to_numpy(np.int64)] = found["c"].to_numpy(np.int64)
+        grams, words = total[:SKETCH], total[SKETCH:]
+        noise = np.median(grams)
+        over = grams - noise - 6 * 1.4826 * np.median(np.abs(grams - noise)) - 1
+        log = lambda x: np.round(64 * np.log2(np.maximum(x, 1))).astype(np.int32)
+        self.heavy = np.where(over > 0, log(over), np.int32(-(1 << 20)))
+        self.common, self.every = log(words), int(log(words.sum()))
 
-    counted = docs.select(F.col("text").cast("binary").alias("text")).mapInArrow(run, "g int, c long").groupBy("g").agg(F.sum("c").alias("c")).toPandas()
-    out = np.zeros(SKETCH, np.int64)
-    out[counted["g"].to_numpy(np.int64)] = counted["c"].to_numpy(np.int64)
-    return out
+    def __call__(self, words: np.ndarray, grams: np.ndarray, n: int) -> np.ndarray:
+        own = self.common[(words & np.uint64(WORDS - 1)).astype(np.int64)]
+        sums = np.full(len(grams), -(n - 1) * self.every, np.int64)
+        for k in range(n):
+            sums += own[k : k + len(grams)]
+        return np.maximum(sums, self.heavy[(grams & np.uint64(SKETCH - 1)).astype(np.int64)])
 
 
 def prefix_length(n: np.ndarray | int, percent: int):  # noqa: ANN201
     return n - (percent * n + 99) // 100 + 1
 
 
-def prefixes(docs: DataFrame, n: int, percent: int, order: np.ndarray) -> DataFrame:
-    """(h, id, n): the first n-grams of every document in the order of the sketch, with its class and size."""
-    shared = docs.sparkSession.sparkContext.broadcast(order.astype(np.uint32) if order.max(initial=0) < 1 << 32 else order)
-
+def prefixes(docs: DataFrame, n: int, percent: int, weigh: Weigh, clashes: frozenset[int]) -> DataFrame:
+    """(h, id, n): the first n-grams of every class in the order of their weights, with its size."""
+    shared = docs.sparkSession.sparkContext.broadcast(weigh)
     seen: set[int] = set()  # of the classes that a task has given out: copies beside each other add no rows
 
-    def make(ids: pa.Array, sets: list[np.ndarray]) -> list[pa.Array]:
-        rank, first = shared.value, []
-        sets = [s for s in sets if (i := identity(s)) not in seen and not seen.add(i)]
-        for s in sets:
-            if len(s):
-                by = np.lexsort((s, rank[(s & np.uint64(SKETCH - 1)).astype(np.int64)]))
-                first.append(s[by[: prefix_length(len(s), percent)]])
-            else:
-                first.append(s)
+    def make(part: pa.RecordBatch | None, texts: list[bytes]) -> Iterator[dict]:
+        if part is None:
+            seen.clear()
+            return
+        found = shingle_sets(texts, n, shared.value)
+        ids = identities([s for s, _ in found], clashes)[0].tolist()
+        fresh = [k for k, i in enumerate(ids) if len(found[k][0]) and i not in seen and not seen.add(i)]
+        first = [found[k][0][np.lexsort(found[k])[: prefix_length(len(found[k][0]), percent)]] for k in fresh]
         counts = [len(x) for x in first]
-        ids_ = np.repeat(np.array([identity(s) for s in sets], np.int64), counts)
-        sizes = np.repeat(np.array([len(s) for s in sets], np.int64), counts)
-        flat = np.concatenate(first) if first else np.zeros(0, np.uint64)
-        return [pa.array(flat.view(np.int64)), pa.array(ids_), pa.array(sizes)]
+        if fresh:
+            sizes = np.array([len(found[k][0]) for k in fresh], np.int64)
+            yield {"h": np.concatenate(first).view(np.int64), "id": np.repeat(np.array([ids[k] for k in fresh], np.int64), counts), "n": np.repeat(sizes, counts)}
 
-    return _map(docs, n, "h long, id long, n long", make)
+    return _map(docs, "h long, id long, n long", make)
 
 
 def _near(a: Column, b: Column, percent: int) -> Column:
@@ -229,18 +285,28 @@ class Join:
         self.n, self.percent = n, percent
         self.docs = docs.select("doc_id", "text")
         self.known = self.docs.where(F.col("doc_id").isNotNull())
-        self.rows = stored(classes(self.docs.withColumn("t", F.xxhash64("text")), n), "classes")
+        surveyed = stored(survey(self.docs.select("doc_id", F.xxhash64("text").alias("t"), "text"), n), "survey")
+        self.counts = surveyed.where("g IS NOT NULL").groupBy("g").agg(F.sum("c").alias("c"))
+        rows = surveyed.where("g IS NULL")
+        # Of d different sets about d * d / 2**65 pairs clash: a short list at any size.
+        clashes = rows.groupBy("id").agg(F.min("other").alias("lo"), F.max("other").alias("hi")).where("lo <> hi").select("id")
+        self.clashes = frozenset(r["id"] for r in clashes.collect())
+        key = F.when(F.col("id").isin(*self.clashes), F.col("other")).otherwise(F.col("id")) if self.clashes else F.col("id")
+        self.rows = rows.select("doc_id", "t", "n", key.alias("id"))
         self.labels: DataFrame | None = None
 
     def sets(self, wanted: DataFrame) -> DataFrame:
         """(id, grams) of the classes in ``wanted`` (id), from the whole text of one document of each."""
+        n, clashes = self.n, self.clashes
         of = self.rows.where("doc_id IS NOT NULL").join(wanted, "id", "left_semi").groupBy("id").agg(F.min("doc_id").alias("doc_id")).select("doc_id").distinct()
 
-        def make(ids: pa.Array, sets: list[np.ndarray]) -> list[pa.Array]:
-            return [pa.array([identity(s) for s in sets], pa.int64()), pa.array([s.tobytes() for s in sets], pa.binary())]
+        def make(part: pa.RecordBatch | None, texts: list[bytes]) -> Iterator[dict]:
+            if part is not None:
+                found = [s for s, _ in shingle_sets(texts, n)]
+                yield {"id": identities(found, clashes)[0], "grams": [s.tobytes() for s in found]}
 
         spots = stored(of, "spots")
-        found = _map(maybe_in(self.known, "doc_id", spots).join(spots, "doc_id"), self.n, "id long, grams binary", make)
+        found = _map(maybe_in(self.known, "doc_id", spots).join(spots, "doc_id"), "id long, grams binary", make)
         return found.join(wanted, "id", "left_semi").groupBy("id").agg(F.first("grams").alias("grams"))
 
     def verified(self, pairs: DataFrame, sets: DataFrame) -> DataFrame:
@@ -260,12 +326,13 @@ class Join:
     def links(self) -> DataFrame:
         """Links (a, b) between classes: enough of them to join whatever is joined."""
         percent = self.percent
-        first = stored(prefixes(self.known, self.n, percent, sketch(self.known, self.n)), "prefixes")
+        first = stored(prefixes(self.known, self.n, percent, Order(self.counts), self.clashes), "prefixes")
         live = stored(first.groupBy("h").agg(F.min("id").alias("lo"), F.max("id").alias("hi")).where("lo <> hi").select("h"), "columns")
         # An inner join, as a semi-join would be planned before the filter. One shuffle by n-gram serves the join, the removal of copies, the count and the join with it.
         live = maybe_in(first, "h", live).join(live, "h").groupBy("h", "id", "n").agg(F.count("*").alias("copies")).drop("copies")
         many = live.groupBy("h").agg(F.count("*").alias("m"))
         sized = stored(live.join(many, "h"), "sized")
+        release(first)
         hot = sized.where(F.col("m") > BLOCK).select("h", "id", "n", "m")
         few = sized.where(F.col("m") <= BLOCK).select("h", "id", "n")
         a, b = few.toDF("h", "a", "na"), few.toDF("h", "b", "nb")
@@ -288,7 +355,8 @@ class Join:
 
     def _pivots(self, hot: DataFrame) -> DataFrame:
         """Pairs (a, b) of the classes of a frequent n-gram and some of them that a hash picks as pivots."""
-        picks = [F.min_by(F.struct("id", "n"), F.xxhash64("id", "h", F.lit(k))) for k in range(PIVOTS)]
+        # By the class alone: the columns that a group of near copies shares pick much the same pivots, so pairs recur.
+        picks = [F.min_by(F.struct("id", "n"), F.xxhash64("id", F.lit(k))) for k in range(PIVOTS)]
         pivots = hot.groupBy("h").agg(F.array_distinct(F.array(*picks)).alias("p")).select("h", F.explode("p").alias("p"))
         pairs = hot.join(pivots, "h").where((F.col("id") != F.col("p.id")) & _near(F.col("n"), F.col("p.n"), self.percent))
         return pairs.select(F.least("id", "p.id").alias("a"), F.greatest("id", "p.id").alias("b"))

@@ -86,6 +86,14 @@ def test_jaccard_of_nothing(spark, none):
     assert jaccard.near_groups(none).count() == 0 and jaccard.keep_first(none).count() == 0
 
 
+def test_sets_whose_first_hashes_clash(spark, odd, monkeypatch):
+    """With a first hash of two bits nearly all sets clash; the second hash tells them apart."""
+    plain = jaccard.identities
+    monkeypatch.setattr(jaccard, "identities", lambda sets, clashes=frozenset(): (lambda a, b: (np.where(np.isin(a & 3, list(clashes)), b, a & 3), b))(*plain(sets)))
+    rows = [(r["doc_id"], r["text"]) for r in odd.collect()]
+    assert groups(odd, 3, 90) == brute_groups(rows, 3, 90)
+
+
 def test_keep_first(spark, odd):
     kept = jaccard.keep_first(odd)
     assert kept.columns == odd.columns
@@ -104,9 +112,9 @@ def test_keep_first_of_repeated_ids(spark):
 
 def test_long_texts_are_hashed_in_pieces(monkeypatch):
     text = (" ".join(f"Word{i}" for i in range(5000)) + " " + "y" * 900).encode()
-    whole = jaccard.shingle_sets([text], 3)[0]
+    whole = jaccard.shingle_sets([text], 3)[0][0]
     monkeypatch.setattr(jaccard, "PIECE", 501)
-    assert (jaccard.shingle_sets([b"a b", text, b""], 3)[1] == whole).all() and len(whole) == 4999
+    assert (jaccard.shingle_sets([b"a b", text, b""], 3)[1][0] == whole).all() and len(whole) == 4999
 
 
 # Line dedup
