@@ -2,10 +2,10 @@
 
 Documents become sets of hashed word n-grams. Documents with equal sets form one class, and the join works on classes.
 
-1. The n-grams are ordered by how many documents are expected to have them, rare ones first: the product of the shares of
-   their words in the corpus or, for n-grams that stand out in a count of n-grams (shared passages), that count. Both
-   counts cover all documents and have a fixed number of counters (``WORDS``, ``SKETCH``). Words repeat ever more as a
-   corpus grows, so the first estimate does not wear out; counters only decide the order, never the result. Two sets of
+1. The n-grams are ordered, rare ones first. Those that by the shares of their words in the corpus no two documents are
+   expected to have by chance (``CHANCE``) come first, in the order of a count of n-grams that keeps shared passages back;
+   the others follow in the order of that expectation. Both counts cover all documents and have a fixed number of
+   counters (``WORDS``, ``SKETCH``); they decide the order and so the cost, never the result. Two sets of
    the wanted similarity share n-grams among their first ``n - ceil(t * n) + 1``; only this part of the incidence matrix
    is multiplied.
 2. Each n-gram (a column of the matrix) with at most ``BLOCK`` classes adds one to the overlap count of each of its
@@ -13,13 +13,13 @@ Documents become sets of hashed word n-grams. Documents with equal sets form one
    discarded. The bound: if two sets overlap in ``o`` or more, then their first ``min(p - (n - o))`` common n-grams,
    over both sets with prefix ``p`` and size ``n``, stand in both prefixes. n-grams too frequent to be counted are
    granted to every pair that has them.
-3. A column with more classes is not expanded. Each such column picks ``PIVOTS`` pivot classes by hash and its other
-   classes are compared with these alone; what is linked becomes one component. A column that still holds several goes
-   on: if few of its classes stand outside the largest, these are compared with all others; else the column goes
-   through a blocked product, where its classes are dealt into blocks of about ``BLOCK_ROWS``, those outside the column's
-   largest component against all, with one task per pair of blocks that returns spanning links. So a large group of
-   near copies costs rows in proportion to its size, and no pair is skipped that could join two components.
-4. Every surviving pair is verified on its whole sets. Links give components.
+3. A column with more classes adds no pairs to the count. It picks ``PIVOTS`` pivot classes by hash and its other
+   classes are compared with these alone. A column that still holds several components goes on with the classes outside
+   its largest one: a pair that shares frequent n-grams alone must have sizes whose bound is within their number, which a
+   join tests (up to ``CHECKS`` pairs) before anything is compared. Beyond, the column goes through a product by blocks
+   of about ``BLOCK_ROWS`` classes, one task per pair of blocks, which returns spanning links. So a large group of near
+   copies costs rows in proportion to its size, and no pair is skipped that could join two components.
+4. Pairs are verified on whole sets in two steps: two for each class first, then those between different components.
 
 Sets are told apart by two 64-bit hashes. The first is the key of a class; sets that agree in the first alone are found by
 an aggregate and told apart by the second.
@@ -45,11 +45,13 @@ from shelfmark.llm.lines import maybe_in
 
 #: Counters of n-grams and of words.
 SKETCH, WORDS = 1 << 18, 1 << 17
+#: 64 times the logarithm of the expected number of documents from which an n-gram counts as one that chance repeats.
+CHANCE = -640
 #: Classes of an n-gram up to which all its pairs are counted.
 BLOCK = 128
 BLOCK_ROWS = 256
-#: Classes outside the largest component of an n-gram up to which they are paired with the others one by one.
-FEW = 32
+#: Pairs of an n-gram up to which a join tests the sizes of each.
+CHECKS = 1 << 24
 PIVOTS = 4
 #: Bytes of a text that are hashed at a time.
 PIECE = 1 << 20
@@ -215,25 +217,23 @@ def survey(docs: DataFrame, n: int) -> DataFrame:
 
 
 class Order:
-    """The weight of an n-gram: about 64 times the logarithm of the number of documents expected to have it."""
+    """The weight of an n-gram: those expected in few documents by their words first, in the order of their counters."""
 
     def __init__(self, counts: DataFrame):
         found = counts.toPandas()  # at most SKETCH + WORDS rows
         total = np.zeros(SKETCH + WORDS, np.int64)
         total[found["g"].to_numpy(np.int64)] = found["c"].to_numpy(np.int64)
-        grams, words = total[:SKETCH], total[SKETCH:]
-        noise = np.median(grams)
-        over = grams - noise - 6 * 1.4826 * np.median(np.abs(grams - noise)) - 1
+        words = total[SKETCH:]
         log = lambda x: np.round(64 * np.log2(np.maximum(x, 1))).astype(np.int32)
-        self.heavy = np.where(over > 0, log(over), np.int32(-(1 << 20)))
-        self.common, self.every = log(words), int(log(words.sum()))
+        self.counters, self.common, self.every = total[:SKETCH], log(words), int(log(words.sum()))
 
     def __call__(self, words: np.ndarray, grams: np.ndarray, n: int) -> np.ndarray:
         own = self.common[(words & np.uint64(WORDS - 1)).astype(np.int64)]
-        sums = np.full(len(grams), -(n - 1) * self.every, np.int64)
+        expected = np.full(len(grams), -(n - 1) * self.every, np.int64)
         for k in range(n):
-            sums += own[k : k + len(grams)]
-        return np.maximum(sums, self.heavy[(grams & np.uint64(SKETCH - 1)).astype(np.int64)])
+            expected += own[k : k + len(grams)]
+        counted = self.counters[(grams & np.uint64(SKETCH - 1)).astype(np.int64)]
+        return np.where(expected < CHANCE, counted, (1 << 40) + expected)
 
 
 def prefix_length(n: np.ndarray | int, percent: int):  # noqa: ANN201
@@ -293,7 +293,6 @@ class Join:
         self.clashes = frozenset(r["id"] for r in clashes.collect())
         key = F.when(F.col("id").isin(*self.clashes), F.col("other")).otherwise(F.col("id")) if self.clashes else F.col("id")
         self.rows = rows.select("doc_id", "t", "n", key.alias("id"))
-        self.labels: DataFrame | None = None
 
     def sets(self, wanted: DataFrame) -> DataFrame:
         """(id, grams) of the classes in ``wanted`` (id), from the whole text of one document of each."""
@@ -323,8 +322,8 @@ class Join:
 
         return with_b.select("a", "b", "ga", "gb").mapInArrow(run, "a long, b long")
 
-    def links(self) -> DataFrame:
-        """Links (a, b) between classes: enough of them to join whatever is joined."""
+    def found(self) -> DataFrame:
+        """(node, label): the classes that are linked with others, and the least class of their component."""
         percent = self.percent
         first = stored(prefixes(self.known, self.n, percent, Order(self.counts), self.clashes), "prefixes")
         live = stored(first.groupBy("h").agg(F.min("id").alias("lo"), F.max("id").alias("hi")).where("lo <> hi").select("h"), "columns")
@@ -333,51 +332,76 @@ class Join:
         many = live.groupBy("h").agg(F.count("*").alias("m"))
         sized = stored(live.join(many, "h"), "sized")
         release(first)
-        hot = sized.where(F.col("m") > BLOCK).select("h", "id", "n", "m")
         few = sized.where(F.col("m") <= BLOCK).select("h", "id", "n")
         a, b = few.toDF("h", "a", "na"), few.toDF("h", "b", "nb")
         overlaps = a.join(b, "h").where((F.col("a") < F.col("b")) & _near(F.col("na"), F.col("nb"), percent)).groupBy("a", "na", "b", "nb").agg(F.count("*").alias("o"))
+        hot = sized.where(F.col("m") > BLOCK).select("h", "id", "n", "m")
         some_hot = bool(hot.take(1))
         if some_hot:
             granted = hot.groupBy("id").agg(F.count("*").alias("g"))
+            hot = stored(hot.join(granted, "id"), "hot")
             overlaps = overlaps.join(granted.toDF("a", "ga"), "a", "left").join(granted.toDF("b", "gb"), "b", "left")
             overlaps = overlaps.withColumn("o", F.col("o") + F.least(F.coalesce("ga", F.lit(0)), F.coalesce("gb", F.lit(0))))
-        pairs = overlaps.where(F.col("o") >= _bound(F.col("na"), F.col("nb"), percent)).select("a", "b")
-        if some_hot:
-            pairs = pairs.union(self._pivots(hot)).distinct()
+        pairs = overlaps.where(F.col("o") >= _bound(F.col("na"), F.col("nb"), percent)).select("a", "b", "o")
         pairs = stored(pairs, "pairs")
+        begin = self._first(pairs)
         wanted = pairs.select(F.explode(F.array("a", "b")).alias("id"))
         if some_hot:
+            begin = begin.union(self._pivots(hot)).distinct()
             wanted = wanted.union(hot.select("id"))
         sets = stored(self.sets(stored(wanted.distinct(), "wanted")), "sets")
-        found = stored(self.verified(pairs, sets), "links")
-        return self._rest(hot, sets, found) if some_hot else found
+        begin = stored(begin, "begin")
+        labels = components(stored(self.verified(begin, sets), "links"))
+        label = lambda k: labels.toDF(k, f"{k}l")
+        apart = F.coalesce("al", "a") != F.coalesce("bl", "b")
+        rest = pairs.select("a", "b").join(label("a"), "a", "left").join(label("b"), "b", "left").where(apart).select("a", "b").join(begin, ["a", "b"], "left_anti")
+        more = self.verified(rest, sets)
+        more = stored(more.union(self._rest(hot, sets, labels)) if some_hot else more, "more-links")
+        release(sized, pairs, begin)
+        if not more.take(1):
+            return labels
+        return components(more.union(labels.where("node <> label").toDF("a", "b")))
+
+    def _first(self, pairs: DataFrame) -> DataFrame:
+        """Of ``pairs`` (a, b, o) two for each class: with the partner of least hash, and with that of the largest overlap.
+
+        In a group of near copies most classes have the same partner of least hash, so these links join nearly all of it, and
+        what is verified grows with the classes, not with the pairs.
+        """
+        both = pairs.union(pairs.select("b", "a", "o"))
+        picked = both.groupBy("a").agg(F.min_by("b", F.xxhash64("b")).alias("p"), F.max_by("b", F.struct("o", "b")).alias("q"))
+        each = picked.select("a", F.explode(F.array_distinct(F.array("p", "q"))).alias("b"))
+        return each.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+
+    def _may(self) -> Column:
+        """Whether two classes (id, n, g) and (o, on, og) that share frequent n-grams alone, ``g`` and ``og`` at most, can be similar."""
+        return _near(F.col("n"), F.col("on"), self.percent) & (F.least("g", "og") >= _bound(F.col("n"), F.col("on"), self.percent))
 
     def _pivots(self, hot: DataFrame) -> DataFrame:
         """Pairs (a, b) of the classes of a frequent n-gram and some of them that a hash picks as pivots."""
         # By the class alone: the columns that a group of near copies shares pick much the same pivots, so pairs recur.
-        picks = [F.min_by(F.struct("id", "n"), F.xxhash64("id", F.lit(k))) for k in range(PIVOTS)]
-        pivots = hot.groupBy("h").agg(F.array_distinct(F.array(*picks)).alias("p")).select("h", F.explode("p").alias("p"))
-        pairs = hot.join(pivots, "h").where((F.col("id") != F.col("p.id")) & _near(F.col("n"), F.col("p.n"), self.percent))
-        return pairs.select(F.least("id", "p.id").alias("a"), F.greatest("id", "p.id").alias("b"))
-
-    def _rest(self, hot: DataFrame, sets: DataFrame, found: DataFrame) -> DataFrame:
-        """``found`` and the links that still join classes of frequent n-grams."""
-        labels = components(found)
+        picks = [F.min_by(F.struct(F.col("id").alias("o"), F.col("n").alias("on"), F.col("g").alias("og")), F.xxhash64("id", F.lit(k))) for k in range(PIVOTS)]
+        pivots = hot.groupBy("h").agg(F.array_distinct(F.array(*picks)).alias("p")).select("h", F.inline("p"))
+        pairs = hot.join(pivots, "h").where((F.col("id") != F.col("o")) & self._may())
+        return pairs.select(F.least("id", "o").alias("a"), F.greatest("id", "o").alias("b"))
+
+    def _rest(self, hot: DataFrame, sets: DataFrame, labels: DataFrame) -> DataFrame:
+        """Links that still join classes of frequent n-grams.
+
+        The pairs of a column are those of the classes outside its largest component with all of its classes. Where these
+        are ``CHECKS`` at most, a join tests the sizes of each; a larger column goes through the blocked product.
+        """
         open_ = hot.join(labels.withColumnRenamed("node", "id"), "id", "left").withColumn("label", F.coalesce("label", "id"))
         parts = open_.groupBy("h", "label").agg(F.count("*").alias("c"))
         split = parts.groupBy("h").agg(F.count("*").alias("parts"), F.max_by("label", F.struct("c", "label")).alias("main"), F.max("c").alias("most"))
         open_ = stored(open_.join(split.where("parts > 1").drop("parts"), "h"), "open")
-        if not open_.take(1):
-            self.labels = labels
-            return found
-        small = open_.where(F.col("m") - F.col("most") <= FEW)
-        one, all_ = small.where("label <> main").select("h", "id", "n", "label"), small.select("h", F.col("id").alias("o"), F.col("n").alias("on"), F.col("label").alias("ol"))
-        pairs = one.join(all_, "h").where((F.col("label") != F.col("ol")) & _near(F.col("n"), F.col("on"), self.percent))
-        pairs = stored(pairs.select(F.least("id", "o").alias("a"), F.greatest("id", "o").alias("b")).distinct(), "few")
-        found = found.union(self.verified(pairs, sets))
-        large = open_.where(F.col("m") - F.col("most") > FEW)
-        return stored(found.union(self._blocks(large, sets)) if large.take(1) else found, "all-links")
+        checks = F.col("m") * (F.col("m") - F.col("most"))
+        small = open_.where(checks <= CHECKS)
+        all_ = small.select("h", F.col("id").alias("o"), F.col("n").alias("on"), F.col("g").alias("og"), F.col("label").alias("ol"))
+        pairs = small.where("label <> main").join(all_, "h").where((F.col("label") != F.col("ol")) & self._may())
+        links = self.verified(stored(pairs.select(F.least("id", "o").alias("a"), F.greatest("id", "o").alias("b")).distinct(), "few"), sets)
+        large = open_.where(checks > CHECKS)
+        return links.union(self._blocks(large, sets)) if large.take(1) else links
 
     def _blocks(self, open_: DataFrame, sets: DataFrame) -> DataFrame:
         """Spanning links of the classes outside the largest component of their n-gram against all of its classes."""
@@ -402,8 +426,7 @@ class Join:
 
         ``t`` is the hash of the text, which tells apart rows that share an id.
         """
-        links = self.links()
-        labels = (components(links) if self.labels is None else self.labels).withColumnRenamed("node", "id")
+        labels = self.found().withColumnRenamed("node", "id")
         rows = self.rows.where("doc_id IS NOT NULL AND n > 0")
         counted = stored(rows.groupBy("doc_id", "t", "id").agg(F.count("*").alias("c")), "rows")
         firsts = counted.groupBy("id").agg(F.min(F.struct("doc_id", "t", "c")).alias("first"))
@@ -413,8 +436,7 @@ class Join:
 
     def grouped(self) -> DataFrame:
         """(doc_id, n_shingles, component_id) of every document."""
-        links = self.links()
-        labels = (components(links) if self.labels is None else self.labels).withColumnRenamed("node", "id")
+        labels = self.found().withColumnRenamed("node", "id")
         first = self.rows.where("doc_id IS NOT NULL AND n > 0").join(labels, "id").groupBy("label").agg(F.min("doc_id").alias("least"))
         twins = self.rows.where("doc_id IS NOT NULL AND n > 0").groupBy("id").agg(F.min("doc_id").alias("first"))
         own = twins.join(labels.join(first, "label").select("id", "least"), "id", "left").select("id", F.coalesce("least", "first").alias("component"))
