@@ -1,27 +1,33 @@
 """Token ids in compressed binary files: an adaptive context-mixing range coder.
 
 Ids are cut into blocks that are coded independently: every block starts with an empty model and carries its number of
-ids and a CRC-32 of them. Within a block each id is predicted by the one that followed the last two ids (order 2) and
-the one that followed the last id (order 1), each with a count of how often that held lately. Whether the order-2
-guess, then the order-1 guess is right is coded as a binary decision whose probability mixes the adaptive estimates of
-both orders and of the block as a whole in the logistic domain, with weights learned as it goes. An id that neither
-guesses is coded by order 0: adaptive frequencies of its hexadecimal digits, each given the digits before it.
+ids and a CRC-32 of them. Within a block each id is predicted by the one that followed the last two ids (order 2), else by
+the one that followed the last id (order 1), each with the length of the run for which that held. Whether the guess is
+right is coded as one binary decision. Its probability mixes, in the logistic domain and with weights learned as it goes,
+the run of order 2, the run of order 1 (for or against the guess) and the share that order 0 gives to the guess. An id
+that is not guessed is coded by order 0: the adaptive frequency of its bucket (highest bit and the two below), then the
+bits that the bucket leaves open.
 
-The arithmetic coder has 48 bits of state and writes 16 bits at a time, carries included. All arithmetic is on integers,
-so any machine decodes what another has coded. The blocks of a segment are coded in step, one numpy lane each.
+The arithmetic coder has 48 bits of state and writes 16 bits at a time, carries included. All arithmetic is on integers
+(divisions of numbers below 2**48 in floating point are exact), so any machine decodes what another has coded. The blocks
+of a segment are coded in step, one numpy lane each; what is written for a block does not depend on the others.
 
-Files: a table with one row per segment (``part``, ``seq``, ``doc_ids``, ``counts``, ``blob``), segments in ascending order of doc_id.
-A blob is ``SHLF``, then for all blocks the number of ids, the CRC-32 and the number of 16-bit words (little-endian
-unsigned 32-bit integers, after their count), then the words.
+Text becomes ids in pieces: the library encodes each distinct piece once, see ``Tokens``.
+
+Files: a table with one row per segment (``part``, ``first``, ``n_ids``, ``doc_ids``, ``counts``, ``blob``), segments in
+ascending order of doc_id. A blob is ``SHL2``, then the number of blocks, the number of buckets and for each block the
+number of ids, the CRC-32 and the number of 16-bit words (all little-endian unsigned 32-bit integers), then the words.
 
 Defined results: null and empty texts are coded as the end mark alone. Null doc_ids come first, rows of one doc_id in the
-order of their texts. A text is never cut: its ids may span any number of blocks. Damage is reported as an error, not
-passed on. An empty table gives an empty file and an empty result. Ids are below 65,536.
+order of the 64-bit hash of their texts, then of the texts. A text is never cut: its ids may span any number of blocks.
+Damage is reported as an error, not passed on. An empty table gives an empty file and an empty result. Ids have up to 32
+bits. Other columns are ignored.
 """
 
 from __future__ import annotations
 
 import os
+import re
 import zlib
 from collections.abc import Iterator
 from functools import cache
@@ -30,239 +36,274 @@ import numpy as np
 import public_tokenizers
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from shelfmark.llm.common import slices, stored, table
 
 VOCABULARY = "byte_bpe_50k.json"
 END = 2
-BLOCK = 2048
-LANES = 1024
-SEGMENT = 1 << 21
-MAGIC = b"SHLF"
-
-LIMIT = 15
-_P = np.arange(4096)
-#: log-odds of a 12-bit probability in 1/256, and back: integers, so that every machine has the same.
-STRETCH = np.round(256 * np.log((_P + 0.5) / (4095.5 - _P))).astype(np.int64)
+BLOCK = 1024
+LANES = 4096
+SEGMENT = BLOCK * LANES
+MAGIC = b"SHL2"
+#: Pieces a worker remembers before it starts afresh; bounds its memory.
+REMEMBERED = 1_000_000
+
+#: Entries of the tables of guesses, and shares of the buckets, of a lane.
+SLOTS, TOTAL = 1024, 1024
 _X = np.arange(-2047, 2048)
+#: The 16-bit probability of log-odds in 1/256: integers, so that every machine has the same.
 SQUASH = np.clip(np.round(65536 / (1 + np.exp(-_X / 256))), 32, 65536 - 32).astype(np.int64)
 
 
+def bucket_of(ids: np.ndarray) -> np.ndarray:
+    """The bucket of each id: its highest bit and the two below it. Ids under 8 are buckets of their own."""
+    high = np.frexp(np.maximum(ids, 1).astype(np.float64))[1].astype(np.int64) - 1
+    return np.where(ids < 8, ids, 4 * high + ((ids >> np.maximum(high - 2, 0)) & 3) - 4)
+
+
+_ALL = np.arange(bucket_of(np.array([(1 << 32) - 1]))[0] + 1)
+#: How many low bits of an id its bucket leaves open, and its least id.
+OPEN = np.where(_ALL < 8, 0, _ALL // 4 - 1)
+LEAST = np.where(_ALL < 8, _ALL, (4 + _ALL % 4) << OPEN)
+_SMALL = bucket_of(np.arange(1 << 17)).astype(np.uint8)
+#: 256 times the log-odds of a guess that came true so often in a row (0 to 7), and the same for one that speaks against.
+RUN = np.round(256 * np.log((np.arange(8) + 0.4) / 0.6)).astype(np.int64) * (np.arange(8) > 0)
+RUN = np.concatenate([RUN, -RUN])
+#: 256 times the natural logarithm of a share in 1/TOTAL.
+SHARE = np.round(256 * np.log(np.maximum(np.arange(TOTAL + 1), 1) / TOTAL)).astype(np.int64)
+#: The places in a block where the shares of the buckets are computed anew.
+RENEWED = frozenset(12 * 3**k for k in range(20))
+
+
 class Model:
-    """The adaptive state of a number of lanes."""
-
-    SLOTS = 4096
-
-    def __init__(self, lanes: int):
-        self.lane = np.arange(lanes)
-        self.guess = [np.full((lanes, self.SLOTS), -1, np.int32) for _ in range(2)]
-        self.trust = [np.zeros((lanes, self.SLOTS), np.int8) for _ in range(2)]
-        self.hit = [np.full((lanes, 3, 64), 2048, np.int64) for _ in range(2)]
-        self.weight = [np.full((lanes, 3), 22000, np.int64) for _ in range(2)]
-        self.digit = np.ones((lanes, 273, 16), np.uint16)
-        self.total = np.full((lanes, 273), 16, np.int32)
-        self.last, self.last2 = np.zeros(lanes, np.int64), np.zeros(lanes, np.int64)
-
-    def contexts(self) -> None:
-        one = (self.last * 0x9E35 + 7) & (self.SLOTS - 1)
-        two = ((self.last * 0x2F0B) ^ (self.last2 * 0x6A4D + 11)) & (self.SLOTS - 1)
-        self.slot = (two, one)
-        self.id2, self.id1 = self.guess[0][self.lane, two], self.guess[1][self.lane, one]
-        self.t2, self.t1 = self.trust[0][self.lane, two].astype(np.int64), self.trust[1][self.lane, one].astype(np.int64)
-
-    def probability(self, which: int, lanes: np.ndarray) -> np.ndarray:
-        """The 16-bit probability that guess ``which`` (0: order 2, 1: order 1) is right."""
-        same = (self.id2[lanes] == self.id1[lanes]).astype(np.int64)
-        self.at = (self.t2[lanes] * 2 + same, self.t1[lanes] * 2 + same, np.zeros(len(lanes), np.int64))
-        table_ = self.hit[which]
-        self.p = np.stack([table_[lanes, k, a] for k, a in enumerate(self.at)], axis=1)
-        self.s = STRETCH[self.p]
-        dot = (self.s * self.weight[which][lanes]).sum(axis=1) >> 16
-        self.mixed = SQUASH[np.clip(dot, -2047, 2047) + 2047]
-        return self.mixed
-
-    def learn(self, which: int, lanes: np.ndarray, right: np.ndarray) -> None:
-        error = (right << 16) - self.mixed
-        self.weight[which][lanes] += (self.s * error[:, None]) >> 14
-        moved = self.p + (((right[:, None] << 12) - self.p) >> 4)
-        moved = np.clip(moved, 8, 4087)
-        for k, a in enumerate(self.at):
-            self.hit[which][lanes, k, a] = moved[:, k]
-
-    def seen(self, ids: np.ndarray, lanes: np.ndarray) -> None:
-        """Take note of the ids of the lanes that still run."""
-        for k in range(2):
-            slot = self.slot[k][lanes]
-            ok = self.guess[k][lanes, slot] == ids
-            trust = self.trust[k][lanes, slot]
-            self.guess[k][lanes, slot] = np.where(ok | (trust > 1), np.where(ok, ids, self.guess[k][lanes, slot]), ids)
-            self.trust[k][lanes, slot] = np.where(ok, np.minimum(trust + 1, LIMIT), np.where(trust > 1, trust >> 1, 0))
-        self.last2[lanes] = self.last[lanes]
-        self.last[lanes] = ids
-
-    def adapt(self, lanes: np.ndarray, context: np.ndarray, digit: np.ndarray) -> None:
-        self.digit[lanes, context, digit] += 24
-        self.total[lanes, context] += 24
-        full = self.total[lanes, context] > 8000
-        if full.any():
-            lanes, context = lanes[full], context[full]
-            half = (self.digit[lanes, context] + 1) >> 1
-            self.digit[lanes, context] = half
-            self.total[lanes, context] = half.sum(axis=1)
+    """The adaptive state of a number of lanes. Tables are flat: the part of a lane begins at its number times its size.
+
+    Bucket number ``buckets`` stands for an id that the guess has settled: it takes the whole range and leaves nothing open.
+    """
+
+    def __init__(self, lanes: int, buckets: int):
+        self.buckets, self.large = buckets, buckets > 60
+        lane = np.arange(lanes, dtype=np.int64)
+        self.at_slot, self.at_bucket, self.at_place = lane * SLOTS, lane * (buckets + 1), lane * TOTAL
+        self.guess = [np.zeros(lanes * SLOTS, np.int64 if self.large else np.int32) for _ in range(2)]  # id * 8 + run
+        self.weight = [np.full(lanes, w, np.int64) for w in (52000, 40000, 8000)]
+        self.count = np.ones((lanes, buckets), np.int64)
+        self.seen: list[np.ndarray] = []
+        self.mixed, self.mixed2 = np.zeros(lanes, np.int64), np.zeros(lanes, np.int64)
+        self.open, self.least = np.append(OPEN[:buckets], 0), np.append(LEAST[:buckets], 0)
+        self.renew(False)
+
+    def renew(self, reading: bool) -> None:
+        """Turn the counts of buckets into shares of TOTAL, every one at least 1."""
+        if self.seen:
+            self.count += 16 * np.bincount(np.concatenate(self.seen), minlength=len(self.count) * (self.buckets + 1)).reshape(len(self.count), -1)[:, : self.buckets]
+            self.seen.clear()
+        width = 1 + self.count * (TOTAL - self.buckets) // self.count.sum(axis=1)[:, None]
+        width[np.arange(len(width)), self.count.argmax(axis=1)] += TOTAL - width.sum(axis=1)
+        part = (np.cumsum(width, axis=1) - width) << 16 | width  # start and width of each bucket
+        self.part = np.concatenate([part, np.full((len(width), 1), TOTAL)], axis=1).ravel()
+        self.order0 = np.concatenate([SHARE[width] - 177 * self.open[:-1], np.zeros((len(width), 1), np.int64)], axis=1).ravel()
+        if reading:
+            self.place = np.repeat(np.tile(np.arange(self.buckets, dtype=np.uint8), len(width)), width.ravel())
+
+    def bucket(self, ids: np.ndarray) -> np.ndarray:
+        return bucket_of(ids) if self.large else _SMALL.take(ids, mode="clip")
+
+    def predict(self) -> np.ndarray:
+        """The 16-bit probability that the next id is ``self.id``, the guess of order 2, else of order 1; 0 without a guess."""
+        self.i1 = self.at_slot + (self.mixed >> 20 & (SLOTS - 1))
+        self.i2 = self.at_slot + ((self.mixed ^ self.mixed2 >> 7) >> 13 & (SLOTS - 1))
+        self.e1, self.e2 = self.guess[0][self.i1], self.guess[1][self.i2]
+        self.t1, t2, self.g1, self.g2 = self.e1 & 7, self.e2 & 7, self.e1 >> 3, self.e2 >> 3
+        self.t2, two = t2, t2 > 0
+        self.id = np.where(two, self.g2, self.g1)
+        self.some = (self.t1 | t2) > 0
+        self.guessed = self.bucket(self.id)
+        against = (self.g1 != self.id) * 8
+        self.s = RUN.take(t2, mode="clip"), RUN.take(self.t1 + against, mode="clip"), self.order0.take(self.at_bucket + self.guessed, mode="clip")
+        w2, w1, w0 = self.weight
+        self.p = SQUASH.take((w2 * self.s[0] + w1 * self.s[1] + w0 * self.s[2] >> 16) + 2047, mode="clip") * self.some
+        return self.p
+
+    def learn(self, hit: np.ndarray, ids: np.ndarray, bucket: np.ndarray) -> None:
+        """Take note of whether the guess was right and of what the ids are."""
+        error = hit * 65536 - self.p
+        error *= self.some
+        for weight, s in zip(self.weight, self.s, strict=True):
+            weight += s * error >> 14
+        ids = ids.astype(self.e1.dtype)
+        fresh = ids * 8 + 1
+        self.guess[0][self.i1] = np.where(self.g1 == ids, self.e1 + (self.t1 < 7), fresh)
+        self.guess[1][self.i2] = np.where(self.g2 == ids, self.e2 + (self.t2 < 7), fresh)
+        self.seen.append(self.at_bucket + bucket)
+        self.mixed2, self.mixed = self.mixed, ids.astype(np.int64) * 0x1E3779B1
 
 
 class Writer:
-    """48-bit arithmetic encoder, one per lane."""
+    """48-bit arithmetic encoder, one per lane, that writes 16 bits at a time."""
 
     def __init__(self, lanes: int, ids: int):
         self.low, self.range = np.zeros(lanes, np.int64), np.full(lanes, 1 << 48, np.int64)
-        self.words = np.zeros((lanes, 2 * ids + 8), np.int64)
-        self.n = np.zeros(lanes, np.int64)
-
-    def put(self, lanes: np.ndarray, low: np.ndarray, width: np.ndarray | int, total: np.ndarray | int) -> None:
-        unit = self.range[lanes] // total
-        self.low[lanes] += unit * low
-        self.range[lanes] = unit * width
-        self._carry(lanes)
-        small = lanes[self.range[lanes] < 1 << 32]
-        if len(small):
-            self._out(small)
-            self.range[small] <<= 16
+        self.words = np.zeros(lanes * (size := 4 * ids + 8), np.uint16)
+        self.begin = np.arange(lanes) * size
+        self.at = self.begin.copy()
+
+    def ready(self, least: int = 1 << 32) -> None:
+        """Make room in the ranges below ``least``, 32 bits for all in the end."""
+        small = np.flatnonzero(self.range < least)
+        if not len(small):
+            return
+        over = small[self.low[small] >> 48 > 0]
+        if len(over):
+            self._carry(over)
+        while len(small):
+            low, width, at = self.low[small], self.range[small] << 16, self.at[small]
+            self.words[at] = (low >> 32).astype(np.uint16)
+            self.at[small] = at + 1
+            self.low[small], self.range[small] = (low & 0xFFFFFFFF) << 16, width
+            small = small[width < least]
 
     def _carry(self, lanes: np.ndarray) -> None:
-        over = lanes[self.low[lanes] >= 1 << 48]
-        self.low[over] -= 1 << 48
-        at = self.n[over] - 1
-        while len(over):
-            self.words[over, at] += 1
-            again = self.words[over, at] == 1 << 16
-            over, at = over[again], at[again]
-            self.words[over, at] = 0
-            at = at - 1
-
-    def _out(self, lanes: np.ndarray) -> None:
-        self.words[lanes, self.n[lanes]] = self.low[lanes] >> 32
-        self.n[lanes] += 1
-        self.low[lanes] = (self.low[lanes] & 0xFFFFFFFF) << 16
-
-    def close(self) -> list[bytes]:
-        every = np.arange(len(self.low))
-        for _ in range(3):
-            self._out(every)
-        return [self.words[k, : self.n[k]].astype("<u2").tobytes() for k in every]
+        self.low[lanes] &= (1 << 48) - 1
+        at = self.at[lanes] - 1
+        while len(at):
+            self.words[at] += 1
+            at = at[self.words[at] == 0] - 1
+
+    def close(self, lane: int) -> bytes:
+        """The words of a lane, up to the shortest that stand for a number in its range; what follows reads as zeros."""
+        self.low[lane] += (1 << 32) - 1
+        if self.low[lane] >> 48:
+            self._carry(np.array([lane]))
+        self.words[self.at[lane]] = self.low[lane] >> 32
+        return self.words[self.begin[lane] : self.at[lane] + 1].astype("<u2").tobytes()
 
 
 class Reader:
     """The decoder of the same."""
 
     def __init__(self, blobs: list[bytes]):
-        longest = max(len(b) // 2 for b in blobs) + 4
-        self.words = np.zeros((len(blobs), longest), np.int64)
-        for k, b in enumerate(blobs):
-            self.words[k, : len(b) // 2] = np.frombuffer(b, "<u2")
-        self.x = self.words[:, 0] << 32 | self.words[:, 1] << 16 | self.words[:, 2]
-        self.range, self.n = np.full(len(blobs), 1 << 48, np.int64), np.full(len(blobs), 3)
-
-    def value(self, lanes: np.ndarray, total: np.ndarray | int) -> np.ndarray:
-        self.unit = self.range[lanes] // total
-        return np.minimum(self.x[lanes] // self.unit, total - 1)
-
-    def took(self, lanes: np.ndarray, low: np.ndarray, width: np.ndarray | int) -> None:
-        self.x[lanes] -= self.unit * low
-        self.range[lanes] = self.unit * width
-        small = lanes[self.range[lanes] < 1 << 32]
-        if len(small):
-            self.x[small] = self.x[small] << 16 | self.words[small, np.minimum(self.n[small], self.words.shape[1] - 1)]
-            self.n[small] += 1
-            self.range[small] <<= 16
-
-
-def _walk(counts: np.ndarray, model: Model, ids: np.ndarray | None, writer: Writer | None, reader: Reader | None) -> np.ndarray:
-    """Code (with a writer) or decode (with a reader) blocks of the given sizes in step."""
-    out = np.zeros((len(counts), int(counts.max())), np.int64) if ids is None else ids
-
-    def binary(which: int, lanes: np.ndarray, guess: np.ndarray, now: np.ndarray | None) -> np.ndarray:
-        p = model.probability(which, lanes)
-        if writer is not None:
-            right = (now == guess).astype(np.int64)
-        else:
-            right = (reader.value(lanes, 1 << 16) < p).astype(np.int64)
-        low, width = np.where(right == 1, 0, p), np.where(right == 1, p, (1 << 16) - p)
-        writer.put(lanes, low, width, 1 << 16) if writer is not None else reader.took(lanes, low, width)
-        model.learn(which, lanes, right)
-        return right == 1
-
-    for t in range(out.shape[1]):
-        lanes = np.flatnonzero(counts > t)
-        now = None if ids is None else ids[lanes, t]
-        result = np.full(len(counts), -1, np.int64)
-        model.contexts()
-        rest = lanes
-        for which, guesses in ((0, model.id2), (1, model.id1)):
-            ask = rest[(guesses[rest] >= 0) & ((guesses[rest] != model.id2[rest]) if which else True)]
-            if len(ask):
-                hit = ask[binary(which, ask, guesses[ask], None if ids is None else ids[ask, t])]
-                result[hit] = guesses[hit]
-                rest = rest[result[rest] < 0]
-        if len(rest):
-            value, context = np.zeros(len(rest), np.int64), np.zeros(len(rest), np.int64)
-            for d in range(4):
-                given = None if ids is None else (ids[rest, t] >> (12 - 4 * d)) & 15
-                if d == 3:  # the last digit is about uniform
-                    digit = reader.value(rest, 16) if given is None else given
-                    low, width, total = digit, 1, 16
-                else:
-                    context = (0, 1, 17)[d] + value
-                    upto = np.cumsum(model.digit[rest, context], axis=1, dtype=np.int32)
-                    total = upto[:, -1].astype(np.int64)
-                    digit = (upto <= reader.value(rest, total)[:, None]).sum(axis=1) if given is None else given
-                    n = np.arange(len(rest))
-                    width = model.digit[rest, context, digit].astype(np.int64)
-                    low = upto[n, digit] - width
-                writer.put(rest, low, width, total) if writer is not None else reader.took(rest, low, width)
-                if d < 3:
-                    model.adapt(rest, context, digit)
-                value = value << 4 | digit
-            result[rest] = value
-        if ids is None:
-            out[lanes, t] = result[lanes]
-            now = result[lanes]
-        model.seen(now, lanes)
-    return out
+        lengths = np.array([len(b) // 2 for b in blobs]) + 4  # four zeros follow
+        self.words = np.frombuffer(b"".join(b + bytes(8) for b in blobs), "<u2")
+        self.at, self.end = np.cumsum(lengths) - lengths + 3, np.cumsum(lengths) - 1
+        self.x = sum(self.words[self.at - k - 1].astype(np.int64) << 16 * k for k in range(3))
+        self.range = np.full(len(blobs), 1 << 48, np.int64)
+
+    def ready(self, least: int = 1 << 32) -> None:
+        small = np.flatnonzero(self.range < least)
+        while len(small):
+            width, at = self.range[small] << 16, self.at[small]
+            self.x[small] = self.x[small] << 16 | self.words[at]
+            self.at[small], self.range[small] = np.minimum(at + 1, self.end[small]), width
+            small = small[width < least]
+
+
+def _parts(open_: np.ndarray, large: bool) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """The open bits of each lane in parts of 15 at most: how many, and how many follow."""
+    for done in range(0, max(1, int(open_.max())) if large else 1, 15):
+        few = np.minimum(np.maximum(open_ - done, 0), 15) if large else open_
+        yield few, np.maximum(open_ - done - 15, 0) if large else 0
+
+
+def _encode(grid: np.ndarray, last: int, buckets: int) -> list[bytes]:
+    """The coded blocks of a grid of ids, a row each; the last has ``last`` ids."""
+    ended = []
+    model, to = Model(len(grid), buckets), Writer(*grid.shape)
+    rows = np.ascontiguousarray(grid.T)
+    for t in range(grid.shape[1]):
+        if t in RENEWED:
+            model.renew(False)
+        ids = rows[t]
+        own = model.bucket(ids)
+        bound = (to.range >> 16) * model.predict()
+        hit = (model.id == ids) & model.some
+        miss = ~hit
+        bucket = np.where(hit, buckets, own)
+        part = model.part.take(model.at_bucket + bucket, mode="clip")
+        unit = np.where(hit, bound, to.range - bound) >> 10
+        to.low += bound * miss + unit * (part >> 16)
+        to.range = unit * (part & 0xFFFF)
+        to.ready(1 << 15)
+        rest = (ids - model.least.take(bucket, mode="clip")) * miss
+        for few, later in _parts(model.open.take(bucket, mode="clip"), model.large):
+            to.range >>= few
+            to.low += to.range * ((rest >> later) & ((1 << few) - 1) if model.large else rest)
+            to.ready()
+        model.learn(hit, ids, own)
+        if t + 1 == last:
+            ended.append(to.close(len(grid) - 1))
+    return [to.close(k) for k in range(len(grid) - 1)] + ended
+
+
+def _decode(blobs: list[bytes], steps: int, buckets: int) -> np.ndarray:
+    """The grid of ids of coded blocks."""
+    model, of = Model(len(blobs), buckets), Reader(blobs)
+    model.renew(True)
+    out = np.zeros((steps, len(blobs)), np.int64)
+    for t in range(steps):
+        if t in RENEWED:
+            model.renew(True)
+        bound = (of.range >> 16) * model.predict()
+        hit = of.x < bound
+        of.x -= bound * ~hit
+        unit = np.where(hit, bound, of.range - bound) >> 10
+        # Both are below 2**48, so the rounded quotient of floating-point numbers never reaches the next integer.
+        place = np.minimum((of.x / unit).astype(np.int64), TOTAL - 1)
+        bucket = np.where(hit, buckets, model.place.take(model.at_place + place, mode="clip"))
+        part = model.part.take(model.at_bucket + bucket, mode="clip")
+        of.x -= unit * (part >> 16)
+        of.range = unit * (part & 0xFFFF)
+        of.ready(1 << 15)
+        rest = 0
+        for few, _ in _parts(model.open.take(bucket, mode="clip"), model.large):
+            of.range >>= few
+            digit = (of.x / of.range).astype(np.int64)
+            of.x -= digit * of.range
+            rest = rest << few | digit
+            of.ready()
+        ids = np.where(hit, model.id, model.least.take(bucket, mode="clip") + rest)
+        model.learn(hit, ids, np.where(hit, model.guessed, bucket))
+        out[t] = ids
+    return out.T
+
+
+def _groups(blocks: int) -> list[tuple[int, int]]:
+    """The first block and the number of blocks of each group that is coded in step, of about equal sizes."""
+    lanes = -(-blocks // max(1, -(-blocks // LANES))) if blocks else 1
+    return [(k, lanes) for k in range(0, blocks, lanes)]
 
 
 def compress(ids: np.ndarray, block: int = BLOCK) -> bytes:
     """The blob of a sequence of ids."""
-    if len(ids) and (ids.min() < 0 or ids.max() >= 1 << 16):
-        raise ValueError("ids must be below 65,536")
+    if len(ids) and (ids.min() < 0 or ids.max() >= 1 << 32):
+        raise ValueError("ids must be of 32 bits")
     counts = np.array([min(block, len(ids) - k) for k in range(0, len(ids), block)], np.int64)
     sums = [zlib.crc32(ids[k : k + block].astype("<u4").tobytes()) for k in range(0, len(ids), block)]
+    buckets = int(bucket_of(ids[ids.argmax() :][:1])[0]) + 1 if len(ids) else 0
     parts: list[bytes] = []
-    for k in range(0, len(counts), LANES):
-        own = counts[k : k + LANES]
-        grid = np.zeros((len(own), int(own.max())), np.int64)
+    for k, lanes in _groups(len(counts)):
+        own = counts[k : k + lanes]
+        grid = np.zeros((len(own), int(own.max())), np.int64)  # a shorter last block is filled up with zeros
         grid[np.arange(grid.shape[1]) < own[:, None]] = ids[k * block : k * block + int(own.sum())]
-        writer = Writer(len(own), grid.shape[1])
-        _walk(own, Model(len(own)), grid, writer, None)
-        parts += writer.close()
-    head = np.array([len(counts), *(x for c, s, p in zip(counts, sums, parts, strict=True) for x in (c, s, len(p) // 2))], "<u4")
+        parts += _encode(grid, int(own[-1]), buckets)
+    head = np.array([len(counts), buckets, *(x for c, s, p in zip(counts, sums, parts, strict=True) for x in (c, s, len(p) // 2))], "<u4")
     return MAGIC + head.tobytes() + b"".join(parts)
 
 
 def expand(blob: bytes) -> np.ndarray:
     """The ids of a blob; raises ValueError if a block does not match its checksum."""
-    if blob[:4] != MAGIC or len(blob) < 8:
+    if blob[:4] != MAGIC or len(blob) < 12:
         raise ValueError("not a token file")
-    n = int(np.frombuffer(blob, "<u4", 1, 4)[0])
-    head = np.frombuffer(blob, "<u4", 3 * n, 8).reshape(n, 3).astype(np.int64)
-    ends = 8 + 12 * n + 2 * np.cumsum(head[:, 2])
+    n, buckets = (int(x) for x in np.frombuffer(blob, "<u4", 2, 4))
+    head = np.frombuffer(blob, "<u4", 3 * n, 12).reshape(n, 3).astype(np.int64)
+    ends = 12 + 12 * n + 2 * np.cumsum(head[:, 2])
     out = []
-    for k in range(0, n, LANES):
-        own = head[k : k + LANES]
-        blobs = [blob[int(e) - 2 * int(w) : int(e)] for e, w in zip(ends[k : k + LANES], own[:, 2], strict=True)]
-        grid = _walk(own[:, 0], Model(len(own)), None, None, Reader(blobs))
+    for k, lanes in _groups(n):
+        own = head[k : k + lanes]
+        blobs = [blob[int(e) - 2 * int(w) : int(e)] for e, w in zip(ends[k : k + lanes], own[:, 2], strict=True)]
+        grid = _decode(blobs, int(own[:, 0].max()), buckets)
         for row, (count, crc, _) in zip(grid, own, strict=True):
             ids = row[:count]
             if zlib.crc32(ids.astype("<u4").tobytes()) != crc:
@@ -271,72 +312,177 @@ def expand(blob: bytes) -> np.ndarray:
     return np.concatenate(out) if out else np.zeros(0, np.int64)
 
 
+#: Where a text can be cut without changing its tokens: around a single separator between characters that are none.
+CUT = re.compile(r"(?<=\S)(?= \S)|(?<=\S)(?=\n\S)|(?<=\S\n)(?=\S)")
+#: Characters that may end a word as a piece of its own: the apostrophe can begin one with letters.
+TAIL = "!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"
+
+
+class Tokens:
+    """Encodes texts with a tokenizer of the library, each distinct piece once.
+
+    A byte-level tokenizer never merges over the places of ``CUT``, so the ids of a text are those of its pieces. Keys of
+    pieces: a word stands for itself after a space, after ``\\0`` for any text as it is. Texts with a string that the
+    tokenizer treats as one special token, or with a ``\\0``, go to the library whole.
+    """
+
+    def __init__(self, path: str, end: int):
+        from tokenizers import Tokenizer
+
+        self.library = Tokenizer.from_file(path)
+        self.special = [t.content for t in self.library.get_added_tokens_decoder().values()]
+        self.begins = np.zeros(self.library.get_vocab_size(), bool)  # ids whose text begins with a space
+        for token, i in self.library.get_vocab().items():
+            self.begins[i] = token[:1] == "\u0120"
+        self.end = end
+        self._forget()
+
+    def _forget(self) -> None:
+        self.known: dict[str, int] = {}
+        self.start, self.length, self.flat = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int32)
+        self._keep(["\0", "\0\0"], np.array([0, 1]), np.array([self.end], np.int32))
+
+    def _keep(self, keys: list[str], lengths: np.ndarray, ids: np.ndarray) -> None:
+        """Remember pieces whose ids stand one after the other in ``ids``."""
+        self.start = np.concatenate([self.start, len(self.flat) + np.cumsum(lengths) - lengths])
+        self.length, self.flat = np.concatenate([self.length, lengths]), np.concatenate([self.flat, ids])
+        self.known.update(zip(keys, range(len(self.known), len(self.known) + len(keys)), strict=True))
+
+    def _of(self, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of pieces, one after the other, and where each ends."""
+        n = self.length[at]
+        ends = np.cumsum(n)
+        return self.flat[np.repeat(self.start[at] - (ends - n), n) + np.arange(ends[-1] if len(ends) else 0)], ends
+
+    def whole(self, texts: list[str]) -> list[np.ndarray]:
+        return [np.array(e.ids, np.int32) for e in self.library.encode_batch(texts, add_special_tokens=False)]
+
+    def _ask(self, words: list[str], others: list[str]) -> None:
+        """Learn pieces from the library: words after a space, a thousand in one text, and others one by one."""
+        keys, lengths, ids = [], [], []
+        for a in range(0, len(words), 1000):
+            part = words[a : a + 1000]
+            own = self.whole([" " + " ".join(part)])[0]
+            at = np.flatnonzero(self.begins[own])
+            if len(at) != len(part):
+                others += part
+                continue
+            keys += part
+            lengths.append(np.diff(at, append=len(own)))
+            ids.append(own)
+        found = self.whole([k if k == "\n" else k[1:] if k[0] == "\0" else " " + k for k in others])
+        lengths.append(np.array([len(x) for x in found], np.int64))
+        self._keep(keys + others, np.concatenate(lengths), np.concatenate([np.zeros(0, np.int32), *ids, *found]))
+
+    def _learn(self, fresh: set[str]) -> None:
+        """Learn pieces, those that end in punctuation as two. A key with white space inside comes after ``\\0`` or is a line feed."""
+        two, needed = {}, set()
+        for key in fresh:
+            stem = key.rstrip(TAIL)
+            if len(stem) < len(key) and stem[-1:].isalnum():
+                two[key] = stem, "\0" + key[len(stem) :]
+                needed.update(two[key])
+            else:
+                needed.add(key)
+        needed.difference_update(self.known)
+        self._ask([k for k in needed if k[0] != "\0" and k != "\n"], [k for k in needed if k[0] == "\0" or k == "\n"])
+        rest = [k for k in two if k not in self.known]
+        ids, ends = self._of(np.array([self.known[x] for k in rest for x in two[k]], np.int64))
+        self._keep(rest, np.diff(ends[1::2], prepend=0), ids)
+
+    def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all texts, each followed by the end mark, and how many each has."""
+        if len(self.known) > REMEMBERED:
+            self._forget()
+        keys, counts, wholes = [], [], {}
+        for n, text in enumerate(texts):
+            if "\0" in text or any(x in text for x in self.special):
+                wholes[n] = self.whole([text])[0]
+                own = []
+            elif " ".join(text.split()) == text.replace("\n", " "):  # single spaces and line feeds between words
+                own = ("\0" + text.replace("\n", " \n \0")).split(" ")
+            else:
+                own = [x[1:] if x[0] == " " and len(x.split()) == 1 and x[1:] == x.strip() else x if x == "\n" else "\0" + x for x in CUT.split(text)]
+            own.append("\0\0")
+            keys += own
+            counts.append(len(own))
+        fresh = set(keys).difference(self.known)
+        if fresh:
+            self._learn(fresh)
+        at = np.fromiter(map(self.known.__getitem__, keys), np.int64, len(keys))
+        ids, ends = self._of(at)
+        stops = ends[np.cumsum(counts) - 1] if counts else np.zeros(0, np.int64)
+        sizes = np.diff(stops, prepend=0)
+        if wholes:
+            parts = [np.concatenate([wholes[k], x]) if k in wholes else x for k, x in enumerate(np.split(ids, stops[:-1]))]
+            ids, sizes = np.concatenate(parts), np.array([len(x) for x in parts])
+        return ids, sizes
+
+
 @cache
-def tokenizer(path: str):  # noqa: ANN201
+def tokens(path: str, end: int) -> Tokens:
+    """One encoder per worker and vocabulary."""
     os.environ["TOKENIZERS_PARALLELISM"] = "false"
-    from tokenizers import Tokenizer
+    return Tokens(path, end)
 
-    found = Tokenizer.from_file(path)
-    found.encode_special_tokens = True  # their strings in a text are ordinary text
-    return found
+
+SCHEMA = "part int, first long, n_ids long, doc_ids array<long>, counts array<long>, blob binary"
 
 
 def write(docs: DataFrame, path: str, end: int = END) -> DataFrame:
     """The segments of ``docs``, written in the shared folder: tokenised, in ascending order of doc_id."""
     spark = docs.sparkSession
     n = max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
-    ordered = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").repartitionByRange(n, F.col("doc_id").asc_nulls_first(), F.xxhash64("text")).sortWithinPartitions(F.col("doc_id").asc_nulls_first(), "text")
+    order = (F.col("doc_id").asc_nulls_first(), F.xxhash64("text"))
+    ordered = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").repartitionByRange(n, *order).sortWithinPartitions(*order, "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        part, seq, doc_ids, counts, held, size = TaskContext.get().partitionId(), 0, [], [], [], 0
+        part, first, doc_ids, counts, held = TaskContext.get().partitionId(), 0, [], [], []
 
         def segment() -> pa.RecordBatch:
-            blob = compress(np.concatenate(held))
-            columns = [pa.array([part], pa.int32()), pa.array([seq], pa.int32()), pa.array([doc_ids], pa.list_(pa.int64())), pa.array([counts], pa.list_(pa.int64())), pa.array([blob], pa.binary())]
-            return pa.RecordBatch.from_arrays(columns, ["part", "seq", "doc_ids", "counts", "blob"])
+            ids = np.concatenate(held)
+            given = ([part], [first], [len(ids)], [pa.concat_arrays(doc_ids)], [np.concatenate(counts)], [compress(ids)])
+            types = (pa.int32(), pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.list_(pa.int64()), pa.binary())
+            return pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(given, types, strict=True)], ["part", "first", "n_ids", "doc_ids", "counts", "blob"])
 
         for batch in batches:
-            for piece in slices(batch, "text", 1_000_000):
-                found = tokenizer(path).encode_batch([x or "" for x in piece.column("text").to_pylist()], add_special_tokens=False)
-                for doc_id, e in zip(piece.column("doc_id").to_pylist(), found, strict=True):
-                    doc_ids.append(doc_id)
-                    counts.append(len(e.ids) + 1)
-                    held.append(np.array([*e.ids, end], np.int64))
-                    size += counts[-1]
-                    if size >= SEGMENT:
-                        yield segment()
-                        seq, doc_ids, counts, held, size = seq + 1, [], [], [], 0
-        if doc_ids:
+            for piece in slices(batch, "text", 2_000_000):
+                ids, sizes = tokens(path, end).encode([x or "" for x in piece.column("text").to_pylist()])
+                doc_ids.append(piece.column("doc_id"))
+                counts.append(sizes)
+                held.append(ids)
+                if (size := sum(map(len, held))) >= SEGMENT:
+                    yield segment()
+                    first, doc_ids, counts, held = first + size, [], [], []
+        if held:
             yield segment()
 
-    return stored(ordered.mapInArrow(run, "part int, seq int, doc_ids array<long>, counts array<long>, blob binary"), "tokens")
+    return stored(ordered.mapInArrow(run, SCHEMA), "tokens")
 
 
 def read(segments: DataFrame) -> DataFrame:
-    """(doc_id, start, n_tokens, ids_crc32, part) of every document, from the decoded blobs."""
-    spark = segments.sparkSession
-    sizes = segments.select("part", "seq", F.aggregate("counts", F.lit(0).cast("long"), lambda a, x: a + x).alias("n"))
-    rows = sorted((r["part"], r["seq"], r["n"]) for r in sizes.collect())  # one small row for millions of ids
-    before, total = [], 0
-    for part, seq, n in rows:
-        before.append((part, seq, total))
-        total += n
-    offsets = spark.createDataFrame(before, "part int, seq int, before long")
+    """(doc_id, start, n_tokens, ids_crc32) of every document, from the decoded blobs.
+
+    A segment knows how many ids its partition has before it; one row for each partition adds those of the partitions before.
+    """
+    totals = segments.groupBy("part").agg(F.sum("n_ids").alias("n"))
+    before = totals.select("part", (F.sum("n").over(Window.orderBy("part")) - F.col("n")).alias("before"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for k in range(batch.num_rows):
-                row = {c: batch.column(c)[k].as_py() for c in batch.schema.names}
-                ids = expand(row["blob"]).astype("<u4")
-                counts = np.array(row["counts"], np.int64)
+                row = {c: batch.column(c)[k] for c in batch.schema.names}
+                ids = expand(row["blob"].as_py()).astype("<u4")
+                counts = row["counts"].values.to_numpy()
                 stops = np.cumsum(counts)
                 starts = stops - counts
-                crc = [zlib.crc32(ids[a:b].tobytes()) for a, b in zip(starts, stops, strict=True)]
-                columns = [pa.array(row["doc_ids"], pa.int64()), pa.array(starts + row["before"]), pa.array(counts), pa.array(crc, pa.int64())]
+                view = memoryview(ids).cast("B")
+                crc = [zlib.crc32(view[4 * a : 4 * b]) for a, b in zip(starts.tolist(), stops.tolist(), strict=True)]
+                columns = [row["doc_ids"].values, pa.array(starts + row["first"].as_py() + row["before"].as_py()), pa.array(counts), pa.array(crc, pa.int64())]
                 yield pa.RecordBatch.from_arrays(columns, ["doc_id", "start", "n_tokens", "ids_crc32"])
 
-    joined = segments.join(F.broadcast(offsets), ["part", "seq"])
-    return joined.select("before", "doc_ids", "counts", "blob").mapInArrow(run, "doc_id long, start long, n_tokens long, ids_crc32 long")
+    joined = segments.join(F.broadcast(before), "part")  # a row for each partition of the files
+    return joined.select("first", "before", "doc_ids", "counts", "blob").mapInArrow(run, "doc_id long, start long, n_tokens long, ids_crc32 long")
 
 
 def op5_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -224,12 +224,15 @@ def test_mixing_of_odd_rows(odd, none):
 # Token files
 
 
-@pytest.mark.parametrize("kind", ["random", "repeats", "one", "none", "ramp"])
-def test_coder_round_trip(kind):
+@pytest.mark.parametrize("kind", ["random", "repeats", "one", "none", "ramp", "large", "ends"])
+def test_coder_round_trip(kind, monkeypatch):
     rng = np.random.default_rng(1)
-    ids = {"random": rng.integers(0, 1 << 16, 700), "repeats": np.tile(rng.integers(0, 50_000, 40), 60), "one": np.array([65_535]), "none": np.zeros(0, np.int64), "ramp": np.arange(300)}[kind].astype(np.int64)
+    ids = {"random": rng.integers(0, 1 << 16, 700), "repeats": np.tile(rng.integers(0, 50_000, 40), 60), "one": np.array([65_535]), "none": np.zeros(0, np.int64), "ramp": np.arange(300), "large": rng.integers(0, 1 << 32, 700), "ends": np.tile([0, (1 << 32) - 1, 1 << 31, 7, 8, 1 << 17, 1 << 16], 90)}[kind].astype(np.int64)
     blob = tokenfile.compress(ids, block=256)
     assert (tokenfile.expand(blob) == ids).all()
+    monkeypatch.setattr(tokenfile, "LANES", 2)
+    assert tokenfile.compress(ids, block=256) == blob  # a block does not depend on those beside it
+    assert (tokenfile.expand(blob) == ids).all()
     if kind == "repeats":
         assert len(blob) < 2 * len(ids) * 0.75
     if kind == "random":
@@ -238,19 +241,65 @@ def test_coder_round_trip(kind):
         with pytest.raises(ValueError):
             tokenfile.expand(bytes(bad))
     with pytest.raises(ValueError):
-        tokenfile.compress(np.array([1 << 16]))
+        tokenfile.compress(np.array([1 << 32]))
+
+
+def test_buckets():
+    ids = np.unique(np.concatenate([np.arange(5000), 2 ** np.arange(32), 2 ** np.arange(1, 33) - 1]))
+    b = tokenfile.bucket_of(ids)
+    assert (np.diff(b) >= 0).all() and (tokenfile.LEAST[b] <= ids).all() and (ids - tokenfile.LEAST[b] < 1 << tokenfile.OPEN[b]).all() and tokenfile.bucket_of(np.array([65_535]))[0] == 59
+
 
+ODD_TEXTS = [
+    "<|endoftext|>", "a <|endoftext|> b", "a\0b", "\0", " ", "\n", "  x", "x  y", "a\n\nb", "a \n b", "a\n", "\na", "a\tb\r\nc", "it's we'll x's. (y's) 'z", "1.5,a-b_c e\u0301\u00e9.", "\u00a0x\u2028y \x1cz",
+    "\u0120word a\u0120 b", "a\u3000b", "x.\n.y ... !?", "end. end, end; 'end' end's", "  a  b  ", "\n\n\n", "a\x85b", "\ufeffx",
+]
+
+
+def test_pieces_equal_whole_texts(monkeypatch):
+    """Against the tokenizer as it comes; a second pass finds every piece known, a third forgets in between."""
+    from tokenizers import Tokenizer
 
-def test_token_files(spark, odd, none, monkeypatch):
     path = public_tokenizers.path(tokenfile.VOCABULARY)
-    tok = tokenfile.tokenizer(path)
-    docs = odd.where("length(text) < 5000 or text is null")
-    got = tokenfile.read(tokenfile.write(docs, path)).toPandas()
+    plain, own = Tokenizer.from_file(path), tokenfile.Tokens(path, 2)
+    rng = random.Random(8)
+    mixed = ["".join(rng.choice(["a", "Bc", "é", " ", "  ", "\n", "\n\n", "\t", ".", "'s", "7", "***", "日"]) for _ in range(rng.randint(0, 40))) for _ in range(400)]
+    texts = [*ODD_TEXTS, *mixed, " ".join(f"w{i % 977}x{i}." for i in range(60_000)), "x" * 30_000, ""]
+    want = [[*plain.encode(t, add_special_tokens=False).ids, 2] for t in texts]
+    for limit in (1 << 30, 1 << 30, 0):
+        monkeypatch.setattr(tokenfile, "REMEMBERED", limit)
+        ids, sizes = own.encode(texts)
+        assert [x.tolist() for x in np.split(ids, np.cumsum(sizes)[:-1])] == want
+    assert own.encode([])[0].tolist() == []
+
+
+def test_token_files(spark, odd, none):
+    from tokenizers import Tokenizer
+
+    path = public_tokenizers.path(tokenfile.VOCABULARY)
+    plain = Tokenizer.from_file(path)
+    more = [(100, x) for x in ODD_TEXTS] + [(100, f"tie {k}") for k in range(100)]
+    docs = odd.select("doc_id", "text").union(spark.createDataFrame(more, "doc_id bigint, text string"))
+    got = tokenfile.read(tokenfile.write(docs.withColumn("start", F.lit("clash")).withColumn("part", F.lit("clash")), path)).toPandas()
     start, want = 0, []
-    for r in sorted(docs.collect(), key=lambda r: (r["doc_id"] is not None, r["doc_id"] or 0, r["text"] or "")):
-        ids = np.array([*tok.encode(r["text"] or "", add_special_tokens=False).ids, tokenfile.END], "<u4")
+    rows = docs.withColumn("h", F.xxhash64("text")).collect()
+    for r in sorted(rows, key=lambda r: (r["doc_id"] is not None, r["doc_id"] or 0, r["h"], r["text"] or "")):
+        ids = np.array([*plain.encode(r["text"] or "", add_special_tokens=False).ids, tokenfile.END], "<u4")
         want.append((None if r["doc_id"] is None else r["doc_id"], start, len(ids), zlib.crc32(ids.tobytes())))
         start += len(ids)
     have = [(None if pd.isna(a) else int(a), int(b), int(c), int(d)) for a, b, c, d in got[["doc_id", "start", "n_tokens", "ids_crc32"]].itertuples(index=False)]
     assert sorted(have, key=lambda x: x[1]) == want
     assert tokenfile.read(tokenfile.write(none, path)).count() == 0
+
+
+def test_op5_query(spark, sf):
+    from tokenizers import Tokenizer
+
+    plain = Tokenizer.from_file(public_tokenizers.path(tokenfile.VOCABULARY))
+    start, want = 0, []
+    for r in sorted(spark.read.parquet(f"{sf}/documents.parquet").collect(), key=lambda r: r["doc_id"]):
+        ids = np.array([*plain.encode(r["text"] or "", add_special_tokens=False).ids, 2], "<u4")
+        want.append((r["doc_id"], start, len(ids), zlib.crc32(ids.tobytes())))
+        start += len(ids)
+    got = tokenfile.op5_token_files(spark, sf).select("doc_id", "start", "n_tokens", "ids_crc32").collect()
+    assert sorted(map(tuple, got)) == want
