@@ -11,12 +11,13 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from shelfmark.functions.scalars import epoch_seconds, excluded
+from shelfmark.sources.shared import shared_folder
 
 COLUMNS = ("entry_id", "parent_id", "name", "path", "is_dir", "size", "modified", "is_deleted")
 SCHEMA = "entry_id bigint, parent_id bigint, name string, path string, is_dir boolean, size bigint, modified bigint, is_deleted boolean"
 VERSION = 2
-#: Longest chain of parents that is followed.
-MAX_HOPS = 256
+#: Longest chain of parents that a path follows, and that may lead to a root. Powers of two.
+MAX_HOPS, MAX_CHAIN = 256, 512
 
 
 def entries(df: DataFrame, entry_id: Column, name: Column, folder: Column, size: Column, modified: Column, is_dir: Column | None = None) -> DataFrame:
@@ -90,54 +91,59 @@ def tree(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out
 
 
-def _checkpointed(df: DataFrame) -> DataFrame:
+def checkpointed(df: DataFrame) -> DataFrame:
     """The rows as a checkpoint in the shared folder that the session names."""
     spark = df.sparkSession
     if not spark.sparkContext.getCheckpointDir():
-        named = spark.conf.get("spark.checkpoint.dir", None)
-        if not named:
-            import tempfile
-
-            named = "file://" + tempfile.mkdtemp(prefix="shelfmark-")
-        spark.sparkContext.setCheckpointDir(named)
+        spark.sparkContext.setCheckpointDir(shared_folder(spark))
     return df.checkpoint()
 
 
-def resolve_paths(nodes: DataFrame) -> DataFrame:
+def _joined(head: Column, tail: Column) -> Column:
+    """Two parts of a path, with a separator unless the first ends in one."""
+    glue = F.when(F.endswith(head, F.lit("/")) | F.endswith(head, F.lit("\\")), F.lit("")).otherwise(F.lit("/"))
+    return F.concat(head, glue, tail)
+
+
+def resolve_paths(nodes: DataFrame, max_hops: int = MAX_HOPS) -> DataFrame:
     """``path``, ``hops`` and ``root_id`` (where the path begins) for rows with parent pointers, by pointer doubling.
 
-    A parent that is missing or no folder ends the path, which then starts at the child. Rows whose chain is longer than
-    MAX_HOPS or goes in a circle get a null path. Each round joins on the ancestor and doubles the distance, so the number
-    of shuffles grows with the logarithm of the depth.
+    A parent that is missing or no folder ends the path, which then starts at the child. The walk stops after ``max_hops``
+    (a power of two): a path in a longer chain, or in a circle, has its last ``max_hops + 1`` names. Each round joins on the
+    ancestor and doubles the distance, so the number of shuffles grows with the logarithm of the depth.
     """
     folders = nodes.where("is_dir").select(F.col("entry_id").alias("parent_id")).distinct()
     linked = nodes.join(folders.withColumn("__known", F.lit(True)), "parent_id", "left")
-    state = linked.select("entry_id", F.when(F.col("__known"), F.col("parent_id")).alias("anc"), F.col("name").alias("path"), F.when(F.col("__known"), 1).otherwise(0).alias("hops"))
-    state = state.withColumn("root_id", F.when(F.col("anc").isNull(), F.col("entry_id")))
-    state = _checkpointed(state)
-    for _ in range(MAX_HOPS.bit_length()):
+    state = linked.select("entry_id", F.when(F.col("__known"), F.col("parent_id")).alias("anc"), F.col("name").alias("path"), F.lit(0).alias("hops"), F.col("entry_id").alias("root_id"))
+    state = checkpointed(state)
+    for _ in range(max_hops.bit_length() - 1):
         if not state.where("anc IS NOT NULL").take(1):
             break
         above = state.select(F.col("entry_id").alias("anc"), F.col("anc").alias("next"), F.col("path").alias("head"), F.col("hops").alias("more"), F.col("root_id").alias("top"))
-        glue = F.when(F.endswith("head", F.lit("/")) | F.endswith("head", F.lit("\\")), F.lit("")).otherwise(F.lit("/"))
         joined = state.join(above, "anc", "left")
-        state = _checkpointed(
+        found = F.col("head").isNotNull()
+        state = checkpointed(
             joined.select(
                 "entry_id",
                 F.col("next").alias("anc"),
-                F.when(F.col("head").isNull(), F.col("path")).otherwise(F.concat("head", glue, "path")).alias("path"),
-                (F.col("hops") + F.coalesce("more", F.lit(0))).alias("hops"),
-                F.coalesce("root_id", "top").alias("root_id"),
+                F.when(found, _joined(F.col("head"), F.col("path"))).otherwise(F.col("path")).alias("path"),
+                F.when(found, F.col("hops") + F.col("more") + 1).otherwise(F.col("hops")).alias("hops"),
+                F.coalesce("top", "root_id").alias("root_id"),
             )
         )
-    whole = F.col("anc").isNull() & (F.col("hops") <= MAX_HOPS)
-    return nodes.drop("path").join(state.select("entry_id", F.when(whole, F.col("path")).alias("path"), "hops", "root_id"), "entry_id")
+    # What is still open has max_hops names; the one above them is the last.
+    last = nodes.select(F.col("entry_id").alias("anc"), F.col("name").alias("__head"))
+    state = state.join(last, "anc", "left")
+    done = F.when(F.col("__head").isNull(), F.col("path")).otherwise(_joined(F.col("__head"), F.col("path")))
+    hops = F.col("hops") + F.when(F.col("__head").isNull(), 0).otherwise(1)
+    state = state.select("entry_id", done.alias("path"), hops.alias("hops"), F.coalesce("anc", "root_id").alias("root_id"))
+    return nodes.drop("path").join(state, "entry_id")
 
 
 def reachable(nodes: DataFrame, patterns: list[str] | None = None) -> DataFrame:
     """Resolved rows below a root: orphans are dropped, and whole subtrees of excluded folders."""
     roots = nodes.where("parent_id IS NULL").select(F.col("entry_id").alias("root_id"))
-    rooted = resolve_paths(nodes).where("path IS NOT NULL").join(roots, "root_id", "left_semi")
+    rooted = resolve_paths(nodes, MAX_CHAIN).join(roots, "root_id", "left_semi")
     return rooted.where(~excluded(F.col("path"), patterns)) if patterns else rooted
 
 
@@ -180,10 +186,14 @@ def save_snapshot(catalog: DataFrame, folder: str, roots: list[str], scanned_at:
     fresh = f"{folder}/pointer-{uuid.uuid4().hex}"
     meta.coalesce(1).write.json(fresh)
     fs, at, path = _fs(spark, f"{folder}/POINTER")
+    jvm, gateway = spark.sparkContext._jvm, spark.sparkContext._gateway
+    rename = getattr(jvm.org.apache.hadoop.fs, "Options$Rename")
+    over = gateway.new_array(rename, 1)
+    over[0] = rename.OVERWRITE
+    files = jvm.org.apache.hadoop.fs.FileContext.getFileContext(at.toUri(), spark.sparkContext._jsc.hadoopConfiguration())
     for status in fs.listStatus(path(fresh)):
         if status.getPath().getName().startswith("part-"):
-            fs.delete(at, False)
-            fs.rename(status.getPath(), at)
+            files.rename(status.getPath(), at, over)  # at once: a reader finds the old pointer or the new one
     fs.delete(path(fresh), True)
     return name
 

@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from shelfmark.functions.scalars import base_name, excluded, parent_path
-from shelfmark.operators.catalog import COLUMNS
+from shelfmark.operators.catalog import COLUMNS, checkpointed
 
 SCHEMA = "seq bigint, kind string, path string, exists boolean, is_dir boolean, size bigint, modified bigint"
 
@@ -41,46 +41,55 @@ def _ancestors(path: Column) -> Column:
 def merge(catalog: DataFrame, changes: DataFrame, exclusions: list[str] | None = None) -> DataFrame:
     """The catalog after the changes, the last writer of a path winning; removed rows stay as tombstones.
 
-    Removing a folder removes what lies below it, unless a later event brings that back. An event whose folder the catalog
-    does not know, and no event creates, is ignored. A known folder keeps its size when its time is refreshed. New rows
-    get the next ids in the order of their paths. The rows below a removed folder are found by joining each path's own
-    ancestors with the removed paths, an equi-join.
+    The result has a column ``seq``: the event that last decided a row, null if none has. Where ``catalog`` has it, an event
+    that is not later than that is ignored, so events may arrive late or twice. Removing a folder removes what lies below
+    it, unless a later event brings that back. An event whose folder the catalog does not know, and no event creates, is
+    ignored. A path that turns from file to folder, or back, keeps its id. A known folder keeps its size when its time is
+    refreshed. New rows get the next ids in the order of their paths. The rows below a removed folder are found by joining
+    each path's own ancestors with the removed paths, an equi-join.
     """
+    held = catalog if "seq" in catalog.columns else catalog.withColumn("seq", F.lit(None).cast("long"))
     events = classified(changes, exclusions)
     last = last_operations(events)
-    removed = events.where("op = 'delete'").groupBy(F.col("path").alias("__gone")).agg(F.max("seq").alias("__at"))
-    paths = catalog.select("path").union(last.select("path")).distinct()
+    buried = held.where("is_deleted AND seq IS NOT NULL").select("path", "seq")
+    removed = events.where("op = 'delete'").select("path", "seq").union(buried).groupBy(F.col("path").alias("__gone")).agg(F.max("seq").alias("__at"))
+    paths = held.select("path").union(last.select("path")).distinct()
     below = paths.select("path", F.explode(_ancestors(F.col("path"))).alias("__gone")).join(removed, "__gone").groupBy("path").agg(F.max("__at").alias("removed_at"))
-    known_folders = catalog.where("is_dir").select("path").union(last.where("op = 'upsert' AND is_dir").select("path")).distinct()
-    old = catalog.withColumn("__old", F.lit(True))
+    known_folders = held.where("is_dir").select("path").union(last.where("op = 'upsert' AND is_dir").select("path")).distinct()
+    old = held.withColumn("__old", F.lit(True))
     new = last.select("path", F.col("seq").alias("__seq"), F.col("op").alias("__op"), F.col("is_dir").alias("__dir"), F.col("size").alias("__size"), F.col("modified").alias("__modified"))
     joined = old.join(new, "path", "full").join(below, "path", "left").withColumn("__parent", parent_path(F.col("path")))
     parents = known_folders.select(F.col("path").alias("__parent"), F.lit(True).alias("__has_parent"))
     joined = joined.join(parents, "__parent", "left")
-    up = F.coalesce(F.col("__op") == "upsert", F.lit(False)) & (F.col("__old").isNotNull() | F.coalesce("__has_parent", F.lit(False)))
-    gone = F.col("removed_at").isNotNull() & (~up | (F.col("removed_at") > F.col("__seq")))
-    is_dir = F.coalesce("is_dir", "__dir")
+    later = F.col("seq").isNull() | (F.col("__seq") > F.col("seq"))
+    up = F.coalesce((F.col("__op") == "upsert") & later, F.lit(False)) & (F.col("__old").isNotNull() | F.coalesce("__has_parent", F.lit(False)))
+    decided = F.when(up, F.col("__seq")).otherwise(F.col("seq"))
+    gone = F.col("removed_at").isNotNull() & (decided.isNull() | (F.col("removed_at") > decided))
+    is_dir = F.when(up, F.col("__dir")).otherwise(F.col("is_dir"))
+    turned = F.coalesce(F.col("is_dir") != is_dir, F.lit(True))
     kept = joined.where(F.col("__old").isNotNull() | up).select(
         "entry_id",
         "parent_id",
         F.coalesce("name", base_name(F.col("path"))).alias("name"),
         "path",
         is_dir.alias("is_dir"),
-        F.when(up & ~is_dir, F.col("__size")).otherwise(F.coalesce("size", F.lit(0))).cast("long").alias("size"),
+        F.when(up & ~is_dir, F.col("__size")).when(up & turned, 0).otherwise(F.coalesce("size", F.lit(0))).cast("long").alias("size"),
         F.when(up, F.col("__modified")).otherwise(F.col("modified")).cast("long").alias("modified"),
         F.when(gone, True).when(up, False).otherwise(F.coalesce("is_deleted", F.lit(False))).alias("is_deleted"),
+        F.when(gone, F.col("removed_at")).otherwise(decided).alias("seq"),
     )
-    return with_new_ids(kept).select(*COLUMNS)
+    return with_new_ids(kept).select(*COLUMNS, "seq")
 
 
 def with_new_ids(rows: DataFrame) -> DataFrame:
     """Rows without an id get the next ones in the order of their paths.
 
     The order is by range partitions: positions within a partition plus the number of rows before it, so no single task
-    sees all new rows.
+    sees all new rows. They are written first, as a partition that is computed anew could get other rows.
     """
     n = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     fresh = rows.where("entry_id IS NULL").repartitionByRange(n, F.col("path")).withColumn("__p", F.spark_partition_id())
+    fresh = checkpointed(fresh)
     start = rows.agg(F.max("entry_id").alias("m")).select((F.coalesce("m", F.lit(-1)) + 1).alias("__start"))
     sizes = fresh.groupBy("__p").agg(F.count("*").alias("__c"))
     before = sizes.select("__p", (F.sum("__c").over(Window.orderBy("__p")) - F.col("__c")).alias("__before"))  # a row per partition

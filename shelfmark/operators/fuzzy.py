@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import re
-
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column
@@ -16,14 +14,22 @@ from shelfmark.plans.parser import fold
 MATCH, BOUNDARY, CONSECUTIVE, GAP_OPEN, GAP_EXTEND = 16, 8, 4, 3, 1
 
 
+def _in_class(c: str) -> str:
+    """A character as a member of a class of a Java pattern."""
+    return "\\" + c if c.isascii() and not c.isalnum() else c
+
+
 def fuzzy_prefilter(name: Column, text: str, case_sensitive: bool) -> Column:
-    """A native test that holds exactly for the names in which all atoms are subsequences."""
+    """A native test that holds exactly for the names in which all atoms are subsequences.
+
+    What stands before each character is matched possessively, so a name is read once, whatever it holds.
+    """
     subject = name if case_sensitive else folded(name)
     keep = F.lit(True)
     for atom in text.split(" "):
         atom = atom if case_sensitive else fold(atom)
         if atom:
-            keep = keep & subject.rlike("(?s)" + ".*?".join(re.sub(r"([^A-Za-z0-9_\s\u0080-\U0010ffff])", r"\\\1", c) for c in atom))
+            keep = keep & subject.rlike("(?s)^" + "".join(f"[^{_in_class(c)}]*+[{_in_class(c)}]" for c in atom))
     return keep
 
 

@@ -18,6 +18,7 @@ from shelfmark.operators.preview import preview_kind
 from shelfmark.operators.search import matches, numbered, ranked, search, totals_of, without_paths
 from shelfmark.plans.parser import parse, within_folder
 from shelfmark.plans.spec import Category, MatchMode, SortKey
+from shelfmark.sources.shared import shared_folder
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -104,7 +105,7 @@ add(
 )
 hits("name_substring", "parts", "bolt", terms=("bolt",), k=100_000)
 hits("name_multi_term", "parts", "b old", terms=("b", "old"))
-hits("name_case_sensitive", "parts", "Bolt", terms=("Bolt",), case=True)
+hits("name_case_sensitive", "parts", "bolt", "NOT contains(name, 'Bolt')", terms=("bolt",), case=True, k=100_000)
 hits("name_ranked_topk", "parts", "bolt", terms=("bolt",), k=50)
 hits("name_ranked_items", "items", "item_1", terms=("item_1",))
 add(
@@ -116,25 +117,25 @@ add("live_count", lambda spark, d: cat.live_count(cat.items(spark, d)), f"WITH {
 
 # Filters ---------------------------------------------------------------------------------------------------------
 
-hits("filter_ext", "items", "ext:csv", "name LIKE '%.csv'")
-hits("filter_ext_multi", "items", "ext:.CSV,rs e:flac", "regexp_matches(name, '[.](csv|rs|flac)$')")
-hits("filter_path", "items", "path:/ship/R", f"contains({_fold('path')}, '/ship/r')")
-hits("filter_path_multi", "items", "p:/a/ in:_7", f"contains({_fold('path')}, '/a/') AND contains(path, '_7')")
-hits("filter_size_min", "items", "size:>90kb", "size >= 92160")
+hits("filter_ext", "items", "ext:csv", "name LIKE '%.csv'", k=1_000_000)
+hits("filter_ext_multi", "items", "ext:.CSV,rs e:flac", "regexp_matches(name, '[.](csv|rs|flac)$')", k=1_000_000)
+hits("filter_path", "items", "path:/ship/R", f"contains({_fold('path')}, '/ship/r')", k=1_000_000)
+hits("filter_path_multi", "items", "p:/a/ in:_7", f"contains({_fold('path')}, '/a/') AND contains(path, '_7')", k=1_000_000)
+hits("filter_size_min", "items", "size:>90kb", "size >= 92160", k=1_000_000)
 hits("filter_size_range", "items", "size:1kb..1.5kb", "size BETWEEN 1024 AND 1536")
 hits("filter_size_approx", "parts", "size:10kb", "NOT is_dir AND size BETWEEN 9216 AND 11264")
 hits("filter_size_two_sided", "items", "size:>2kb size:<=3kb", "size BETWEEN 2048 AND 3072")
-hits("filter_date_min", "items", "date:>=1998-06-01", "modified >= 896659200")
-hits("filter_date_max_excludes_day", "items", "date:<=1992-03-01", "modified < 699408000")
+hits("filter_date_min", "items", "date:>=1998-06-01", "modified >= 896659200", k=1_000_000)
+hits("filter_date_max_excludes_day", "items", "date:<=1993-03-01", "modified < 730944000", k=1_000_000)
 hits("filter_date_range", "items", "date:1995-01..1995-02", "modified >= 788918400 AND modified < 791683200")
 hits("filter_date_day", "items", "modified:1996-03-05", "modified >= 825984000 AND modified < 826070400")
-hits("filter_type_file", "parts", "type:file", "NOT is_dir")
+hits("filter_type_file", "parts", "type:file", "NOT is_dir", k=1_000_000)
 hits("filter_type_folder", "parts", "t:dirs", "is_dir")
 hits("filter_combined", "items", "item_2 ext:docx,csv size:>5kb date:>1994 path:/ship/n", f"regexp_matches(name, '[.](docx|csv)$') AND size >= 5120 AND modified >= 757382400 AND contains({_fold('path')}, '/ship/n')", terms=("item_2",))
 for _c in (Category.DOCUMENTS, Category.IMAGES, Category.AUDIO, Category.VIDEO, Category.ARCHIVES, Category.CODE, Category.EXECUTABLES):
     hits(f"category_{_c.label.lower()}", "parts", "", _in(_c), category=_c)
 hits("category_folders", "parts", "", "is_dir", category=Category.FOLDERS)
-hits("category_files", "parts", "", "NOT is_dir", category=Category.FILES)
+hits("category_files", "parts", "", "NOT is_dir", category=Category.FILES, k=1_000_000)
 
 # Regular expressions and fuzzy names --------------------------------------------------------------------------------
 
@@ -340,8 +341,34 @@ _MERGED = f"""WITH {_FEED}, {_USERS}, last AS (SELECT path, arg_max(op, seq) AS
     SELECT path, coalesce(is_dir, false) AS is_dir, CASE WHEN op = 'upsert' THEN last.size ELSE 0 END AS size, CASE WHEN op = 'upsert' THEN seq ELSE 0 END AS modified, coalesce(op = 'delete', false) AS is_deleted
     FROM users FULL JOIN last USING (path) WHERE entry_id IS NOT NULL OR op = 'upsert'"""
 _SHOWN = ("path", "is_dir", "size", "modified", "is_deleted")
+_NUMBERED = f"""SELECT coalesce(entry_id, 70 + row_number() OVER (PARTITION BY entry_id IS NULL ORDER BY path)) AS entry_id, {', '.join(_SHOWN)} FROM ({_MERGED.replace('SELECT path, coalesce', 'SELECT entry_id, path, coalesce').format('')})"""
 add("change_classify", lambda spark, d: ch.classified(feed(spark, d)).select("seq", "path", "op"), f"WITH {_FEED} SELECT seq, path, op FROM ops")
-add("change_merge", lambda spark, d: ch.merge(users(spark), feed(spark, d)).select(*_SHOWN), _MERGED.format(""))
+add("change_merge", lambda spark, d: ch.merge(users(spark), feed(spark, d)).select("entry_id", *_SHOWN), _NUMBERED)
+
+
+def _late(spark: SparkSession, d: str) -> DataFrame:
+    """The second half of the feed first, then the first half: late events change nothing that later ones have decided."""
+    events = feed(spark, d)
+    later = F.col("seq") % 2 == 0
+    once = ch.merge(users(spark), events.where(later))
+    return ch.merge(once, events.where(~later)).select(*_SHOWN)
+
+
+add("change_late_events", _late, _MERGED.format(""))
+
+
+def _kinds(spark: SparkSession, d: str) -> DataFrame:
+    """Files of every second user become folders by their last event."""
+    folder = F.col("path").rlike("f[0-9]*[02468][.]log$")
+    return ch.merge(users(spark), feed(spark, d).withColumn("is_dir", folder).withColumn("size", F.when(folder, 0).otherwise(F.col("size")))).select(*_SHOWN)
+
+
+add(
+    "change_kind",
+    _kinds,
+    f"""SELECT path, CASE WHEN turned THEN true ELSE is_dir END AS is_dir, CASE WHEN turned THEN 0 ELSE size END AS size, modified, is_deleted
+    FROM (SELECT *, modified > 0 AND regexp_matches(path, 'f[0-9]*[02468][.]log$') AS turned FROM ({_MERGED.format('')}))""",
+)
 add("change_merge_excluded", lambda spark, d: ch.merge(users(spark), feed(spark, d), ["u3", "/u5"]).select(*_SHOWN), _MERGED.format("AND path NOT LIKE '/users/u3/%' AND path NOT LIKE '/users/u5/%'"))
 
 
@@ -360,12 +387,7 @@ def _streamed(spark: SparkSession, d: str) -> DataFrame:
 
     from shelfmark.streaming.feed import changes_stream, follow, latest
 
-    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if not base:
-        import tempfile
-
-        base = "file://" + tempfile.mkdtemp(prefix="shelfmark-")
-    base = f"{base}/stream-{uuid.uuid4().hex}"
+    base = f"{shared_folder(spark)}/stream-{uuid.uuid4().hex}"
     changes = feed(spark, d)
     n = changes.count()
     for k in range(2):  # two arrivals

@@ -18,7 +18,8 @@ NODES = "entry_id bigint, parent_id bigint, name string, is_dir boolean"
 def test_corrupt_parents(spark):
     nodes = spark.createDataFrame([(1, None, "C:\\", True), (2, 1, "video.mp4", False), (3, 2, "thing.png", False), (4, 99, "lost", False), (5, 6, "a", True), (6, 5, "b", True)], NODES)
     got = {r["entry_id"]: r["path"] for r in cat.resolve_paths(nodes).collect()}
-    assert got == {1: "C:\\", 2: "C:\\video.mp4", 3: "thing.png", 4: "lost", 5: None, 6: None}
+    circle = lambda last: "/".join((["b", "a"] * 129)[-257 - (last == "b") : None if last == "a" else -1])
+    assert got == {1: "C:\\", 2: "C:\\video.mp4", 3: "thing.png", 4: "lost", 5: circle("a"), 6: circle("b")}
 
 
 def test_reachable(spark):
@@ -26,11 +27,12 @@ def test_reachable(spark):
     assert {r["path"] for r in cat.reachable(nodes, [".git"]).collect()} == {"/r", "/r/a", "/r/a/f"}
 
 
-@pytest.mark.parametrize("depth", [40, 256, 257])
+@pytest.mark.parametrize("depth", [40, 256, 257, 300])
 def test_deep_chains(spark, depth):
     nodes = spark.createDataFrame([(k, k - 1 if k else None, f"n{k}", True) for k in range(depth + 1)], NODES)
     last = cat.resolve_paths(nodes).where(F.col("entry_id") == depth).first()
-    assert last["path"] == ("/".join(f"n{k}" for k in range(depth + 1)) if depth <= cat.MAX_HOPS else None)
+    assert last["path"] == "/".join(f"n{k}" for k in range(max(0, depth - 256), depth + 1)) and last["hops"] == min(depth, 256)
+    assert cat.reachable(nodes).count() == depth + 1
 
 
 def test_snapshots(spark, tmp_path):
@@ -94,6 +96,20 @@ def test_changes(spark):
     assert (fresh["/r/y"]["entry_id"], fresh["/r/z"]["entry_id"]) == (2, 3)
 
 
+def test_late_events_and_kinds(spark):
+    step = lambda held, *events: ch.merge(held, spark.createDataFrame(list(events), ch.SCHEMA))
+    one = step(base(spark), event(9, "modify", "/r/a.txt"))
+    again = {r["path"]: r for r in step(one, event(5, "modify", "/r/a.txt")).collect()}
+    assert (again["/r/a.txt"]["size"], again["/r/a.txt"]["seq"]) == (9, 9)
+    assert alive({r["path"]: r for r in step(one, event(8, "remove", "/r/a.txt", False)).collect()}) == {"/r", "/r/a.txt"}
+    gone = step(one, event(12, "remove", "/r", False))
+    assert alive({r["path"]: r for r in step(gone, event(11, "create", "/r/late.txt")).collect()}) == set()
+    turned = {r["path"]: r for r in step(one, event(10, "create", "/r/a.txt", True, True)).collect()}["/r/a.txt"]
+    assert (turned["is_dir"], turned["size"], turned["entry_id"]) == (True, 0, 1)
+    back = {r["path"]: r for r in step(step(one, event(10, "create", "/r/a.txt", True, True)), event(11, "create", "/r/a.txt")).collect()}["/r/a.txt"]
+    assert (back["is_dir"], back["size"], back["entry_id"]) == (False, 11, 1)
+
+
 def test_replay_equals_sequential_fold(spark):
     random.seed(3)
     paths = [f"/r/d{i}" for i in range(3)] + [f"/r/d{i}/f{j}" for i in range(3) for j in range(3)]
@@ -117,7 +133,7 @@ def test_stream_equals_batch(spark, tmp_path):
     cat.save_snapshot(base(spark), f"file://{tmp_path}/c", ["/r"], 1)
     changes.coalesce(1).write.parquet(f"{tmp_path}/in")
     follow(changes_stream(spark, f"{tmp_path}/in"), f"file://{tmp_path}/c", f"{tmp_path}/state", once=True).awaitTermination()
-    want = ch.merge(base(spark), changes).where("not is_deleted").orderBy("path").collect()
+    want = ch.merge(base(spark), changes).where("not is_deleted").select(*cat.COLUMNS).orderBy("path").collect()
     assert latest(spark, f"file://{tmp_path}/c").select(*cat.COLUMNS).orderBy("path").collect() == want
 
 

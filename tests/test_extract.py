@@ -59,3 +59,21 @@ def test_media(spark):
     assert ebml_uint(b"\x81\x20", 0) == (32, 2) and ebml_length(b"\x40\x02\xaa\xbb", 0) == (2, 2) and ebml_length(b"\x00", 0) is None
     row = spark.createDataFrame([(mp4, "mp4")], "b binary, k string").select(media_info(F.col("b"), F.col("k")).alias("m")).first()["m"]
     assert tuple(row) == (222.0, 1920, 1080, "MP4")
+
+
+def test_odd_media_and_sheets():
+    wide = b"\x00\x00\x00\x01moov" + struct.pack(">Q", 16 + 28) + box(b"mvhd", struct.pack(">IIIII", 0, 0, 0, 10, 25))
+    assert probe(wide, "mp4")[0] == 2.5
+    assert probe(b"\x00\x00\x00\x00moov" + box(b"trak", box(b"tkhd", struct.pack(">II", 7 << 16, 5 << 16))), "mp4")[1:3] == (7, 5)
+    assert probe(box(b"free", b"")[:7], "mp4") == (None, None, None, "MP4") and probe(b"\x00\x00\x00\x04moov" * 9, "mp4")[0] is None
+    assert probe(box(b"moov", b"") * 5000 + box(b"moov", box(b"mvhd", struct.pack(">IIIII", 0, 0, 0, 10, 25))), "mp4")[0] is None
+    ns = 'xmlns="http://schemas.openxmlformats.org/spreadsheetml/2006/main" xmlns:r="http://schemas.openxmlformats.org/officeDocument/2006/relationships"'
+    cells = '<row r="1"><c r="A1"><v>1</v></c></row><row r="1048576"><c r="XFD1048576"><v>2</v></c></row>'
+    parts = {
+        "xl/workbook.xml": f'<workbook {ns}><sheets><sheet name="Far" sheetId="1" r:id="r1"/></sheets></workbook>',
+        "xl/_rels/workbook.xml.rels": '<Relationships><Relationship Id="r1" Target="worksheets/sheet1.xml"/></Relationships>',
+        "xl/worksheets/sheet1.xml": f"<worksheet {ns}><sheetData>{cells}</sheetData></worksheet>",
+    }
+    assert extract_text(zipped(**parts), "xlsx") == "── Far ──\n1"
+    bomb = parts | {"xl/worksheets/sheet1.xml": '<!DOCTYPE x [<!ENTITY a "aaaa">]>' + parts["xl/worksheets/sheet1.xml"]}
+    assert extract_text(zipped(**bomb), "xlsx") is None

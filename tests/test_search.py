@@ -121,3 +121,17 @@ def test_empty_catalog(spark):
     for mode in MatchMode:
         assert search(c, parse("a", mode)).hits.count() == 0
     assert search(c, parse("")).totals.first()["total"] == 0
+
+
+def test_fuzzy_reads_a_long_name_once(spark):
+    """No backtracking: a name that nearly matches costs no more than its length."""
+    import time
+
+    from shelfmark.operators.fuzzy import fuzzy_prefilter
+
+    names = spark.createDataFrame([("a" * 255,), ("a" * 254 + "b",), ("x.y[z]^-é",)], "name string")
+    began = time.time()
+    assert [r[0] for r in names.where(fuzzy_prefilter(F.col("name"), "aaaaaaaaaab", False)).collect()] == ["a" * 254 + "b"]
+    assert time.time() - began < 5
+    assert names.where(fuzzy_prefilter(F.col("name"), ".[]^-É", True)).count() == 0
+    assert names.where(fuzzy_prefilter(F.col("name"), ".[]^-é", True)).count() == 1
