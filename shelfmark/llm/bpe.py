@@ -9,8 +9,8 @@ heap, which takes the same pairs in the same order.
 
 The vocabulary is a file of ranks whose path is a parameter; nothing is trained here.
 
-Defined results: null and empty texts have no tokens and decode to nothing; any bytes are encodable, so decoding gives
-back exactly the text; repeated rows give repeated results, an empty table an empty one. Work is per row, without a
+Defined results: null and empty texts have no tokens and decode to nothing; texts are strings of valid UTF-8, so decoding gives
+back exactly the text (invalid bytes, which Spark's strings may hold, become U+FFFD first); repeated rows give repeated results, an empty table an empty one. Work is per row, without a
 shuffle, and a text is never cut.
 """
 

@@ -6,8 +6,8 @@ The weights are trained by follow-the-regularised-leader (FTRL-proximal) with el
 of them exactly zero; a temperature fitted on a part of the sample that training does not see calibrates the scores.
 
 The model is fitted on a bounded sample: at most ``SAMPLE`` learning documents in all, shared out evenly over the
-languages, chosen by hash, whole texts. Everything else covers all rows. The model has ``N_FEATURES`` times the number
-of languages weights (``MAX_LANGUAGES`` at most, the most frequent ones), so what is sent to the workers is bounded.
+languages (one each at least), chosen by hash, whole texts. Everything else covers all rows and every label. The model has
+``N_FEATURES`` times the number of languages weights, 128 KB a language, which is what the workers are sent.
 
 Defined results: null texts and texts without a letter are ``und`` with score 0; with no labelled learning document
 every text is ``und``. Null or unknown labels are not learned from. Equal texts get equal predictions. Very long texts
@@ -21,14 +21,14 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from shelfmark.llm.common import table
+from shelfmark.llm.common import slices, table
 
 N_FEATURES = 1 << 14
 SAMPLE = 2_400
-MAX_LANGUAGES = 256
 UNDETERMINED = "und"
 ORDERS = (1, 2, 3)
 #: Code points counted at a time.
@@ -158,7 +158,7 @@ def _features(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 def fit(docs: DataFrame, sample: int = SAMPLE) -> Model:
     """Learn from the columns ``text`` and ``lang`` of ``docs``; rows with a null in one of them are passed over."""
     given = docs.select("text", "lang").where(F.col("text").isNotNull() & F.col("lang").isNotNull())
-    sizes = given.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(MAX_LANGUAGES).collect()
+    sizes = given.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").collect()  # a row for each label
     if not sizes:
         return Model([], np.zeros(N_FEATURES), np.zeros((N_FEATURES, 0)), np.zeros(0))
     languages = sorted(r["lang"] for r in sizes)
@@ -169,7 +169,7 @@ def fit(docs: DataFrame, sample: int = SAMPLE) -> Model:
         share = F.when(F.col("lang") == r["lang"], F.lit(min(1.0, each / r["n"]))).otherwise(share)
     mixed = F.xxhash64("text")
     chosen = given.where(F.pmod(mixed, F.lit(1_000_003)) < F.ceil(share * 1_000_003)).withColumn("held", F.pmod(F.shiftright(mixed, 40), F.lit(5)) == 0)
-    rows = chosen.mapInPandas(_features, "lang string, held boolean, feature binary, tf binary").orderBy(F.xxhash64("feature", "tf"), "lang").limit(2 * sample).collect()
+    rows = chosen.mapInPandas(_features, "lang string, held boolean, feature binary, tf binary").orderBy(F.xxhash64("feature", "tf"), "lang").limit(2 * max(sample, len(languages))).collect()
     df = given.where(F.col("lang").isin(languages)).select("text").mapInPandas(_frequencies, "feature int, n long").groupBy("feature").agg(F.sum("n").alias("n")).collect()
     seen = np.zeros(N_FEATURES + 1)
     for r in df:
@@ -197,13 +197,15 @@ def predict(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
     given = docs.drop("lang_pred", "score")
     kept = [c for c in given.columns if c != text]
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = [shared.value.predict(t) for t in batch[text]]
-            yield batch[kept].assign(lang_pred=[a for a, _ in found], score=[b for _, b in found])
+            for part in slices(batch, text):
+                found = [shared.value.predict(t) for t in part.column(text).to_pylist()]
+                columns = [pa.array([a for a, _ in found], pa.string()), pa.array([b for _, b in found], pa.float64())]
+                yield pa.RecordBatch.from_arrays([*(part.column(c) for c in kept), *columns], [*kept, "lang_pred", "score"])
 
     fields = ", ".join(f"`{n}` {t}" for n, t in given.dtypes if n != text)
-    return given.mapInPandas(run, f"{fields}, lang_pred string, score double")
+    return given.mapInArrow(run, f"{fields}, lang_pred string, score double")
 
 
 def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -108,13 +108,14 @@ def near_repeats(docs: DataFrame, first: DataFrame) -> DataFrame:
     rows = split_lines(docs)
     keyed = rows.select(F.explode(_halves(F.col("line"), F.col("len"))).alias("key"), "a", "b")
     shared = stored(keyed.groupBy("key").agg(F.min("a").alias("lo"), F.max("a").alias("hi")).where("lo <> hi").select("key"), "halves")
-    wanted = maybe_in(keyed, "key", shared).join(shared, "key", "left_semi").select("a", "b").distinct()
+    # Inner joins with distinct keys, as semi-joins would be planned before the bitmaps that spare them rows.
+    wanted = maybe_in(keyed, "key", shared).join(shared, "key").select("a", "b").distinct()
     spots = stored(first.join(wanted, ["a", "b"]).select("a", "b", "at.doc_id", "at.line_no"), "spots")
     texts = maybe_in(rows, "doc_id", spots).join(spots, ["doc_id", "line_no", "a", "b"]).select("a", "b", "line", "len", F.struct("doc_id", "line_no").alias("at"))
     texts = stored(texts.dropDuplicates(["a", "b"]), "lines")
     emitted = texts.select("a", "b", "at", F.explode(_variants(F.col("line"), F.col("len"))).alias("v")).select("a", "b", "at", "v.key", "v.role")
     equal = stored(emitted.groupBy("key").agg(F.min("a").alias("lo"), F.max("a").alias("hi")).where("lo <> hi").select("key"), "keys")
-    met = stored(maybe_in(emitted, "key", equal).join(equal, "key", "left_semi").distinct(), "met")
+    met = stored(maybe_in(emitted, "key", equal).join(equal, "key").distinct(), "met")
     who = F.struct("at", "a", "b")
     earliest = met.groupBy("key").agg(*(F.min(F.when(F.col("role") == r, who)).alias(r) for r in "SDX"))
     other = F.when(F.col("role") == "S", F.col("S")).when(F.col("role") == "D", F.col("X")).otherwise(F.col("D"))
@@ -131,10 +132,11 @@ def kept_lines(docs: DataFrame, every: bool = False) -> DataFrame:
     return stay.select("at.doc_id", "at.line_no").groupBy("doc_id").agg(F.array_sort(F.collect_set("line_no")).alias("kept"))
 
 
-def dedup_lines(docs: DataFrame, every: bool = False) -> DataFrame:
+def dedup_lines(docs: DataFrame, every: bool = False, spare: float | None = None) -> DataFrame:
     """``docs`` with superfluous lines cut out of ``text``, and long columns ``n_lines`` and ``n_dropped``.
 
-    ``every`` finds exact repeats of short lines too.
+    ``every`` finds exact repeats of short lines too. With ``spare``, a document that would lose at least this share of its
+    characters, but not all its words, stays as it is: it is a version of another one, of which cutting would leave a stub.
     """
     kept = kept_lines(docs.select("doc_id", "text"), every)
     lines = F.split("text", "\n", -1)
@@ -143,7 +145,15 @@ def dedup_lines(docs: DataFrame, every: bool = False) -> DataFrame:
 
     def cut(x: Column) -> Column:
         stays = F.filter(x["lines"], lambda line, i: ~droppable(line, every) | F.coalesce(F.get(x["mask"], i), F.lit(False)))
-        return let(stays, lambda s: F.struct(F.concat_ws("\n", s).alias("text"), F.size(x["lines"]).cast("long").alias("n"), (F.size(x["lines"]) - F.size(s)).cast("long").alias("dropped")))
+        n = F.size(x["lines"]).cast("long")
+        result = lambda text, dropped: F.struct(text.alias("text"), n.alias("n"), dropped.cast("long").alias("dropped"))
+
+        def spared(r: Column) -> Column:
+            version = (F.length("text") - F.length(r["text"]) >= F.lit(spare) * F.length("text")) & r["text"].rlike(NOT_BLANK)
+            return F.when(version & (r["dropped"] > 0), result(F.col("text"), F.lit(0))).otherwise(r)
+
+        whole = let(stays, lambda s: result(F.concat_ws("\n", s), F.size(x["lines"]) - F.size(s)))
+        return whole if spare is None else let(whole, spared)
 
     done = F.when(F.col("text").isNotNull() & F.col("doc_id").isNotNull(), let(F.struct(lines.alias("lines"), mask.alias("mask")), cut))
     out = docs.drop("n_lines", "n_dropped", "kept").join(kept, "doc_id", "left").withColumn("__cut", done)

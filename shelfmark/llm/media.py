@@ -55,6 +55,20 @@ def automaton() -> ahocorasick.Automaton:
     return built
 
 
+class Finder:
+    """Finds byte strings in a file from rising places on, each stretch read once."""
+
+    def __init__(self, raw: bytes):
+        self.raw, self.held = raw, {}
+
+    def __call__(self, wanted: bytes, at: int) -> int:
+        asked, found = self.held.get(wanted, (len(self.raw) + 1, 0))
+        if not (asked <= at and (found < 0 or at <= found)):
+            asked, found = at, self.raw.find(wanted, at)
+            self.held[wanted] = asked, found
+        return found
+
+
 def _riff(data: memoryview) -> tuple[str, int] | None:
     if len(data) < 12:
         return None
@@ -109,7 +123,7 @@ def _gif(data: memoryview) -> tuple[str, int] | None:
     return None
 
 
-def _jpeg(data: memoryview) -> tuple[str, int] | None:
+def _jpeg(data: memoryview, start: int, find: Finder) -> tuple[str, int] | None:
     at = 2
     while at + 4 <= len(data):
         if data[at] != 0xFF:
@@ -119,8 +133,8 @@ def _jpeg(data: memoryview) -> tuple[str, int] | None:
             return None
         at += 2 + length
         if marker == 0xDA:
-            end = bytes(data[at:]).find(b"\xff\xd9")
-            return ("image/jpeg", at + end + 2) if end >= 0 else None
+            end = find(b"\xff\xd9", start + at) - start
+            return ("image/jpeg", end + 2) if end >= 0 else None
     return None
 
 
@@ -159,8 +173,8 @@ def _mp4(data: memoryview) -> tuple[str, int] | None:
     return ("video/mp4", at) if b"ftyp" in seen[:1] and b"moov" in seen else None
 
 
-def _pdf(data: memoryview) -> tuple[str, int] | None:
-    end = bytes(data).find(b"%%EOF")
+def _pdf(data: memoryview, start: int, find: Finder) -> tuple[str, int] | None:
+    end = find(b"%%EOF", start) - start
     return ("application/pdf", end + 5) if end >= 0 else None
 
 
@@ -169,12 +183,13 @@ VALIDATORS = {"riff": _riff, "png": _png, "gif": _gif, "jpeg": _jpeg, "bmp": _bm
 
 def sniff(data: bytes) -> list[tuple[int, int, str]]:
     """(offset, length, type) of all validated media in ``data``, outermost first, none inside another of its own start."""
-    view, found, seen = memoryview(data), [], set()
+    view, find, found, seen = memoryview(data), Finder(data), [], set()
     for last, (length, offset, kind) in automaton().iter(data.decode("latin-1")):
         start = last - length + 1 - offset
         if start >= 0 and (start, kind) not in seen:
             seen.add((start, kind))
-            if valid := VALIDATORS[kind](view[start:]):
+            more = (start, find) if kind in ("jpeg", "pdf") else ()
+            if valid := VALIDATORS[kind](view[start:], *more):
                 found.append((start, valid[1], valid[0]))
     return sorted(found, key=lambda x: (x[0], -x[1]))
 
@@ -206,7 +221,7 @@ def padded(text: bytes, unit: int = UNIT) -> bytes:
 
 
 def encode(docs: DataFrame, text: str = "text") -> DataFrame:
-    """doc_id, n_bytes, declared (what the column claims, here always unknown) and media of every document."""
+    """doc_id, n_bytes, declared (what the column claims: ``text/plain`` for a text, unknown without any) and media of every document."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -214,7 +229,7 @@ def encode(docs: DataFrame, text: str = "text") -> DataFrame:
                 raw = [x or b"" for x in part.column(text).to_pylist()]
                 n = pa.array([len(x) for x in raw], pa.int64())
                 media = pa.array([wav(padded(x)) for x in raw], pa.binary())
-                yield pa.RecordBatch.from_arrays([part.column("doc_id"), n, pa.array([UNKNOWN] * len(raw)), media], ["doc_id", "n_bytes", "declared", "media"])
+                yield pa.RecordBatch.from_arrays([part.column("doc_id"), n, pa.array(["text/plain" if x else UNKNOWN for x in raw]), media], ["doc_id", "n_bytes", "declared", "media"])
 
     return docs.select("doc_id", F.col(text).cast("binary").alias(text)).mapInArrow(run, "doc_id long, n_bytes long, declared string, media binary")
 
@@ -254,10 +269,19 @@ def _schema(types: tuple) -> pa.Schema:
 
 
 def carve(media: DataFrame) -> DataFrame:
-    """One row for each embedded medium: doc_id, offset, media_type and its bytes."""
-    found = media.select("doc_id", "n_bytes", "declared", "media")
-    kinds = examine(found).select("doc_id", F.explode("embedded").alias("e"))
-    return found.join(kinds, "doc_id").select("doc_id", "e.offset", "e.media_type", F.expr("substring(media, cast(e.offset as int) + 1, cast(e.length as int))").alias("media"))
+    """One row for each embedded medium of (doc_id, media): doc_id, offset, media_type and its bytes."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in slices(batch, "media"):
+                for doc_id, data in zip(part.column("doc_id").to_pylist(), part.column("media").to_pylist(), strict=True):
+                    found = [(o, n, t) for o, n, t in sniff(data or b"") if o]
+                    for k in range(0, len(found), 1000):
+                        some = found[k : k + 1000]
+                        columns = [pa.array([doc_id] * len(some), pa.int64()), pa.array([o for o, _, _ in some], pa.int64()), pa.array([t for _, _, t in some], pa.string()), pa.array([data[o : o + n] for o, n, _ in some], pa.binary())]
+                        yield pa.RecordBatch.from_arrays(columns, ["doc_id", "offset", "media_type", "media"])
+
+    return media.select(F.col("doc_id").cast("long").alias("doc_id"), "media").mapInArrow(run, "doc_id long, offset long, media_type string, media binary")
 
 
 def op9_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -10,8 +10,9 @@ budget, and a last pass takes blocks in order up to the budget, the block at the
 What decides is a hash of the block and, at the edge, of the document, so the plan is one small row per source and no
 text is shuffled. Tokens are words plus one end mark.
 
-Bounds: the plan has ``MAX_SOURCES`` rows at most (the smallest sources beyond share one), and there are about
-``MAX_BLOCKS`` blocks at most, whatever the corpus size.
+Bounds: there are about ``MAX_BLOCKS`` blocks at most, whatever the corpus size. The plan has a row per source; up to
+``MAX_SOURCES`` the driver bisects over their token counts and the plan is broadcast, beyond Spark adds up each step and the
+plan is joined. The weights are the same.
 
 Defined results: a null source is a source of its own. Null and empty texts count one token. Equal rows are in or out
 together. An empty table gives an empty result. Columns named ``epoch`` or ``mix_key`` are replaced.
@@ -20,11 +21,12 @@ together. An empty table gives an empty result. Columns named ``epoch`` or ``mix
 from __future__ import annotations
 
 import math
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from shelfmark.llm.common import table, words
+from shelfmark.llm.common import stored, table, words
 
 MAX_SOURCES = 10_000
 MAX_BLOCKS = 1 << 18
@@ -33,7 +35,6 @@ BLOCK_TOKENS = 1 << 18
 ENTROPY = 0.95
 #: How often a document may be read at most.
 REPEATS = 2.0
-REST = "\x00rest"
 
 
 def weights(tokens: list[int], exponent: float) -> list[float]:
@@ -54,19 +55,20 @@ def repeats(tokens: list[int], w: list[float]) -> list[float]:
     return [p / least for p in passes]
 
 
+def bisect(holds: Callable[[float], bool]) -> float:
+    """The edge in [0, 1] of a condition that holds at 0 and from some point on no more."""
+    if holds(1.0):
+        return 1.0
+    low, high = 0.0, 1.0
+    for _ in range(60):
+        mid = (low + high) / 2
+        low, high = (mid, high) if holds(mid) else (low, mid)
+    return low
+
+
 def exponent(tokens: list[int], target: float = ENTROPY, limit: float = REPEATS) -> float:
     """The exponent of the mixture, by two bisections."""
 
-    def bisect(holds) -> float:  # noqa: ANN001
-        """The edge in [0, 1] of a condition that holds at 0 and from some point on no more."""
-        if holds(1.0):
-            return 1.0
-        low, high = 0.0, 1.0
-        for _ in range(60):
-            mid = (low + high) / 2
-            low, high = (mid, high) if holds(mid) else (low, mid)
-        return low
-
     if len(tokens) < 2:
         return 1.0
     even = bisect(lambda x: entropy(weights(tokens, x)) >= target * math.log(len(tokens)))
@@ -83,39 +85,77 @@ def _unit(h: Column) -> Column:
     return F.pmod(h, F.lit(1 << 52)) / F.lit(float(1 << 52))
 
 
-def plan(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """The documents with their source, block and hashes, and the plan: one row per source."""
-    spark = docs.sparkSession
-    source = F.coalesce(F.concat(F.lit("s"), F.col("source")), F.lit("n"))
-    sizes = docs.groupBy(source.alias("__s")).agg(F.sum(token_count(F.col("text"))).alias("t")).orderBy(F.desc("t"), "__s")
-    largest = [(r["__s"], r["t"]) for r in sizes.limit(MAX_SOURCES).collect()]
-    total = sizes.agg(F.sum("t")).first()[0] or 0
-    rest = total - sum(t for _, t in largest)
-    if rest:
-        largest.append((REST, rest))
-    tokens = [t for _, t in largest]
-    share = weights(tokens, exponent(tokens)) if tokens else []
-    passes = repeats(tokens, share) if tokens else []
+def exponent_of(sources: DataFrame, target: float = ENTROPY, limit: float = REPEATS) -> float:
+    """``exponent`` of a table of sources (t): every step of the bisection needs two sums, which Spark adds up."""
+    given = sources.agg(F.count("*").alias("n"), F.sum("t").alias("total"), F.min("t").alias("lo"), F.max("t").alias("hi")).first()
+    if given["n"] < 2:
+        return 1.0
+    share = F.col("t") / F.lit(float(given["total"]))
+
+    def even(x: float) -> bool:
+        raised = F.pow(share, F.lit(x))
+        r = sources.agg(F.sum(raised).alias("s"), F.sum(raised * F.log(share)).alias("l")).first()
+        return math.log(r["s"]) - x * r["l"] / r["s"] >= target * math.log(given["n"])
+
+    return max(bisect(even), 1.0 - bisect(lambda y: (given["hi"] / given["lo"]) ** y <= limit))
+
+
+def measured(docs: DataFrame) -> DataFrame:
+    """(__s, __doc, t): the source, the hash and the tokens of every document, written once."""
+    return stored(docs.select(_source().alias("__s"), F.xxhash64("doc_id", "text").alias("__doc"), token_count(F.col("text")).alias("t")), "measured")
+
+
+def _source() -> Column:
+    return F.coalesce(F.concat(F.lit("s"), F.col("source")), F.lit("n"))
+
+
+def _small(df: DataFrame, few: bool) -> DataFrame:
+    """``df``, to be broadcast if it has few rows."""
+    return F.broadcast(df) if few else df
+
+
+def plan(docs: DataFrame) -> tuple[DataFrame, bool]:
+    """The plan, one row per source, and whether it is short enough to be broadcast.
+
+    Columns: __s, blocks, whole (passes), left (tokens of the last pass), weight, and where that pass ends: turn and eb of the
+    block at the edge, and the last hash in it.
+    """
+    facts = measured(docs)
+    sources = stored(facts.groupBy("__s").agg(F.sum("t").alias("t")), "sources")
+    total, n, least = sources.agg(F.coalesce(F.sum("t"), F.lit(0)), F.count("*"), F.min("t")).first()
+    few = n <= MAX_SOURCES
+    x = exponent([r["t"] for r in sources.orderBy("t").select("t").collect()]) if few else exponent_of(sources)
     block_tokens = max(BLOCK_TOKENS, total // MAX_BLOCKS)
-    # (source, blocks, whole passes, tokens left for the last pass, weight)
-    rows = [(s, -(-t // block_tokens), int(p + 1e-9), max(0, int((p - int(p + 1e-9)) * t)), w) for (s, t), p, w in zip(largest, passes, share, strict=True)]
-    known = spark.createDataFrame(rows, "__s string, blocks long, whole long, left long, weight double")
-    keyed = docs.withColumn("__k", source).join(F.broadcast(known.select(F.col("__s").alias("__k"))).withColumn("__hit", F.lit(True)), "__k", "left")
-    keyed = keyed.withColumn("__s", F.when(F.col("__hit"), F.col("__k")).otherwise(F.lit(REST))).drop("__k", "__hit")
-    placed = keyed.join(F.broadcast(known), "__s").withColumn("__doc", F.xxhash64("doc_id", "text")).withColumn("__block", F.pmod("__doc", "blocks"))
-    placed = placed.withColumn("__turn", F.xxhash64("__s", "__block", "whole")).withColumn("__order", F.xxhash64(F.lit(17), "__doc"))
-    partial = placed.where("left > 0").select("__s", "__block", "__turn", "__order", "left", token_count(F.col("text")).alias("t"))
+    raised = F.pow(F.col("t") / F.lit(float(max(total, 1))), F.lit(x))
+    scale = sources.agg(F.sum(raised)).first()[0] or 1.0
+    # Passes are scaled so that the largest source, which has the least room, is read once.
+    most = sources.agg(F.max("t")).first()[0] or 1
+    passes = F.pow(F.col("t") / F.lit(float(most)), F.lit(x - 1.0))
+    whole = F.floor(passes + 1e-9)
+    known = sources.select(
+        "__s",
+        F.ceil(F.col("t") / F.lit(float(block_tokens))).alias("blocks"),
+        whole.alias("whole"),
+        F.greatest(F.floor((passes - whole) * F.col("t")), F.lit(0)).alias("left"),
+        (raised / F.lit(scale)).alias("weight"),
+    )
+    known = stored(known, "known")
+    placed = _placed(facts.join(_small(known, few), "__s"))
+    partial = placed.where("left > 0").select("__s", "__block", "__turn", "__order", "left", "t")
     blocks = partial.groupBy("__s", "__block", "__turn", "left").agg(F.sum("t").alias("t"))
     upto = Window.partitionBy("__s").orderBy("__turn", "__block").rowsBetween(Window.unboundedPreceding, 0)
-    edge = blocks.withColumn("c", F.sum("t").over(upto)).where("c > left").groupBy("__s").agg(F.min(F.struct("__turn", "__block", (F.col("left") - F.col("c") + F.col("t")).alias("room"))).alias("e"))
-    edges = spark.createDataFrame([(r["__s"], r["e"][0], r["e"][1], r["e"][2]) for r in edge.collect()], "__s string, turn long, eb long, room long")
-    inside = partial.join(F.broadcast(edges), "__s").where("__block = eb")
+    edge = blocks.withColumn("c", F.sum("t").over(upto)).where("c > left").groupBy("__s").agg(F.min(F.struct(F.col("__turn").alias("turn"), F.col("__block").alias("eb"), (F.col("left") - F.col("c") + F.col("t")).alias("room"))).alias("e"))
+    edges = stored(edge.select("__s", "e.*"), "edges")
+    inside = partial.join(_small(edges, few), "__s").where("__block = eb")
     peers = Window.partitionBy("__s").orderBy("__order").rangeBetween(Window.unboundedPreceding, 0)
-    last = inside.withColumn("c", F.sum("t").over(peers)).where("c <= room").groupBy("__s").agg(F.max("__order").alias("order"))
-    found = {r["__s"]: r["order"] for r in last.collect()}
-    full = {r["__s"]: (r["turn"], r["eb"]) for r in edges.collect()}
-    final = [(*r, *full.get(r[0], (None, None)), found.get(r[0])) for r in rows]
-    return placed, spark.createDataFrame(final, "__s string, blocks long, whole long, left long, weight double, turn long, eb long, last long")
+    last = inside.withColumn("c", F.sum("t").over(peers)).where("c <= room").groupBy("__s").agg(F.max("__order").alias("last"))
+    return stored(known.join(edges.drop("room"), "__s", "left").join(last, "__s", "left"), "plan"), few
+
+
+def _placed(joined: DataFrame) -> DataFrame:
+    """Rows with __s, __doc and the plan, with their block and the hashes that order blocks and documents."""
+    out = joined.withColumn("__block", F.pmod("__doc", "blocks"))
+    return out.withColumn("__turn", F.xxhash64("__s", "__block", "whole")).withColumn("__order", F.xxhash64(F.lit(17), "__doc"))
 
 
 def mix(docs: DataFrame) -> DataFrame:
@@ -124,8 +164,9 @@ def mix(docs: DataFrame) -> DataFrame:
     In the order of ``mix_key`` the sources are interleaved at their weights, each pass in its own permutation of blocks.
     """
     given = docs.drop("epoch", "weight", "mix_key")
-    placed, decided = plan(given)
-    full = placed.drop("blocks", "whole", "left", "weight").join(F.broadcast(decided), "__s")
+    decided, few = plan(given)
+    keyed = given.withColumn("__s", _source()).withColumn("__doc", F.xxhash64("doc_id", "text"))
+    full = _placed(keyed.join(_small(decided, few), "__s"))
     before = (F.col("__turn") < F.col("turn")) | ((F.col("__turn") == F.col("turn")) & (F.col("__block") < F.col("eb")))
     at_edge = (F.col("__block") == F.col("eb")) & (F.col("__order") <= F.col("last"))
     again = F.when(F.col("left") == 0, F.lit(False)).when(F.col("turn").isNull(), F.lit(True)).otherwise(F.coalesce(before | at_edge, F.lit(False)))

@@ -12,9 +12,9 @@ Base rules come first: fewer than 50 words, or more than half of the words in re
 Main path: SQL functions only. The references are one row per language of ``COMMON_WORDS`` at most, which bounds the
 broadcast. Nothing else is shuffled.
 
-Defined results: a null text has no words and fails; so does an empty one. Where no language has a reference (an empty
-corpus, or none of these languages), the base rules alone decide. ``lang`` may be null: it only decides which reference
-a document adds to. Repeated rows are judged alike.
+Defined results: a null text has no words and fails; so does an empty one. The base rules alone decide where no language
+has a reference, and for a document in a language without one: ``COMMON_WORDS`` is what a further language is added to.
+A document whose ``lang`` is null is judged by the nearest reference. Repeated rows are judged alike.
 """
 
 from __future__ import annotations
@@ -65,7 +65,7 @@ def _common_counts(lowered: Column) -> Column:
     lists = [COMMON_WORDS[k].split() for k in sorted(COMMON_WORDS)]
     every = sorted({w for ws in lists for w in ws})
     hits = F.filter(lowered, lambda w: w.isin(every))
-    size = lambda found, word: F.size(F.filter(found, lambda w: w == word)).cast("long")
+    size = lambda found, word: (F.size(found) - F.size(F.array_remove(found, word))).cast("long")
     return let(hits, lambda found: F.array(*(F.array(*(size(found, w) for w in ws)) for ws in lists)))
 
 
@@ -160,11 +160,13 @@ def judge(docs: DataFrame, refs: DataFrame | None = None, short: bool = False) -
 
         return F.array_min(F.transform(F.col("__refs"), to_one))
 
+    known = F.col("lang").isNull() | F.exists("__refs", lambda r: r["lang"] == F.col("lang"))
+
     def verdict(m: Column) -> Column:
         failed = (m["n_words"] < 50) | (100 * m["n_repeat_words"] > 50 * m["n_words"])
         t = F.coalesce(F.col("text"), F.lit(""))
         far = F.when(
-            ~failed if short else ~failed & (m["n_words"] >= MIN_WORDS),
+            known & ~failed & (F.lit(short) | (m["n_words"] >= MIN_WORDS)),
             let(F.struct(_class_counts(t).alias("a"), _common_counts(words(F.lower(t))).alias("b")), lambda h: nearest(h["a"], h["b"], m["n_words"])),
         )
         limit = F.when(m["n_words"] < MIN_WORDS, SHORT_DISTANCE).otherwise(MAX_DISTANCE) if short else F.lit(MAX_DISTANCE)
@@ -230,7 +232,8 @@ def _sql() -> str:
     ref_cls AS (SELECT lang, 1 AS same, bin, sum(c) AS c, sum(sum(c)) OVER (PARTITION BY lang)::DOUBLE AS total FROM cls WHERE lang IN ({known}) GROUP BY lang, bin),
     far AS (SELECT a.doc_id, min(greatest(a.js, b.js)) AS distance FROM ({distance("cls", "ref_cls")}) a JOIN ({distance("own_words", "ref_words")}) b USING (doc_id, lang)
             WHERE a.lang IN (SELECT lang FROM ref_words WHERE total > 0) GROUP BY a.doc_id),
-    v AS (SELECT m.*, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed, f.distance AS js FROM m LEFT JOIN far f USING (doc_id))
+    v AS (SELECT m.*, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed,
+          CASE WHEN m.lang IS NULL OR m.lang IN (SELECT lang FROM ref_words WHERE total > 0) THEN f.distance END AS js FROM m LEFT JOIN far f USING (doc_id))
     SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, round(CASE WHEN NOT base_failed AND n_words >= {MIN_WORDS} THEN js END, 6) AS distance,
            NOT base_failed AND (n_words < {MIN_WORDS} OR coalesce(js, 0) <= {MAX_DISTANCE}) AS kept FROM v"""
 

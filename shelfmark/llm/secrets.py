@@ -5,8 +5,8 @@ of kind ``entropy``: every run of characters of a class (hexadecimal digits, or
 enough to be a key is a candidate. A window of fixed length slides over it. The counts of the characters in the window
 and the sum of ``c * log2(c)`` over them are updated by the character that leaves and the one that enters, so each step
 gives the Shannon entropy ``log2(w) - sum / w`` without recounting. Windows at or above the threshold of the class are
-merged to spans. A candidate on the allow list (UUIDs, documentation examples, fillers) adds nothing, nor does a span
-inside a base finding.
+merged to spans. A candidate that is a UUID adds nothing, nor does a span that holds a documentation example or a filler, or
+has one within ``MARGIN`` characters of the candidate, nor a span inside a base finding.
 
 Main path: SQL functions only; there is no shuffle and the work of a row depends on that row alone.
 
@@ -17,6 +17,7 @@ that the scan adds replace columns of the same name.
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -31,6 +32,8 @@ BASE = (
     ("hex", r"[0-9a-f]{24,}", 0, 24),  # a maximal run either has 24 characters or fails as a whole
 )
 KINDS = ("assign", "access", "hex", "entropy")
+#: Matches whose offsets are summed up together.
+PART = 128
 
 
 @dataclass(frozen=True)
@@ -48,9 +51,10 @@ CLASSES = (
     CharacterClass("hexadecimal", r"(?<![A-Za-z0-9+/_=-])[0-9A-Fa-f]{20,}(?![A-Za-z0-9+/_=-])", 20, 2.75, ("[0-9]", "[A-Fa-f]")),
     CharacterClass("base64", r"[A-Za-z0-9+/_=-]{20,}", 20, 3.65, ("[0-9]", "[A-Za-z]", "[G-Zg-z+/_=-]")),
 )
-#: Candidates that are no secrets.
+#: Candidates that are no secrets as a whole, and what no span may hold or stand beside.
+ALLOW_WHOLE = r"^[0-9A-Fa-f]{8}(-[0-9A-Fa-f]{4}){3}-[0-9A-Fa-f]{12}$"
+MARGIN = 12
 ALLOW = (
-    r"^[0-9A-Fa-f]{8}(-[0-9A-Fa-f]{4}){3}-[0-9A-Fa-f]{12}$",
     r"(?i)example|sample|dummy|placeholder|changeme",
     r"(.)\1{7}",
     r"(?i)0123456789abcdef|abcdefghijklmnop",
@@ -63,18 +67,30 @@ def occurrences(text: Column, pattern: str, group: int = 0, gate: Column | None
     ``gate`` is a cheap condition that every text with a match meets.
     """
     nothing = F.array().cast("array<struct<start:int,end:int,value:string>>")
+    places = "array<struct<start:int,end:int>>"
 
     def place(pieces: Column, found: Column, values: Column) -> Column:
-        def step(acc: Column, i: Column) -> Column:
-            start = acc["at"] + F.length(pieces[i])
-            return let(
-                F.struct(start.alias("start"), (start + F.length(found[i])).alias("end"), values[i].alias("value")),
-                lambda m: F.struct(m["end"].alias("at"), F.concat(acc["out"], F.array(m)).alias("out")),
-            )
+        """Offsets are sums of lengths: first within parts of PART matches, then over the parts, so that no list is copied for every match."""
 
-        return F.aggregate(
-            F.sequence(F.lit(0), F.size(found) - 1), F.struct(F.lit(0).alias("at"), nothing.alias("out")), step, lambda acc: acc["out"]
-        )
+        def within(part: Column) -> Column:
+            def step(acc: Column, i: Column) -> Column:
+                start = acc["at"] + F.length(F.get(pieces, i))
+                m = F.struct(start.alias("start"), (start + F.length(F.get(found, i))).alias("end"))
+                return let(m, lambda m: F.struct(m["end"].alias("at"), F.concat(acc["out"], F.array(m)).alias("out")))
+
+            last = F.least((part + 1) * PART, F.size(found)) - 1
+            return F.aggregate(F.sequence(part * PART, last), F.struct(F.lit(0).alias("at"), F.array().cast(places).alias("out")), step)
+
+        def over(parts: Column) -> Column:
+            begins = F.aggregate(parts, F.array(F.lit(0)), lambda acc, p: F.concat(acc, F.array(F.element_at(acc, -1) + p["at"])))
+
+            def moved(begins: Column) -> Column:
+                shift = lambda p, k: F.transform(p["out"], lambda m: F.struct((m["start"] + F.get(begins, k)).alias("start"), (m["end"] + F.get(begins, k)).alias("end")))
+                return F.flatten(F.transform(parts, shift))
+
+            return F.zip_with(let(begins, moved), values, lambda m, v: F.struct(m["start"].alias("start"), m["end"].alias("end"), v.alias("value")))
+
+        return let(F.transform(F.sequence(F.lit(0), F.floor((F.size(found) - 1) / PART).cast("int")), within), over)
 
     def all_of(t: Column) -> Column:
         p = F.lit(pattern)
@@ -150,9 +166,7 @@ def _candidates(text: Column, cls: CharacterClass) -> Column:
         ok = F.lit(True)
         for need in cls.needs:
             ok = ok & m["value"].rlike(need)
-        for allowed in ALLOW:
-            ok = ok & ~m["value"].rlike(allowed)
-        return ok
+        return ok & ~m["value"].rlike(ALLOW_WHOLE)
 
     return F.filter(occurrences(text, cls.run, gate=text.rlike("[0-9]")), wanted)
 
@@ -175,28 +189,32 @@ def _high(text: Column, cls: CharacterClass) -> Column:
 
     def placed(m: Column) -> Column:
         moved = lambda s: F.struct((m["start"] + s["start"]).alias("start"), F.lit(3).alias("kind"), (m["start"] + s["end"]).alias("end"))
-        return F.transform(entropy_spans(m["value"], cls.window, cls.threshold), moved)
+        near = lambda s: F.substring(m["value"], F.greatest(s["start"] - MARGIN, F.lit(0)) + 1, s["end"] - F.greatest(s["start"] - MARGIN, F.lit(0)) + MARGIN)
+        allowed = lambda s: let(near(s), lambda v: F.array(*(v.rlike(p) for p in ALLOW)))
+        return F.transform(F.filter(entropy_spans(m["value"], cls.window, cls.threshold), lambda s: ~F.array_contains(allowed(s), True)), moved)
 
     return F.flatten(F.transform(_candidates(text, cls), placed))
 
 
+def findings(text: Column) -> tuple[list[Column], Callable[[Column], Column]]:
+    """Arrays of (start, kind, end) of the base kinds, and of the entropy spans beside given base spans."""
+    base = [_spans(_long_enough(occurrences(text, pattern, group, _gate(kind, text)), least), k) for k, (kind, pattern, group, least) in enumerate(BASE)]
+    high = [_high(text, cls) for cls in CLASSES]
+    within = lambda s, x: (x["start"] <= s["start"]) & (x["end"] >= s["end"])
+    return base, lambda found: let(found, lambda b: F.array_distinct(F.filter(F.concat(*high), lambda s: ~F.exists(b, lambda x: within(s, x)))))
+
+
 def scan(docs: DataFrame, text: str = "text") -> DataFrame:
     """``docs`` with array columns ``assign``, ``access``, ``hex`` and ``entropy`` of (start, kind, end)."""
-    t = F.coalesce(F.col(text), F.lit(""))
-    base = docs.withColumns({kind: _spans(_long_enough(occurrences(t, pattern, group, _gate(kind, t)), least), k) for k, (kind, pattern, group, least) in enumerate(BASE)})
-    high = [_high(t, cls) for cls in CLASSES]
-    found = F.concat("assign", "access", "hex")
-    return base.withColumn(
-        "entropy",
-        let(found, lambda b: F.array_distinct(F.filter(F.concat(*high), lambda s: ~F.exists(b, lambda x: (x["start"] <= s["start"]) & (x["end"] >= s["end"]))))),
-    )
+    base, entropy = findings(F.coalesce(F.col(text), F.lit("")))
+    return docs.withColumns(dict(zip(KINDS, base, strict=False))).withColumn("entropy", entropy(F.concat(*KINDS[:3])))
 
 
 def redact(docs: DataFrame, text: str = "text", mark: str = "[SECRET]") -> DataFrame:
-    """``docs`` with every span replaced by ``mark``; overlapping spans become one mark."""
-    found = scan(docs.select("*"), text)
-    spans = F.array_sort(F.concat("assign", "access", "hex", "entropy"))
+    """``docs`` with every span replaced by ``mark``; overlapping spans become one mark. No other column changes."""
     t = F.coalesce(F.col(text), F.lit(""))
+    base, entropy = findings(t)
+    found = docs.withColumn("__base", F.concat(*base)).withColumn("__spans", F.array_sort(F.concat("__base", entropy(F.col("__base")))))
 
     def step(acc: Column, s: Column) -> Column:
         between = F.substring(t, acc["at"] + 1, F.greatest(s["start"] - acc["at"], F.lit(0)))
@@ -205,8 +223,8 @@ def redact(docs: DataFrame, text: str = "text", mark: str = "[SECRET]") -> DataF
             F.when(s["start"] >= acc["at"], F.concat(acc["out"], between, F.lit(mark))).otherwise(acc["out"]).alias("out"),
         )
 
-    clean = F.aggregate(spans, F.struct(F.lit(0).alias("at"), F.lit("").alias("out")), step, lambda a: F.concat(a["out"], F.substring(t, a["at"] + 1, F.length(t))))
-    return found.withColumn(text, F.when(F.col(text).isNull(), F.lit(None).cast("string")).otherwise(clean)).drop("assign", "access", "hex", "entropy")
+    clean = F.aggregate("__spans", F.struct(F.lit(0).alias("at"), F.lit("").alias("out")), step, lambda a: F.concat(a["out"], F.substring(t, a["at"] + 1, F.length(t))))
+    return found.withColumn(text, F.when(F.col(text).isNull(), F.lit(None).cast("string")).otherwise(clean)).drop("__base", "__spans")
 
 
 def op3_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -21,10 +21,21 @@ def test_stages_on_odd_rows(spark, odd, none):
 def test_short_lines_are_deduplicated(spark):
     """An exact copy with short lines leaves no stub; blank lines stay; short lines are not compared by edits."""
     long = "a line that is long enough to be compared by edits"
-    rows = [(1, f"{long}\nshort\n\nshort\nshork", "en", "a", 1), (2, f"{long}\nshort\n\nshort\nshork", "en", "a", 1), (3, f"own words\n \n{long}!\nshort\n", "en", "a", 1)]
+    own = "own words, more of them than are lost, so that it is no version of the others at all"
+    rows = [(1, f"{long}\nshort\n\nshort\nshork", "en", "a", 1), (2, f"{long}\nshort\n\nshort\nshork", "en", "a", 1), (3, f"{own}\n \n{long}!\nshort\n", "en", "a", 1)]
     docs = spark.createDataFrame(rows, "doc_id bigint, text string, lang string, source string, n_chars bigint")
     got = {r["doc_id"]: r["text"] for r in pipeline.line_dedup(spark, docs, "").collect()}
-    assert got == {1: f"{long}\nshort\n\nshork", 3: "own words\n \n"}
+    assert got == {1: f"{long}\nshort\n\nshork", 3: f"{own}\n \n"}
+
+
+def test_near_copies_reach_their_stage_whole(spark):
+    """A copy with one changed line is passed on by line dedup and dropped by the Jaccard stage."""
+    lines_ = [" ".join(f"w{i}x{j}" for j in range(12)) for i in range(10)]
+    rows = [(1, "\n".join(lines_), "en", "a", 1), (2, "\n".join([*lines_[:9], "some other words at the end of it"]), "en", "a", 1), (3, "\n".join([lines_[0], *(f"{x} y" for x in ("z" * k for k in range(30, 50)))]), "en", "a", 1)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, lang string, source string, n_chars bigint")
+    passed = pipeline.line_dedup(spark, docs, "")
+    assert {r["doc_id"]: r["text"] for r in passed.collect()} | {3: ""} == {1: rows[0][1], 2: rows[1][1], 3: ""}
+    assert {r["doc_id"] for r in pipeline.near_duplicates(spark, passed, "").collect()} == {1, 3}
 
 
 def test_run(spark):

@@ -170,6 +170,16 @@ def test_line_dedup(spark):
     assert all(r["n_lines"] - r["n_dropped"] == want[r["doc_id"]].count("\n") + 1 for r in got)
 
 
+def test_versions_are_spared(spark):
+    """A document that would lose half of its text stays whole; one that loses less, or all, does not."""
+    part = ["first line that is long enough", "second line that is long enough", "third line that is long enough"]
+    own = "a line of its own, and a very long one at that, so that more than half of the text is left over"
+    rows = [(1, "\n".join(part)), (2, "\n".join([*part, "and one more"])), (3, "\n".join([*part, own])), (4, "\n".join(part))]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string")
+    got = {r["doc_id"]: (r["text"], r["n_dropped"]) for r in lines.dedup_lines(docs, every=True, spare=0.5).collect()}
+    assert got == {1: (rows[0][1], 0), 2: (rows[1][1], 0), 3: (own, 3), 4: ("", 3)}
+
+
 def test_line_dedup_of_odd_rows(odd, none):
     got = lines.dedup_lines(odd).collect()
     assert len(got) == odd.count()
@@ -215,6 +225,63 @@ def test_mixing_meets_its_budgets(spark):
     assert key(again) == key(pdf)
 
 
+def plain_mixture(rows):
+    """(doc_id, epoch) by plain Python; rows have the hashes that Spark gives them."""
+    tokens = Counter()
+    for r in rows:
+        tokens[r["s"]] += r["t"]
+    x = mixing.exponent(sorted(tokens.values()))
+    most, out = max(tokens.values()), Counter()
+    for s, total in tokens.items():
+        passes = (total / most) ** (x - 1)
+        whole = int(passes + 1e-9)
+        left = max(0, int((passes - whole) * total))
+        blocks = {}
+        for r in rows:
+            if r["s"] == s:
+                blocks.setdefault(r["turn"], []).append(r)
+                out.update((r["doc_id"], e) for e in range(whole))
+        room = left
+        for _, own in sorted(blocks.items()):
+            size = sum(r["t"] for r in own)
+            if size <= room:
+                out.update((r["doc_id"], whole) for r in own)
+                room -= size
+                continue
+            for order in sorted({r["order"] for r in own}):
+                peers = [r for r in own if r["order"] == order]
+                room -= sum(r["t"] for r in peers)
+                if room < 0:
+                    break
+                out.update((r["doc_id"], whole) for r in peers)
+            break
+    return out
+
+
+@pytest.mark.parametrize("most", [10_000, 3])
+def test_mixing_equals_a_plain_one(spark, monkeypatch, most):
+    """Every reading of every row, with the plan on the driver and as a table."""
+    monkeypatch.setattr(mixing, "MAX_SOURCES", most)
+    monkeypatch.setattr(mixing, "BLOCK_TOKENS", 400)
+    rng = random.Random(5)
+    rows = [(i, " ".join("w" for _ in range(rng.randint(0, 60))), rng.choice(["big"] * 6 + ["s1", "s2", "s3", None])) for i in range(600)]
+    rows += rows[:5]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, source string")
+    decided, few = mixing.plan(docs)
+    assert few == (most > 3)
+    keyed = mixing._placed(docs.withColumn("__s", mixing._source()).withColumn("__doc", F.xxhash64("doc_id", "text")).join(decided, "__s"))
+    hashed = keyed.select("doc_id", F.col("__s").alias("s"), mixing.token_count(F.col("text")).alias("t"), F.struct("__turn", "__block").alias("turn"), F.col("__order").alias("order")).collect()
+    got = Counter((r["doc_id"], r["epoch"]) for r in mixing.mix(docs).collect())
+    assert got == plain_mixture(hashed)
+
+
+def test_op6_query(spark, sf):
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    got = mixing.op6_mixing_sources(spark, sf).toPandas()
+    assert set(got["doc_id"]) == {r["doc_id"] for r in docs.select("doc_id").collect()}
+    assert got.groupby("source")["weight"].first().sum() == pytest.approx(1.0, abs=1e-6) and got["mix_key"].between(0, 2).all()
+
+
 def test_mixing_of_odd_rows(odd, none):
     got = mixing.mix(odd).collect()
     assert Counter(r["doc_id"] for r in got if r["epoch"] == 0) == Counter(r["doc_id"] for r in odd.collect())

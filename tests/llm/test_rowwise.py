@@ -104,6 +104,46 @@ def test_secret_scans(spark):
     assert clean[0] is None and clean[2] == SECRETS[2] and "hunter2" not in clean[3] and clean[3].startswith('é [SECRET]" and token:abc')
 
 
+def plain_spans(text):
+    """Base and entropy spans of a text by plain Python."""
+    base = base_findings(text)
+    out = set()
+    for cls in secrets.CLASSES:
+        for m in re.finditer(cls.run, text):
+            run = m[0]
+            if not all(re.search(x, run) for x in cls.needs) or re.search(secrets.ALLOW_WHOLE, run):
+                continue
+            for a, b in entropy_windows(run, cls.window, cls.threshold):
+                near = run[max(a - secrets.MARGIN, 0) : b + secrets.MARGIN]
+                a, b = m.start() + a, m.start() + b
+                if not any(re.search(x, near) for x in secrets.ALLOW) and not any(s <= a and e >= b for s, _, e in base):
+                    out.add((a, 3, b))
+    return base, sorted([*base, *out])
+
+
+def test_op3_query(spark, sf, tmp_path):
+    """The whole query against plain Python, over a table of the driver and over odd texts."""
+    odd = [(k, t) for k, t in enumerate(SECRETS)] + [(50, None), (50, SECRETS[3]), (None, SECRETS[4]), (51, "x/aB3dE5fG7hJ9kL1mN3pQ5/example/" + "zY8xW6vU4tS2rQ0pO9nM7l" * 3), (52, " ".join(f"k{i}=token:{i * 7919:07d}abc" for i in range(3000)))]
+    spark.createDataFrame(odd, "doc_id bigint, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([], "doc_id bigint, text string").write.parquet(f"{tmp_path}/none/documents.parquet")
+    names = [n for n in secrets.KINDS]
+    line = lambda spans: ",".join(f"{names[k]}:{a}:{b}" for a, k, b in spans)
+    for d in (sf, str(tmp_path)):
+        want = Counter()
+        for r in spark.read.parquet(f"{d}/documents.parquet").select("doc_id", "text").collect():
+            base, every = plain_spans(r["text"] or "")
+            n = Counter(k for _, k, _ in base)
+            want[r["doc_id"], n[0], n[1], n[2], hashlib.sha256(line(base).encode()).hexdigest(), line(every)] += 1
+        got = Counter((r["doc_id"], r["n_assign"], r["n_access"], r["n_hex"], r["base_sha256"], r["spans"]) for r in secrets.op3_secret_scans(spark, d).collect())
+        assert got == want
+    assert secrets.op3_secret_scans(spark, f"{tmp_path}/none").count() == 0
+
+
+def test_redaction_keeps_other_columns(spark):
+    row = secrets.redact(spark.createDataFrame([(1, "password=hunter22", "own", "mine")], "doc_id bigint, text string, hex string, entropy string")).first()
+    assert tuple(row) == (1, "[SECRET]", "own", "mine")
+
+
 def test_entropy_equals_recounting(spark):
     rng = np.random.default_rng(5)
     texts = ["".join(rng.choice(list("abcdefgh0123"), rng.integers(1, 90))) for _ in range(40)] + ["a" * 50, "abcdefghij" * 5]
@@ -165,6 +205,18 @@ def test_short_documents_are_judged(spark):
     assert query[20]["distance"] is None and query[21]["distance"] is None and query[21]["kept"]
 
 
+def test_languages_without_a_reference_are_not_judged(spark):
+    """Junk in a language that has no reference is left to the base rules; without a language the nearest reference judges."""
+    common = ["the", "of", "and", "in", "is"]
+    plain = lambda k, n: " ".join(common[i // 3 % 5] if i % 3 == 0 else "".join(chr(97 + (i * i * (j + 3) + k * j) % 26) for j in range(6)) for i in range(n))
+    other = " ".join(chr(0x3B1 + i % 20) + chr(0x3B1 + i // 20) + "\u03bf\u03bd" for i in range(120))
+    junk = " ".join(f"{i}$$$#{i * 7}" for i in range(200))
+    rows = [*((k, plain(k, 200), "en") for k in range(20)), (20, other, "el"), (21, other, None), (22, junk, "en"), (23, plain(9, 200), None)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, lang string")
+    assert {r["doc_id"] for r in quality.keep_good(docs).collect()} == {*range(21), 23}
+    assert {r["doc_id"] for r in quality.judge(docs).collect() if r["quality"]["kept"]} == {*range(21), 23}
+
+
 # Byte-level BPE
 
 
@@ -229,6 +281,23 @@ def test_carving(spark):
     assert row["media_type"] == media.UNKNOWN and row["embedded"] == []
 
 
+def test_carving_of_repeated_rows(spark):
+    df = spark.createDataFrame([(1, bytearray(b"xx" + PNG)), (1, bytearray(b"yyy" + GIF)), (None, bytearray(b"z" + PNG))], "doc_id bigint, media binary")
+    got = Counter((r["doc_id"], r["offset"], r["media_type"], bytes(r["media"])) for r in media.carve(df).collect())
+    assert got == Counter([(1, 2, "image/png", PNG), (1, 3, "image/gif", GIF), (None, 1, "image/png", PNG)])
+
+
+def test_many_signatures_are_read_once():
+    import time
+
+    jpeg = b"\xff\xd8\xff\xda\x00\x02"
+    began = time.time()
+    assert media.sniff(b"%PDF-" * 100_000) == [] and media.sniff(jpeg * 50_000) == []
+    assert time.time() - began < 10
+    find = media.Finder(b"..ab..ab")
+    assert [find(b"ab", k) for k in (4, 0, 1, 3, 7, 7, 0)] == [6, 2, 2, 6, -1, -1, 2]
+
+
 # Language identification
 
 
@@ -250,6 +319,52 @@ def test_language(spark, odd, none):
     assert language.fit(none).predict("abc") == ("und", 0.0)
 
 
+def test_predictions_keep_ids(spark, odd):
+    """A null beside a large id does not turn it into a float; clashing columns are replaced, others kept."""
+    docs = spark.createDataFrame([(9007199254740993, "the and of", 1), (None, "der die das", 2)], "doc_id bigint, text string, lang_pred int").coalesce(1)
+    got = language.predict(docs, language.fit(odd)).collect()
+    assert {r["doc_id"] for r in got} == {9007199254740993, None} and all(isinstance(r["lang_pred"], str) for r in got)
+
+
+def test_every_label_is_learned(spark):
+    rows = [(k, " ".join([chr(0x4E00 + 37 * k), f"w{k}"] * 30), f"l{k}") for k in range(300)]
+    model = language.fit(spark.createDataFrame(rows, "doc_id bigint, text string, lang string"))
+    assert len(model.languages) == 300
+
+
+def test_training_equals_a_plain_one():
+    """FTRL-proximal, one coordinate and class at a time, without arrays."""
+    rng = np.random.default_rng(3)
+    rows = []
+    for _ in range(6):
+        index = np.sort(rng.choice(20, 4, replace=False))
+        rows.append((index, rng.random(4)))
+    labels = np.array([0, 1, 2, 0, 1, 2])
+    alpha, beta, l1, l2 = 0.5, 1.0, 0.02, 0.01
+    z, n, zb, nb = [[0.0] * 3 for _ in range(20)], [[0.0] * 3 for _ in range(20)], [0.0] * 3, [0.0] * 3
+    weight = lambda z, n, l1: 0.0 if abs(z) <= l1 else -(z - math.copysign(l1, z)) / ((beta + math.sqrt(n)) / alpha + l2)
+    order = np.random.default_rng(7)
+    for _ in range(4):
+        for k in order.permutation(6):
+            index, x = rows[k]
+            w = [[weight(z[f][c], n[f][c], l1) for c in range(3)] for f in index]
+            wb = [weight(zb[c], nb[c], 0.0) for c in range(3)]
+            e = [math.exp(sum(x[i] * w[i][c] for i in range(4)) + wb[c]) for c in range(3)]
+            g = [e[c] / sum(e) - (c == labels[k]) for c in range(3)]
+            for c in range(3):
+                for i, f in enumerate(index):
+                    d = x[i] * g[c]
+                    z[f][c] += d - (math.sqrt(n[f][c] + d * d) - math.sqrt(n[f][c])) / alpha * w[i][c]
+                    n[f][c] += d * d
+                zb[c] += g[c] - (math.sqrt(nb[c] + g[c] ** 2) - math.sqrt(nb[c])) / alpha * wb[c]
+                nb[c] += g[c] ** 2
+    got, bias = language.train(rows, labels, 3)
+    assert np.allclose(got[:20], [[weight(z[f][c], n[f][c], l1) for c in range(3)] for f in range(20)]) and np.allclose(bias, [weight(zb[c], nb[c], 0.0) for c in range(3)])
+    text = "Ab c"
+    grams = Counter(text.lower()[k : k + m] for m in (1, 2, 3) for k in range(len(text) - m + 1))
+    assert language.counts(text).sum() == sum(grams.values()) and sorted(language.counts(text)[language.counts(text) > 0]) == sorted(grams.values())
+
+
 def test_temperature():
     rng = np.random.default_rng(0)
     y = rng.integers(0, 3, 4000)
