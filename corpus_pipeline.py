@@ -23,8 +23,12 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without the lines, short ones too, that earlier ones have; a document of which nothing is left goes."""
-    done = lines.dedup_lines(docs.select(*COLUMNS), every=True)
+    """Documents without the lines, short ones too, that earlier ones have; a document of which nothing is left goes.
+
+    A document that would lose half of its text or more is passed on whole: the next stage tells whether it is a near copy,
+    and a stub would no longer show.
+    """
+    done = lines.dedup_lines(docs.select(*COLUMNS), every=True, spare=0.5)
     left = done.where((F.col("n_dropped") == 0) | F.col("text").rlike(lines.NOT_BLANK))
     return left.withColumn("n_chars", F.coalesce(F.length("text").cast("long"), F.col("n_chars"))).select(*COLUMNS)
 
