@@ -13,12 +13,12 @@ Documents become sets of hashed word n-grams. Documents with equal sets form one
    discarded. The bound: if two sets overlap in ``o`` or more, then their first ``min(p - (n - o))`` common n-grams,
    over both sets with prefix ``p`` and size ``n``, stand in both prefixes. n-grams too frequent to be counted are
    granted to every pair that has them.
-3. A column with more classes adds no pairs to the count. It picks ``PIVOTS`` pivot classes by hash and its other
-   classes are compared with these alone. A column that still holds several components goes on with the classes outside
-   its largest one: a pair that shares frequent n-grams alone must have sizes whose bound is within their number, which a
-   join tests (up to ``CHECKS`` pairs) before anything is compared. Beyond, the column goes through a product by blocks
-   of about ``BLOCK_ROWS`` classes, one task per pair of blocks, which returns spanning links. So a large group of near
-   copies costs rows in proportion to its size, and no pair is skipped that could join two components.
+3. A column with more classes adds no pairs to the count. It picks pivot classes (``PIVOTS`` by hash, and the one with most
+   frequent n-grams) and its other classes are compared with these alone. A column that still holds several components
+   goes on with the classes outside its largest one: a pair that shares frequent n-grams alone must have sizes whose bound
+   is within their number, which a join tests before anything is compared. Many classes that pass for their own size go
+   through a product by blocks of about ``BLOCK_ROWS``, one task per pair of blocks, which returns spanning links. So a
+   large group of near copies costs rows in proportion to its size, and no pair is skipped that could join two components.
 4. Pairs are verified on whole sets in two steps: two for each class first, then those between different components.
 
 Sets are told apart by two 64-bit hashes. The first is the key of a class; sets that agree in the first alone are found by
@@ -50,9 +50,10 @@ CHANCE = -640
 #: Classes of an n-gram up to which all its pairs are counted.
 BLOCK = 128
 BLOCK_ROWS = 256
-#: Pairs of an n-gram up to which a join tests the sizes of each.
-CHECKS = 1 << 24
-PIVOTS = 4
+#: Dense classes outside the largest component of an n-gram up to which a join pairs them with the others.
+FEW = 32
+#: Pivots of an n-gram by hash, besides the one with most frequent n-grams.
+PIVOTS = 2
 #: Bytes of a text that are hashed at a time.
 PIECE = 1 << 20
 
@@ -380,7 +381,9 @@ class Join:
     def _pivots(self, hot: DataFrame) -> DataFrame:
         """Pairs (a, b) of the classes of a frequent n-gram and some of them that a hash picks as pivots."""
         # By the class alone: the columns that a group of near copies shares pick much the same pivots, so pairs recur.
-        picks = [F.min_by(F.struct(F.col("id").alias("o"), F.col("n").alias("on"), F.col("g").alias("og")), F.xxhash64("id", F.lit(k))) for k in range(PIVOTS)]
+        # The first is the class with most frequent n-grams: what copies were made of holds those that each copy has lost.
+        pick = F.struct(F.col("id").alias("o"), F.col("n").alias("on"), F.col("g").alias("og"))
+        picks = [F.max_by(pick, F.struct("g", "id")), *(F.min_by(pick, F.xxhash64("id", F.lit(k))) for k in range(PIVOTS))]
         pivots = hot.groupBy("h").agg(F.array_distinct(F.array(*picks)).alias("p")).select("h", F.inline("p"))
         pairs = hot.join(pivots, "h").where((F.col("id") != F.col("o")) & self._may())
         return pairs.select(F.least("id", "o").alias("a"), F.greatest("id", "o").alias("b"))
@@ -388,20 +391,23 @@ class Join:
     def _rest(self, hot: DataFrame, sets: DataFrame, labels: DataFrame) -> DataFrame:
         """Links that still join classes of frequent n-grams.
 
-        The pairs of a column are those of the classes outside its largest component with all of its classes. Where these
-        are ``CHECKS`` at most, a join tests the sizes of each; a larger column goes through the blocked product.
+        The pairs of a column are those of the classes outside its largest component with all of its classes. A class is
+        dense if its frequent n-grams are enough for a partner of its own size. A shared passage makes no class dense: only
+        partners at the edge of the permitted sizes pass the test, so a join finds the few pairs. So it does in a column with
+        ``FEW`` dense classes outside its largest component; where there are more, these go through the blocked product.
         """
         open_ = hot.join(labels.withColumnRenamed("node", "id"), "id", "left").withColumn("label", F.coalesce("label", "id"))
-        parts = open_.groupBy("h", "label").agg(F.count("*").alias("c"))
-        split = parts.groupBy("h").agg(F.count("*").alias("parts"), F.max_by("label", F.struct("c", "label")).alias("main"), F.max("c").alias("most"))
-        open_ = stored(open_.join(split.where("parts > 1").drop("parts"), "h"), "open")
-        checks = F.col("m") * (F.col("m") - F.col("most"))
-        small = open_.where(checks <= CHECKS)
-        all_ = small.select("h", F.col("id").alias("o"), F.col("n").alias("on"), F.col("g").alias("og"), F.col("label").alias("ol"))
-        pairs = small.where("label <> main").join(all_, "h").where((F.col("label") != F.col("ol")) & self._may())
+        open_ = open_.withColumn("dense", F.col("g") >= _bound(F.col("n"), F.col("n"), self.percent))
+        parts = open_.groupBy("h", "label").agg(F.count("*").alias("c"), F.count_if("dense").alias("d"))
+        split = parts.groupBy("h").agg(F.count("*").alias("parts"), F.max_by("label", F.struct("c", "label")).alias("main"), F.sum("d").alias("d"), F.max_by("d", F.struct("c", "label")).alias("most"))
+        open_ = stored(open_.drop("m").join(split.where("parts > 1").drop("parts"), "h"), "open")
+        large = F.col("d") - F.col("most") > FEW
+        all_ = open_.select("h", F.col("id").alias("o"), F.col("n").alias("on"), F.col("g").alias("og"), F.col("label").alias("ol"), F.col("dense").alias("od"))
+        among = large & F.col("dense") & F.col("od")
+        pairs = open_.where("label <> main").join(all_, "h").where((F.col("label") != F.col("ol")) & ~among & self._may())
         links = self.verified(stored(pairs.select(F.least("id", "o").alias("a"), F.greatest("id", "o").alias("b")).distinct(), "few"), sets)
-        large = open_.where(checks > CHECKS)
-        return links.union(self._blocks(large, sets)) if large.take(1) else links
+        dense = open_.where(large & F.col("dense")).withColumnRenamed("d", "m")
+        return links.union(self._blocks(dense, sets)) if dense.take(1) else links
 
     def _blocks(self, open_: DataFrame, sets: DataFrame) -> DataFrame:
         """Spanning links of the classes outside the largest component of their n-gram against all of its classes."""

@@ -60,11 +60,11 @@ def groups(df, n, percent):
     return Counter((r["doc_id"], r["n_shingles"], r["component_id"]) for r in jaccard.near_groups(df, n, percent).collect())
 
 
-@pytest.mark.parametrize(("block", "checks", "pivots"), [(128, 1 << 24, 4), (3, 1 << 24, 1), (3, 0, 1)])
-def test_jaccard(spark, odd, monkeypatch, block, checks, pivots):
+@pytest.mark.parametrize(("block", "few", "pivots"), [(128, 32, 2), (3, 1 << 24, 1), (3, 0, 0)])
+def test_jaccard(spark, odd, monkeypatch, block, few, pivots):
     """With small blocks, frequent n-grams go through pivots, then pairs or the blocked product."""
     monkeypatch.setattr(jaccard, "BLOCK", block)
-    monkeypatch.setattr(jaccard, "CHECKS", checks)
+    monkeypatch.setattr(jaccard, "FEW", few)
     monkeypatch.setattr(jaccard, "PIVOTS", pivots)
     monkeypatch.setattr(jaccard, "BLOCK_ROWS", 5)
     random.seed(block)
