@@ -57,7 +57,7 @@ STAGES = [
     ("byte_bpe", tokens),
 ]
 
-#: SQL cannot express byte-pair merges; tests compare the stages with brute force.
+#: SQL cannot express byte-pair merges; tests compare the operators of the stages with brute force, not yet the whole run.
 ORACLE_SQL = None
 
 
