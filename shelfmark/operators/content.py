@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from shelfmark.functions.scalars import extension, folded, is_document
+from shelfmark.operators.extract import document_text
 from shelfmark.plans.regexes import literal, translate
 
 MAX_FILE = 16 * 1024 * 1024
@@ -38,16 +40,25 @@ def first_line(text: Column, pattern: str, document: bool = False) -> Column:
     return F.when(hit.isNotNull() & ((nul == 0) | (nul > upto)), shown)
 
 
-def first_lines(hits: DataFrame, texts: DataFrame, pattern: str, as_regex: bool = False, case_sensitive: bool = False, document: bool = False) -> DataFrame:
+def first_lines(hits: DataFrame, texts: DataFrame, pattern: str, as_regex: bool = False, case_sensitive: bool = False, document: bool = False, documents: DataFrame | None = None, max_file: int | None = MAX_FILE) -> DataFrame:
     """``hits`` that have a matching line in ``texts`` (entry_id, text), with ``line_no`` and ``line``.
 
-    Folders and files over MAX_FILE are left out. A text without a match is dropped by a plain test on the whole text
-    before lines are split; the test is no stricter than the lines are.
+    Folders and files over ``max_file`` bytes (None: no limit) are left out. A text without a match is dropped by a plain test
+    on the whole text before lines are split; the test is no stricter than the lines are. With ``documents`` (entry_id, data),
+    files with the extension of a document are searched in the text that their bytes hold, and have no match if they hold none.
     """
     found = line_pattern(pattern, as_regex, case_sensitive)
-    wanted = hits.where(~F.col("is_dir") & (F.col("size") <= MAX_FILE))
+    wanted = hits.where(~F.col("is_dir"))
+    if max_file is not None:
+        wanted = wanted.where(F.col("size") <= max_file)
     own = texts.select("entry_id", "text").where(F.col("text").isNotNull())
     if not as_regex:
         own = own.where(F.contains("text", F.lit(pattern)) if case_sensitive else F.col("text").rlike(found))
-    joined = wanted.join(own, "entry_id").withColumn("__hit", first_line(F.col("text"), found, document))
+    if documents is None:
+        joined = wanted.join(own, "entry_id").withColumn("__hit", first_line(F.col("text"), found, document))
+    else:
+        office, kind = is_document(F.col("name")), folded(extension(F.col("name")))
+        both = wanted.join(own, "entry_id", "left").join(documents.select("entry_id", F.col("data").alias("__data")), "entry_id", "left")
+        both = both.withColumn("__inside", document_text(F.when(office, F.col("__data")), kind))
+        joined = both.withColumn("__hit", F.when(office, first_line(F.col("__inside"), found, True)).otherwise(first_line(F.col("text"), found)))
     return joined.where("__hit IS NOT NULL").select(*hits.columns, "__hit.line_no", "__hit.line")

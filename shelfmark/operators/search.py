@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from shelfmark.functions import scalars as x
+from shelfmark.operators.content import MAX_FILE, first_lines
 from shelfmark.operators.fuzzy import fuzzy_prefilter, fuzzy_score
 from shelfmark.plans.regexes import translate
 from shelfmark.plans.spec import Category, MatchMode, SearchSpec, SortKey, TypeFilter
@@ -115,13 +116,13 @@ def totals_of(matched: DataFrame, k: int) -> DataFrame:
     return matched.agg(F.count("*").alias("total")).withColumn("truncated", F.col("total") > k)
 
 
-def search(catalog: DataFrame, spec: SearchSpec, category: Category = Category.ALL, k: int = DEFAULT_RESULTS, texts: DataFrame | None = None) -> Outcome:
-    """Run a query over a catalog; ``texts`` (entry_id, text) serves content predicates.
+def search(catalog: DataFrame, spec: SearchSpec, category: Category = Category.ALL, k: int = DEFAULT_RESULTS, texts: DataFrame | None = None, documents: DataFrame | None = None, candidates: int | None = CONTENT_CANDIDATES, max_file: int | None = MAX_FILE) -> Outcome:
+    """Run a query over a catalog; ``texts`` (entry_id, text) serves content predicates, ``documents`` (entry_id, data) those on
+    office documents. Content is searched in the best ``candidates`` by rank and in files of up to ``max_file`` bytes; None
+    lifts either limit.
 
     A query that asks for nothing shows the first k live rows by id, with score 0.
     """
-    from shelfmark.operators.content import first_lines
-
     if spec.is_empty and category is Category.ALL:
         live = catalog.where(~F.col("is_deleted")).withColumn("score", F.lit(0).cast("long"))
         return Outcome(live.orderBy("entry_id").limit(k).select(*HITS), totals_of(live, k))
@@ -130,7 +131,8 @@ def search(catalog: DataFrame, spec: SearchSpec, category: Category = Category.A
         return Outcome(ranked(matched, k).select(*HITS), totals_of(matched, k))
     if texts is None:
         raise ValueError("a content predicate needs the texts")
-    found = first_lines(ranked(matched, CONTENT_CANDIDATES).select(*HITS), texts, spec.content, spec.mode is MatchMode.REGEX, spec.case_sensitive)
+    best = matched if candidates is None else ranked(matched, candidates)
+    found = first_lines(best.select(*HITS), texts, spec.content, spec.mode is MatchMode.REGEX, spec.case_sensitive, documents=documents, max_file=max_file)
     return Outcome(ranked(found, k), totals_of(found, k))
 
 

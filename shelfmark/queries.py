@@ -5,17 +5,23 @@ Catalog adapters are stated once per engine; predicates, scores and orders are w
 
 from __future__ import annotations
 
+import io
+import struct
+import zipfile
 from collections.abc import Callable
+from xml.sax.saxutils import escape
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.functions import pandas_udf
 
 from shelfmark.functions import scalars as x
 from shelfmark.operators import catalog as cat
 from shelfmark.operators import changes as ch
-from shelfmark.operators.content import first_lines
+from shelfmark.operators.extract import document_text, media_info
 from shelfmark.operators.preview import preview_kind
-from shelfmark.operators.search import matches, numbered, ranked, search, totals_of, without_paths
+from shelfmark.operators.search import matches, numbered, search, without_paths
 from shelfmark.plans.parser import parse, within_folder
 from shelfmark.plans.spec import Category, MatchMode, SortKey
 from shelfmark.sources.shared import shared_folder
@@ -113,7 +119,15 @@ add(
     lambda spark, d: search(cat.items(spark, d), parse("item_1 ext:csv")).totals,
     f"WITH {ITEMS} SELECT count(*) AS total, count(*) > 1000 AS truncated FROM items WHERE contains(name, 'item_1') AND {_ext()} = 'csv'",
 )
-add("live_count", lambda spark, d: cat.live_count(cat.items(spark, d)), f"WITH {ITEMS} SELECT count(*) AS live FROM items")
+
+
+def _returned(spark: SparkSession, d: str) -> DataFrame:
+    """The items, of which those that were returned count as removed."""
+    return cat.items(spark, d).withColumn("is_deleted", F.startswith("path", F.lit("/ship/R/")))
+
+
+add("live_count", lambda spark, d: cat.live_count(_returned(spark, d)), f"WITH {ITEMS} SELECT count(*) AS live FROM items WHERE path NOT LIKE '/ship/R/%'")
+add("live_rows", lambda spark, d: search(_returned(spark, d), parse("item_1"), k=1_000_000).hits, _select("items", ITEMS, "path NOT LIKE '/ship/R/%'", ("item_1",), 1_000_000))
 
 # Filters ---------------------------------------------------------------------------------------------------------
 
@@ -126,7 +140,7 @@ hits("filter_size_range", "items", "size:1kb..1.5kb", "size BETWEEN 1024 AND 153
 hits("filter_size_approx", "parts", "size:10kb", "NOT is_dir AND size BETWEEN 9216 AND 11264")
 hits("filter_size_two_sided", "items", "size:>2kb size:<=3kb", "size BETWEEN 2048 AND 3072")
 hits("filter_date_min", "items", "date:>=1998-06-01", "modified >= 896659200", k=1_000_000)
-hits("filter_date_max_excludes_day", "items", "date:<=1993-03-01", "modified < 730944000", k=1_000_000)
+hits("filter_date_max_excludes_day", "items", "date:<=1996-03-01", "modified < 825638400", k=1_000_000)
 hits("filter_date_range", "items", "date:1995-01..1995-02", "modified >= 788918400 AND modified < 791683200")
 hits("filter_date_day", "items", "modified:1996-03-05", "modified >= 825984000 AND modified < 826070400")
 hits("filter_type_file", "parts", "type:file", "NOT is_dir", k=1_000_000)
@@ -171,7 +185,7 @@ add("content_regex", _content("c:(password|token)\\s*=", 100_000, mode=MatchMode
 add("content_first_line", _content("ext:md content:les"), _grep("name LIKE '%.md'", "regexp_matches(line, '(?i)les')"))
 add(
     "content_candidate_cap",
-    lambda spark, d: first_lines(ranked(matches(cat.docs(spark, d), parse("doc_")), 100).drop("parent_id", "is_deleted"), cat.doc_texts(spark, d), "the"),
+    lambda spark, d: search(cat.docs(spark, d), parse("doc_ content:the"), k=1000, texts=cat.doc_texts(spark, d), candidates=100).hits,
     f"""WITH {DOCS}, best AS (SELECT *, {_score('doc_')} AS score FROM docs ORDER BY score DESC, entry_id LIMIT 100),
     lines AS (SELECT entry_id, unnest(string_split(text, chr(10))) AS line, unnest(range(1, len(string_split(text, chr(10))) + 1)) AS line_no FROM best),
     firsts AS (SELECT entry_id, min(line_no) AS n FROM lines WHERE regexp_matches(line, '(?i)the') GROUP BY entry_id)
@@ -183,6 +197,83 @@ add(
     _grep("true", "regexp_matches(line, '(?i)license')", 5, True),
 )
 
+# Documents and media, out of bytes built from the tables -------------------------------------------------------------
+
+
+def office(spark: SparkSession, d: str) -> DataFrame:
+    """(entry_id, kind, data): the documents table as zipped office files, a paragraph or cell for each line."""
+
+    @pandas_udf("binary")
+    def packed(texts: pd.Series, kinds: pd.Series) -> pd.Series:
+        members = {"docx": ("word/document.xml", "w:p"), "odt": ("content.xml", "text:p"), "xlsx": ("xl/sharedStrings.xml", "si")}
+        out = []
+        for text, kind in zip(texts, kinds, strict=True):
+            data = io.BytesIO()
+            if kind in members:
+                name, tag = members[kind]
+                with zipfile.ZipFile(data, "w", zipfile.ZIP_DEFLATED) as z:
+                    z.writestr(name, "<root>" + "".join(f"<{tag}><t>{escape(line)}</t></{tag}>" for line in (text or "").split("\n")) + "</root>")
+            out.append(data.getvalue())
+        return pd.Series(out, dtype=object)
+
+    kind = F.when(F.col("lang") == "en", "docx").when(F.col("lang") == "fr", "odt").when(F.col("lang") == "de", "xlsx").otherwise("txt")
+    rows = spark.read.parquet(f"{d}/documents.parquet").select(F.col("doc_id").cast("long").alias("entry_id"), kind.alias("kind"), "text")
+    return rows.select("entry_id", "kind", packed(F.col("text"), F.col("kind")).alias("data"))
+
+
+def _office_catalog(spark: SparkSession, d: str) -> DataFrame:
+    kinds = F.when(F.endswith("path", F.lit(".txt")), "docx").when(F.endswith("path", F.lit(".md")), "odt").when(F.contains("path", F.lit("/de/")), "xlsx").otherwise("txt")
+    name = F.concat(F.lit("doc_"), F.col("entry_id").cast("string"), F.lit("."), kinds)
+    return cat.docs(spark, d).withColumn("name", name).withColumn("path", F.concat(F.lit("/office/"), F.col("name")))
+
+
+_OFFICE = """office AS (
+    SELECT doc_id AS entry_id, 'doc_' || doc_id || '.' || kind AS name, '/office/doc_' || doc_id || '.' || kind AS path, false AS is_dir, kind,
+           CAST(strlen(coalesce(text, '')) AS BIGINT) AS size, CAST(0 AS BIGINT) AS modified, CAST(1 AS BIGINT) AS score,
+           CASE WHEN kind = 'txt' THEN string_split(text, chr(10))
+                ELSE list_filter(list_transform(string_split(coalesce(text, ''), chr(10)), lambda s: regexp_replace(regexp_replace(s, '^\\s+', ''), '\\s+$', '')), lambda s: s <> '') END AS lines
+    FROM (SELECT *, CASE lang WHEN 'en' THEN 'docx' WHEN 'fr' THEN 'odt' WHEN 'de' THEN 'xlsx' ELSE 'txt' END AS kind FROM documents))"""
+add(
+    "content_documents",
+    lambda spark, d: search(_office_catalog(spark, d), parse("content:le"), k=100_000, texts=cat.doc_texts(spark, d), documents=office(spark, d), candidates=None, max_file=None).hits,
+    f"""WITH {_OFFICE}, lines AS (SELECT entry_id, unnest(lines) AS line, unnest(range(1, len(lines) + 1)) AS n FROM office),
+    firsts AS (SELECT entry_id, min(n) AS n FROM lines WHERE regexp_matches(line, '(?i)le') GROUP BY entry_id)
+    SELECT {HIT}, CAST(n AS BIGINT) AS line_no, left(rtrim(lines[n], chr(9) || chr(10) || chr(13) || ' '), 300) AS line FROM office JOIN firsts USING (entry_id)""",
+)
+add(
+    "extract_documents",
+    lambda spark, d: office(spark, d).select("entry_id", document_text(F.col("data"), F.col("kind")).alias("text")),
+    f"WITH {_OFFICE} SELECT entry_id, CASE WHEN kind <> 'txt' AND len(lines) > 0 THEN array_to_string(lines, chr(10)) END AS text FROM office",
+)
+
+
+def clips(spark: SparkSession, d: str) -> DataFrame:
+    """(entry_id, kind, data): a movie for each part, by turns as MP4 and as Matroska, of p_size by p_size + 1 points."""
+
+    @pandas_udf("binary")
+    def filmed(keys: pd.Series, sizes: pd.Series, kinds: pd.Series) -> pd.Series:
+        box = lambda kind, body: struct.pack(">I", 8 + len(body)) + kind + body
+        out = []
+        for key, size, kind in zip(keys, sizes, kinds, strict=True):
+            if kind == "mp4":
+                head = box(b"mvhd", bytes(12) + struct.pack(">II", 1000, int(key) * 10 + 10) + bytes(80))
+                track = box(b"trak", box(b"tkhd", bytes(76) + struct.pack(">II", int(size) << 16, int(size) + 1 << 16)))
+                out.append(box(b"ftyp", b"isom") + box(b"moov", head + track))
+            else:
+                out.append(b"\x1aE\xdf\xa3\x80" + bytes([0xB0, 0x81, size, 0xBA, 0x81, size + 1]) + b"\x2a\xd7\xb1\x83\x0f\x42\x40\x44\x89\x88" + struct.pack(">d", float(size)))
+        return pd.Series(out, dtype=object)
+
+    rows = spark.read.parquet(f"{d}/part.parquet").select(F.col("p_partkey").cast("long").alias("entry_id"), "p_size", F.when(F.col("p_partkey") % 2 == 0, "mp4").otherwise("mkv").alias("kind"))
+    return rows.select("entry_id", "kind", filmed(F.col("entry_id"), F.col("p_size"), F.col("kind")).alias("data"))
+
+
+add(
+    "media_facts",
+    lambda spark, d: clips(spark, d).select("entry_id", media_info(F.col("data"), F.col("kind")).alias("i")).select("entry_id", "i.*"),
+    """SELECT CAST(p_partkey AS BIGINT) AS entry_id, CASE WHEN p_partkey % 2 = 0 THEN CAST(p_partkey * 10 + 10 AS DOUBLE) / 1000 ELSE CAST(p_size AS DOUBLE) / 1000 END AS duration_secs,
+    CAST(p_size AS INTEGER) AS width, CAST(p_size + 1 AS INTEGER) AS height, CASE WHEN p_partkey % 2 = 0 THEN 'MP4' ELSE 'MKV' END AS format FROM part""",
+)
+
 # Sorting what is shown ----------------------------------------------------------------------------------------------
 
 _TOP = f"WITH {PARTS}, top AS ({{}}), by_rank AS (SELECT *, row_number() OVER (ORDER BY score DESC, entry_id) AS r FROM top)".format(
@@ -194,13 +285,20 @@ for _key, _down, _order in (
     (SortKey.PATH, False, "path, r"),
     (SortKey.SIZE, True, "size DESC, r"),
     (SortKey.SIZE, False, "size, r DESC"),
-    (SortKey.MODIFIED, True, "modified DESC, r"),
 ):
     add(
         f"sort_{_key.value}" + ("" if _down is (_key not in (SortKey.NAME, SortKey.PATH)) else "_reversed"),
         lambda spark, d, key=_key, down=_down: numbered(search(cat.parts(spark, d), parse("bolt"), k=40).hits, key, down),
         f"{_TOP} SELECT {HIT}, CAST(row_number() OVER (ORDER BY {_order}) AS BIGINT) AS row_number FROM by_rank",
     )
+for _down in (True, False):
+    add(
+        "sort_modified" + ("" if _down else "_reversed"),
+        lambda spark, d, down=_down: numbered(search(cat.items(spark, d), parse("item_1"), k=200).hits, SortKey.MODIFIED, down),
+        f"""WITH {ITEMS}, top AS (SELECT * FROM (SELECT *, {_score('item_1')} AS score FROM items) WHERE score IS NOT NULL ORDER BY score DESC, entry_id LIMIT 200),
+        by_rank AS (SELECT *, row_number() OVER (ORDER BY score DESC, entry_id) AS r FROM top)
+        SELECT {HIT}, CAST(row_number() OVER (ORDER BY {'modified DESC, r' if _down else 'modified, r DESC'}) AS BIGINT) AS row_number FROM by_rank""",
+    )
 add("row_numbers", lambda spark, d: numbered(search(cat.parts(spark, d), parse("bolt"), k=40).hits), f"{_TOP} SELECT {HIT}, CAST(r AS BIGINT) AS row_number FROM by_rank")
 
 # Hierarchy -----------------------------------------------------------------------------------------------------------

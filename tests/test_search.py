@@ -135,3 +135,18 @@ def test_fuzzy_reads_a_long_name_once(spark):
     assert time.time() - began < 5
     assert names.where(fuzzy_prefilter(F.col("name"), ".[]^-É", True)).count() == 0
     assert names.where(fuzzy_prefilter(F.col("name"), ".[]^-é", True)).count() == 1
+
+
+def test_content_of_documents(spark):
+    """Documents are searched in what their bytes hold; both limits can be lifted."""
+    from tests.test_extract import DOCX
+
+    c = catalog(spark, ("/a.DOCX", False, 10), ("/b.txt", False, 10), ("/c.pdf", False, 10), ("/d.docx", False, 10), ("/e.txt", False, MAX_FILE + 1), ("/f.docx", True, 0))
+    texts = spark.createDataFrame([(0, "needle"), (1, "a\nneedle  "), (2, "needle"), (3, "needle"), (4, "needle")], "entry_id bigint, text string")
+    data = spark.createDataFrame([(0, DOCX), (2, b"%PDF needle"), (3, None)], "entry_id bigint, data binary")
+    spec = parse("content:NEEDLE")
+    found = {r["name"]: (r["line_no"], r["line"]) for r in search(c, spec, texts=texts, documents=data).hits.collect()}
+    assert found == {"a.DOCX": (1, "needle & thread"), "b.txt": (2, "needle")}
+    assert search(c, spec, texts=texts, documents=data, max_file=None).totals.first()["total"] == 3
+    assert search(c, spec, texts=texts, documents=data, candidates=1).totals.first()["total"] == 1
+    assert search(c, spec, texts=texts, documents=data, candidates=None, max_file=None).totals.first()["total"] == 3
