@@ -57,7 +57,7 @@ STAGES = [
     ("byte_bpe", tokens),
 ]
 
-#: SQL cannot express byte-pair merges; tests compare the operators of the stages with brute force, not yet the whole run.
+#: SQL cannot express byte-pair merges; a test compares the rows of run() with all stages in plain Python.
 ORACLE_SQL = None
 
 
