@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from shelfmark.functions.scalars import epoch_seconds, excluded
+from shelfmark.sources.published import publish, published
 from shelfmark.sources.shared import shared_folder
 
 COLUMNS = ("entry_id", "parent_id", "name", "path", "is_dir", "size", "modified", "is_deleted")
@@ -171,40 +172,18 @@ def live_count(catalog: DataFrame) -> DataFrame:
 # Snapshots: a table per version, published by replacing one small pointer table.
 
 
-def _fs(spark: SparkSession, path: str):  # noqa: ANN202
-    jvm = spark.sparkContext._jvm
-    at = jvm.org.apache.hadoop.fs.Path(path)
-    return at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), at, jvm.org.apache.hadoop.fs.Path
-
-
 def save_snapshot(catalog: DataFrame, folder: str, roots: list[str], scanned_at: int) -> str:
     """Write a snapshot and point to it; readers see the old one until the pointer is replaced."""
-    spark = catalog.sparkSession
     name = f"snapshot-{uuid.uuid4().hex}"
     catalog.write.parquet(f"{folder}/{name}")
-    meta = spark.createDataFrame([(VERSION, name, roots, scanned_at)], "version int, snapshot string, roots array<string>, scanned_at bigint")
-    fresh = f"{folder}/pointer-{uuid.uuid4().hex}"
-    meta.coalesce(1).write.json(fresh)
-    fs, at, path = _fs(spark, f"{folder}/POINTER")
-    jvm, gateway = spark.sparkContext._jvm, spark.sparkContext._gateway
-    rename = getattr(jvm.org.apache.hadoop.fs, "Options$Rename")
-    over = gateway.new_array(rename, 1)
-    over[0] = rename.OVERWRITE
-    files = jvm.org.apache.hadoop.fs.FileContext.getFileContext(at.toUri(), spark.sparkContext._jsc.hadoopConfiguration())
-    for status in fs.listStatus(path(fresh)):
-        if status.getPath().getName().startswith("part-"):
-            files.rename(status.getPath(), at, over)  # at once: a reader finds the old pointer or the new one
-    fs.delete(path(fresh), True)
+    publish(catalog.sparkSession, f"{folder}/POINTER", {"version": VERSION, "snapshot": name, "roots": roots, "scanned_at": scanned_at})
     return name
 
 
 def load_snapshot(spark: SparkSession, folder: str) -> tuple[DataFrame, list[str], int] | None:
     """(catalog, roots, scanned_at) of the published snapshot; None if there is none or its version is another."""
-    fs, at, _ = _fs(spark, f"{folder}/POINTER")
-    if not fs.exists(at):
-        return None
-    meta = spark.read.schema("version int, snapshot string, roots array<string>, scanned_at bigint").json(f"{folder}/POINTER").first()
-    if meta is None or meta["version"] != VERSION:
+    meta = published(spark, f"{folder}/POINTER")
+    if meta is None or meta.get("version") != VERSION:
         return None
     return spark.read.parquet(f"{folder}/{meta['snapshot']}"), list(meta["roots"]), meta["scanned_at"]
 

@@ -1,6 +1,14 @@
-"""Incremental maintenance: change events merged into a catalog, in batches or as a stream.
+"""Incremental maintenance: change events folded into facts, facts merged into a catalog, in one batch or in any number.
 
 ``changes``: seq, kind (create, modify, remove, any, other, access), path, exists, is_dir, size, modified.
+
+What the events say of a path is two facts: its last upsert, and its last removal. Both are maxima by ``seq``, so batches can be
+folded in any split and order, late or twice, and give the same catalog. The catalog that ``merge`` returns carries the facts:
+
+``base_dir``: whether a scanned row is a folder; null for a row that events made. ``up_seq``, ``up_dir``, ``up_size``,
+``up_modified``: the last upsert. ``del_seq``: the last removal of the path itself, kept for unknown paths too. ``seq``: the event
+that decides what the row shows. Rows that events made and that do not live are there for later events only; ``shown`` leaves
+them out.
 """
 
 from __future__ import annotations
@@ -10,8 +18,11 @@ from pyspark.sql import functions as F
 
 from shelfmark.functions.scalars import base_name, excluded, parent_path
 from shelfmark.operators.catalog import COLUMNS, checkpointed
+from shelfmark.operators.intervals import removed_at
 
 SCHEMA = "seq bigint, kind string, path string, exists boolean, is_dir boolean, size bigint, modified bigint"
+#: What a catalog carries besides its own columns.
+FACTS = {"seq": "long", "base_dir": "boolean", "up_seq": "long", "up_dir": "boolean", "up_size": "long", "up_modified": "long", "del_seq": "long"}
 
 
 def operation(kind: Column, exists: Column) -> Column:
@@ -26,69 +37,91 @@ def classified(changes: DataFrame, exclusions: list[str] | None = None) -> DataF
     return changes.withColumn("op", F.when(excluded(F.col("path"), exclusions), F.lit("none")).otherwise(op) if exclusions else op)
 
 
-def last_operations(changes: DataFrame) -> DataFrame:
-    """The last effective operation of each path: an aggregate, so a busy path is combined before the shuffle."""
-    row = F.struct("seq", "op", "is_dir", "size", "modified")
-    return changes.where("op <> 'none'").groupBy("path").agg(F.max(row).alias("c")).select("path", "c.*")
+def folded_changes(changes: DataFrame, exclusions: list[str] | None = None) -> DataFrame:
+    """(path, up, del_seq): the facts of each path. A busy path is combined before the shuffle."""
+    up = F.max(F.when(F.col("op") == "upsert", F.struct("seq", "is_dir", "size", "modified")))
+    gone = F.max(F.when(F.col("op") == "delete", F.col("seq")))
+    return classified(changes, exclusions).where("op <> 'none'").groupBy("path").agg(up.alias("up"), gone.alias("del_seq"))
+
 
+def folded_facts(facts: DataFrame) -> DataFrame:
+    """Facts of several batches as one."""
+    return facts.groupBy("path").agg(F.max("up").alias("up"), F.max("del_seq").alias("del_seq"))
 
-def _ancestors(path: Column) -> Column:
-    """The path itself and every folder above it."""
-    steps = F.split(path, "/", -1)
-    return F.transform(F.sequence(F.lit(1), F.size(steps)), lambda k: F.concat_ws("/", F.slice(steps, 1, k)))
+
+def carrying(catalog: DataFrame) -> DataFrame:
+    """A catalog with the columns of FACTS; one that has none is taken as scanned."""
+    if "base_dir" in catalog.columns:
+        return catalog
+    scanned = {"base_dir": F.col("is_dir")}
+    return catalog.select(*COLUMNS, *(scanned.get(c, F.lit(None)).cast(t).alias(c) for c, t in FACTS.items()))
 
 
 def merge(catalog: DataFrame, changes: DataFrame, exclusions: list[str] | None = None) -> DataFrame:
-    """The catalog after the changes, the last writer of a path winning; removed rows stay as tombstones.
-
-    The result has a column ``seq``: the event that last decided a row, null if none has. Where ``catalog`` has it, an event
-    that is not later than that is ignored, so events may arrive late or twice. Removing a folder removes what lies below
-    it, unless a later event brings that back. An event whose folder the catalog does not know, and no event creates, is
-    ignored. A path that turns from file to folder, or back, keeps its id. A known folder keeps its size when its time is
-    refreshed. New rows get the next ids in the order of their paths. The rows below a removed folder are found by joining
-    each path's own ancestors with the removed paths, an equi-join.
+    """The catalog after the changes; see ``merge_facts``."""
+    return merge_facts(catalog, folded_changes(changes, exclusions))
+
+
+def merge_facts(catalog: DataFrame, facts: DataFrame) -> DataFrame:
+    """The catalog after events folded into facts.
+
+    A row lives if its last upsert is later than the last removal of it or of a folder above it; a scanned row also if it has
+    neither. What events made needs a folder that the catalog or an event names, whenever that becomes known. A path that
+    turns from file to folder, or back, keeps its id. A folder has size 0. A row that events removed has the kind it was
+    scanned with, and size and time 0. New rows get the next ids in the order of their paths when they first live.
     """
-    held = catalog if "seq" in catalog.columns else catalog.withColumn("seq", F.lit(None).cast("long"))
-    events = classified(changes, exclusions)
-    last = last_operations(events)
-    buried = held.where("is_deleted AND seq IS NOT NULL").select("path", "seq")
-    removed = events.where("op = 'delete'").select("path", "seq").union(buried).groupBy(F.col("path").alias("__gone")).agg(F.max("seq").alias("__at"))
-    paths = held.select("path").union(last.select("path")).distinct()
-    below = paths.select("path", F.explode(_ancestors(F.col("path"))).alias("__gone")).join(removed, "__gone").groupBy("path").agg(F.max("__at").alias("removed_at"))
-    known_folders = held.where("is_dir").select("path").union(last.where("op = 'upsert' AND is_dir").select("path")).distinct()
-    old = held.withColumn("__old", F.lit(True))
-    new = last.select("path", F.col("seq").alias("__seq"), F.col("op").alias("__op"), F.col("is_dir").alias("__dir"), F.col("size").alias("__size"), F.col("modified").alias("__modified"))
-    joined = old.join(new, "path", "full").join(below, "path", "left").withColumn("__parent", parent_path(F.col("path")))
-    parents = known_folders.select(F.col("path").alias("__parent"), F.lit(True).alias("__has_parent"))
-    joined = joined.join(parents, "__parent", "left")
-    later = F.col("seq").isNull() | (F.col("__seq") > F.col("seq"))
-    up = F.coalesce((F.col("__op") == "upsert") & later, F.lit(False)) & (F.col("__old").isNotNull() | F.coalesce("__has_parent", F.lit(False)))
-    decided = F.when(up, F.col("__seq")).otherwise(F.col("seq"))
-    gone = F.col("removed_at").isNotNull() & (decided.isNull() | (F.col("removed_at") > decided))
-    is_dir = F.when(up, F.col("__dir")).otherwise(F.col("is_dir"))
-    turned = F.coalesce(F.col("is_dir") != is_dir, F.lit(True))
-    kept = joined.where(F.col("__old").isNotNull() | up).select(
+    held = carrying(catalog)
+    new = facts.select(F.col("path").alias("__path"), F.col("up").alias("__up"), F.col("del_seq").alias("__del"))
+    both = held.join(new, held["path"] == new["__path"], "full").withColumn("path", F.coalesce("path", "__path"))
+    old_up = F.when(F.col("up_seq").isNotNull(), F.struct(F.col("up_seq").alias("seq"), F.col("up_dir").alias("is_dir"), F.col("up_size").alias("size"), F.col("up_modified").alias("modified")))
+    both = both.withColumn("__last", F.when(F.col("__up").isNull(), old_up).when(old_up.isNull(), F.col("__up")).otherwise(F.greatest(old_up, F.col("__up"))))
+    known = checkpointed(
+        both.select(
+            *("entry_id", "parent_id", F.coalesce("name", base_name(F.col("path"))).alias("name"), "path", "size", "modified", "is_deleted", "base_dir"),
+            *(F.col(f"__last.{a}").alias(b) for a, b in (("seq", "up_seq"), ("is_dir", "up_dir"), ("size", "up_size"), ("modified", "up_modified"))),
+            F.greatest("del_seq", "__del").alias("del_seq"),
+        )
+    )
+    reach = removed_at(known.select("path").distinct(), known.where("del_seq IS NOT NULL").groupBy("path").agg(F.max("del_seq").alias("seq")))
+    folders = known.where(F.coalesce("up_dir", "base_dir")).select(F.col("path").alias("__parent"), F.lit(True).alias("__known")).distinct()
+    rows = known.join(reach, "path", "left").withColumn("__parent", parent_path(F.col("path"))).join(folders, "__parent", "left")
+
+    up, scanned = F.col("up_seq").isNotNull(), F.col("base_dir").isNotNull()
+    lives = F.when(up, (scanned | F.coalesce("__known", F.lit(False))) & (F.col("removed_at").isNull() | (F.col("up_seq") > F.col("removed_at"))))
+    lives = lives.otherwise(scanned & F.col("removed_at").isNull() & ~F.coalesce("is_deleted", F.lit(False)))
+    by_event = up | F.col("removed_at").isNotNull()
+    rows = rows.withColumn("__lives", lives)
+    value = lambda new, old: F.when(F.col("__lives") & up, new).when(by_event, F.lit(0)).otherwise(old).cast("long")
+    done = rows.select(
         "entry_id",
         "parent_id",
-        F.coalesce("name", base_name(F.col("path"))).alias("name"),
+        "name",
         "path",
-        is_dir.alias("is_dir"),
-        F.when(up & ~is_dir, F.col("__size")).when(up & turned, 0).otherwise(F.coalesce("size", F.lit(0))).cast("long").alias("size"),
-        F.when(up, F.col("__modified")).otherwise(F.col("modified")).cast("long").alias("modified"),
-        F.when(gone, True).when(up, False).otherwise(F.coalesce("is_deleted", F.lit(False))).alias("is_deleted"),
-        F.when(gone, F.col("removed_at")).otherwise(decided).alias("seq"),
+        F.when(F.col("__lives") & up, F.col("up_dir")).otherwise(F.coalesce("base_dir", "up_dir", F.lit(False))).alias("is_dir"),
+        value(F.when(F.col("up_dir"), F.lit(0)).otherwise(F.col("up_size")), F.col("size")).alias("size"),
+        value(F.col("up_modified"), F.col("modified")).alias("modified"),
+        (~F.col("__lives")).alias("is_deleted"),
+        F.when(F.col("__lives"), F.col("up_seq")).otherwise(F.greatest("up_seq", "removed_at")).alias("seq"),
+        *(c for c in FACTS if c != "seq"),
     )
-    return with_new_ids(kept).select(*COLUMNS, "seq")
+    return with_new_ids(checkpointed(done), ~F.col("is_deleted"))
+
+
+def shown(catalog: DataFrame) -> DataFrame:
+    """The rows of a merged catalog without those that only events have named and that do not live."""
+    return catalog.where(F.col("base_dir").isNotNull() | ~F.col("is_deleted"))
 
 
-def with_new_ids(rows: DataFrame) -> DataFrame:
-    """Rows without an id get the next ones in the order of their paths.
+def with_new_ids(rows: DataFrame, wanted: Column | None = None) -> DataFrame:
+    """Rows without an id get the next ones in the order of their paths, those that are ``wanted``.
 
     The order is by range partitions: positions within a partition plus the number of rows before it, so no single task
-    sees all new rows. They are written first, as a partition that is computed anew could get other rows.
+    sees all new rows. They are written first, as a partition that is computed anew could get other rows. ``rows`` is read
+    three times, so it should be written itself.
     """
+    wanted = F.col("entry_id").isNull() & (F.lit(True) if wanted is None else wanted)
     n = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    fresh = rows.where("entry_id IS NULL").repartitionByRange(n, F.col("path")).withColumn("__p", F.spark_partition_id())
+    fresh = rows.where(wanted).repartitionByRange(n, F.col("path")).withColumn("__p", F.spark_partition_id())
     fresh = checkpointed(fresh)
     start = rows.agg(F.max("entry_id").alias("m")).select((F.coalesce("m", F.lit(-1)) + 1).alias("__start"))
     sizes = fresh.groupBy("__p").agg(F.count("*").alias("__c"))
@@ -96,7 +129,7 @@ def with_new_ids(rows: DataFrame) -> DataFrame:
     place = F.row_number().over(Window.partitionBy("__p").orderBy("path"))
     given = fresh.withColumn("__n", place).join(F.broadcast(before), "__p").join(F.broadcast(start))
     given = given.withColumn("entry_id", (F.col("__start") + F.col("__before") + F.col("__n") - 1).cast("long")).select(*rows.columns)
-    return rows.where("entry_id IS NOT NULL").union(given)
+    return rows.where(~wanted).union(given)
 
 
 def removals(paths: DataFrame, seq: int) -> DataFrame:

@@ -20,6 +20,7 @@ from shelfmark.functions import scalars as x
 from shelfmark.operators import catalog as cat
 from shelfmark.operators import changes as ch
 from shelfmark.operators.extract import document_text, media_info
+from shelfmark.operators.intervals import labelled, removed_at, subtree
 from shelfmark.operators.preview import preview_kind
 from shelfmark.operators.search import matches, numbered, search, without_paths
 from shelfmark.plans.parser import parse, within_folder
@@ -441,7 +442,7 @@ _MERGED = f"""WITH {_FEED}, {_USERS}, last AS (SELECT path, arg_max(op, seq) AS
 _SHOWN = ("path", "is_dir", "size", "modified", "is_deleted")
 _NUMBERED = f"""SELECT coalesce(entry_id, 70 + row_number() OVER (PARTITION BY entry_id IS NULL ORDER BY path)) AS entry_id, {', '.join(_SHOWN)} FROM ({_MERGED.replace('SELECT path, coalesce', 'SELECT entry_id, path, coalesce').format('')})"""
 add("change_classify", lambda spark, d: ch.classified(feed(spark, d)).select("seq", "path", "op"), f"WITH {_FEED} SELECT seq, path, op FROM ops")
-add("change_merge", lambda spark, d: ch.merge(users(spark), feed(spark, d)).select("entry_id", *_SHOWN), _NUMBERED)
+add("change_merge", lambda spark, d: ch.shown(ch.merge(users(spark), feed(spark, d))).select("entry_id", *_SHOWN), _NUMBERED)
 
 
 def _late(spark: SparkSession, d: str) -> DataFrame:
@@ -449,7 +450,7 @@ def _late(spark: SparkSession, d: str) -> DataFrame:
     events = feed(spark, d)
     later = F.col("seq") % 2 == 0
     once = ch.merge(users(spark), events.where(later))
-    return ch.merge(once, events.where(~later)).select(*_SHOWN)
+    return ch.shown(ch.merge(once, events.where(~later))).select(*_SHOWN)
 
 
 add("change_late_events", _late, _MERGED.format(""))
@@ -458,7 +459,7 @@ add("change_late_events", _late, _MERGED.format(""))
 def _kinds(spark: SparkSession, d: str) -> DataFrame:
     """Files of every second user become folders by their last event."""
     folder = F.col("path").rlike("f[0-9]*[02468][.]log$")
-    return ch.merge(users(spark), feed(spark, d).withColumn("is_dir", folder).withColumn("size", F.when(folder, 0).otherwise(F.col("size")))).select(*_SHOWN)
+    return ch.shown(ch.merge(users(spark), feed(spark, d).withColumn("is_dir", folder).withColumn("size", F.when(folder, 0).otherwise(F.col("size"))))).select(*_SHOWN)
 
 
 add(
@@ -467,13 +468,13 @@ add(
     f"""SELECT path, CASE WHEN turned THEN true ELSE is_dir END AS is_dir, CASE WHEN turned THEN 0 ELSE size END AS size, modified, is_deleted
     FROM (SELECT *, modified > 0 AND regexp_matches(path, 'f[0-9]*[02468][.]log$') AS turned FROM ({_MERGED.format('')}))""",
 )
-add("change_merge_excluded", lambda spark, d: ch.merge(users(spark), feed(spark, d), ["u3", "/u5"]).select(*_SHOWN), _MERGED.format("AND path NOT LIKE '/users/u3/%' AND path NOT LIKE '/users/u5/%'"))
+add("change_merge_excluded", lambda spark, d: ch.shown(ch.merge(users(spark), feed(spark, d), ["u3", "/u5"])).select(*_SHOWN), _MERGED.format("AND path NOT LIKE '/users/u3/%' AND path NOT LIKE '/users/u5/%'"))
 
 
 def _subtree(spark: SparkSession, d: str) -> DataFrame:
     """Remove two folders of a large catalog."""
     gone = spark.range(1).select(F.explode(F.array(F.lit("/ship/R"), F.lit("/ship/N/O"))).alias("path"))
-    return ch.merge(cat.items(spark, d), ch.removals(gone, 1)).groupBy("is_deleted").agg(F.count("*").alias("n"))
+    return ch.shown(ch.merge(cat.items(spark, d), ch.removals(gone, 1))).groupBy("is_deleted").agg(F.count("*").alias("n"))
 
 
 add("change_remove_subtree", _subtree, f"WITH {ITEMS} SELECT path LIKE '/ship/R/%' OR path LIKE '/ship/N/O/%' AS is_deleted, count(*) AS n FROM items GROUP BY 1")
@@ -483,18 +484,76 @@ def _streamed(spark: SparkSession, d: str) -> DataFrame:
     """The feed through Structured Streaming, in one pass over its files."""
     import uuid
 
-    from shelfmark.streaming.feed import changes_stream, follow, latest
+    from shelfmark.operators.log import ChangeLog
+    from shelfmark.streaming.feed import changes_stream, follow
 
     base = f"{shared_folder(spark)}/stream-{uuid.uuid4().hex}"
     changes = feed(spark, d)
     n = changes.count()
     for k in range(2):  # two arrivals
         changes.where((F.col("seq") < n // 2) if k == 0 else (F.col("seq") >= n // 2)).coalesce(1).write.mode("append").parquet(f"{base}/in")
-    cat.save_snapshot(users(spark), f"{base}/catalog", ["/users"], 1)
-    follow(changes_stream(spark, f"{base}/in", 1), f"{base}/catalog", f"{base}/state", once=True).awaitTermination()
-    return latest(spark, f"{base}/catalog").select(*_SHOWN)
+    log = ChangeLog(spark, f"{base}/catalog")
+    log.start(users(spark), ["/users"], 1)
+    follow(changes_stream(spark, f"{base}/in", 1), log, f"{base}/state", once=True).awaitTermination()
+    return log.live().select(*_SHOWN)
 
 
 add("change_stream", _streamed, f"SELECT * FROM ({_MERGED.format('')}) WHERE NOT is_deleted")
 
+def _logged(spark: SparkSession, d: str) -> DataFrame:
+    """The feed as a log in five batches, out of order, with a compaction between and a batch that comes twice."""
+    import uuid
+
+    from shelfmark.operators.log import ChangeLog
+
+    log, events = ChangeLog(spark, f"{shared_folder(spark)}/log-{uuid.uuid4().hex}"), feed(spark, d)
+    log.start(users(spark), ["/users"], 1)
+    for number, part in enumerate((3, 0, 4)):
+        log.append(events.where(F.col("seq") % 5 == part), number)
+    log.compact()
+    for number, part in ((3, 2), (4, 1), (4, 1)):
+        log.append(events.where(F.col("seq") % 5 == part), number)
+    return log.read().select(*_SHOWN)
+
+
+add("change_log", _logged, _MERGED.format(""))
+
+# Subtrees as ranges ----------------------------------------------------------------------------------------------------
+
+
+def _labels(spark: SparkSession, d: str) -> DataFrame:
+    return labelled(cat.resolve_paths(cat.tree(spark, d))).select("entry_id", "pre", "last")
+
+
+_KEYED = f"""WITH {_TREE}, keyed AS (SELECT entry_id, path, row_number() OVER (ORDER BY replace(path, '/', chr(1)), entry_id) - 1 AS pre FROM tree),
+    below AS (SELECT path, unnest([array_to_string(string_split(path, '/')[1:k], '/') FOR k IN range(2, len(string_split(path, '/')) + 1)]) AS folder FROM tree),
+    sizes AS (SELECT folder, count(*) AS n FROM below GROUP BY folder)"""
+add("subtree_labels", _labels, f"{_KEYED} SELECT entry_id, pre, pre + n - 1 AS last FROM keyed JOIN sizes ON folder = path")
+
+
+def _in_subtree(spark: SparkSession, d: str) -> DataFrame:
+    """The orders below one nation, as a range of labels."""
+    labels = labelled(cat.resolve_paths(cat.tree(spark, d)))
+    return subtree(labels, "/EUROPE/FRANCE").where(~F.col("is_dir")).select("entry_id", "path")
+
+
+add("subtree_range", _in_subtree, f"WITH {_TREE} SELECT entry_id, path FROM tree WHERE path LIKE '/EUROPE/FRANCE/%' AND hops = 3")
+
+
+def _swept(spark: SparkSession, d: str) -> DataFrame:
+    """Every tenth customer's folder is removed, and a nation's: more folders than range predicates are made for."""
+    nodes = cat.resolve_paths(cat.tree(spark, d))
+    customer, n = F.col("entry_id") % 10 == 3, F.floor(F.col("entry_id") / 10)
+    removed = nodes.where((customer & (n % 10 == 0)) | F.endswith("path", F.lit("/FRANCE"))).select("path", F.when(customer, n).otherwise(100).alias("seq"))
+    return removed_at(nodes.select("path"), removed)
+
+
+add(
+    "subtree_removals",
+    _swept,
+    f"""WITH {_TREE}, removed AS (SELECT path, CASE WHEN entry_id % 10 = 3 THEN entry_id // 10 ELSE 100 END AS seq FROM tree WHERE (entry_id % 10 = 3 AND entry_id // 10 % 10 = 0) OR path LIKE '%/FRANCE'),
+    up AS (SELECT path, unnest([path, regexp_replace(path, '/[^/]*$', ''), regexp_replace(path, '/[^/]*/[^/]*$', '')]) AS folder FROM tree)
+    SELECT up.path, max(seq) AS removed_at FROM up JOIN removed ON folder = removed.path GROUP BY up.path""",
+)
+
 FLAGSHIP = "name_ranked_topk"

@@ -8,9 +8,11 @@ from pyspark.sql import functions as F
 
 from shelfmark.operators import catalog as cat
 from shelfmark.operators import changes as ch
+from shelfmark.operators.intervals import labelled, removed_at
+from shelfmark.operators.log import ChangeLog
 from shelfmark.operators.preview import preview_kind, text_head
 from shelfmark.sources.files import scan
-from shelfmark.streaming.feed import changes_stream, follow, latest
+from shelfmark.streaming.feed import changes_stream, follow
 
 NODES = "entry_id bigint, parent_id bigint, name string, is_dir boolean"
 
@@ -130,11 +132,70 @@ def test_replay_equals_sequential_fold(spark):
 
 def test_stream_equals_batch(spark, tmp_path):
     changes = spark.createDataFrame([event(k, "create" if k % 3 else "remove", f"/r/f{k % 5}", bool(k % 3)) for k in range(1, 30)], ch.SCHEMA)
-    cat.save_snapshot(base(spark), f"file://{tmp_path}/c", ["/r"], 1)
-    changes.coalesce(1).write.parquet(f"{tmp_path}/in")
-    follow(changes_stream(spark, f"{tmp_path}/in"), f"file://{tmp_path}/c", f"{tmp_path}/state", once=True).awaitTermination()
-    want = ch.merge(base(spark), changes).where("not is_deleted").select(*cat.COLUMNS).orderBy("path").collect()
-    assert latest(spark, f"file://{tmp_path}/c").select(*cat.COLUMNS).orderBy("path").collect() == want
+    log, seen = ChangeLog(spark, f"file://{tmp_path}/c"), []
+    log.start(base(spark), ["/r"], 1)
+    for k in range(3):
+        changes.where(F.col("seq") % 3 == k).coalesce(1).write.mode("append").parquet(f"{tmp_path}/in")
+    follow(changes_stream(spark, f"{tmp_path}/in", 1), log, f"{tmp_path}/state", on_commit=seen.append, once=True, compact_every=2).awaitTermination()
+    want = ch.shown(ch.merge(base(spark), changes)).select(*cat.COLUMNS[3:]).orderBy("path").collect()
+    assert seen == [0, 1, 2] and list(log.state()["batches"]) == ["2"]  # two batches are in the base
+    assert log.read().select(*cat.COLUMNS[3:]).orderBy("path").collect() == want
+
+
+def test_any_split_of_the_feed(spark, tmp_path):
+    """Folders that come and go, unknown paths, late and repeated events: any split and order of batches gives the same rows."""
+    random.seed(11)
+    folders = ["/r", "/r/a", "/r/a/b", "/r/c", "/x"]
+    paths = folders[1:] + [f"{f}/f{k}" for f in folders for k in range(2)]
+    events = [event(s, *random.choice([("create", p := random.choice(paths), True, p in folders), ("modify", p, True, random.random() < 0.1), ("remove", p, False), ("access", p)])) for s in range(1, 120)]
+    columns = [c for c in cat.COLUMNS if c != "entry_id"] + ["seq"]
+    rows = lambda df: sorted(map(str, ch.shown(df).select(*columns).collect()))
+    want = rows(ch.merge(base(spark), spark.createDataFrame(events, ch.SCHEMA)))
+    for trial in range(3):
+        given = random.sample(events, len(events)) + random.choices(events, k=20)
+        cut = sorted(random.sample(range(1, len(given)), 3))
+        parts = [given[a:b] for a, b in zip([0, *cut], [*cut, len(given)], strict=True)]
+        held = base(spark)
+        for part in parts:
+            held = cat.checkpointed(ch.merge(held, spark.createDataFrame(part, ch.SCHEMA)))
+        assert rows(held) == want
+        log = ChangeLog(spark, f"file://{tmp_path}/{trial}")
+        log.start(base(spark), ["/r"], 1)
+        for k, part in enumerate(parts):
+            log.append(spark.createDataFrame(part, ch.SCHEMA))
+            if k == trial:
+                log.compact()
+        assert rows(log.merged()) == want
+
+
+def test_batch_writes_what_it_names(spark, tmp_path):
+    """A batch of two paths is two rows, however large the catalog and its subtree are."""
+    many = spark.range(5_000).select(F.col("id").alias("entry_id"), F.lit(None).cast("long").alias("parent_id"), F.concat(F.lit("f"), F.col("id").cast("string")).alias("name"), F.concat(F.lit("/r/f"), F.col("id").cast("string")).alias("path"), F.lit(False).alias("is_dir"), F.lit(1).cast("long").alias("size"), F.lit(1).cast("long").alias("modified"), F.lit(False).alias("is_deleted"))
+    log = ChangeLog(spark, f"file://{tmp_path}/c")
+    log.start(many, ["/r"], 1)
+    log.append(spark.createDataFrame([event(1, "remove", "/r", False), event(2, "create", "/r/f7"), event(3, "modify", "/r/f7")], ch.SCHEMA))
+    assert log.facts().count() == 2
+    assert [r["path"] for r in log.live().collect()] == ["/r/f7"]  # all others went with the folder
+
+
+def test_labels_and_removals(spark):
+    """Labels against counting prefixes; a sweep over many ranges against trying every folder."""
+    random.seed(4)
+    paths = {"/"}
+    while len(paths) < 300:
+        at = random.choice(sorted(paths))
+        paths.add(f"{at.rstrip('/')}/{random.choice(['a', 'a b', 'a.b', 'b', 'é', 'a0'])}{random.choice(['', '1'])}")
+    rows = [(k, None, p.rsplit("/", 1)[-1], p, True, 0, 0, False) for k, p in enumerate(sorted(paths, key=lambda _: random.random()))]
+    below = lambda p, f: p == f or p.startswith(f.rstrip("/") + "/")
+    labels = {r["path"]: (r["pre"], r["last"]) for r in labelled(spark.createDataFrame(rows, cat.SCHEMA)).collect()}
+    assert sorted(v[0] for v in labels.values()) == list(range(300))
+    for f in random.sample(sorted(paths), 40):
+        assert {p for p in paths if below(p, f)} == {p for p, (pre, _) in labels.items() if labels[f][0] <= pre <= labels[f][1]}
+    gone = [(p, k) for k, p in enumerate(random.sample(sorted(paths), 60))] + [("/nowhere", 99)]
+    want = {p: max(k for f, k in gone if below(p, f)) for p in paths if any(below(p, f) for f, _ in gone)}
+    for few in (3, 100):
+        got = removed_at(spark.createDataFrame([(p,) for p in paths], "path string"), spark.createDataFrame(gone, "path string, seq bigint"), few)
+        assert {r["path"]: r["removed_at"] for r in got.collect()} == want
 
 
 def test_metadata_fill(spark):
