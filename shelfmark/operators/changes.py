@@ -112,8 +112,8 @@ def shown(catalog: DataFrame) -> DataFrame:
     return catalog.where(F.col("base_dir").isNotNull() | ~F.col("is_deleted"))
 
 
-def with_new_ids(rows: DataFrame, wanted: Column | None = None) -> DataFrame:
-    """Rows without an id get the next ones in the order of their paths, those that are ``wanted``.
+def with_new_ids(rows: DataFrame, wanted: Column | None = None, after: int = -1) -> DataFrame:
+    """Rows without an id get the next ones in the order of their paths, those that are ``wanted``; ids begin after ``after``.
 
     The order is by range partitions: positions within a partition plus the number of rows before it, so no single task
     sees all new rows. They are written first, as a partition that is computed anew could get other rows. ``rows`` is read
@@ -123,7 +123,7 @@ def with_new_ids(rows: DataFrame, wanted: Column | None = None) -> DataFrame:
     n = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     fresh = rows.where(wanted).repartitionByRange(n, F.col("path")).withColumn("__p", F.spark_partition_id())
     fresh = checkpointed(fresh)
-    start = rows.agg(F.max("entry_id").alias("m")).select((F.coalesce("m", F.lit(-1)) + 1).alias("__start"))
+    start = rows.agg(F.max("entry_id").alias("m")).select((F.greatest("m", F.lit(after)) + 1).alias("__start"))
     sizes = fresh.groupBy("__p").agg(F.count("*").alias("__c"))
     before = sizes.select("__p", (F.sum("__c").over(Window.orderBy("__p")) - F.col("__c")).alias("__before"))  # a row per partition
     place = F.row_number().over(Window.partitionBy("__p").orderBy("path"))

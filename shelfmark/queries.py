@@ -556,4 +556,27 @@ add(
     SELECT up.path, max(seq) AS removed_at FROM up JOIN removed ON folder = removed.path GROUP BY up.path""",
 )
 
+# The first scan --------------------------------------------------------------------------------------------------------
+
+
+def _first_scan(spark: SparkSession, d: str) -> DataFrame:
+    """The tree as a stream of batches, searched after each of them; what the scan gives in the end."""
+    import uuid
+
+    from shelfmark.streaming.scan import node_scan
+
+    scan, seen = node_scan(cat.tree(spark, d), f"{shared_folder(spark)}/scan-{uuid.uuid4().hex}", 4_096), []
+
+    def look(progress: dict) -> None:
+        totals = search(scan.catalog(), parse("a type:folder")).totals.first()
+        seen.append((progress["batch"], progress["rows"], totals["total"]))
+
+    whole = scan.run(look)
+    if [s[1:] for s in seen] != sorted(s[1:] for s in seen):
+        raise AssertionError("a later search saw less")
+    return whole.select("entry_id", "path", "is_dir")
+
+
+add("first_scan", _first_scan, f"WITH {_TREE} SELECT entry_id, path, hops < 3 AS is_dir FROM tree")
+
 FLAGSHIP = "name_ranked_topk"

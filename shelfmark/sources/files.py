@@ -49,6 +49,24 @@ def _row(path: str, parent: str | None, name: str, is_dir: bool) -> tuple:
         return path, parent, name, is_dir, 0, 0
 
 
+def entries_of(folder: str, patterns: list[str]) -> Iterator[tuple]:
+    """(path, name, is_dir, size, modified) of what is directly in a folder; nothing if it cannot be listed."""
+    try:
+        with os.scandir(folder) as found:
+            children = sorted(found, key=lambda e: e.name)
+    except OSError:
+        return
+    for e in children:
+        if not is_excluded(e.path, patterns):
+            path, _, name, is_dir, size, modified = _row(e.path, folder, e.name, e.is_dir(follow_symlinks=False))
+            yield path, name, is_dir, size, modified
+
+
+def root_rows(roots: list[str]) -> list[tuple]:
+    """(path, is_dir, size, modified) of the roots, each a folder."""
+    return [(r, True, 0, _row(r, None, r, True)[-1]) for r in roots]
+
+
 class _Part(InputPartition):
     def __init__(self, folder: str, deep: bool, root: bool):
         self.folder, self.deep, self.root = folder, deep, root
@@ -76,18 +94,10 @@ class _Reader(DataSourceReader):
         todo = [part.folder]
         while todo:
             folder = todo.pop()
-            try:
-                with os.scandir(folder) as found:
-                    children = sorted(found, key=lambda e: e.name)
-            except OSError:
-                continue
-            for e in children:
-                if is_excluded(e.path, self.exclusions):
-                    continue
-                is_dir = e.is_dir(follow_symlinks=False)
-                yield _row(e.path, folder, e.name, is_dir)
+            for path, name, is_dir, size, modified in entries_of(folder, self.exclusions):
+                yield path, folder, name, is_dir, size, modified
                 if is_dir and part.deep:
-                    todo.append(e.path)
+                    todo.append(path)
 
 
 class FilesDataSource(DataSource):
