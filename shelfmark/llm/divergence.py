@@ -27,22 +27,22 @@ of value 0, and one with a single source no pairs. Other columns are not read.
 
 from __future__ import annotations
 
-from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from shelfmark.llm.common import stored, table
+from shelfmark.llm.common import slices, stored, table
 
 MIN_DOCS = 3
 TERM_RANKS = 200
 BLOCK = 256
 SPREAD = 64
-#: Distinct (group, term) entries that a task holds before it emits them.
-HELD = 400_000
+#: Words that a task counts at a time.
+HELD = 4_000_000
 #: Pairs that a task computes at once.
 AT_ONCE = 500_000
 #: Letters of a term as they are, A to Z in lower case, all else a space. On UTF-8, whose longer characters have no byte below 128.
@@ -50,31 +50,44 @@ _LETTERS = bytes(c + 32 if 65 <= c <= 90 else c if 97 <= c <= 122 or c >= 128 el
 
 
 def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    held: dict[tuple, tuple[Counter, Counter]] = {}
-    since = 0
-
-    def emit() -> Iterator[pa.RecordBatch]:
-        for (lang, source), (n, docs) in held.items():
-            terms = list(n)
-            for k in range(0, len(terms), 50_000):
-                part = terms[k : k + 50_000]
-                same = [pa.array([v] * len(part), pa.string()) for v in (lang, source)]
-                columns = [*same, pa.array(part, pa.binary()), pa.array([n[t] for t in part], pa.int64()), pa.array([docs[t] for t in part], pa.int64())]
-                yield pa.RecordBatch.from_arrays(columns, ["lang", "source", "term", "n", "docs"])
-        held.clear()
+    """(lang, source, term, n, docs) of the documents of about ``HELD`` words at a time."""
+    groups: dict[tuple, int] = {}
+    owner, terms, lengths, held = [], [], [], 0
+
+    def emit() -> pa.RecordBatch:
+        words = pa.chunked_array(terms, pa.binary()).combine_chunks().dictionary_encode()
+        code, wide = words.indices.to_numpy().astype(np.int64), max(len(words.dictionary), 1)
+        doc = np.repeat(np.arange(len(owner)), np.concatenate(lengths))
+        once, n = np.unique(doc * wide + code, return_counts=True)
+        key = np.array(owner, np.int64)[once // wide] * wide + once % wide
+        order = np.argsort(key, kind="stable")
+        key, n = key[order], n[order]
+        first = np.flatnonzero(np.diff(key, prepend=-1))
+        names = list(groups)
+        lang, source = (pa.array([g[i] for g in names], pa.string()).take(pa.array(key[first] // wide)) for i in (0, 1))
+        docs = np.diff(first, append=len(key))
+        found = [lang, source, words.dictionary.take(pa.array(key[first] % wide)), pa.array(np.add.reduceat(n, first) if len(first) else n), pa.array(docs)]
+        for store in (groups, owner, terms, lengths):
+            store.clear()
+        return pa.RecordBatch.from_arrays(found, ["lang", "source", "term", "n", "docs"])
 
     for batch in batches:
-        for lang, source, text in zip(batch.column("lang").to_pylist(), batch.column("source").to_pylist(), batch.column("text"), strict=True):
-            terms = text.as_py().translate(_LETTERS).split()
-            n, docs = held.setdefault((lang, source), (Counter(), Counter()))
-            n.update(terms)
-            docs.update(set(terms))
-            since += len(terms)
-            if since > HELD // 2:
-                since = 0
-                if sum(len(n) for n, _ in held.values()) > HELD:
-                    yield from emit()
-    yield from emit()
+        for part in slices(batch, "text"):
+            text = pa.array([t.translate(_LETTERS) for t in part.column("text").to_pylist()], pa.binary())
+            split = pc.split_pattern(text, b" ")
+            flat = split.flatten()
+            full = pc.greater(pc.binary_length(flat), 0)
+            length = np.zeros(part.num_rows, np.int64)
+            np.add.at(length, np.repeat(np.arange(part.num_rows), pc.list_value_length(split).to_numpy()), full.to_numpy(zero_copy_only=False))
+            terms.append(flat.filter(full))
+            lengths.append(length)
+            owner += [groups.setdefault(g, len(groups)) for g in zip(part.column("lang").to_pylist(), part.column("source").to_pylist(), strict=True)]
+            held += len(terms[-1])
+            if held > HELD:
+                yield emit()
+                held = 0
+    if owner:
+        yield emit()
 
 
 def counts(docs: DataFrame, min_docs: int = MIN_DOCS) -> DataFrame:
@@ -87,8 +100,9 @@ def counts(docs: DataFrame, min_docs: int = MIN_DOCS) -> DataFrame:
     summed = partial.repartition("lang", "term").groupBy("lang", "source", "term").agg(F.sum("n").alias("n"), F.sum("docs").alias("docs"))
     term = Window.partitionBy("lang", "term")
     vector = lambda *salt: F.bit_xor(F.xxhash64(*salt, "source", "n")).over(term)
-    full = summed.withColumn("held_by", F.sum("docs").over(term)).withColumn("total", F.sum("n").over(term)).withColumn("a", vector()).withColumn("b", vector(F.lit(1)))
-    return full.withColumn("head", F.row_number().over(term.orderBy("source")) == 1).where(F.col("held_by") >= min_docs).select("lang", "source", "term", "n", "total", "head", "a", "b")
+    full = summed.withColumn("held_by", F.sum("docs").over(term)).where(F.col("held_by") >= min_docs)
+    full = full.withColumn("total", F.sum("n").over(term)).withColumn("a", vector()).withColumn("b", vector(F.lit(1)))
+    return full.withColumn("head", F.row_number().over(term.orderBy("source")) == 1).select("lang", "source", "term", "n", "total", "head", "a", "b")
 
 
 def share(n: str, total: str, kept: str) -> Column:
@@ -102,153 +116,171 @@ def gap(p: Column, q: Column) -> Column:
 
 
 def groups(docs: DataFrame, found: DataFrame) -> DataFrame:
-    """(lang, source, n_group, n_lang, kept, zero, blocks, block) of every group; ``zero`` is its share of a count of zero."""
+    """(lang, source, n_group, n_lang, kept, zero, blocks, block, slot) of every group; ``zero`` is its share of a count of zero,
+    ``slot`` its number in its block."""
     every = docs.select("lang", "source").distinct()
     sums = found.groupBy("lang", "source").agg(F.sum("n").alias("n_group"))
     langs = found.groupBy("lang").agg(F.sum("n").alias("n_lang"), F.count_if("head").alias("kept"))
     sizes = every.groupBy("lang").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
     out = every.join(sums, ["lang", "source"], "left").join(langs, "lang", "left").join(sizes, "lang").na.fill(0, ["n_group", "n_lang", "kept"])
-    return out.withColumn("zero", share("0", "n_group", "kept")).withColumn("block", F.pmod(F.xxhash64("source"), "blocks").cast("int"))
+    out = out.withColumn("zero", share("0", "n_group", "kept")).withColumn("block", F.pmod(F.xxhash64("source"), "blocks").cast("int"))
+    return out.withColumn("slot", (F.row_number().over(Window.partitionBy("lang", "block").orderBy("source")) - 1).cast("long"))
 
 
-def _tiles(rows: DataFrame, spread: Column) -> DataFrame:
-    """Each row for the tiles (left, right) of its block with every block: as part of the left one (side 0) and of the right."""
-    other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other")
-    both = rows.select("*", other).select("*", F.explode(F.array(F.lit(0), F.lit(1))).alias("side"))
-    left = F.when(F.col("side") == 0, F.col("block")).otherwise(F.col("other"))
+def _tiles(rows: DataFrame) -> DataFrame:
+    """Each row for the tiles (left, right) of its block with every block: side 0 for the left one, 1 for the right, 2 for both."""
+    other = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    sides = F.when(F.col("other") == F.col("block"), F.array(F.lit(2))).otherwise(F.array(F.lit(0), F.lit(1)))
+    both = other.withColumn("side", F.explode(sides))
+    left = F.when(F.col("side") == 1, F.col("other")).otherwise(F.col("block"))
     right = F.when(F.col("side") == 0, F.col("other")).otherwise(F.col("block"))
-    return both.withColumn("left", left).withColumn("right", right).withColumn("spread", spread).drop("other")
+    return both.withColumn("left", left).withColumn("right", right).drop("other", "blocks", "block")
 
 
 def _apart(p: np.ndarray, q: np.ndarray) -> np.ndarray:
     return (p - q) * (p - q) // q
 
 
-class _Tile:
-    """Sums by (source, item), emitted where they are not zero."""
+_PAIRS = "lang string, left int, right int, i long, j long, value long"
+
+
+class _Sums:
+    """Sums by (left slot, right slot) of one tile, emitted where they are not zero."""
 
     def __init__(self) -> None:
-        self.key, self.names, self.sums = None, ({}, {}), np.zeros((64, 64), np.int64)
-
-    def places(self, side: int, sources: list[str]) -> np.ndarray:
-        names = self.names[side]
-        out = np.array([names.setdefault(s, len(names)) for s in sources], np.int64)
-        while len(names) > self.sums.shape[side]:
-            self.sums = np.concatenate([self.sums, np.zeros_like(self.sums)], axis=side)
-        return out
-
-    def emit(self) -> Iterator[pa.RecordBatch]:
-        if self.key is not None:
-            rows, columns = (np.array(list(n), object) for n in self.names)
-            i, j = np.nonzero(self.sums[: len(rows), : len(columns)])
-            keep = rows[i] != columns[j] if len(i) else np.zeros(0, bool)
-            i, j = i[keep], j[keep]
+        self.key, self.table = None, np.zeros((0, 0), np.int64)
+
+    def cover(self, i: int, j: int) -> None:
+        """Make room for slots below i and j."""
+        grow = [(0, max(0, n - have)) for n, have in zip((i, j), self.table.shape, strict=True)]
+        if any(g[1] for g in grow):
+            self.table = np.pad(self.table, grow)
+
+    def turn(self, key: tuple | None) -> Iterator[pa.RecordBatch]:
+        """Go on to another tile; the sums of the one before are emitted."""
+        if key != self.key:
+            i, j = np.nonzero(self.table)
             if len(i):
-                yield pa.RecordBatch.from_arrays([pa.array([self.key[0]] * len(i), pa.string()), pa.array(rows[i], pa.string()), pa.array(columns[j], pa.string()), pa.array(self.sums[i, j])], ["lang", "source", "item", "value"])
-        self.__init__()
+                same = [pa.array([v] * len(i), k) for v, k in zip(self.key, (pa.string(), pa.int32(), pa.int32()), strict=True)]
+                yield pa.RecordBatch.from_arrays([*same, pa.array(i), pa.array(j), pa.array(self.table[i, j])], [c.split()[0] for c in _PAIRS.split(", ")])
+            self.key, self.table = key, np.zeros((0, 0), np.int64)
 
 
-_PAIRS = "lang string, source string, item string, value long"
+def _runs(batches: Iterator[pa.RecordBatch], *keys: str) -> Iterator[tuple[tuple, dict[str, np.ndarray]]]:
+    """(key, numbers) for each stretch of rows with equal keys, batch by batch."""
+    for batch in batches:
+        change = np.zeros(max(batch.num_rows - 1, 0), bool)
+        for c in keys:
+            column = batch.column(c)
+            change |= pc.not_equal(column.slice(1), column.slice(0, max(batch.num_rows - 1, 0))).to_numpy(zero_copy_only=False)
+        cuts = [0, *(np.flatnonzero(change) + 1).tolist(), batch.num_rows]
+        for s, e in zip(cuts, cuts[1:], strict=False):
+            if e > s:
+                part = batch.slice(s, e - s)
+                yield tuple(part.column(c)[0].as_py() for c in keys), {c: part.column(c).to_numpy() for c in part.schema.names if c not in keys}
 
 
 def _joint(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Entries sorted by tile and vector: the pairs of a vector's left entries with its right ones."""
-    tile, rows = _Tile(), []
-
-    def add() -> None:
-        """The pairs of the whole vectors in ``rows``."""
-        vector, side = np.array([r[0] for r in rows]), np.array([r[1] for r in rows])
-        p, z, times = (np.array([r[k] for r in rows], np.int64) for k in (3, 4, 5))
-        order = [np.flatnonzero(side == s) for s in (0, 1)]
-        at = [tile.places(s, [rows[k][2] for k in order[s]]) for s in (0, 1)]
-        left, right = vector[order[0]], vector[order[1]]
-        first, last = np.searchsorted(right, left, "left"), np.searchsorted(right, left, "right")
-        many = last - first
-        i = np.repeat(np.arange(len(left)), many)
-        j = np.arange(len(i)) - np.repeat(np.cumsum(many) - many, many) + np.repeat(first, many)
-        a, b = order[0][i], order[1][j]
-        value = _apart(p[a], p[b]) - _apart(p[a], z[b]) - _apart(z[a], p[b]) + _apart(z[a], z[b])
-        np.add.at(tile.sums, (at[0][i], at[1][j]), value * times[a])
-        rows.clear()
-
-    cost, width, number, now = 0, 0, 0, None
-    for batch in batches:
-        for lang, left, right, term, side, *entry in zip(*(batch.column(c).to_pylist() for c in ("lang", "left", "right", "term", "side", "source", "p", "zero", "times")), strict=True):
-            key = (lang, left, right)
-            if (key, term) != now:
-                cost, width, number, now = cost + width * width, 0, number + 1, (key, term)
-                if rows and (cost > AT_ONCE or key != tile.key):
-                    add()
-                    cost = 0
-                if key != tile.key:
-                    yield from tile.emit()
-                    tile.key = key
-            rows.append((number, side, *entry))
-            width += 1
-    if rows:
-        add()
-    yield from tile.emit()
+    """Entries sorted by tile and vector: what the entries of a vector on the left add with those on the right."""
+    sums, kept = _Sums(), None
+
+    def add(rows: dict[str, np.ndarray]) -> None:
+        """The pairs of whole vectors, some of them at a time."""
+        vector, side, slot, p, z = (rows[c] for c in ("vector", "side", "slot", "p", "zero"))
+        a, b = np.flatnonzero(side != 1), np.flatnonzero(side != 0)
+        if not len(a) or not len(b):
+            return
+        sums.cover(int(slot[a].max()) + 1, int(slot[b].max()) + 1)
+        left, right = vector[a], vector[b]
+        first = np.searchsorted(right, left, "left")
+        many = np.searchsorted(right, left, "right") - first
+        ends = np.cumsum(many)
+        for s in range(0, int(ends[-1]), AT_ONCE):
+            pair = np.arange(s, min(s + AT_ONCE, int(ends[-1])))
+            of = np.searchsorted(ends, pair, "right")
+            i, j = a[of], b[pair - (ends[of] - many[of]) + first[of]]
+            value = _apart(p[i], p[j]) - _apart(p[i], z[j]) - _apart(z[i], p[j]) + _apart(z[i], z[j])
+            np.add.at(sums.table.reshape(-1), slot[i] * sums.table.shape[1] + slot[j], value * rows["times"][i])
+
+    for key, rows in _runs(batches, "lang", "left", "right"):
+        if key != sums.key:
+            if kept is not None:
+                add(kept)
+            yield from sums.turn(key)
+            kept = None
+        if kept is not None:
+            rows = {c: np.concatenate([kept[c], v]) for c, v in rows.items()}
+        rows["vector"] = np.cumsum((np.diff(rows["a"], prepend=rows["a"][0]) != 0) | (np.diff(rows["b"], prepend=rows["b"][0]) != 0))
+        last = np.searchsorted(rows["vector"], rows["vector"][-1], "left")  # the last vector may go on
+        add({c: v[:last] for c, v in rows.items()})
+        kept = {c: v[last:] for c, v in rows.items()}
+    if kept is not None:
+        add(kept)
+    yield from sums.turn(None)
 
 
 def _single(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """The groups of the right block, then the counts of the left one: what a count adds for every source that lacks its term.
 
-    Sums of (source, item) with the count on the source's side; a second kind of sums has it on the item's.
+    ``back`` 0 has the source with the count first, 1 the one without.
     """
-    ahead, behind, others, at = _Tile(), _Tile(), np.zeros(0, np.int64), None
-    for batch in batches:
-        columns = {c: batch.column(c).to_pylist() for c in ("lang", "left", "right", "side", "source", "p", "zero", "times")}
-        keys = list(zip(columns["lang"], columns["left"], columns["right"], columns["side"], strict=True))
-        cuts = [0, *(k for k in range(1, len(keys)) if keys[k] != keys[k - 1]), len(keys)]
-        for s, e in zip(cuts, cuts[1:], strict=False):
-            for start in range(s, e, 2_000):
-                cut = slice(start, min(e, start + 2_000))
-                key, sources = keys[s][:3], columns["source"][cut]
-                if key != ahead.key:
-                    for t in (ahead, behind):
-                        yield from t.emit()
-                        t.key = key
-                    others = np.zeros(0, np.int64)
-                if keys[s][3] == 1:  # groups come first, see the sorting; a task with several spreads gets them as often
-                    place = ahead.places(1, sources)
-                    behind.places(0, sources)
-                    others = np.concatenate([others, np.zeros(len(ahead.names[1]) - len(others), np.int64)])
-                    others[place] = columns["zero"][cut]
-                    continue
-                p, z, times = (np.array(columns[c][cut], np.int64)[:, None] for c in ("p", "zero", "times"))
-                at = ahead.places(0, sources)
-                behind.places(1, sources)
-                wide = slice(0, len(others))
-                np.add.at(ahead.sums[:, wide], at, times * (_apart(p, others) - _apart(z, others)))
-                np.add.at(behind.sums.T[:, wide], at, times * (_apart(others, p) - _apart(others, z)))
-    for t in (ahead, behind):
-        yield from t.emit()
+    sums, others = (_Sums(), _Sums()), np.zeros(0, np.int64)
+    for key, rows in _runs(batches, "lang", "left", "right"):
+        if key != sums[0].key:
+            yield from sums[0].turn(key)
+            for out in sums[1].turn(key):
+                yield _turned(out)
+            others = np.zeros(0, np.int64)
+        group = rows["kind"] == 0  # sorted: groups come first; a task with several spreads gets them as often
+        if group.any():
+            place = rows["slot"][group]
+            others = np.concatenate([others, np.zeros(max(0, int(place.max()) + 1 - len(others)), np.int64)])
+            others[place] = rows["zero"][group]
+        counted = np.flatnonzero(~group)
+        for s in range(0, len(counted), 2_000):
+            at = counted[s : s + 2_000]
+            p, z, times = (rows[c][at][:, None] for c in ("p", "zero", "times"))
+            slot = rows["slot"][at]
+            for out in sums:
+                out.cover(int(slot.max()) + 1, len(others))
+            np.add.at(sums[0].table[:, : len(others)], slot, times * (_apart(p, others) - _apart(z, others)))
+            np.add.at(sums[1].table[:, : len(others)], slot, times * (_apart(others, p) - _apart(others, z)))
+    yield from sums[0].turn(None)
+    for out in sums[1].turn(None):
+        yield _turned(out)
+
+
+def _turned(out: pa.RecordBatch) -> pa.RecordBatch:
+    """Sums of (count, other) as sums of the other tile's (other, count)."""
+    lang, left, right, i, j, value = out.columns
+    return pa.RecordBatch.from_arrays([lang, right, left, j, i, value], out.schema.names)
 
 
 def pair_values(found: DataFrame, facts: DataFrame) -> DataFrame:
     """(lang, source, item, value) for every two sources of a language."""
     heads = found.where("head").groupBy("lang", "a", "b").agg(F.count("*").alias("times"), F.min("term").alias("term"))
-    known = facts.where("kept > 0").select("lang", "source", "n_group", "kept", "zero", "blocks", "block")
-    entries = found.select("lang", "source", "term", "n").join(heads.select("lang", "term", "times"), ["lang", "term"]).join(known, ["lang", "source"]).withColumn("p", share("n", "n_group", "kept"))
-    by_term = F.pmod(F.xxhash64("term"), F.lit(SPREAD))
-    tiled = _tiles(entries.select("lang", "source", "term", "times", "p", "zero", "blocks", "block"), by_term)
-    joint = tiled.repartition("lang", "left", "right", "spread").sortWithinPartitions("lang", "left", "right", "term").mapInArrow(_joint, _PAIRS)
+    known = facts.where("kept > 0").select("lang", "source", "n_group", "kept", "zero", "blocks", "block", "slot")
+    entries = found.select("lang", "source", "term", "n").join(heads.select("lang", "term", "times", "a", "b"), ["lang", "term"]).join(known, ["lang", "source"]).withColumn("p", share("n", "n_group", "kept"))
+    tiled = _tiles(entries.select("lang", "a", "b", "times", "p", "zero", "blocks", "block", "slot"))
+    dealt = tiled.repartition("lang", "left", "right", F.pmod("a", F.lit(SPREAD))).sortWithinPartitions("lang", "left", "right", "a", "b")
+    joint = dealt.select("lang", "left", "right", "a", "b", "side", "slot", "p", "zero", "times").mapInArrow(_joint, _PAIRS)
 
     histogram = found.groupBy("lang", "source", "n").agg(F.count("*").alias("times")).join(known, ["lang", "source"]).withColumn("p", share("n", "n_group", "kept"))
-    shape = ("lang", "source", "p", "zero", "times", "blocks", "block")
-    by_count = F.pmod(F.xxhash64("p"), F.lit(SPREAD))
-    every = F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SPREAD - 1).cast("long")))
-    left = _tiles(histogram.select(*shape), by_count).where("side = 0")
-    right = _tiles(known.select("lang", "source", F.lit(0).cast("long").alias("p"), "zero", F.lit(0).cast("long").alias("times"), "blocks", "block"), F.lit(0)).where("side = 1")
-    right = right.withColumn("spread", every).select(*left.columns)
-    single = left.union(right).repartition("lang", "left", "right", "spread").sortWithinPartitions("lang", "left", "right", F.desc("side")).mapInArrow(_single, _PAIRS)
-
-    sides = _tiles(facts.select("lang", "source", "kept", "zero", "blocks", "block"), F.lit(0))
-    ours = sides.where("side = 0").select("lang", "left", "right", "source", "kept", "zero")
-    theirs = sides.where("side = 1").select("lang", "left", "right", F.col("source").alias("item"), F.col("zero").alias("other"))
-    base = ours.join(theirs, ["lang", "left", "right"]).where("source <> item")
-    base = base.select("lang", "source", "item", F.coalesce(F.col("kept") * gap(F.col("zero"), F.col("other")), F.lit(0)).cast("long").alias("value"))
-    return base.union(joint).union(single).groupBy("lang", "source", "item").agg(F.sum("value").alias("value"))
+    shape = ("lang", "p", "zero", "times", "blocks", "block", "slot")
+    zero = F.lit(0).cast("long")
+    left = _tiles(histogram.select(*shape)).where("side <> 1").withColumn("kind", F.lit(1)).withColumn("spread", F.pmod(F.xxhash64("p"), F.lit(SPREAD)))
+    right = _tiles(known.select("lang", zero.alias("p"), "zero", zero.alias("times"), "blocks", "block", "slot")).where("side <> 0").withColumn("kind", F.lit(0))
+    right = right.withColumn("spread", F.explode(F.sequence(zero, F.lit(SPREAD - 1).cast("long")))).select(*left.columns)
+    single = left.union(right).repartition("lang", "left", "right", "spread").sortWithinPartitions("lang", "left", "right", "kind")
+    single = single.select("lang", "left", "right", "kind", "slot", "p", "zero", "times").mapInArrow(_single, _PAIRS)
+    sums = joint.union(single).groupBy("lang", "left", "right", "i", "j").agg(F.sum("value").alias("more"))
+
+    sides = _tiles(facts.select("lang", "source", "kept", "zero", "blocks", "block", "slot"))
+    ours = sides.where("side <> 1").select("lang", "left", "right", F.col("slot").alias("i"), "source", "kept", "zero")
+    theirs = sides.where("side <> 0").select("lang", "left", "right", F.col("slot").alias("j"), F.col("source").alias("item"), F.col("zero").alias("other"))
+    every = ours.join(theirs, ["lang", "left", "right"]).where("source <> item").join(sums, ["lang", "left", "right", "i", "j"], "left")
+    value = F.coalesce(F.col("kept") * gap(F.col("zero"), F.col("other")), F.lit(0)) + F.coalesce("more", F.lit(0))
+    return every.select("lang", "source", "item", value.cast("long").alias("value"))
 
 
 def term_values(found: DataFrame, facts: DataFrame) -> DataFrame:
