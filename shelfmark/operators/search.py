@@ -116,6 +116,19 @@ def totals_of(matched: DataFrame, k: int) -> DataFrame:
     return matched.agg(F.count("*").alias("total")).withColumn("truncated", F.col("total") > k)
 
 
+def found(catalog: DataFrame, spec: SearchSpec, category: Category = Category.ALL, texts: DataFrame | None = None, documents: DataFrame | None = None, candidates: int | None = CONTENT_CANDIDATES, max_file: int | None = MAX_FILE) -> DataFrame:
+    """All rows that a search finds, with ``score``; see ``search``."""
+    if spec.is_empty and category is Category.ALL:
+        return catalog.where(~F.col("is_deleted")).withColumn("score", F.lit(0).cast("long"))
+    matched = matches(catalog, spec, category)
+    if spec.content is None:
+        return matched
+    if texts is None:
+        raise ValueError("a content predicate needs the texts")
+    best = matched if candidates is None else ranked(matched, candidates)
+    return first_lines(best.select(*HITS), texts, spec.content, spec.mode is MatchMode.REGEX, spec.case_sensitive, documents=documents, max_file=max_file)
+
+
 def search(catalog: DataFrame, spec: SearchSpec, category: Category = Category.ALL, k: int = DEFAULT_RESULTS, texts: DataFrame | None = None, documents: DataFrame | None = None, candidates: int | None = CONTENT_CANDIDATES, max_file: int | None = MAX_FILE) -> Outcome:
     """Run a query over a catalog; ``texts`` (entry_id, text) serves content predicates, ``documents`` (entry_id, data) those on
     office documents. Content is searched in the best ``candidates`` by rank and in files of up to ``max_file`` bytes; None
@@ -123,17 +136,9 @@ def search(catalog: DataFrame, spec: SearchSpec, category: Category = Category.A
 
     A query that asks for nothing shows the first k live rows by id, with score 0.
     """
-    if spec.is_empty and category is Category.ALL:
-        live = catalog.where(~F.col("is_deleted")).withColumn("score", F.lit(0).cast("long"))
-        return Outcome(live.orderBy("entry_id").limit(k).select(*HITS), totals_of(live, k))
-    matched = matches(catalog, spec, category)
-    if spec.content is None:
-        return Outcome(ranked(matched, k).select(*HITS), totals_of(matched, k))
-    if texts is None:
-        raise ValueError("a content predicate needs the texts")
-    best = matched if candidates is None else ranked(matched, candidates)
-    found = first_lines(best.select(*HITS), texts, spec.content, spec.mode is MatchMode.REGEX, spec.case_sensitive, documents=documents, max_file=max_file)
-    return Outcome(ranked(found, k), totals_of(found, k))
+    rows = found(catalog, spec, category, texts, documents, candidates, max_file)
+    columns = rows.columns if spec.content is not None else HITS
+    return Outcome(ranked(rows, k).select(*columns), totals_of(rows, k))
 
 
 def numbered(hits: DataFrame, key: SortKey = SortKey.RELEVANCE, descending: bool = True) -> DataFrame:

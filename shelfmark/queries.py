@@ -22,6 +22,7 @@ from shelfmark.operators import changes as ch
 from shelfmark.operators.extract import document_text, media_info
 from shelfmark.operators.intervals import labelled, removed_at, subtree
 from shelfmark.operators.preview import preview_kind
+from shelfmark.operators.session import one_pass
 from shelfmark.operators.search import matches, numbered, search, without_paths
 from shelfmark.plans.parser import parse, within_folder
 from shelfmark.plans.spec import Category, MatchMode, SortKey
@@ -130,6 +131,18 @@ def _returned(spark: SparkSession, d: str) -> DataFrame:
 add("live_count", lambda spark, d: cat.live_count(_returned(spark, d)), f"WITH {ITEMS} SELECT count(*) AS live FROM items WHERE path NOT LIKE '/ship/R/%'")
 add("live_rows", lambda spark, d: search(_returned(spark, d), parse("item_1"), k=1_000_000).hits, _select("items", ITEMS, "path NOT LIKE '/ship/R/%'", ("item_1",), 1_000_000))
 
+
+
+def _one_pass(spark: SparkSession, d: str) -> DataFrame:
+    """Total and shown rows of one action: the catalog is read once."""
+    rows, seen = one_pass(matches(cat.items(spark, d), parse("item_1 ext:csv")), 500)
+    shown = rows.select("entry_id").toArrow().num_rows  # at most k
+    total = int(seen.get["total"])
+    return spark.createDataFrame([(total, total > shown, shown)], "total bigint, truncated boolean, shown bigint")
+
+
+add("totals_one_pass", _one_pass, f"WITH {ITEMS} SELECT count(*) AS total, count(*) > 500 AS truncated, least(count(*), 500) AS shown FROM items WHERE contains(name, 'item_1') AND {_ext()} = 'csv'")
+
 # Filters ---------------------------------------------------------------------------------------------------------
 
 hits("filter_ext", "items", "ext:csv", "name LIKE '%.csv'", k=1_000_000)
