@@ -5,9 +5,11 @@ Features are the n-grams of 1 to 3 code points of the lower-cased text, hashed t
 The weights are trained by follow-the-regularised-leader (FTRL-proximal) with elastic-net penalties, which leaves most
 of them exactly zero; a temperature fitted on a part of the sample that training does not see calibrates the scores.
 
-The model is fitted on a bounded sample: at most ``SAMPLE`` learning documents in all, shared out evenly over the
-languages (one each at least), chosen by hash, whole texts. Everything else covers all rows and every label. The model has
-``N_FEATURES`` times the number of languages weights, 128 KB a language, which is what the workers are sent.
+The model is fitted on a bounded sample: about ``SAMPLE`` distinct learning documents in all, shared out evenly over the
+languages (one each at least: the one of least hash), chosen by hash, whole texts. Everything else covers all rows and every
+label. The workers are sent at most ``WEIGHTS`` weights of 4 or 8 bytes: with more than ``WEIGHTS / N_FEATURES`` languages the
+n-grams are hashed to fewer columns. With more than ``ACTIVE`` languages a training step updates those whose probability it
+changes by ``LEAST`` or more.
 
 Defined results: null texts and texts without a letter are ``und`` with score 0; with no labelled learning document
 every text is ``und``. Null or unknown labels are not learned from. Equal texts get equal predictions. Very long texts
@@ -28,16 +30,18 @@ from pyspark.sql import functions as F
 from shelfmark.llm.common import slices, table
 
 N_FEATURES = 1 << 14
+WEIGHTS = 1 << 24
 SAMPLE = 2_400
+ACTIVE, LEAST = 64, 1e-4
 UNDETERMINED = "und"
 ORDERS = (1, 2, 3)
 #: Code points counted at a time.
 PIECE = 1_000_000
 
 
-def counts(text: str) -> np.ndarray:
-    """How often each hashed n-gram stands in the text, as an array of N_FEATURES."""
-    out = np.zeros(N_FEATURES, np.int64)
+def counts(text: str, features: int = N_FEATURES) -> np.ndarray:
+    """How often each hashed n-gram stands in the text, as an array of that many features (a power of two)."""
+    out = np.zeros(features, np.int64)
     low = text.lower()
     for k in range(0, max(len(low), 1), PIECE):
         piece = low[k : k + PIECE + max(ORDERS) - 1]
@@ -50,7 +54,7 @@ def counts(text: str) -> np.ndarray:
             for j in range(n):
                 mixed = (mixed ^ codes[j : j + m]) * np.uint64(0x9E3779B97F4A7C15)
                 mixed ^= mixed >> np.uint64(29)
-            out += np.bincount((mixed >> np.uint64(40)).astype(np.int64) & (N_FEATURES - 1), minlength=N_FEATURES)
+            out += np.bincount((mixed >> np.uint64(40)).astype(np.int64) & (features - 1), minlength=features)
     return out
 
 
@@ -69,7 +73,7 @@ def weigh(index: np.ndarray, tf: np.ndarray, idf: np.ndarray) -> np.ndarray:
 class Model:
     languages: list[str]
     idf: np.ndarray
-    weights: np.ndarray  # N_FEATURES x languages
+    weights: np.ndarray  # features x languages
     bias: np.ndarray
     temperature: float = 1.0
 
@@ -79,7 +83,7 @@ class Model:
     def predict(self, text: str | None) -> tuple[str, float]:
         if not self.languages or not text or not has_letter(text):
             return UNDETERMINED, 0.0
-        c = counts(text)
+        c = counts(text, len(self.idf))
         index = np.flatnonzero(c)
         z = self.logits(index, weigh(index, c[index], self.idf)) / self.temperature
         p = softmax(z)
@@ -92,28 +96,31 @@ def softmax(z: np.ndarray) -> np.ndarray:
     return e / e.sum(axis=-1, keepdims=True)
 
 
-def train(rows: list[tuple[np.ndarray, np.ndarray]], labels: np.ndarray, n_classes: int, alpha: float = 0.5, beta: float = 1.0, l1: float = 0.02, l2: float = 0.01, epochs: int = 4) -> tuple[np.ndarray, np.ndarray]:
+def train(rows: list[tuple[np.ndarray, np.ndarray]], labels: np.ndarray, n_classes: int, alpha: float = 0.5, beta: float = 1.0, l1: float = 0.02, l2: float = 0.01, epochs: int = 4, features: int = N_FEATURES) -> tuple[np.ndarray, np.ndarray]:
     """FTRL-proximal over (features, values); returns weights and bias."""
-    z, n = np.zeros((N_FEATURES, n_classes)), np.zeros((N_FEATURES, n_classes))
-    zb, nb = np.zeros(n_classes), np.zeros(n_classes)
+    kind = np.float64 if n_classes <= ACTIVE else np.float32
+    z, n, weights = (np.zeros((features, n_classes), kind) for _ in range(3))
+    zb, nb, bias = (np.zeros(n_classes) for _ in range(3))
 
     def of(z: np.ndarray, n: np.ndarray, l1: float) -> np.ndarray:
         return np.where(np.abs(z) <= l1, 0.0, -(z - np.sign(z) * l1) / ((beta + np.sqrt(n)) / alpha + l2))
 
-    order = np.random.default_rng(7)
+    order, every = np.random.default_rng(7), np.arange(n_classes)
     for _ in range(epochs):
         for k in order.permutation(len(rows)):
             index, x = rows[k]
-            zi, ni = z[index], n[index]
-            w, wb = of(zi, ni, l1), of(zb, nb, 0.0)
-            g = softmax(x @ w + wb)
+            g = softmax(x @ weights[index] + bias)
             g[labels[k]] -= 1.0
-            gw = x[:, None] * g
-            z[index] = zi + gw - (np.sqrt(ni + gw * gw) - np.sqrt(ni)) / alpha * w
-            n[index] = ni + gw * gw
-            zb += g - (np.sqrt(nb + g * g) - np.sqrt(nb)) / alpha * wb
-            nb += g * g
-    return of(z, n, l1), of(zb, nb, 0.0)
+            active = every if n_classes <= ACTIVE else np.flatnonzero(np.abs(g) >= LEAST)
+            at, ga = np.ix_(index, active), g[active]
+            w, ni, gw = weights[at], n[at], x[:, None] * ga
+            z[at] += gw - (np.sqrt(ni + gw * gw) - np.sqrt(ni)) / alpha * w
+            n[at] = ni + gw * gw
+            weights[at] = of(z[at], n[at], l1)
+            zb[active] += ga - (np.sqrt(nb[active] + ga * ga) - np.sqrt(nb[active])) / alpha * bias[active]
+            nb[active] += ga * ga
+            bias[active] = of(zb[active], nb[active], 0.0)
+    return weights, bias
 
 
 def fit_temperature(logits: np.ndarray, labels: np.ndarray) -> float:
@@ -135,43 +142,47 @@ def held_out(doc_id: Column) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % 4 == 2, F.lit(False))
 
 
-def _frequencies(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    df, docs = np.zeros(N_FEATURES, np.int64), 0
+def _frequencies(batches: Iterator[pd.DataFrame], features: int) -> Iterator[pd.DataFrame]:
+    df, docs = np.zeros(features, np.int64), 0
     for batch in batches:
         for text in batch["text"]:
-            df += counts(text) > 0
+            df += counts(text, features) > 0
             docs += 1
     if docs:
-        yield pd.DataFrame({"feature": np.arange(-1, N_FEATURES), "n": np.concatenate([[docs], df])})
+        yield pd.DataFrame({"feature": np.arange(-1, features), "n": np.concatenate([[docs], df])})
 
 
-def _features(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+def _features(batches: Iterator[pd.DataFrame], features: int) -> Iterator[pd.DataFrame]:
     for batch in batches:
         found = []
         for text in batch["text"]:
-            c = counts(text)
+            c = counts(text, features)
             index = np.flatnonzero(c)
             found.append((index.astype("<u2").tobytes(), c[index].astype("<u4").tobytes()))
-        yield pd.DataFrame({"lang": batch["lang"], "held": batch["held"], "feature": [a for a, _ in found], "tf": [b for _, b in found]})
+        yield pd.DataFrame({"lang": batch["lang"], "held": batch["held"], "first": batch["first"], "mixed": batch["mixed"], "feature": [a for a, _ in found], "tf": [b for _, b in found]})
 
 
 def fit(docs: DataFrame, sample: int = SAMPLE) -> Model:
     """Learn from the columns ``text`` and ``lang`` of ``docs``; rows with a null in one of them are passed over."""
-    given = docs.select("text", "lang").where(F.col("text").isNotNull() & F.col("lang").isNotNull())
-    sizes = given.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").collect()  # a row for each label
-    if not sizes:
+    given = docs.select("text", "lang").where(F.col("text").isNotNull() & F.col("lang").isNotNull()).withColumn("mixed", F.xxhash64("text"))
+    sizes = given.groupBy("lang").agg(F.count("*").alias("n"), F.min("mixed").alias("least"))
+    languages = sorted(r["lang"] for r in sizes.select("lang").collect())  # a row for each label
+    if not languages:
         return Model([], np.zeros(N_FEATURES), np.zeros((N_FEATURES, 0)), np.zeros(0))
-    languages = sorted(r["lang"] for r in sizes)
+    features = N_FEATURES
+    while features * len(languages) > WEIGHTS and features > 64:
+        features //= 2
     each = max(1, sample // len(languages))
     # A hash of the text below a threshold for each language: about `each` rows, without ranking any group.
-    share = F.lit(0.0)
-    for r in sizes:
-        share = F.when(F.col("lang") == r["lang"], F.lit(min(1.0, each / r["n"]))).otherwise(share)
-    mixed = F.xxhash64("text")
-    chosen = given.where(F.pmod(mixed, F.lit(1_000_003)) < F.ceil(share * 1_000_003)).withColumn("held", F.pmod(F.shiftright(mixed, 40), F.lit(5)) == 0)
-    rows = chosen.mapInPandas(_features, "lang string, held boolean, feature binary, tf binary").orderBy(F.xxhash64("feature", "tf"), "lang").limit(2 * max(sample, len(languages))).collect()
-    df = given.where(F.col("lang").isin(languages)).select("text").mapInPandas(_frequencies, "feature int, n long").groupBy("feature").agg(F.sum("n").alias("n")).collect()
-    seen = np.zeros(N_FEATURES + 1)
+    share = F.least(F.lit(1.0), F.lit(float(each)) / F.col("n"))
+    below = F.pmod("mixed", F.lit(1_000_003)) < F.ceil(share * 1_000_003)
+    first = F.col("mixed") == F.col("least")
+    chosen = given.join(F.broadcast(sizes), "lang").where(below | first).dropDuplicates(["lang", "mixed"])
+    chosen = chosen.select("lang", "text", "mixed", (~first & (F.pmod(F.shiftright("mixed", 40), F.lit(5)) == 0)).alias("held"), first.alias("first"))
+    counted = chosen.mapInPandas(lambda b: _features(b, features), "lang string, held boolean, first boolean, mixed long, feature binary, tf binary")
+    rows = counted.orderBy(F.desc("first"), "mixed", "lang").limit(2 * sample + len(languages)).collect()
+    df = given.select("text").mapInPandas(lambda b: _frequencies(b, features), "feature int, n long").groupBy("feature").agg(F.sum("n").alias("n")).collect()
+    seen = np.zeros(features + 1)
     for r in df:
         seen[r["feature"] + 1] = r["n"]
     idf = np.log((1.0 + seen[0]) / (1.0 + seen[1:])) + 1.0
@@ -183,7 +194,7 @@ def fit(docs: DataFrame, sample: int = SAMPLE) -> Model:
         return xs, np.array([code[r["lang"]] for r in own], np.int64)
 
     xs, ys = ready(False)
-    weights, bias = train(xs, ys, len(languages))
+    weights, bias = train(xs, ys, len(languages), features=features)
     model = Model(languages, idf, weights, bias)
     xs, ys = ready(True)
     if len(xs):

@@ -330,6 +330,67 @@ def test_every_label_is_learned(spark):
     rows = [(k, " ".join([chr(0x4E00 + 37 * k), f"w{k}"] * 30), f"l{k}") for k in range(300)]
     model = language.fit(spark.createDataFrame(rows, "doc_id bigint, text string, lang string"))
     assert len(model.languages) == 300
+    assert [model.predict(t)[0] for _, t, _ in rows] == [x for _, _, x in rows]
+
+
+def test_thousands_of_labels(spark):
+    """No nested expressions, bounded weights, and a row of each label is learned, copies of one text among them or not."""
+    rows = [(k, f"{chr(0x4E00 + k % 5_000)} w{k % 5_000}", f"l{k % 5_000}") for k in range(6_000)] + [(k, "always the same", "l7") for k in range(4_000)]
+    model = language.fit(spark.createDataFrame(rows, "doc_id bigint, text string, lang string"))
+    assert len(model.languages) == 5_000 and model.weights.size <= language.WEIGHTS
+    assert np.count_nonzero(model.weights.any(axis=0)) == 5_000  # no label without a learned row
+    assert np.mean([model.predict(t)[0] == x for _, t, x in rows[:400]]) > 0.5
+
+
+def test_whole_query(spark):
+    """Sample, frequencies, features and predictions in plain Python; training and temperature have tests of their own."""
+    import xxhash
+
+    d, mask = "/root/testdata/sf0.001", (1 << 64) - 1
+    docs = spark.read.parquet(f"{d}/documents.parquet").select("doc_id", "text", "lang").collect()
+
+    def features(text):
+        low, out = text.lower(), Counter()
+        for n in (1, 2, 3):
+            for k in range(len(low) - n + 1):
+                h = n
+                for c in low[k : k + n]:
+                    h = ((h ^ ord(c)) * 0x9E3779B97F4A7C15) & mask
+                    h ^= h >> 29
+                out[h >> 40 & (language.N_FEATURES - 1)] += 1
+        return out
+
+    learned = [r for r in docs if zlib.crc32(str(r["doc_id"]).encode()) % 4 != 2 and r["text"] is not None and r["lang"] is not None]
+    signed = lambda h: h - (1 << 64) if h >> 63 else h
+    rows = {(r["lang"], signed(xxhash.xxh64(r["text"].encode(), seed=42).intdigest())): r["text"] for r in learned}
+    least = {lang: min(h for x, h in rows if x == lang) for lang, _ in rows}
+    frequency = Counter(f for r in learned for f in features(r["text"]))
+    idf = np.array([math.log((1 + len(learned)) / (1 + frequency[f])) + 1 for f in range(language.N_FEATURES)])
+
+    def weighed(text):
+        c = sorted(features(text).items())
+        x = np.array([(1 + math.log(n)) * idf[f] for f, n in c])
+        return np.array([f for f, _ in c], np.int64), x / math.sqrt(sum(x * x))
+
+    languages = sorted(least)
+    parts = {False: ([], []), True: ([], [])}
+    for (lang, h), text in sorted(rows.items(), key=lambda r: (r[0][1] != least[r[0][0]], r[0][1], r[0][0])):
+        held = h != least[lang] and (h >> 40) % 5 == 0
+        parts[held][0].append(weighed(text))
+        parts[held][1].append(languages.index(lang))
+    weights, bias = language.train(parts[False][0], np.array(parts[False][1]), len(languages))
+    z = lambda i, x: x @ weights[i] + bias
+    temperature = language.fit_temperature(np.array([z(i, x) for i, x in parts[True][0]]), np.array(parts[True][1]))
+    got = {r["doc_id"]: r for r in language.op2_language_id(spark, d).collect()}
+    assert len(got) == len(docs)
+    for r in docs:
+        g = got[r["doc_id"]]
+        assert g["held_out"] == (zlib.crc32(str(r["doc_id"]).encode()) % 4 == 2)
+        if not r["text"] or not any(map(str.isalpha, r["text"])):
+            assert (g["lang_pred"], g["score"]) == ("und", 0)
+            continue
+        p = language.softmax(z(*weighed(r["text"])) / temperature)
+        assert g["lang_pred"] == languages[int(p.argmax())] and abs(g["score"] - p.max()) < 1e-6
 
 
 def test_training_equals_a_plain_one():
