@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from shelfmark.functions.scalars import extension, folded, is_document
 from shelfmark.operators.extract import document_text
 from shelfmark.plans.regexes import literal, translate
+from shelfmark.sources.texts import RANGE, file_texts
 
 MAX_FILE = 16 * 1024 * 1024
 EXCERPT = 300
@@ -30,8 +31,9 @@ def first_line(text: Column, pattern: str, document: bool = False) -> Column:
     A line loses trailing white space (``document``: leading too) and is cut to EXCERPT code points. A text with a NUL
     before the match is binary and has none.
     """
-    lines = F.split(text, r"\r?\n", -1)
-    numbered = F.transform(lines, lambda line, i: F.struct((i + 1).cast("long").alias("line_no"), line.alias("line")))
+    # Lines by line feeds; a carriage return before one is cut with the trailing white space, and lets ``$`` match before it.
+    lines = F.split(text, "\n", -1)
+    numbered = F.transform(lines, lambda line, i: F.struct((i + 1).cast("long").alias("line_no"), F.regexp_replace(line, r"\r\z", "").alias("line")))
     hit = F.get(F.filter(numbered, lambda m: m["line"].rlike(pattern) & ((m["line"] != "") | (m["line_no"] < F.size(lines)))), 0)
     trim = r"(?U)^\s+|\s+\z" if document else r"(?U)\s+\z"
     nul = F.locate("\0", text)
@@ -62,3 +64,21 @@ def first_lines(hits: DataFrame, texts: DataFrame, pattern: str, as_regex: bool
         both = both.withColumn("__inside", document_text(F.when(office, F.col("__data")), kind))
         joined = both.withColumn("__hit", F.when(office, first_line(F.col("__inside"), found, True)).otherwise(first_line(F.col("text"), found)))
     return joined.where("__hit IS NOT NULL").select(*hits.columns, "__hit.line_no", "__hit.line")
+
+
+def first_lines_of_files(hits: DataFrame, pattern: str, as_regex: bool = False, case_sensitive: bool = False, max_file: int | None = MAX_FILE, size: int = RANGE) -> DataFrame:
+    """``hits`` whose files, at ``path``, have a matching line, with ``line_no`` and ``line``.
+
+    A file is searched in ranges of ``size`` bytes. Each gives its own first match; the ranges before it give the line feeds to
+    add to its number, and rule it out if one of them holds a NUL. What is shuffled are numbers and the matching lines.
+    """
+    found = line_pattern(pattern, as_regex, case_sensitive)
+    wanted = hits.where(~F.col("is_dir"))
+    if max_file is not None:
+        wanted = wanted.where(F.col("size") <= max_file)
+    parts = file_texts(wanted.select("entry_id", "path", "size"), size)
+    ranges = parts.select("entry_id", "part", "n_lines", F.contains("text", F.lit("\0")).alias("binary"), first_line(F.col("text"), found).alias("hit"))
+    before = Window.partitionBy("entry_id").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    placed = ranges.withColumn("above", F.coalesce(F.sum("n_lines").over(before), F.lit(0))).withColumn("spoilt", F.coalesce(F.max("binary").over(before), F.lit(False)))
+    best = placed.where("hit IS NOT NULL AND NOT spoilt").groupBy("entry_id").agg(F.min_by(F.struct((F.col("hit.line_no") + F.col("above")).alias("line_no"), "hit.line"), "part").alias("hit"))
+    return wanted.join(best, "entry_id").select(*hits.columns, "hit.line_no", "hit.line")

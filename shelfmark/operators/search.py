@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from shelfmark.functions import scalars as x
-from shelfmark.operators.content import MAX_FILE, first_lines
+from shelfmark.operators.content import MAX_FILE, first_lines, first_lines_of_files
 from shelfmark.operators.fuzzy import fuzzy_prefilter, fuzzy_score
 from shelfmark.plans.regexes import translate
 from shelfmark.plans.spec import Category, MatchMode, SearchSpec, SortKey, TypeFilter
@@ -116,27 +116,29 @@ def totals_of(matched: DataFrame, k: int) -> DataFrame:
     return matched.agg(F.count("*").alias("total")).withColumn("truncated", F.col("total") > k)
 
 
-def found(catalog: DataFrame, spec: SearchSpec, category: Category = Category.ALL, texts: DataFrame | None = None, documents: DataFrame | None = None, candidates: int | None = CONTENT_CANDIDATES, max_file: int | None = MAX_FILE) -> DataFrame:
+def found(catalog: DataFrame, spec: SearchSpec, category: Category = Category.ALL, texts: DataFrame | None = None, documents: DataFrame | None = None, candidates: int | None = CONTENT_CANDIDATES, max_file: int | None = MAX_FILE, files: bool = False) -> DataFrame:
     """All rows that a search finds, with ``score``; see ``search``."""
     if spec.is_empty and category is Category.ALL:
         return catalog.where(~F.col("is_deleted")).withColumn("score", F.lit(0).cast("long"))
     matched = matches(catalog, spec, category)
     if spec.content is None:
         return matched
-    if texts is None:
+    if texts is None and not files:
         raise ValueError("a content predicate needs the texts")
     best = matched if candidates is None else ranked(matched, candidates)
+    if files:
+        return first_lines_of_files(best.select(*HITS), spec.content, spec.mode is MatchMode.REGEX, spec.case_sensitive, max_file)
     return first_lines(best.select(*HITS), texts, spec.content, spec.mode is MatchMode.REGEX, spec.case_sensitive, documents=documents, max_file=max_file)
 
 
-def search(catalog: DataFrame, spec: SearchSpec, category: Category = Category.ALL, k: int = DEFAULT_RESULTS, texts: DataFrame | None = None, documents: DataFrame | None = None, candidates: int | None = CONTENT_CANDIDATES, max_file: int | None = MAX_FILE) -> Outcome:
+def search(catalog: DataFrame, spec: SearchSpec, category: Category = Category.ALL, k: int = DEFAULT_RESULTS, texts: DataFrame | None = None, documents: DataFrame | None = None, candidates: int | None = CONTENT_CANDIDATES, max_file: int | None = MAX_FILE, files: bool = False) -> Outcome:
     """Run a query over a catalog; ``texts`` (entry_id, text) serves content predicates, ``documents`` (entry_id, data) those on
-    office documents. Content is searched in the best ``candidates`` by rank and in files of up to ``max_file`` bytes; None
+    office documents; with ``files`` the files at the rows' paths are read. Content is searched in the best ``candidates`` by rank and in files of up to ``max_file`` bytes; None
     lifts either limit.
 
     A query that asks for nothing shows the first k live rows by id, with score 0.
     """
-    rows = found(catalog, spec, category, texts, documents, candidates, max_file)
+    rows = found(catalog, spec, category, texts, documents, candidates, max_file, files)
     columns = rows.columns if spec.content is not None else HITS
     return Outcome(ranked(rows, k).select(*columns), totals_of(rows, k))
 

@@ -19,6 +19,7 @@ from pyspark.sql.functions import pandas_udf
 from shelfmark.functions import scalars as x
 from shelfmark.operators import catalog as cat
 from shelfmark.operators import changes as ch
+from shelfmark.operators.content import first_lines_of_files
 from shelfmark.operators.extract import document_text, media_info
 from shelfmark.operators.intervals import labelled, removed_at, subtree
 from shelfmark.operators.preview import preview_kind
@@ -114,6 +115,19 @@ add(
 hits("name_substring", "parts", "bolt", terms=("bolt",), k=100_000)
 hits("name_multi_term", "parts", "b old", terms=("b", "old"))
 hits("name_case_sensitive", "parts", "bolt", "NOT contains(name, 'Bolt')", terms=("bolt",), case=True, k=100_000)
+
+
+def _mixed(spark: SparkSession, d: str) -> DataFrame:
+    """Every third part's name in upper case."""
+    return cat.parts(spark, d).withColumn("name", F.when(F.col("entry_id") % 3 == 0, F.upper("name")).otherwise(F.col("name")))
+
+
+for _case in (False, True):
+    add(
+        "name_mixed_case" + "_sensitive" * _case,
+        lambda spark, d, case=_case: search(_mixed(spark, d), parse("BOLT", case_sensitive=case), k=100_000).hits,
+        _select("mixed", f"{PARTS}, mixed AS (SELECT * REPLACE (CASE WHEN entry_id % 3 = 0 THEN upper(name) ELSE name END AS name) FROM parts)", terms=("BOLT",), k=100_000, case_sensitive=_case),
+    )
 hits("name_ranked_topk", "parts", "bolt", terms=("bolt",), k=50)
 hits("name_ranked_items", "items", "item_1", terms=("item_1",))
 add(
@@ -195,6 +209,8 @@ def _content(text: str, k: int = 1000, case: bool = False, mode: MatchMode = Mat
 
 add("content_literal", _content('content:"license"', 100_000), _grep("true", "regexp_matches(line, '(?i)license')", 100_000))
 add("content_case", _content("content:License", 100_000, True), _grep("true", "contains(line, 'License')", 100_000))
+for _case in (False, True):
+    add("content_mixed_case" + "_sensitive" * _case, _content("content:LES", 100_000, _case), _grep("true", "contains(line, 'LES')" if _case else "regexp_matches(line, '(?i)les')", 100_000))
 add("content_regex", _content("c:(password|token)\\s*=", 100_000, mode=MatchMode.REGEX), _grep("true", "regexp_matches(line, '(?i)(password|token)\\s*=')", 100_000))
 add("content_first_line", _content("ext:md content:les"), _grep("name LIKE '%.md'", "regexp_matches(line, '(?i)les')"))
 add(
@@ -211,6 +227,36 @@ add(
     _grep("true", "regexp_matches(line, '(?i)license')", 5, True),
 )
 
+
+
+def _written(spark: SparkSession, d: str) -> DataFrame:
+    """The documents as files in the shared folder; the catalog of them."""
+    import os
+    import uuid
+
+    folder = f"{shared_folder(spark)}/texts-{uuid.uuid4().hex}".removeprefix("file://")
+
+    def write(batches):  # noqa: ANN001, ANN202
+        os.makedirs(folder, exist_ok=True)
+        for batch in batches:
+            for i, text in zip(batch["doc_id"], batch["text"], strict=True):
+                with open(f"{folder}/{i}.txt", "wb") as f:
+                    f.write((text or "").encode())
+            yield pd.DataFrame({"doc_id": batch["doc_id"], "size": [len((t or "").encode()) for t in batch["text"]]})
+
+    docs = spark.read.parquet(f"{d}/documents.parquet").select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    rows = cat.checkpointed(docs.mapInPandas(write, "doc_id long, size long"))
+    return cat.entries(rows, F.col("doc_id"), F.concat(F.col("doc_id").cast("string"), F.lit(".txt")), F.lit(folder), F.col("size"), F.lit(0))
+
+
+def _in_files(spark: SparkSession, d: str) -> DataFrame:
+    """Files in ranges of a kilobyte, so that most are read by several tasks."""
+    hits = search(_written(spark, d), parse("type:file"), k=1_000_000).hits
+    return first_lines_of_files(hits, "license", size=1_024).select("entry_id", "size", "line_no", "line")
+
+
+add("content_files", _in_files, f"SELECT entry_id, size, line_no, line FROM ({_grep('true', "regexp_matches(line, '(?i)license')", 1_000_000, cap=1_000_000)})")
+
 # Documents and media, out of bytes built from the tables -------------------------------------------------------------
 
 

@@ -116,6 +116,42 @@ def test_content(spark):
         grep(spark, "x", "(", as_regex=True)
 
 
+def test_content_of_crlf_and_binary(spark):
+    """A NUL before the end of the matching line makes a text binary, whatever ends the lines above."""
+    for end in ("\n", "\r\n"):
+        above = f"line{end}" * 100
+        assert grep(spark, f"{above}a\0b{end}needle", "needle") is None
+        assert grep(spark, f"{above}needle{end}a\0b", "needle") == (101, "needle")
+        assert grep(spark, f"{above}needle\0{end}", "needle") is None
+        assert grep(spark, f"{above}x needle{end}", "needle$", as_regex=True) == (101, "x needle")
+
+
+def test_content_of_files(spark, tmp_path):
+    """Files in ranges of any size are searched as their texts are; a long one by several tasks."""
+    import random
+
+    from shelfmark.operators.content import first_lines_of_files
+    from shelfmark.sources.texts import file_texts
+
+    random.seed(8)
+    texts = ["".join(random.choice(["x", "é", "needle", " ", "\n", "\r\n", "\n\n", "a b", "\0" if k % 9 == 0 else "y"]) for _ in range(random.randint(0, 60))) for k in range(40)]
+    texts += ["", "\n", "needle", "no end", "x\n" * 5_000 + "needle\n", "x" * 3_000 + "needle", "\n" * 50 + "\0" + "\n" * 50 + "needle"]
+    rows = []
+    for k, text in enumerate(texts):
+        (tmp_path / f"{k}.txt").write_bytes(text.encode())
+        rows.append((f"{tmp_path}/{k}.txt", False, len(text.encode())))
+    c = catalog(spark, *rows, (f"{tmp_path}/gone.txt", False, 100), (str(tmp_path), True, 0)).withColumn("score", F.lit(1))
+    found = lambda df: {r["entry_id"]: (r["line_no"], r["line"]) for r in df.collect()}
+    held = spark.createDataFrame(list(enumerate(texts)), "entry_id bigint, text string")
+    want = found(first_lines(c, held, "NEEDLE"))
+    assert 10 < len(want) < 45
+    for size in (1, 7, 100, 1 << 20):
+        assert found(first_lines_of_files(c, "NEEDLE", size=size)) == want
+    assert found(search(c.drop("score"), parse("content:needle"), files=True).hits) == want
+    long = file_texts(c.where("size > 9000"), 1_000)
+    assert long.count() > 9 and "".join(r["text"] for r in long.orderBy("part").collect()) == texts[-3]
+
+
 def test_empty_catalog(spark):
     c = spark.createDataFrame([], SCHEMA)
     for mode in MatchMode:
