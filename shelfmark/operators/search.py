@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from shelfmark.functions import scalars as x
+from shelfmark.operators.catalog import checkpointed
 from shelfmark.operators.content import MAX_FILE, first_lines, first_lines_of_files
 from shelfmark.operators.fuzzy import fuzzy_prefilter, fuzzy_score
 from shelfmark.plans.regexes import translate
@@ -16,6 +17,8 @@ from shelfmark.plans.spec import Category, MatchMode, SearchSpec, SortKey, TypeF
 DEFAULT_RESULTS = 1_000
 #: Candidates whose content is searched: the best by rank.
 CONTENT_CANDIDATES = 50_000
+#: Up to so many rows a top-k sends to one task; slices of a range of ids that are counted at a time.
+FEW_RESULTS, SLICES = 10_000, 1_024
 
 #: Points for a term by where it stands.
 WHOLE_NAME, WHOLE_STEM, FIRST_WORD, WORD, START, INSIDE, LENGTH_BONUS = 5000, 4000, 1500, 700, 400, 100, 200
@@ -96,9 +99,48 @@ def matches(catalog: DataFrame, spec: SearchSpec, category: Category = Category.
     return rows.withColumn("score", fuzzy_score(name, joined, spec.case_sensitive)).where("score IS NOT NULL")
 
 
-def ranked(matched: DataFrame, k: int = DEFAULT_RESULTS) -> DataFrame:
-    """The best k by score, then entry_id: a distributed top-k, not a full sort."""
-    return matched.orderBy(F.desc("score"), F.asc("entry_id")).limit(k)
+def ranked(matched: DataFrame, k: int = DEFAULT_RESULTS, few: int = FEW_RESULTS) -> DataFrame:
+    """The best k by score, then entry_id.
+
+    Few are a distributed top-k, in which every task sends its best k to one. For more, thresholds are found first and what
+    passes them is sorted by ranges, so no task sees k rows.
+    """
+    order = (F.desc("score"), F.asc("entry_id"))
+    if k <= few:
+        return matched.orderBy(*order).limit(k)
+    # Written once: the scores are read by every count, and dearer than reading them back.
+    return above_threshold(checkpointed(matched), k, few).orderBy(*order)
+
+
+def above_threshold(matched: DataFrame, k: int, few: int = FEW_RESULTS) -> DataFrame:
+    """The best k by score, then entry_id, in no order; exactly those, by filters.
+
+    A histogram gives the least score of the best k. Of the rows with that score the lowest ids go in: the range of ids is split
+    into ``SLICES`` until the slice in which the last one lies holds ``few`` rows or fewer, of which a top-k takes its share.
+    A score has few distinct values; the counts that reach the driver are at most those, and ``SLICES`` a round.
+    """
+    left, least = k, None
+    for r in sorted(matched.groupBy("score").agg(F.count("*").alias("n")).collect(), key=lambda r: -r["score"]):
+        if r["n"] >= left:
+            least = r["score"]
+            break
+        left -= r["n"]
+    if least is None:
+        return matched  # fewer than k, or k
+    tied, key = matched.where(F.col("score") == least), F.col("entry_id")
+    low, high = tied.agg(F.min(key), F.max(key)).first()
+    while True:
+        width = max(1, -(-(high - low + 1) // SLICES))
+        inside = tied.where(key.between(low, high)).groupBy(F.floor((key - low) / width).cast("long").alias("s")).agg(F.count("*").alias("n"))
+        for r in sorted(inside.collect(), key=lambda r: r["s"]):
+            if r["n"] >= left:
+                break
+            left -= r["n"]
+        low, high = low + r["s"] * width, min(high, low + (r["s"] + 1) * width - 1)
+        if r["n"] <= few or low == high:
+            break
+    last = tied.where(key.between(low, high)).orderBy(key).limit(left)
+    return matched.where((F.col("score") > least) | ((F.col("score") == least) & (key < low))).union(last)
 
 
 HITS = ("entry_id", "score", "name", "path", "is_dir", "size", "modified")

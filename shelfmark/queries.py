@@ -130,6 +130,7 @@ for _case in (False, True):
     )
 hits("name_ranked_topk", "parts", "bolt", terms=("bolt",), k=50)
 hits("name_ranked_items", "items", "item_1", terms=("item_1",))
+hits("name_ranked_many", "items", "item_", terms=("item_",), k=30_000)
 add(
     "match_totals",
     lambda spark, d: search(cat.items(spark, d), parse("item_1 ext:csv")).totals,

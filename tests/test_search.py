@@ -64,6 +64,22 @@ def test_truncation(spark):
     assert out.totals.first().asDict() == {"total": 32, "truncated": True}
 
 
+def test_thresholds_equal_a_top_k(spark):
+    """Any k, ties across it, ids with gaps; no limit but that of the last slice."""
+    import random
+
+    from shelfmark.operators.search import above_threshold, ranked
+
+    random.seed(2)
+    ids = random.sample(range(-(10**15), 10**15), 700) + list(range(300))
+    rows = spark.createDataFrame([(i, random.choice([5, 5, 5, 5, 9, 1])) for i in ids], "entry_id bigint, score bigint")
+    order = sorted(rows.collect(), key=lambda r: (-r["score"], r["entry_id"]))
+    for k in (1, 2, 150, 400, 600, 601, 999, 1_000, 5_000):
+        assert ranked(rows, k, few=0).collect() == order[:k]
+        assert sorted(above_threshold(rows, k, 3).collect()) == sorted(order[:k])
+    assert ranked(rows.limit(0), 10, few=0).count() == 0
+
+
 def test_dates_and_unknown_times(spark):
     c = catalog(spark, ("/a", False, 1, 0), ("/b", True, 0, 86400), ("/c", False, 1, 2 * 86400))
     assert names(matches(c, parse("date:<1970-01-02"))) == ["a"]
