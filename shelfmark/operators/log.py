@@ -61,6 +61,10 @@ class ChangeLog:
         if old is not None:
             remove(self.spark, f"{self.folder}/{old}")
 
+    def noted(self, scanned_at: int) -> None:
+        """Note when the roots were last scanned."""
+        publish(self.spark, self._at, self._needed() | {"scanned_at": scanned_at})
+
     def facts(self) -> DataFrame:
         """(path, up, del_seq) of all batches since the last compaction."""
         names = self._needed()["batches"].values()

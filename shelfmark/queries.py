@@ -22,9 +22,11 @@ from shelfmark.operators import changes as ch
 from shelfmark.operators.content import first_lines_of_files
 from shelfmark.operators.extract import document_text, media_info
 from shelfmark.operators.intervals import labelled, removed_at, subtree
+from shelfmark.operators.log import ChangeLog
 from shelfmark.operators.preview import preview_kind
-from shelfmark.operators.session import one_pass
+from shelfmark.operators.rescan import differences, open_or_build
 from shelfmark.operators.search import matches, numbered, search, without_paths
+from shelfmark.operators.session import one_pass
 from shelfmark.plans.parser import parse, within_folder
 from shelfmark.plans.spec import Category, MatchMode, SortKey
 from shelfmark.sources.shared import shared_folder
@@ -544,7 +546,6 @@ def _streamed(spark: SparkSession, d: str) -> DataFrame:
     """The feed through Structured Streaming, in one pass over its files."""
     import uuid
 
-    from shelfmark.operators.log import ChangeLog
     from shelfmark.streaming.feed import changes_stream, follow
 
     base = f"{shared_folder(spark)}/stream-{uuid.uuid4().hex}"
@@ -564,8 +565,6 @@ def _logged(spark: SparkSession, d: str) -> DataFrame:
     """The feed as a log in five batches, out of order, with a compaction between and a batch that comes twice."""
     import uuid
 
-    from shelfmark.operators.log import ChangeLog
-
     log, events = ChangeLog(spark, f"{shared_folder(spark)}/log-{uuid.uuid4().hex}"), feed(spark, d)
     log.start(users(spark), ["/users"], 1)
     for number, part in enumerate((3, 0, 4)):
@@ -616,6 +615,54 @@ add(
     SELECT up.path, max(seq) AS removed_at FROM up JOIN removed ON folder = removed.path GROUP BY up.path""",
 )
 
+# Rescans ---------------------------------------------------------------------------------------------------------------
+
+
+def _sized(spark: SparkSession, d: str) -> DataFrame:
+    """The tree with sizes and times."""
+    rows, none = cat.resolve_paths(cat.tree(spark, d)), F.lit(0).cast("long")
+    return rows.select("entry_id", "parent_id", "name", "path", "is_dir", F.when(F.col("is_dir"), none).otherwise(F.col("entry_id")).alias("size"), none.alias("modified"), F.lit(False).alias("is_deleted"))
+
+
+def _rescanned(rows: DataFrame) -> DataFrame:
+    """Customers gone, orders grown and renamed since."""
+    customer = F.regexp_extract("path", "^/[^/]+/[^/]+/Customer#0*([0-9]+)", 1).try_cast("long")
+    order = F.floor(F.col("entry_id") / 10)
+    left = rows.where(F.coalesce(customer % 7 != 0, F.lit(True)))
+    grown = F.when(~F.col("is_dir") & (order % 5 == 0), F.col("size") + 1).otherwise(F.col("size"))
+    return left.withColumn("size", grown).withColumn("path", F.when(~F.col("is_dir") & (order % 11 == 0), F.concat("path", F.lit("~"))).otherwise(F.col("path")))
+
+
+def _rescan(spark: SparkSession, d: str) -> DataFrame:
+    held = cat.checkpointed(_sized(spark, d))
+    return differences(held, _rescanned(held), 1).select("kind", "path", "is_dir", "size")
+
+
+_AGAIN = f"""WITH {_TREE}, held AS (SELECT path, hops < 3 AS is_dir, CASE WHEN hops < 3 THEN 0 ELSE entry_id END AS size, entry_id // 10 AS n FROM tree),
+    kept AS (SELECT *, coalesce(TRY_CAST(regexp_extract(path, '^/[^/]+/[^/]+/Customer#0*([0-9]+)', 1) AS BIGINT) % 7 = 0, false) AS gone FROM held),
+    again AS (SELECT CASE WHEN NOT is_dir AND n % 11 = 0 THEN path || '~' ELSE path END AS path, is_dir, CASE WHEN NOT is_dir AND n % 5 = 0 THEN size + 1 ELSE size END AS size FROM kept WHERE NOT gone)"""
+add(
+    "rescan_changes",
+    _rescan,
+    f"""{_AGAIN}, removed AS (SELECT path, regexp_replace(path, '/[^/]*$', '') AS folder FROM held WHERE path NOT IN (SELECT path FROM again))
+    SELECT CASE WHEN h.path IS NULL THEN 'create' ELSE 'modify' END AS kind, a.path, a.is_dir, a.size FROM again a LEFT JOIN held h ON a.path = h.path WHERE h.path IS NULL OR a.size <> h.size
+    UNION ALL SELECT 'remove', path, false, 0 FROM removed WHERE folder NOT IN (SELECT path FROM removed)""",
+)
+
+
+def _refreshed(spark: SparkSession, d: str) -> DataFrame:
+    """A catalog that is built, found to be fresh, then found to be stale and refreshed."""
+    import uuid
+
+    folder, held = f"{shared_folder(spark)}/open-{uuid.uuid4().hex}", cat.checkpointed(_sized(spark, d))
+    how = [open_or_build(spark, folder, ["/"], lambda rows=rows: rows, now)[1] for rows, now in ((held, 10), (held, 20), (_rescanned(held), 100_000))]
+    if how != ["built", "loaded", "refreshed"]:
+        raise AssertionError(how)
+    return ChangeLog(spark, folder).live().select("path", "is_dir", "size")
+
+
+add("rescan_refreshed", _refreshed, f"{_AGAIN} SELECT path, is_dir, size FROM again")
+
 # The first scan --------------------------------------------------------------------------------------------------------
 
 
