@@ -192,7 +192,43 @@ add(
     lambda spark, d: matches(cat.parts(spark, d), parse("obt lt", MatchMode.FUZZY)).select("entry_id", "name"),
     f"WITH {PARTS} SELECT entry_id, name FROM parts WHERE regexp_matches({_fold('name')}, 'o.*b.*t') AND regexp_matches({_fold('name')}, 'l.*t')",
 )
-add("fuzzy_ranked", lambda spark, d: search(cat.parts(spark, d), parse("obt", MatchMode.FUZZY), k=100).hits)
+for _name, _text, _where in (
+    ("fuzzy_prefix", "^ol bt", "starts_with({f}, 'ol') AND regexp_matches({f}, 'b.*t')"),
+    ("fuzzy_suffix", "o png$", "ends_with({f}, 'png') AND contains({f}, 'o')"),
+    ("fuzzy_substring", "'bolt !txt$ !^steel", "contains({f}, 'bolt') AND NOT ends_with({f}, 'txt') AND NOT starts_with({f}, 'steel')"),
+    ("fuzzy_negative", "r !e", "contains({f}, 'r') AND NOT contains({f}, 'e')"),
+):
+    add(
+        _name,
+        lambda spark, d, text=_text: matches(cat.parts(spark, d), parse(text, MatchMode.FUZZY)).select("entry_id", "name"),
+        f"WITH {PARTS} SELECT entry_id, name FROM parts WHERE {_where.format(f=_fold('name'))}",
+    )
+
+
+def _accented(spark: SparkSession, d: str) -> DataFrame:
+    """Names with marks on their vowels, by turns in upper case: an atom without marks finds them, one with marks only itself."""
+    name = F.translate("name", "aeo", "áêö")
+    rows = cat.parts(spark, d).withColumn("name", F.when(F.col("entry_id") % 2 == 0, F.upper(name)).otherwise(name))
+    return matches(rows, parse("bolt öl", MatchMode.FUZZY)).select("entry_id", "name")
+
+
+add(
+    "fuzzy_marks",
+    _accented,
+    f"""WITH {PARTS}, marked AS (SELECT entry_id, translate(name, 'aeo', 'áêö') AS low FROM parts)
+    SELECT entry_id, CASE WHEN entry_id % 2 = 0 THEN upper(low) ELSE low END AS name FROM marked WHERE regexp_matches(strip_accents(lower(low)), 'b.*o.*l.*t') AND regexp_matches(lower(low), 'ö.*l')""",
+)
+_PLACES = "SELECT entry_id, name, unnest(range(1, length(name) + 1)) AS p FROM parts"
+_GAIN = "16 + CASE WHEN p = 1 OR NOT regexp_matches(substr(name, p - 1, 1), '[A-Za-z0-9]') OR (regexp_matches(substr(name, p, 1), '[A-Z]') AND regexp_matches(substr(name, p - 1, 1), '[a-z]')) THEN 8 ELSE 0 END"
+_STEP = "CASE WHEN {1}.p = {0}.p + 1 THEN 4 ELSE -3 - ({1}.p - {0}.p - 1) END"
+add(
+    "fuzzy_ranked",
+    lambda spark, d: search(cat.parts(spark, d), parse("obt", MatchMode.FUZZY), k=100).hits,
+    f"""WITH {PARTS}, places AS (SELECT entry_id, p, {_fold('substr(name, p, 1)')} AS c, {_GAIN} AS gain FROM ({_PLACES})),
+    best AS (SELECT o.entry_id, max(o.gain + b.gain + t.gain + {_STEP.format('o', 'b')} + {_STEP.format('b', 't')}) AS score
+        FROM places o JOIN places b ON b.entry_id = o.entry_id AND b.p > o.p JOIN places t ON t.entry_id = o.entry_id AND t.p > b.p WHERE o.c = 'o' AND b.c = 'b' AND t.c = 't' GROUP BY o.entry_id)
+    SELECT entry_id, CAST(score AS BIGINT) AS score, name, path, is_dir, size, modified FROM parts JOIN best USING (entry_id) ORDER BY score DESC, entry_id LIMIT 100""",
+)
 
 # Content ---------------------------------------------------------------------------------------------------------
 

@@ -112,6 +112,27 @@ def test_fuzzy_alignment():
     assert align("abc", "abc") > align("axbxc", "abc")
 
 
+def test_fuzzy_atoms(spark):
+    """Kinds of atoms, signs taken as they stand, marks and case; the native test holds where there is a score."""
+    from shelfmark.operators.fuzzy import align_all, atoms, fuzzy_prefilter
+
+    assert [(a.text, a.kind, a.negative) for a in atoms("ab ^cd ef$ 'gh ^ij$ !kl !^mn !op$ \\^q \\!r s\\$ t\\ u  ! ^")] == [
+        ("ab", "fuzzy", False), ("cd", "prefix", False), ("ef", "suffix", False), ("gh", "substring", False), ("ij", "exact", False), ("kl", "substring", True),
+        ("mn", "prefix", True), ("op", "suffix", True), ("^q", "fuzzy", False), ("!r", "fuzzy", False), ("s$", "fuzzy", False), ("t u", "fuzzy", False),
+    ]
+    names = ["Résumé.PDF", "resume.pdf", "RESUME", "my résumé", "ré", "", "pdf.resume", "Straße", "a^b$", "日本語.txt", "x" * 300 + "resume"]
+    cases = {"resume": 6, "résumé": 2, "^res": 3, "pdf$": 2, "!pdf": 8, "^resume$": 1, "'sume pdf": 3, "ß": 1, "\\^b": 1, "本語": 1, "": 11, "RÉ": 3}
+    df = spark.createDataFrame([(n,) for n in names], "name string")
+    for text, n in cases.items():
+        held = [r["name"] for r in df.where(fuzzy_prefilter(F.col("name"), text, False)).collect()]
+        assert len(held) == n and held == [x for x in names if align(x, text) is not None], text
+    assert [align(x, "RESUME", True) is not None for x in names].count(True) == 1
+    assert [r["name"] for r in df.where(fuzzy_prefilter(F.col("name"), "RE", True)).collect()] == ["RESUME"]
+    some = [x for x in names if x]
+    for atom in atoms("resume 'sum ^r e$"):
+        assert align_all(some, atom).tolist() == [int(align_all([x], atom)[0]) for x in some]
+
+
 def grep(spark, text, pattern, size=10, **how):
     hits = catalog(spark, ("/f", False, size)).withColumn("score", F.lit(1))
     found = first_lines(hits, spark.createDataFrame([(0, text)], "entry_id bigint, text string"), pattern, **how).collect()
