@@ -143,9 +143,10 @@ def signatures(rows: DataFrame) -> DataFrame:
     seen = F.row_number().over(Window.partitionBy("conv_id", "role", "digest").orderBy(F.asc_nulls_first("turn")))
     role = F.when(F.col("initial").isin("s", "u", "a"), F.col("initial")).otherwise("o")
     letter = F.when(F.col("role").isNull(), "").when(F.col("blank"), "x").when(F.col("seen") > 1, "y").when(F.col("truncated"), F.upper(role)).otherwise(role)
-    marked = light.repartition("conv_id").withColumn("seen", seen).select("conv_id", "turn", "role", "digest", "initial", letter.alias("letter"))
+    marked = light.repartition("conv_id").withColumn("seen", seen).select("conv_id", "turn", "role", "digest", "seen", "initial", letter.alias("letter"))
     shape = "conv_id long, signature string, gaps long, blank long, duplicate long, truncated long, illegal long"
-    return marked.sortWithinPartitions("conv_id", *order).select("conv_id", "turn", "initial", "letter").mapInArrow(_signatures, shape)
+    # Of rows that are alike in all else the first is the one that is no duplicate.
+    return marked.sortWithinPartitions("conv_id", *order, "seen").select("conv_id", "turn", "initial", "letter").mapInArrow(_signatures, shape)
 
 
 def _signatures(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -355,11 +356,12 @@ _SQL = f"""
     faults AS (SELECT *, {_CRC} % 20 AS f FROM given),
     changed AS (SELECT conv_id, turn, CASE WHEN f = 4 THEN 'user' ELSE role END AS role,
             CASE f WHEN 1 THEN '' WHEN 2 THEN regexp_replace(text, '[.!?]', '', 'g') ELSE text END AS text, unnest(range(CASE f WHEN 0 THEN 0 WHEN 3 THEN 2 ELSE 1 END)) AS copy FROM faults),
-    placed AS (SELECT *, row_number() OVER w AS i, row_number() OVER (PARTITION BY conv_id, role, text ORDER BY turn NULLS FIRST) AS seen,
+    placed AS (SELECT *, row_number() OVER w AS i,
             coalesce(nullif(left(role, 1), ''), ' ') AS initial, right(regexp_replace(text, '{_BLANK}+$', ''), 1) AS ending
         FROM changed WINDOW w AS (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, md5(text))),
+    repeated AS (SELECT *, row_number() OVER (PARTITION BY conv_id, role, text ORDER BY i) AS seen FROM placed),
     marked AS (SELECT *, CASE WHEN ending = '' THEN 'blank' WHEN seen > 1 THEN 'duplicate' WHEN ending NOT IN ('.', '!', '?') THEN 'truncated' ELSE '' END AS fault,
-            lag(initial) OVER (PARTITION BY conv_id ORDER BY i) AS before FROM placed),
+            lag(initial) OVER (PARTITION BY conv_id ORDER BY i) AS before FROM repeated),
     letters AS (SELECT *, CASE WHEN fault IN ('blank', 'duplicate') THEN 'x' WHEN fault = 'truncated' THEN upper(l) ELSE l END AS x
         FROM (SELECT *, CASE WHEN initial IN ('s', 'u', 'a') THEN initial ELSE 'o' END AS l FROM marked)),
     convs AS (SELECT DISTINCT conv_id FROM conversations),

@@ -121,11 +121,11 @@ def test_no_conversations(spark):
     assert cv.audited(spark.createDataFrame([], SCHEMA)).count() == 0
 
 
-@pytest.mark.parametrize("size", ["sf0.001"])
+@pytest.mark.parametrize("size", ["sf0.001", "sf0.01"])
 def test_query(spark, sf, size):
     import duckdb
 
-    con = duckdb.connect()
+    con, sf = duckdb.connect(), sf.replace("sf0.001", size)
     con.execute(f"CREATE VIEW conversations AS SELECT * FROM '{sf}/conversations.parquet'")
     want = con.execute(cv.ORACLE_SQL["op12_conversations"]).fetchall()
     got = cv.op12_conversations(spark, sf).collect()
