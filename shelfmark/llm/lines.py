@@ -1,9 +1,8 @@
 """Line dedup by a deletion-neighbourhood join, with an edit bound of one.
 
 A line is dropped if an earlier line, in the order of (doc_id, line number), equals it or is within one edit of it:
-one code point replaced, inserted or deleted. Lines of fewer than ``MIN_CHARS`` code points are never compared by edits.
-With ``every`` such a line is dropped if an earlier one equals it, unless it is blank; without, as the SQL of the query
-has it, it stays.
+one code point replaced, inserted or deleted. Lines of fewer than ``MIN_CHARS`` code points are not compared by edits: they
+are dropped if an earlier one equals them, unless they are blank. Without ``every`` they stay.
 
 1. Equal lines are found by a 128-bit hash; the first place of each distinct line is kept.
 2. Two different lines within one edit agree in the first or the second half. Only distinct lines that share a hashed
@@ -107,7 +106,7 @@ def near_repeats(docs: DataFrame, first: DataFrame) -> DataFrame:
     """
     rows = split_lines(docs)
     keyed = rows.select(F.explode(_halves(F.col("line"), F.col("len"))).alias("key"), "a", "b")
-    shared = stored(keyed.groupBy("key").agg(F.min("a").alias("lo"), F.max("a").alias("hi")).where("lo <> hi").select("key"), "halves")
+    shared = stored(keyed.groupBy("key").agg(F.min(F.struct("a", "b")).alias("lo"), F.max(F.struct("a", "b")).alias("hi")).where("lo <> hi").select("key"), "halves")
     # Inner joins with distinct keys, as semi-joins would be planned before the bitmaps that spare them rows.
     wanted = maybe_in(keyed, "key", shared).join(shared, "key").select("a", "b").distinct()
     spots = stored(first.join(wanted, ["a", "b"]).select("a", "b", "at.doc_id", "at.line_no"), "spots")
@@ -125,14 +124,14 @@ def near_repeats(docs: DataFrame, first: DataFrame) -> DataFrame:
     return both.where(F.levenshtein("line", "o", 1).between(0, 1)).select("a", "b").distinct()
 
 
-def kept_lines(docs: DataFrame, every: bool = False) -> DataFrame:
+def kept_lines(docs: DataFrame, every: bool = True) -> DataFrame:
     """(doc_id, kept): for each document the sorted numbers of its droppable lines that stay."""
     first = stored(split_lines(docs, every).groupBy("a", "b").agg(F.min(F.struct("doc_id", "line_no")).alias("at")), "first")
     stay = first.join(stored(near_repeats(docs, first), "near"), ["a", "b"], "left_anti")
     return stay.select("at.doc_id", "at.line_no").groupBy("doc_id").agg(F.array_sort(F.collect_set("line_no")).alias("kept"))
 
 
-def dedup_lines(docs: DataFrame, every: bool = False, spare: float | None = None) -> DataFrame:
+def dedup_lines(docs: DataFrame, every: bool = True, spare: float | None = None) -> DataFrame:
     """``docs`` with superfluous lines cut out of ``text``, and long columns ``n_lines`` and ``n_dropped``.
 
     ``every`` finds exact repeats of short lines too. With ``spare``, a document that would lose at least this share of its
@@ -171,15 +170,16 @@ _SQL = f"""
     WITH parts AS (SELECT doc_id, string_split(text, chr(10)) AS parts FROM documents),
     lines AS (SELECT doc_id, unnest(parts) AS line, unnest(range(len(parts))) AS line_no FROM parts),
     firsts AS (
-        SELECT line, length(line) AS n, min((doc_id, line_no)) AS spot FROM lines WHERE length(line) >= {MIN_CHARS} GROUP BY line),
-    cut AS (SELECT line, n, spot, p, substr(line, 1, p - 1) || substr(line, p + 1) AS less FROM firsts, unnest(range(1, n + 1)) AS t(p)),
+        SELECT line, length(line) AS n, min((doc_id, line_no)) AS spot FROM lines WHERE length(line) >= {MIN_CHARS} OR regexp_matches(line, '[^ \t\n\v\f\r]') GROUP BY line),
+    long AS (SELECT * FROM firsts WHERE n >= {MIN_CHARS}),
+    cut AS (SELECT line, n, spot, p, substr(line, 1, p - 1) || substr(line, p + 1) AS less FROM long, unnest(range(1, n + 1)) AS t(p)),
     replaced AS (SELECT n, p, less, min(spot) AS earliest FROM cut GROUP BY n, p, less HAVING count(*) > 1),
     near AS (
         SELECT c.line FROM cut c JOIN replaced r ON c.n = r.n AND c.p = r.p AND c.less = r.less WHERE r.earliest < c.spot
-        UNION SELECT c.line FROM cut c JOIN firsts f ON c.less = f.line WHERE f.spot < c.spot
-        UNION SELECT f.line FROM cut c JOIN firsts f ON c.less = f.line WHERE c.spot < f.spot),
+        UNION SELECT c.line FROM cut c JOIN long f ON c.less = f.line WHERE f.spot < c.spot
+        UNION SELECT f.line FROM cut c JOIN long f ON c.less = f.line WHERE c.spot < f.spot),
     stay AS (
-        SELECT l.doc_id, l.line_no, l.line, length(l.line) < {MIN_CHARS} OR (f.spot = (l.doc_id, l.line_no) AND n.line IS NULL) AS kept
+        SELECT l.doc_id, l.line_no, l.line, f.line IS NULL OR (f.spot = (l.doc_id, l.line_no) AND n.line IS NULL) AS kept
         FROM lines l LEFT JOIN firsts f ON l.line = f.line LEFT JOIN near n ON l.line = n.line)
     SELECT doc_id, count(*) AS n_lines, count(*) FILTER (NOT kept) AS n_dropped,
            md5(coalesce(string_agg(line, chr(10) ORDER BY line_no) FILTER (kept), '')) AS text_md5

@@ -149,16 +149,22 @@ def _flac(data: memoryview) -> tuple[str, int] | None:
     return ("audio/flac", len(data)) if len(data) >= 42 and data[4] & 0x7F == 0 and int.from_bytes(data[5:8], "big") == 34 else None
 
 
-def _ogg(data: memoryview) -> tuple[str, int] | None:
-    at = 0
+def _ogg(data: memoryview, start: int = 0, dead: set[int] | None = None) -> tuple[str, int] | None:
+    """``dead``: places of pages from which no last page is reached; those of this walk are added."""
+    at, walked = 0, []
     while at + 27 <= len(data) and bytes(data[at : at + 4]) == b"OggS" and data[at + 4] == 0:
+        if dead is not None and start + at in dead:
+            break
+        walked.append(start + at)
         n = data[at + 26]
         stop = at + 27 + n + sum(data[at + 27 : at + 27 + n])
         if stop > len(data):
-            return None
+            break
         if data[at + 5] & 4:
             return "application/ogg", stop
         at = stop
+    if dead is not None:
+        dead.update(walked)
     return None
 
 
@@ -182,15 +188,22 @@ VALIDATORS = {"riff": _riff, "png": _png, "gif": _gif, "jpeg": _jpeg, "bmp": _bm
 
 
 def sniff(data: bytes) -> list[tuple[int, int, str]]:
-    """(offset, length, type) of all validated media in ``data``, outermost first, none inside another of its own start."""
-    view, find, found, seen = memoryview(data), Finder(data), [], set()
+    """(offset, length, type) of all validated media in ``data``, outermost first, none inside another of its own start.
+
+    A page of a validated Ogg file is no file of its own; every page is walked once.
+    """
+    view, find, found, seen, dead, pages_end = memoryview(data), Finder(data), [], set(), set(), 0
     for last, (length, offset, kind) in automaton().iter(data.decode("latin-1")):
         start = last - length + 1 - offset
         if start >= 0 and (start, kind) not in seen:
             seen.add((start, kind))
-            more = (start, find) if kind in ("jpeg", "pdf") else ()
+            if kind == "ogg" and start < pages_end:
+                continue
+            more = (start, find) if kind in ("jpeg", "pdf") else (start, dead) if kind == "ogg" else ()
             if valid := VALIDATORS[kind](view[start:], *more):
                 found.append((start, valid[1], valid[0]))
+                if kind == "ogg":
+                    pages_end = start + valid[1]
     return sorted(found, key=lambda x: (x[0], -x[1]))
 
 

@@ -4,8 +4,7 @@ Two histograms describe a document: its code points by character class, and its
 language (one bin each, one more for the rest). The references are the same histograms summed over all documents of
 that language in the corpus. A document is compared with every reference, and its distance is the least over the
 languages of the larger of the two Jensen-Shannon distances (base 2, so 0 to 1). Documents under ``MIN_WORDS`` words
-are not judged by distance by the query, as its SQL has it; ``keep_good`` judges them too, within ``SHORT_DISTANCE``, as
-thin histograms stray further.
+have a wider limit, ``SHORT_DISTANCE``, as thin histograms stray further; the base rule guards those under 50.
 
 Base rules come first: fewer than 50 words, or more than half of the words in repeated 3-word windows, fail.
 
@@ -38,7 +37,7 @@ MARKS = "!\"'()+,-./:;=?@[\\]^_`{}~"
 MIN_WORDS = 100
 #: A document further than this from every reference is rejected.
 MAX_DISTANCE = 0.25
-#: The same for documents of fewer than MIN_WORDS words, where these are judged.
+#: The same for documents of fewer than MIN_WORDS words.
 SHORT_DISTANCE = 0.28
 
 
@@ -140,11 +139,8 @@ def js_distance(p: Column, q: Column) -> Column:
     return F.sqrt(F.greatest(total / 2, F.lit(0.0)))
 
 
-def judge(docs: DataFrame, refs: DataFrame | None = None, short: bool = False) -> DataFrame:
-    """``docs`` with struct ``quality``: the base measures, base_failed, distance (null if not judged) and kept.
-
-    ``short`` judges documents of fewer than MIN_WORDS words by distance too.
-    """
+def judge(docs: DataFrame, refs: DataFrame | None = None) -> DataFrame:
+    """``docs`` with struct ``quality``: the base measures, base_failed, distance (null if not judged) and kept."""
     refs = references(docs) if refs is None else refs
     one = refs.agg(F.array_sort(F.collect_list(F.struct("lang", "classes", "words"))).alias("__refs"))  # a row of four entries at most
     languages = sorted(COMMON_WORDS)
@@ -166,10 +162,10 @@ def judge(docs: DataFrame, refs: DataFrame | None = None, short: bool = False) -
         failed = (m["n_words"] < 50) | (100 * m["n_repeat_words"] > 50 * m["n_words"])
         t = F.coalesce(F.col("text"), F.lit(""))
         far = F.when(
-            known & ~failed & (F.lit(short) | (m["n_words"] >= MIN_WORDS)),
+            known & ~failed,
             let(F.struct(_class_counts(t).alias("a"), _common_counts(words(F.lower(t))).alias("b")), lambda h: nearest(h["a"], h["b"], m["n_words"])),
         )
-        limit = F.when(m["n_words"] < MIN_WORDS, SHORT_DISTANCE).otherwise(MAX_DISTANCE) if short else F.lit(MAX_DISTANCE)
+        limit = F.when(m["n_words"] < MIN_WORDS, SHORT_DISTANCE).otherwise(MAX_DISTANCE)
         names = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
         return let(
             far,
@@ -184,7 +180,7 @@ def judge(docs: DataFrame, refs: DataFrame | None = None, short: bool = False) -
 
 def keep_good(docs: DataFrame) -> DataFrame:
     """The documents that pass, unchanged."""
-    return judge(docs, short=True).where("quality.kept").select(*docs.columns)
+    return judge(docs).where("quality.kept").select(*docs.columns)
 
 
 def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -234,8 +230,8 @@ def _sql() -> str:
             WHERE a.lang IN (SELECT lang FROM ref_words WHERE total > 0) GROUP BY a.doc_id),
     v AS (SELECT m.*, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed,
           CASE WHEN m.lang IS NULL OR m.lang IN (SELECT lang FROM ref_words WHERE total > 0) THEN f.distance END AS js FROM m LEFT JOIN far f USING (doc_id))
-    SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, round(CASE WHEN NOT base_failed AND n_words >= {MIN_WORDS} THEN js END, 6) AS distance,
-           NOT base_failed AND (n_words < {MIN_WORDS} OR coalesce(js, 0) <= {MAX_DISTANCE}) AS kept FROM v"""
+    SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, round(CASE WHEN NOT base_failed THEN js END, 6) AS distance,
+           NOT base_failed AND coalesce(js, 0) <= CASE WHEN n_words < {MIN_WORDS} THEN {SHORT_DISTANCE} ELSE {MAX_DISTANCE} END AS kept FROM v"""
 
 
 QUERIES = {"op7_quality_rules": op7_quality_rules}

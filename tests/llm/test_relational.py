@@ -131,12 +131,14 @@ def brute_lines(rows):
         x, y = sorted((x, y), key=len)
         return any(x == y[:k] + y[k + 1 :] for k in range(len(y)))
 
-    seen, out = [], {}
+    seen, short, out = [], set(), {}
     for i, text in sorted(rows):
         stay = []
         for line in text.split("\n"):
             if len(line) < lines.MIN_CHARS:
-                stay.append(line)
+                if line not in short or not WORD.search(line):
+                    stay.append(line)
+                short.add(line)
                 continue
             if not any(near(line, s) for s in seen):
                 stay.append(line)
@@ -163,7 +165,7 @@ def test_line_dedup(spark):
                 else:
                     del s[k]
             own.append("".join(s))
-        rows.append((i, "\n".join([*own, "short", ""])))
+        rows.append((i, "\n".join([*own, "short", f"n{i % 9}", " ", ""])))
     got = lines.dedup_lines(spark.createDataFrame(rows, "doc_id bigint, text string").withColumn("n_lines", F.lit("clash"))).collect()
     want = brute_lines(rows)
     assert {r["doc_id"]: r["text"] for r in got} == want
@@ -176,7 +178,7 @@ def test_versions_are_spared(spark):
     own = "a line of its own, and a very long one at that, so that more than half of the text is left over"
     rows = [(1, "\n".join(part)), (2, "\n".join([*part, "and one more"])), (3, "\n".join([*part, own])), (4, "\n".join(part))]
     docs = spark.createDataFrame(rows, "doc_id bigint, text string")
-    got = {r["doc_id"]: (r["text"], r["n_dropped"]) for r in lines.dedup_lines(docs, every=True, spare=0.5).collect()}
+    got = {r["doc_id"]: (r["text"], r["n_dropped"]) for r in lines.dedup_lines(docs, spare=0.5).collect()}
     assert got == {1: (rows[0][1], 0), 2: (rows[1][1], 0), 3: (own, 3), 4: ("", 3)}
 
 

@@ -195,14 +195,14 @@ def test_divergence(spark):
 
 
 def test_short_documents_are_judged(spark):
-    """Junk of 50 to 99 words goes, good text of that length stays; the query leaves both to the base rules."""
+    """Junk of 50 to 99 words goes, good text of that length stays, in the query too."""
     common = ["the", "of", "and", "in", "is"]
     plain = lambda k, n: " ".join(common[i // 3 % 5] if i % 3 == 0 else "".join(chr(97 + (i * i * (j + 3) + k * j) % 26) for j in range(6)) for i in range(n))
     texts = [*(plain(k, 200) for k in range(20)), plain(3, 60), " ".join(f"{i}$$$#{i * 7}" for i in range(60))]
     docs = spark.createDataFrame([(k, t, "en") for k, t in enumerate(texts)], "doc_id bigint, text string, lang string")
     assert {r["doc_id"] for r in quality.keep_good(docs).collect()} == set(range(21))
     query = {r["doc_id"]: r["quality"] for r in quality.judge(docs).collect()}
-    assert query[20]["distance"] is None and query[21]["distance"] is None and query[21]["kept"]
+    assert query[20]["kept"] and query[20]["distance"] <= quality.SHORT_DISTANCE < query[21]["distance"] and not query[21]["kept"]
 
 
 def test_languages_without_a_reference_are_not_judged(spark):
@@ -298,6 +298,20 @@ def test_many_signatures_are_read_once():
     assert [find(b"ab", k) for k in (4, 0, 1, 3, 7, 7, 0)] == [6, 2, 2, 6, -1, -1, 2]
 
 
+def test_long_ogg_files():
+    """Pages are walked once, in files that end and in those that do not; a file in a file of another kind is found."""
+    import time
+
+    page = lambda last: b"OggS\0" + bytes([4 if last else 0]) + bytes(20) + bytes([2, 40, 3]) + bytes(43)
+    whole, open_end = page(False) * 20_000 + page(True), page(False) * 20_000
+    for data, want in ((whole, [(0, len(whole), "application/ogg")]), (open_end, []), (b"x" + whole + b"y" + page(True), [(1, len(whole), "application/ogg"), (2 + len(whole), len(page(True)), "application/ogg")])):
+        began = time.time()
+        assert media.sniff(data) == want
+        assert time.time() - began < 2
+    inside = media.wav(b"ab" + page(False) + page(True) + b"c")
+    assert [k for _, _, k in media.sniff(inside)] == ["audio/wav", "application/ogg"]
+
+
 # Language identification
 
 
