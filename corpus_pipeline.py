@@ -22,20 +22,26 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     return quality.keep_good(docs.select(*COLUMNS))
 
 
+def _cut(docs: DataFrame, spare: float | None) -> DataFrame:
+    """Documents without the lines that earlier ones have; one of which nothing is left goes."""
+    done = lines.dedup_lines(docs.select(*COLUMNS), spare=spare)
+    left = done.where((F.col("n_dropped") == 0) | F.col("text").rlike(lines.NOT_BLANK))
+    return left.withColumn("n_chars", F.coalesce(F.length("text").cast("long"), F.col("n_chars"))).select(*COLUMNS)
+
+
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without the lines, short ones too, that earlier ones have; a document of which nothing is left goes.
 
     A document that would lose half of its text or more is passed on whole: the next stage tells whether it is a near copy,
-    and a stub would no longer show.
+    and a stub would no longer show. That stage cuts it if it stays.
     """
-    done = lines.dedup_lines(docs.select(*COLUMNS), every=True, spare=0.5)
-    left = done.where((F.col("n_dropped") == 0) | F.col("text").rlike(lines.NOT_BLANK))
-    return left.withColumn("n_chars", F.coalesce(F.length("text").cast("long"), F.col("n_chars"))).select(*COLUMNS)
+    return _cut(docs, 0.5)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group whose sets of five-word n-grams have a similarity of 0.8 or more."""
-    return jaccard.keep_first(docs.select(*COLUMNS), n=5, percent=80)
+    """One document of each group whose sets of five-word n-grams have a similarity of 0.8 or more, without lines that earlier
+    documents have: what line dedup has passed on whole, and is no near copy, is cut here."""
+    return _cut(stored(jaccard.keep_first(docs.select(*COLUMNS), n=5, percent=80), "firsts"), None)
 
 
 def mixing_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
