@@ -7,13 +7,34 @@ import os
 from dataclasses import asdict, dataclass, field, fields
 from pathlib import Path
 
-#: Names and path segments that are left out of scans.
-DEFAULT_EXCLUSIONS = (
+#: Names and path segments that are left out of scans, on every system and on some.
+EVERYWHERE = (
     ".git .hg .svn node_modules bower_components .npm .yarn .pnpm-store .next .nuxt .angular .parcel-cache .turbo .venv venv virtualenv __pycache__ .tox .nox "
     ".mypy_cache .pytest_cache .ruff_cache .ipynb_checkpoints site-packages __pypackages__ .eggs .conda anaconda3/envs anaconda3/pkgs miniconda3/envs miniconda3/pkgs "
-    "mambaforge/envs mambaforge/pkgs .docker .gradle .m2 .nuget .terraform .bundle .ccache "
-    "/proc /sys /dev /run /snap .cache /.cargo/registry /.rustup/toolchains .local/share/Trash"
+    "mambaforge/envs mambaforge/pkgs .docker .gradle .m2 .nuget .terraform .bundle .ccache"
 ).split()
+ON_WINDOWS = (
+    "$Recycle.Bin",
+    "System Volume Information",
+    "\\Windows\\WinSxS",
+    "\\Windows\\servicing",
+    "\\Windows\\SoftwareDistribution",
+    "\\AppData\\Local\\Temp",
+    "\\AppData\\Local\\Microsoft\\Windows\\INetCache",
+    "\\AppData\\Local\\npm-cache",
+    "\\AppData\\Local\\pip",
+    "\\.cargo\\registry",
+    "\\.rustup\\toolchains",
+)
+ELSEWHERE = "/proc /sys /dev /run /snap .cache /.cargo/registry /.rustup/toolchains .local/share/Trash".split()
+
+
+def default_exclusions(system: str = os.name) -> list[str]:
+    """What a scan leaves out unless told otherwise; ``system`` as ``os.name``."""
+    return [*EVERYWHERE, *(ON_WINDOWS if system == "nt" else ELSEWHERE)]
+
+
+DEFAULT_EXCLUSIONS = tuple(default_exclusions())
 
 
 def default_roots() -> list[str]:

@@ -23,6 +23,7 @@ from shelfmark.operators.content import first_lines_of_files
 from shelfmark.operators.extract import document_text, media_info
 from shelfmark.operators.intervals import labelled, removed_at, subtree
 from shelfmark.operators.log import ChangeLog
+from shelfmark.operators.names import NameIndex
 from shelfmark.operators.preview import preview_kind
 from shelfmark.operators.rescan import differences, open_or_build
 from shelfmark.operators.search import matches, numbered, search, without_paths
@@ -150,6 +151,21 @@ add("live_rows", lambda spark, d: search(_returned(spark, d), parse("item_1"), k
 
 
 
+def _indexed(spark: SparkSession, d: str) -> DataFrame:
+    """By the name index, after a change that renames every ninth part and adds some."""
+    import uuid
+
+    index, parts = NameIndex(spark, f"{shared_folder(spark)}/names-{uuid.uuid4().hex}"), cat.parts(spark, d)
+    index.add(parts)
+    moved = parts.where("entry_id % 9 = 0")
+    index.add(moved.withColumn("name", F.replace("name", F.lit("bolt"), F.lit("nut"))).union(moved.withColumn("entry_id", F.col("entry_id") + 10_000_000).withColumn("name", F.concat(F.lit("a BOLT "), "name"))))
+    return index.matches(parse("bolt")).select("entry_id", "score", "name")
+
+
+_RENAMED = f"""{PARTS}, changed AS (SELECT entry_id, CASE WHEN entry_id % 9 = 0 THEN replace(name, 'bolt', 'nut') ELSE name END AS name FROM parts UNION ALL SELECT entry_id + 10000000, 'a BOLT ' || name FROM parts WHERE entry_id % 9 = 0)"""
+add("name_indexed", _indexed, f"WITH {_RENAMED} SELECT * FROM (SELECT entry_id, {_score('bolt')} AS score, name FROM changed) WHERE score IS NOT NULL")
+
+
 def _one_pass(spark: SparkSession, d: str) -> DataFrame:
     """Total and shown rows of one action: the catalog is read once."""
     rows, seen = one_pass(matches(cat.items(spark, d), parse("item_1 ext:csv")), 500)
