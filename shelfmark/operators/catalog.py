@@ -19,6 +19,8 @@ SCHEMA = "entry_id bigint, parent_id bigint, name string, path string, is_dir bo
 VERSION = 2
 #: Longest chain of parents that a path follows, and that may lead to a root. Powers of two.
 MAX_HOPS, MAX_CHAIN = 256, 512
+#: Rows of one key that are joined in one task; more are dealt to several.
+MOST = 100_000
 
 
 def entries(df: DataFrame, entry_id: Column, name: Column, folder: Column, size: Column, modified: Column, is_dir: Column | None = None) -> DataFrame:
@@ -106,39 +108,55 @@ def _joined(head: Column, tail: Column) -> Column:
     return F.concat(head, glue, tail)
 
 
-def resolve_paths(nodes: DataFrame, max_hops: int = MAX_HOPS) -> DataFrame:
+def joined_evenly(rows: DataFrame, other: DataFrame, key: str, spread: str, most: int = MOST) -> DataFrame:
+    """``rows`` left-joined to ``other`` on ``key``, where any number of rows may have one key, or none.
+
+    Rows without a key are dealt to all tasks, and a key of more than ``most`` rows to several, by the hash of ``spread``; each
+    of them gets the rows of ``other``. There are at most rows / ``most`` such keys, so the list of them is small.
+    """
+    many = rows.where(F.col(key).isNotNull()).groupBy(key).agg(F.ceil(F.count("*") / most).cast("int").alias("__parts")).where("__parts > 1")
+    share = F.xxhash64(F.lit(7), spread)  # not the hash that deals rows to tasks
+    salt = F.when(F.col(key).isNull(), F.pmod(share, F.lit(1 << 16))).otherwise(F.pmod(share, F.coalesce("__parts", F.lit(1))))
+    left = rows.join(F.broadcast(many), key, "left").withColumn("__salt", salt.cast("int")).drop("__parts")
+    right = other.join(F.broadcast(many), key, "left").withColumn("__salt", F.explode(F.sequence(F.lit(0), F.coalesce("__parts", F.lit(1)) - 1))).drop("__parts")
+    return left.join(right, [key, "__salt"], "left").drop("__salt")
+
+
+def resolve_paths(nodes: DataFrame, max_hops: int = MAX_HOPS, most: int = MOST) -> DataFrame:
     """``path``, ``hops`` and ``root_id`` (where the path begins) for rows with parent pointers, by pointer doubling.
 
     A parent that is missing or no folder ends the path, which then starts at the child. The walk stops after ``max_hops``
     (a power of two): a path in a longer chain, or in a circle, has its last ``max_hops + 1`` names. Each round joins on the
-    ancestor and doubles the distance, so the number of shuffles grows with the logarithm of the depth.
+    ancestor and doubles the distance, so the number of shuffles grows with the logarithm of the depth. Only folders take part
+    in the rounds, and only those whose path is open are joined; what is no folder gets its path from its parent, in one join.
     """
-    folders = nodes.where("is_dir").select(F.col("entry_id").alias("parent_id")).distinct()
-    linked = nodes.join(folders.withColumn("__known", F.lit(True)), "parent_id", "left")
-    state = linked.select("entry_id", F.when(F.col("__known"), F.col("parent_id")).alias("anc"), F.col("name").alias("path"), F.lit(0).alias("hops"), F.col("entry_id").alias("root_id"))
-    state = checkpointed(state)
+    folders = nodes.where(F.col("is_dir") & F.col("entry_id").isNotNull())
+    known = folders.select(F.col("entry_id").alias("parent_id")).distinct().withColumn("__known", F.lit(True))
+    linked = joined_evenly(folders.select("entry_id", "parent_id", "name"), known, "parent_id", "entry_id", most)
+    state = checkpointed(linked.select("entry_id", F.when(F.col("__known"), F.col("parent_id")).alias("anc"), F.col("name").alias("path"), F.lit(0).alias("hops"), F.col("entry_id").alias("root_id")))
+    found = F.col("head").isNotNull()
+    longer, more = F.when(found, _joined(F.col("head"), F.col("path"))).otherwise(F.col("path")), F.when(found, F.col("hops") + F.col("more") + 1).otherwise(F.col("hops"))
+    is_open = F.col("anc").isNotNull()
     for _ in range(max_hops.bit_length() - 1):
-        if not state.where("anc IS NOT NULL").take(1):
+        if not state.where(is_open).take(1):
             break
         above = state.select(F.col("entry_id").alias("anc"), F.col("anc").alias("next"), F.col("path").alias("head"), F.col("hops").alias("more"), F.col("root_id").alias("top"))
-        joined = state.join(above, "anc", "left")
-        found = F.col("head").isNotNull()
-        state = checkpointed(
-            joined.select(
-                "entry_id",
-                F.col("next").alias("anc"),
-                F.when(found, _joined(F.col("head"), F.col("path"))).otherwise(F.col("path")).alias("path"),
-                F.when(found, F.col("hops") + F.col("more") + 1).otherwise(F.col("hops")).alias("hops"),
-                F.coalesce("top", "root_id").alias("root_id"),
-            )
-        )
-    # What is still open has max_hops names; the one above them is the last.
-    last = nodes.select(F.col("entry_id").alias("anc"), F.col("name").alias("__head"))
-    state = state.join(last, "anc", "left")
-    done = F.when(F.col("__head").isNull(), F.col("path")).otherwise(_joined(F.col("__head"), F.col("path")))
-    hops = F.col("hops") + F.when(F.col("__head").isNull(), 0).otherwise(1)
-    state = state.select("entry_id", done.alias("path"), hops.alias("hops"), F.coalesce("anc", "root_id").alias("root_id"))
-    return nodes.drop("path").join(state, "entry_id")
+        joined = joined_evenly(state.where(is_open), above, "anc", "entry_id", most)
+        doubled = joined.select("entry_id", F.col("next").alias("anc"), longer.alias("path"), more.alias("hops"), F.coalesce("top", "root_id").alias("root_id"))
+        state = checkpointed(state.where(~is_open).union(doubled))
+
+    # A parent whose path is still open has max_hops names, and with its child's there is one more.
+    own = nodes.where(~F.coalesce("is_dir", F.lit(False)) & F.col("entry_id").isNotNull()).drop("path").withColumn("__name", F.col("name"))
+    above = state.select(F.col("entry_id").alias("parent_id"), F.col("path").alias("head"), F.col("hops").alias("more"), F.col("root_id").alias("top"))
+    files = joined_evenly(own, above, "parent_id", "entry_id", most).withColumn("path", F.col("__name")).withColumn("hops", F.lit(0))
+    # A folder that is still open has max_hops names too; the one above them is the last.
+    last = folders.select(F.col("entry_id").alias("anc"), F.col("name").alias("head"), F.lit(0).alias("more"), F.col("entry_id").alias("top"))
+    opened = joined_evenly(state.where(is_open), last, "anc", "entry_id", most)
+    closed = state.where(~is_open).select("entry_id", "path", "hops", "root_id")
+    done = closed.union(opened.select("entry_id", longer.alias("path"), more.alias("hops"), F.coalesce("top", "root_id").alias("root_id")))
+    columns = ("entry_id", *(c for c in nodes.columns if c not in ("entry_id", "path")))
+    whole = folders.drop("path").join(done, "entry_id").select(*columns, "path", "hops", "root_id")
+    return whole.union(files.select(*columns, longer.alias("path"), more.alias("hops"), F.coalesce("top", "entry_id").alias("root_id")))
 
 
 def reachable(nodes: DataFrame, patterns: list[str] | None = None) -> DataFrame:

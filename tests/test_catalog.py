@@ -37,6 +37,44 @@ def test_deep_chains(spark, depth):
     assert cat.reachable(nodes).count() == depth + 1
 
 
+@pytest.mark.parametrize("most", [1, 3, cat.MOST])
+def test_random_forests(spark, most):
+    """Circles, lost parents, files as parents, files at the top, folders with many files; keys dealt to several tasks or not."""
+    rng = random.Random(most)
+    rows = [(k, rng.choice([None, 777, 0, 1, *range(60)]), f"n{k}", rng.random() < 0.7) for k in range(60)]
+    rows += [(100 + k, rng.choice([0, 0, 0, None, k % 60]), f"f{k}", False) for k in range(200)]
+    held = {r[0]: r for r in rows}
+
+    def walked(k):
+        names, at = [held[k][2]], k
+        while len(names) < 5 and held[at][1] in held and held[held[at][1]][3]:
+            at = held[at][1]
+            names.insert(0, held[at][2])
+        return "/".join(names), len(names) - 1, at
+
+    got = cat.resolve_paths(spark.createDataFrame(rows, NODES), 4, most)
+    assert got.columns == ["entry_id", "parent_id", "name", "is_dir", "path", "hops", "root_id"]
+    assert sorted(got.collect()) == sorted((*held[k], *walked(k)) for k in held)
+
+
+def test_rows_without_parent_are_spread(spark):
+    """Rows without a key, and rows of one key, are joined in all tasks alike."""
+    rows = spark.range(4_000).selectExpr("id AS entry_id", "IF(id % 2 = 0, NULL, IF(id % 8 = 1, id, 5)) AS key")
+    other = spark.createDataFrame([(5, "five"), (9, "nine")], "key bigint, value string")
+    adaptive = spark.conf.get("spark.sql.adaptive.enabled")
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        got = cat.joined_evenly(rows, other, "key", "entry_id", 50).withColumn("task", F.spark_partition_id()).collect()
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", adaptive)
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert {r["entry_id"]: r["value"] for r in got} == {k: None if k % 2 == 0 else {9: "nine"}.get(k) if k % 8 == 1 else "five" for k in range(4_000)} and len(got) == 4_000
+    for value, share in ((None, 0.4), ("five", 0.6)):
+        tasks = [r["task"] for r in got if r["value"] == value]
+        assert len(set(tasks)) == 4 and max(map(tasks.count, set(tasks))) < share * len(tasks)
+
+
 def test_snapshots(spark, tmp_path):
     folder = f"file://{tmp_path}/s"
     assert cat.load_snapshot(spark, folder) is None
