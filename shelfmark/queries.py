@@ -724,7 +724,7 @@ def _first_scan(spark: SparkSession, d: str) -> DataFrame:
 
     from shelfmark.streaming.scan import node_scan
 
-    scan, seen = node_scan(cat.tree(spark, d), f"{shared_folder(spark)}/scan-{uuid.uuid4().hex}", 4_096), []
+    scan, seen = node_scan(cat.tree(spark, d), f"{shared_folder(spark)}/scan-{uuid.uuid4().hex}", 4_096, growing=True), []
 
     def look(progress: dict) -> None:
         totals = search(scan.catalog(), parse("a type:folder")).totals.first()

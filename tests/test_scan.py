@@ -29,6 +29,19 @@ def test_batches_of_nodes(spark, sf, tmp_path):
     assert sorted(done["completed"]) == sorted(done["roots"]) and len(done["roots"]) == 5
 
 
+def test_few_batches(spark, sf, tmp_path):
+    """Batches that find a few folders each make no units of their own, and growing ones are few; each finds what there is."""
+    nodes = cat.tree(spark, sf)
+    want, runs = nodes.count(), []
+    for growing in (False, True):
+        walk, seen = node_scan(nodes, f"file://{tmp_path}/{growing}", 150, growing), []
+        whole = walk.run(lambda progress, seen=seen: seen.append(progress["rows"]))
+        assert (whole.count(), whole.select("entry_id").distinct().count()) == (want, want)
+        runs.append(seen)
+    assert len(runs[0]) <= want / 150 + 4 and len(runs[1]) <= 12
+    assert runs[1][-1] == want and runs[1][0] <= 30
+
+
 def test_folders(spark, tmp_path):
     top = tmp_path / "top"
     for k in range(12):
