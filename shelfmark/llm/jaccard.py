@@ -221,9 +221,9 @@ class Order:
     """The weight of an n-gram: those expected in few documents by their words first, in the order of their counters."""
 
     def __init__(self, counts: DataFrame):
-        found = counts.toPandas()  # at most SKETCH + WORDS rows
+        found = counts.toArrow()  # at most SKETCH + WORDS rows, as columns: as Row objects they would take 100 MB and more
         total = np.zeros(SKETCH + WORDS, np.int64)
-        total[found["g"].to_numpy(np.int64)] = found["c"].to_numpy(np.int64)
+        total[found["g"].to_numpy()] = found["c"].to_numpy()
         words = total[SKETCH:]
         log = lambda x: np.round(64 * np.log2(np.maximum(x, 1))).astype(np.int32)
         self.counters, self.common, self.every = total[:SKETCH], log(words), int(log(words.sum()))

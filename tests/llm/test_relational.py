@@ -82,6 +82,19 @@ def test_jaccard(spark, odd, monkeypatch, block, few, pivots):
         assert groups(df, 5, 80) == brute_groups(rows, 5, 80)
 
 
+def test_counters_reach_the_driver_as_columns(spark):
+    """Of all counters the driver makes no object for each."""
+    import tracemalloc
+
+    n = jaccard.SKETCH + jaccard.WORDS
+    counts = spark.range(n).select(F.col("id").cast("int").alias("g"), (F.col("id") * 3).alias("c"))
+    tracemalloc.start()
+    order = jaccard.Order(counts)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 50_000_000 and order.counters.tolist() == list(range(0, 3 * jaccard.SKETCH, 3))
+
+
 def test_jaccard_of_nothing(spark, none):
     assert jaccard.near_groups(none).count() == 0 and jaccard.keep_first(none).count() == 0
 
