@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 
 from shelfmark.functions.scalars import base_name, excluded, parent_path
 from shelfmark.operators.catalog import COLUMNS, checkpointed
-from shelfmark.operators.intervals import removed_at
+from shelfmark.operators.intervals import ranged, removed_at
 
 SCHEMA = "seq bigint, kind string, path string, exists boolean, is_dir boolean, size bigint, modified bigint"
 #: What a catalog carries besides its own columns.
@@ -120,15 +120,12 @@ def with_new_ids(rows: DataFrame, wanted: Column | None = None, after: int = -1)
     three times, so it should be written itself.
     """
     wanted = F.col("entry_id").isNull() & (F.lit(True) if wanted is None else wanted)
-    n = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    fresh = rows.where(wanted).repartitionByRange(n, F.col("path")).withColumn("__p", F.spark_partition_id())
-    fresh = checkpointed(fresh)
+    fresh = ranged(rows.where(wanted), "path")
     start = rows.agg(F.max("entry_id").alias("m")).select((F.greatest("m", F.lit(after)) + 1).alias("__start"))
     sizes = fresh.groupBy("__p").agg(F.count("*").alias("__c"))
     before = sizes.select("__p", (F.sum("__c").over(Window.orderBy("__p")) - F.col("__c")).alias("__before"))  # a row per partition
-    place = F.row_number().over(Window.partitionBy("__p").orderBy("path"))
-    given = fresh.withColumn("__n", place).join(F.broadcast(before), "__p").join(F.broadcast(start))
-    given = given.withColumn("entry_id", (F.col("__start") + F.col("__before") + F.col("__n") - 1).cast("long")).select(*rows.columns)
+    given = fresh.join(F.broadcast(before), "__p").join(F.broadcast(start))
+    given = given.withColumn("entry_id", (F.col("__start") + F.col("__before") + F.col("__at")).cast("long")).select(*rows.columns)
     return rows.where(~wanted).union(given)
 
 

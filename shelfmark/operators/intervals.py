@@ -33,10 +33,17 @@ def inside(path: Column, folder: Column | str) -> Column:
     return (path == at) | ((path >= low) & (path < high))
 
 
-def _ranged(rows: DataFrame, *order: str) -> DataFrame:
-    """Rows in sorted partitions of ranges, with ``__p``; written, so that a partition that is lost does not get other rows."""
+def ranged(rows: DataFrame, *order: str) -> DataFrame:
+    """Rows in sorted partitions of ranges, with ``__p`` and their place ``__at`` there; written, so that a partition that is
+    lost does not get other rows. Reading keeps the partitions and their order, so nothing needs to be dealt by ``__p`` again."""
     n = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return checkpointed(rows.repartitionByRange(n, *order).sortWithinPartitions(*order).withColumn("__p", F.spark_partition_id()))
+    placed = rows.repartitionByRange(n, *order).sortWithinPartitions(*order)
+    return checkpointed(placed.withColumn("__p", F.spark_partition_id()).withColumn("__at", place()))
+
+
+def place() -> Column:
+    """The place of a row in its partition, from 0."""
+    return F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1))
 
 
 def labelled(catalog: DataFrame) -> DataFrame:
@@ -50,13 +57,14 @@ def labelled(catalog: DataFrame) -> DataFrame:
     rows = catalog.select(key.alias("__key"), F.lit(1).alias("__real"), F.col("entry_id").alias("__id"), F.col("path").alias("__path"))
     stem = F.when(F.endswith("path", F.lit("/")), F.left(key, F.length(key) - 1)).otherwise(key)  # a root such as /
     ends = catalog.select("path").distinct().select(F.concat(stem, F.lit("\1")), F.lit(0), none, "path")
-    placed = _ranged(rows.union(ends), "__key", "__real", "__id")
+    placed = ranged(rows.union(ends), "__key", "__real", "__id")
     before = placed.groupBy("__p").agg(F.sum("__real").alias("__n"))
-    before = before.select("__p", (F.sum("__n").over(Window.orderBy("__p")) - F.col("__n")).alias("__before"))  # a row per partition
-    running = F.sum("__real").over(Window.partitionBy("__p").orderBy("__key", "__real", "__id").rowsBetween(Window.unboundedPreceding, Window.currentRow))
-    numbered = placed.withColumn("__n", running).join(F.broadcast(before), "__p").withColumn("__n", F.col("__n") + F.col("__before") - 1)
-    starts = numbered.where("__real = 1").select(F.col("__id").alias("entry_id"), F.col("__path").alias("path"), F.col("__n").cast("long").alias("pre"))
-    stops = numbered.where("__real = 0").select(F.col("__path").alias("path"), F.col("__n").cast("long").alias("last"))
+    before = F.broadcast(before.select("__p", (F.sum("__n").over(Window.orderBy("__p")) - F.col("__n")).alias("__before")))  # a row per partition
+    # Each kind is counted in the order of its partition; a mark has as many rows before it as its place, less the marks before it.
+    starts = placed.where("__real = 1").withColumn("__n", place()).join(before, "__p")
+    stops = placed.where("__real = 0").withColumn("__n", F.col("__at") - place()).join(before, "__p")
+    starts = starts.select(F.col("__id").alias("entry_id"), F.col("__path").alias("path"), (F.col("__before") + F.col("__n")).alias("pre"))
+    stops = stops.select(F.col("__path").alias("path"), (F.col("__before") + F.col("__n") - 1).alias("last"))
     return catalog.drop("pre", "last").join(starts, ["entry_id", "path"]).join(stops, "path").select(*(c for c in catalog.columns if c not in ("pre", "last")), "pre", "last")
 
 
@@ -89,7 +97,7 @@ def removed_at(paths: DataFrame, removed: DataFrame, few: int = FEW) -> DataFram
         return paths.select("path", at.cast("long").alias("removed_at")).where("removed_at IS NOT NULL")
     marks = removed.select(preorder_key(F.col("path")).alias("__key"), F.lit(0).alias("__kind"), "path", F.col("seq").cast("long").alias("seq"))
     nodes = paths.select(preorder_key(F.col("path")), F.lit(1), "path", F.lit(None).cast("long"))
-    placed = _ranged(marks.union(nodes), "__key", "__kind")
+    placed = ranged(marks.union(nodes), "__key", "__kind")
     first = placed.groupBy("__p").agg(F.min_by("path", F.struct("__key", "__kind")).alias("path"))
     above = first.select("__p", F.explode(_above(F.col("path"))).alias("path"))
     opened = above.join(removed, "path").select("__p", "path", "seq").collect()  # ranges times depth at most

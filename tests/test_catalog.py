@@ -2,6 +2,7 @@
 
 import os
 import random
+import re
 
 import pytest
 from pyspark.sql import functions as F
@@ -249,3 +250,14 @@ def test_previews(spark):
     heads = spark.createDataFrame([(b"abc",), (b"a\0c",), (b"x" * 131073,), (b"\xff!",)], "b binary").select(text_head(F.col("b")).alias("h")).collect()
     assert heads[0]["h"]["text"] == "abc" and heads[1]["h"] is None and heads[2]["h"]["truncated"] and len(heads[2]["h"]["text"]) == 131072
     assert heads[3]["h"]["text"] == "\ufffd!"
+
+
+def test_ranges_stay_apart(spark):
+    """Labels and new ids are counted where the sorted ranges lie: no task gets several of them by the hash of their number."""
+    rows = spark.range(3_000).selectExpr("id AS entry_id", "concat('/r/d', id % 7, '/f', lpad(id, 5, '0')) AS path")
+    fresh = rows.withColumn("entry_id", F.when(F.col("entry_id") < 0, 0).cast("long"))
+    for made in (labelled(rows), ch.with_new_ids(fresh)):
+        assert not re.search(r"windowspecdefinition\(__p#\d+, ", made._jdf.queryExecution().executedPlan().toString())
+    order = sorted(r["path"] for r in rows.collect())
+    assert {r["path"]: (r["pre"], r["last"]) for r in labelled(rows).collect()} == {p: (k, k) for k, p in enumerate(order)}
+    assert {r["path"]: r["entry_id"] for r in ch.with_new_ids(fresh).collect()} == {p: k for k, p in enumerate(order)}
