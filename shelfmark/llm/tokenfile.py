@@ -31,10 +31,12 @@ import re
 import zlib
 from collections.abc import Iterator
 from functools import cache
+from itertools import chain, repeat
 
 import numpy as np
 import public_tokenizers
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -312,111 +314,129 @@ def expand(blob: bytes) -> np.ndarray:
     return np.concatenate(out) if out else np.zeros(0, np.int64)
 
 
-#: Where a text can be cut without changing its tokens: around a single separator between characters that are none.
-CUT = re.compile(r"(?<=\S)(?= \S)|(?<=\S)(?=\n\S)|(?<=\S\n)(?=\S)")
-#: Characters that may end a word as a piece of its own: the apostrophe can begin one with letters.
-TAIL = "!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"
+#: Kinds of bytes: nothing known, letter, digit, punctuation, apostrophe, space, other white space, part of another character.
+ANY, LETTER, DIGIT, SIGN, MARK, SPACE, BREAK, OTHER = range(8)
+_KIND = np.full(256, OTHER, np.uint8)
+_KIND[:128] = [LETTER if c.isalpha() else DIGIT if c.isdigit() else SIGN if c.isprintable() else ANY for c in map(chr, range(128))]
+_KIND[ord("'")], _KIND[ord(" ")], _KIND[list(b"\t\n\v\f\r")] = MARK, SPACE, BREAK
+#: First bytes of two-byte characters that are letters (U+00C0 to U+017F, U+0400 to U+047F), but for the signs of ``_TIMES``.
+_KIND[[0xC3, 0xC4, 0xC5, 0xD0, 0xD1]] = LETTER
+_TIMES = [0xC397, 0xC3B7]
+#: White space beyond ASCII, as the first three bytes of a number; U+180E is white space to some versions of Unicode.
+_BLANK = [int.from_bytes(c.encode().ljust(3, b"\0")) for c in "\x85\xa0\u1680\u180e\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"]
+#: Where a text can be cut, by the kinds before and after: 1 always, 2 where the byte before is itself cut off.
+_CUT = np.zeros((8, 8), np.uint8)
+for _before in (LETTER, DIGIT, SIGN, MARK, OTHER):
+    _CUT[_before, [SPACE, BREAK]], _CUT[BREAK, _before] = 1, 2
+_CUT[LETTER, [DIGIT, SIGN, MARK]] = _CUT[DIGIT, [LETTER, SIGN, MARK]] = _CUT[SIGN, [LETTER, DIGIT]] = _CUT[MARK, DIGIT] = 1
+_CUT = _CUT.ravel()
+#: A piece that the pattern of the tokenizer takes in one match.
+ONE = re.compile(rb" ?(?:(?:[A-Za-z]++|\xC3[\x80-\x96\x98-\xB6\xB8-\xBF]|[\xC4\xC5\xD0\xD1][\x80-\xBF])++|[0-9]++|[!-/:-@\[-`{-~]++)")
+#: The characters that stand for bytes in a byte-level vocabulary: printable ones for themselves. Line feeds separate pieces here.
+LEVEL = np.arange(256, dtype="<u4")
+_MOVED = [*range(0x21), *range(0x7F, 0xA1), 0xAD]
+LEVEL[_MOVED] = 256 + np.arange(len(_MOVED))
+LEVEL[ord("\n")] = ord("\n")
+
+
+def cuts(data: np.ndarray) -> np.ndarray:
+    """Whether UTF-8 text can be cut after each byte but the last without changing its tokens.
+
+    Cuts are made where no match of the tokenizer's pattern reaches over: between ASCII letters, digits and punctuation (but
+    not from an apostrophe to a letter), after what is no white space, and after a single line feed or the like.
+    """
+    kind = _KIND.take(data)
+    at = np.flatnonzero((data >= 0xC2) & (data < 0xE4))
+    if len(at):
+        after, third = (np.where(at + k < len(data), data[np.minimum(at + k, len(data) - 1)], 0).astype(np.int64) for k in (1, 2))
+        lead = data[at].astype(np.int64)
+        letter = (kind[at] == LETTER) & ~np.isin(lead << 8 | after, _TIMES)
+        kind[at] = np.where(letter, LETTER, OTHER)
+        kind[at[letter] + 1] = LETTER
+        blank = at[np.isin(lead << 16 | after << 8 | np.where(lead < 0xE0, 0, third), _BLANK)]
+        for k in range(3):
+            kind[(blank + k)[blank + k < len(data)]] = ANY
+    cut = _CUT.take(kind[:-1] << 3 | kind[1:])
+    soft = np.flatnonzero(cut == 2)
+    cut[soft] = (soft > 0) & (cut[soft - 1] == 1)
+    return cut.view(bool)
 
 
 class Tokens:
     """Encodes texts with a tokenizer of the library, each distinct piece once.
 
-    A byte-level tokenizer never merges over the places of ``CUT``, so the ids of a text are those of its pieces. Keys of
-    pieces: a word stands for itself after a space, after ``\\0`` for any text as it is. Texts with a string that the
-    tokenizer treats as one special token, or with a ``\\0``, go to the library whole.
+    A byte-level tokenizer never merges over the places of ``cuts``, so the ids of a text are those of its pieces. Arrow finds
+    the distinct pieces of a batch, and the numbers of those that are known come from a dictionary. Pieces that the
+    tokenizer's pattern takes whole go to the library's merges at once, others to the library as texts. Texts with a string
+    that the tokenizer treats as one special token are not cut.
     """
 
     def __init__(self, path: str, end: int):
         from tokenizers import Tokenizer
 
         self.library = Tokenizer.from_file(path)
+        self.model = self.library.model
         self.special = [t.content for t in self.library.get_added_tokens_decoder().values()]
-        self.begins = np.zeros(self.library.get_vocab_size(), bool)  # ids whose text begins with a space
-        for token, i in self.library.get_vocab().items():
-            self.begins[i] = token[:1] == "\u0120"
         self.end = end
         self._forget()
 
     def _forget(self) -> None:
-        self.known: dict[str, int] = {}
+        self.known: dict[bytes, int] = {}
         self.start, self.length, self.flat = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int32)
-        self._keep(["\0", "\0\0"], np.array([0, 1]), np.array([self.end], np.int32))
+        self._keep([b""], [1], [self.end])  # no piece is empty
 
-    def _keep(self, keys: list[str], lengths: np.ndarray, ids: np.ndarray) -> None:
+    def _keep(self, pieces: list[bytes], lengths: list[int], ids: list[int]) -> None:
         """Remember pieces whose ids stand one after the other in ``ids``."""
-        self.start = np.concatenate([self.start, len(self.flat) + np.cumsum(lengths) - lengths])
-        self.length, self.flat = np.concatenate([self.length, lengths]), np.concatenate([self.flat, ids])
-        self.known.update(zip(keys, range(len(self.known), len(self.known) + len(keys)), strict=True))
-
-    def _of(self, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """The ids of pieces, one after the other, and where each ends."""
-        n = self.length[at]
-        ends = np.cumsum(n)
-        return self.flat[np.repeat(self.start[at] - (ends - n), n) + np.arange(ends[-1] if len(ends) else 0)], ends
-
-    def whole(self, texts: list[str]) -> list[np.ndarray]:
-        return [np.array(e.ids, np.int32) for e in self.library.encode_batch(texts, add_special_tokens=False)]
-
-    def _ask(self, words: list[str], others: list[str]) -> None:
-        """Learn pieces from the library: words after a space, a thousand in one text, and others one by one."""
-        keys, lengths, ids = [], [], []
-        for a in range(0, len(words), 1000):
-            part = words[a : a + 1000]
-            own = self.whole([" " + " ".join(part)])[0]
-            at = np.flatnonzero(self.begins[own])
-            if len(at) != len(part):
-                others += part
-                continue
-            keys += part
-            lengths.append(np.diff(at, append=len(own)))
-            ids.append(own)
-        found = self.whole([k if k == "\n" else k[1:] if k[0] == "\0" else " " + k for k in others])
-        lengths.append(np.array([len(x) for x in found], np.int64))
-        self._keep(keys + others, np.concatenate(lengths), np.concatenate([np.zeros(0, np.int32), *ids, *found]))
-
-    def _learn(self, fresh: set[str]) -> None:
-        """Learn pieces, those that end in punctuation as two. A key with white space inside comes after ``\\0`` or is a line feed."""
-        two, needed = {}, set()
-        for key in fresh:
-            stem = key.rstrip(TAIL)
-            if len(stem) < len(key) and stem[-1:].isalnum():
-                two[key] = stem, "\0" + key[len(stem) :]
-                needed.update(two[key])
-            else:
-                needed.add(key)
-        needed.difference_update(self.known)
-        self._ask([k for k in needed if k[0] != "\0" and k != "\n"], [k for k in needed if k[0] == "\0" or k == "\n"])
-        rest = [k for k in two if k not in self.known]
-        ids, ends = self._of(np.array([self.known[x] for k in rest for x in two[k]], np.int64))
-        self._keep(rest, np.diff(ends[1::2], prepend=0), ids)
-
-    def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        n = np.array(lengths, np.int64)
+        self.start = np.concatenate([self.start, len(self.flat) + np.cumsum(n) - n])
+        self.length, self.flat = np.concatenate([self.length, n]), np.concatenate([self.flat, np.array(ids, np.int32)])
+        self.known.update(zip(pieces, range(len(self.known), len(self.known) + len(pieces)), strict=True))
+
+    def _learn(self, fresh: list[bytes]) -> None:
+        """Learn pieces from the library."""
+        ones, others = [], []
+        for piece in fresh:
+            one = (piece[1:] if piece[0] == 32 else piece).isalpha() or ONE.fullmatch(piece)  # most are of ASCII letters
+            (ones if one else others).append(piece)
+        lengths, ids = [], []
+        for word in LEVEL.take(np.frombuffer(b"\n".join(ones), np.uint8)).tobytes().decode("utf-32-le").split("\n") if ones else ():
+            own = self.model.tokenize(word)
+            lengths.append(len(own))
+            ids += [t.id for t in own]
+        self._keep(ones, lengths, ids)
+        found = [e.ids for e in self.library.encode_batch_fast([piece.decode() for piece in others], add_special_tokens=False)]
+        self._keep(others, list(map(len, found)), list(chain.from_iterable(found)))
+
+    def encode(self, texts: list[str] | pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """The ids of all texts, each followed by the end mark, and how many each has."""
-        if len(self.known) > REMEMBERED:
+        if len(self.known) > REMEMBERED or len(self.flat) > 8 * REMEMBERED:
             self._forget()
-        keys, counts, wholes = [], [], {}
-        for n, text in enumerate(texts):
-            if "\0" in text or any(x in text for x in self.special):
-                wholes[n] = self.whole([text])[0]
-                own = []
-            elif " ".join(text.split()) == text.replace("\n", " "):  # single spaces and line feeds between words
-                own = ("\0" + text.replace("\n", " \n \0")).split(" ")
-            else:
-                own = [x[1:] if x[0] == " " and len(x.split()) == 1 and x[1:] == x.strip() else x if x == "\n" else "\0" + x for x in CUT.split(text)]
-            own.append("\0\0")
-            keys += own
-            counts.append(len(own))
-        fresh = set(keys).difference(self.known)
-        if fresh:
-            self._learn(fresh)
-        at = np.fromiter(map(self.known.__getitem__, keys), np.int64, len(keys))
-        ids, ends = self._of(at)
-        stops = ends[np.cumsum(counts) - 1] if counts else np.zeros(0, np.int64)
-        sizes = np.diff(stops, prepend=0)
-        if wholes:
-            parts = [np.concatenate([wholes[k], x]) if k in wholes else x for k, x in enumerate(np.split(ids, stops[:-1]))]
-            ids, sizes = np.concatenate(parts), np.array([len(x) for x in parts])
-        return ids, sizes
+        texts = pc.fill_null(pa.array(texts, pa.large_string()) if isinstance(texts, list) else texts.cast(pa.large_string()), "")
+        _, at, held = texts.buffers()
+        at = np.frombuffer(at, np.int64, len(texts) + 1, 8 * texts.offset) if len(texts) else np.zeros(1, np.int64)
+        data = np.frombuffer(held or b"", np.uint8)[at[0] : at[-1]]
+        at = at - at[0]
+        bound = np.zeros(len(data) + 1, bool)
+        if len(data):
+            bound[1:-1] = cuts(data)
+        for special in self.special:
+            for k in np.flatnonzero(pc.match_substring(texts, special).to_numpy(zero_copy_only=False)):
+                bound[at[k] : at[k + 1]] = False
+        bound[at] = True
+        bound = np.flatnonzero(bound)
+        pieces = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(bound) - 1, [None, pa.py_buffer(bound), pa.py_buffer(data)]).dictionary_encode()
+        distinct = pieces.dictionary.to_numpy(zero_copy_only=False)
+        numbers = np.fromiter(map(self.known.get, distinct, repeat(-1)), np.int64, len(distinct))
+        new = np.flatnonzero(numbers < 0)
+        fresh = distinct[new].tolist()
+        self._learn(fresh)
+        numbers[new] = np.fromiter(map(self.known.__getitem__, fresh), np.int64, len(fresh))
+        stops = np.searchsorted(bound, at[1:])
+        own = np.insert(numbers[pieces.indices.to_numpy()], stops, 0)  # number 0 is the end mark
+        n = self.length[own]
+        ends = np.cumsum(n)
+        ids = self.flat[np.repeat(self.start[own] - (ends - n), n) + np.arange(ends[-1] if len(ends) else 0)]
+        return ids, np.diff(ends[stops + np.arange(len(stops))], prepend=0)
 
 
 @cache
@@ -446,8 +466,8 @@ def write(docs: DataFrame, path: str, end: int = END) -> DataFrame:
             return pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(given, types, strict=True)], ["part", "first", "n_ids", "doc_ids", "counts", "blob"])
 
         for batch in batches:
-            for piece in slices(batch, "text", 2_000_000):
-                ids, sizes = tokens(path, end).encode([x or "" for x in piece.column("text").to_pylist()])
+            for piece in slices(batch, "text"):
+                ids, sizes = tokens(path, end).encode(piece.column("text"))
                 doc_ids.append(piece.column("doc_id"))
                 counts.append(sizes)
                 held.append(ids)

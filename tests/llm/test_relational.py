@@ -1,5 +1,6 @@
 """Operators that relate rows: against brute force over small tables."""
 
+import itertools
 import random
 import re
 import zlib
@@ -8,6 +9,7 @@ from collections import Counter
 import numpy as np
 import pandas as pd
 import public_tokenizers
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -355,6 +357,32 @@ def test_pieces_equal_whole_texts(monkeypatch):
     assert own.encode([])[0].tolist() == []
 
 
+def test_pieces_are_learned_once():
+    """Words are looked up without what stands around them, so their number does not multiply with punctuation and digits."""
+    from tokenizers import Tokenizer
+
+    path = public_tokenizers.path(tokenfile.VOCABULARY)
+    plain, own = Tokenizer.from_file(path), tokenfile.Tokens(path, 2)
+    words = ["".join(p) for p in itertools.product(["er", "ß", "On", "ж"], repeat=3)]
+    texts = [f"x {w}{end} y" for w in words for end in (".", ",", "!!", "...", ";", "7", ".)", "?\n")]
+    ids, sizes = own.encode(pa.array(["left out", *texts, None]).slice(1))
+    assert [x.tolist() for x in np.split(ids, np.cumsum(sizes)[:-1])] == [[*plain.encode(t, add_special_tokens=False).ids, 2] for t in [*texts, ""]]
+    assert len(own.known) < len(words) + 20
+
+
+def test_cuts_at_odd_characters():
+    """Characters that a piece may or may not end at: white space beyond ASCII, signs among letters, marks, contractions."""
+    from tokenizers import Tokenizer
+
+    path = public_tokenizers.path(tokenfile.VOCABULARY)
+    plain, own = Tokenizer.from_file(path), tokenfile.Tokens(path, 2)
+    parts = ["a", "Bc", "\u00e9", "\u00df", "\u00d7", "\u00f7", " ", " ", " ", "\n", "\t", "\r\n", "\x0b", ".", "!?", "'", "'s", "'re", "7", "\u00b2", "\u65e5", "\u3000", "\u00a0", "\x85", "\u200b", "\u2003", "\u2028", "\u180e", "\x1c", "\0", "\u0301", "\u0436", "\u0482", "\U0001f600", "\u2014", "\u0663", "\ufeff", "<|endoftext|>"]
+    rng = random.Random(5)
+    texts = [a + b + c for a in parts for b in parts for c in parts[:8]] + ["".join(rng.choices(parts, k=rng.randint(3, 14))) for _ in range(3000)]
+    ids, sizes = own.encode(texts)
+    assert [x.tolist() for x in np.split(ids, np.cumsum(sizes)[:-1])] == [[*plain.encode(t, add_special_tokens=False).ids, 2] for t in texts]
+
+
 def test_token_files(spark, odd, none):
     from tokenizers import Tokenizer
 
