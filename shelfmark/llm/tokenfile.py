@@ -46,7 +46,7 @@ from shelfmark.llm.common import slices, stored, table
 VOCABULARY = "byte_bpe_50k.json"
 END = 2
 BLOCK = 1024
-LANES = 4096
+LANES = 8192
 SEGMENT = BLOCK * LANES
 MAGIC = b"SHL2"
 #: Pieces a worker remembers before it starts afresh; bounds its memory.
@@ -88,9 +88,11 @@ class Model:
     def __init__(self, lanes: int, buckets: int):
         self.buckets, self.large = buckets, buckets > 60
         lane = np.arange(lanes, dtype=np.int64)
-        self.at_slot, self.at_bucket, self.at_place = lane * SLOTS, lane * (buckets + 1), lane * TOTAL
-        self.guess = [np.zeros(lanes * SLOTS, np.int64 if self.large else np.int32) for _ in range(2)]  # id * 8 + run
-        self.weight = [np.full(lanes, w, np.int64) for w in (52000, 40000, 8000)]
+        self.at_slot = np.stack([lane, lane + lanes]) * SLOTS  # of orders 1 and 2
+        self.at_bucket, self.at_place = lane * (buckets + 1), lane * TOTAL
+        self.guess = np.zeros(2 * lanes * SLOTS, np.int64 if self.large else np.int32)  # id * 8 + run
+        self.weight = np.repeat(np.array([[52000], [40000], [8000]], np.int64), lanes, axis=1)
+        self.slot, self.s = np.zeros((2, lanes), np.int64), np.zeros((3, lanes), np.int64)
         self.count = np.ones((lanes, buckets), np.int64)
         self.seen: list[np.ndarray] = []
         self.mixed, self.mixed2 = np.zeros(lanes, np.int64), np.zeros(lanes, np.int64)
@@ -115,30 +117,36 @@ class Model:
 
     def predict(self) -> np.ndarray:
         """The 16-bit probability that the next id is ``self.id``, the guess of order 2, else of order 1; 0 without a guess."""
-        self.i1 = self.at_slot + (self.mixed >> 20 & (SLOTS - 1))
-        self.i2 = self.at_slot + ((self.mixed ^ self.mixed2 >> 7) >> 13 & (SLOTS - 1))
-        self.e1, self.e2 = self.guess[0][self.i1], self.guess[1][self.i2]
-        self.t1, t2, self.g1, self.g2 = self.e1 & 7, self.e2 & 7, self.e1 >> 3, self.e2 >> 3
-        self.t2, two = t2, t2 > 0
-        self.id = np.where(two, self.g2, self.g1)
-        self.some = (self.t1 | t2) > 0
+        slot, s = self.slot, self.s
+        np.right_shift(self.mixed, 20, out=slot[0])
+        np.right_shift(self.mixed ^ self.mixed2 >> 7, 13, out=slot[1])
+        slot &= SLOTS - 1
+        slot += self.at_slot
+        self.e = self.guess.take(slot, mode="clip")
+        self.t, self.g = self.e & 7, self.e >> 3
+        (t1, t2), (g1, g2) = self.t, self.g
+        self.id = np.where(t2 > 0, g2, g1)
+        self.some = (t1 | t2) > 0
         self.guessed = self.bucket(self.id)
-        against = (self.g1 != self.id) * 8
-        self.s = RUN.take(t2, mode="clip"), RUN.take(self.t1 + against, mode="clip"), self.order0.take(self.at_bucket + self.guessed, mode="clip")
-        w2, w1, w0 = self.weight
-        self.p = SQUASH.take((w2 * self.s[0] + w1 * self.s[1] + w0 * self.s[2] >> 16) + 2047, mode="clip") * self.some
+        RUN.take(t2, mode="clip", out=s[0])
+        RUN.take(t1 + (g1 != self.id) * np.int8(8), mode="clip", out=s[1])
+        self.order0.take(self.at_bucket + self.guessed, mode="clip", out=s[2])
+        x = (self.weight * s).sum(axis=0)
+        x >>= 16
+        x += 2047
+        self.p = SQUASH.take(x, mode="clip")
+        self.p *= self.some
         return self.p
 
     def learn(self, hit: np.ndarray, ids: np.ndarray, bucket: np.ndarray) -> None:
         """Take note of whether the guess was right and of what the ids are."""
         error = hit * 65536 - self.p
         error *= self.some
-        for weight, s in zip(self.weight, self.s, strict=True):
-            weight += s * error >> 14
-        ids = ids.astype(self.e1.dtype)
-        fresh = ids * 8 + 1
-        self.guess[0][self.i1] = np.where(self.g1 == ids, self.e1 + (self.t1 < 7), fresh)
-        self.guess[1][self.i2] = np.where(self.g2 == ids, self.e2 + (self.t2 < 7), fresh)
+        by = self.s * error
+        by >>= 14
+        self.weight += by
+        ids = ids.astype(self.e.dtype, copy=False)
+        self.guess[self.slot] = np.where(self.g == ids, self.e + (self.t < 7), ids * 8 + 1)
         self.seen.append(self.at_bucket + bucket)
         self.mixed2, self.mixed = self.mixed, ids.astype(np.int64) * 0x1E3779B1
 
@@ -243,7 +251,7 @@ def _decode(blobs: list[bytes], steps: int, buckets: int) -> np.ndarray:
     """The grid of ids of coded blocks."""
     model, of = Model(len(blobs), buckets), Reader(blobs)
     model.renew(True)
-    out = np.zeros((steps, len(blobs)), np.int64)
+    out = np.zeros((steps, len(blobs)), model.guess.dtype)
     for t in range(steps):
         if t in RENEWED:
             model.renew(True)
@@ -287,7 +295,7 @@ def compress(ids: np.ndarray, block: int = BLOCK) -> bytes:
     parts: list[bytes] = []
     for k, lanes in _groups(len(counts)):
         own = counts[k : k + lanes]
-        grid = np.zeros((len(own), int(own.max())), np.int64)  # a shorter last block is filled up with zeros
+        grid = np.zeros((len(own), int(own.max())), np.int64 if buckets > 60 else np.int32)  # a shorter last block is filled up with zeros
         grid[np.arange(grid.shape[1]) < own[:, None]] = ids[k * block : k * block + int(own.sum())]
         parts += _encode(grid, int(own[-1]), buckets)
     head = np.array([len(counts), buckets, *(x for c, s, p in zip(counts, sums, parts, strict=True) for x in (c, s, len(p) // 2))], "<u4")
