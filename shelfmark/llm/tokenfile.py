@@ -26,6 +26,7 @@ bits. Other columns are ignored.
 
 from __future__ import annotations
 
+import json
 import os
 import re
 import zlib
@@ -376,7 +377,7 @@ class Tokens:
     A byte-level tokenizer never merges over the places of ``cuts``, so the ids of a text are those of its pieces. Arrow finds
     the distinct pieces of a batch, and the numbers of those that are known come from a dictionary. Pieces that the
     tokenizer's pattern takes whole go to the library's merges at once, others to the library as texts. Texts with a string
-    that the tokenizer treats as one special token are not cut.
+    that the tokenizer treats as one special token are not cut, nor any text for a tokenizer of another pattern.
     """
 
     def __init__(self, path: str, end: int):
@@ -384,6 +385,10 @@ class Tokens:
 
         self.library = Tokenizer.from_file(path)
         self.model = self.library.model
+        whole = json.loads(self.library.to_str())
+        before = whole["pre_tokenizer"] or {}
+        #: Whether texts are split by the pattern that ``cuts`` and ``ONE`` stand for; else none is cut.
+        self.cut = whole["normalizer"] is None and (before.get("type"), before.get("use_regex", True), before.get("add_prefix_space")) == ("ByteLevel", True, False)
         self.special = [t.content for t in self.library.get_added_tokens_decoder().values()]
         self.end = end
         self._forget()
@@ -404,7 +409,7 @@ class Tokens:
         """Learn pieces from the library."""
         ones, others = [], []
         for piece in fresh:
-            one = (piece[1:] if piece[0] == 32 else piece).isalpha() or ONE.fullmatch(piece)  # most are of ASCII letters
+            one = self.cut and ((piece[1:] if piece[0] == 32 else piece).isalpha() or ONE.fullmatch(piece))  # most are of ASCII letters
             (ones if one else others).append(piece)
         lengths, ids = [], []
         for word in LEVEL.take(np.frombuffer(b"\n".join(ones), np.uint8)).tobytes().decode("utf-32-le").split("\n") if ones else ():
@@ -425,7 +430,7 @@ class Tokens:
         data = np.frombuffer(held or b"", np.uint8)[at[0] : at[-1]]
         at = at - at[0]
         bound = np.zeros(len(data) + 1, bool)
-        if len(data):
+        if len(data) and self.cut:
             bound[1:-1] = cuts(data)
         for special in self.special:
             for k in np.flatnonzero(pc.match_substring(texts, special).to_numpy(zero_copy_only=False)):

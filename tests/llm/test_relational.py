@@ -383,6 +383,23 @@ def test_cuts_at_odd_characters():
     assert [x.tolist() for x in np.split(ids, np.cumsum(sizes)[:-1])] == [[*plain.encode(t, add_special_tokens=False).ids, 2] for t in texts]
 
 
+@pytest.mark.parametrize("kind", ["digits", "prefix", "lower"])
+def test_other_patterns(kind, tmp_path):
+    """A tokenizer that splits texts in another way gets them whole."""
+    from tokenizers import Tokenizer, normalizers, pre_tokenizers
+
+    plain = Tokenizer.from_file(public_tokenizers.path(tokenfile.VOCABULARY))
+    if kind == "lower":
+        plain.normalizer = normalizers.Lowercase()
+    else:
+        level = pre_tokenizers.ByteLevel(add_prefix_space=kind == "prefix")
+        plain.pre_tokenizer = level if kind == "prefix" else pre_tokenizers.Sequence([pre_tokenizers.Digits(individual_digits=True), level])
+    plain.save(path := str(tmp_path / "other.json"))
+    texts = ["one 1999 (Two) it's 12,5", "1234", "", "A\n\nb 77"]
+    ids, sizes = tokenfile.Tokens(path, 2).encode(texts)
+    assert [x.tolist() for x in np.split(ids, np.cumsum(sizes)[:-1])] == [[*plain.encode(t, add_special_tokens=False).ids, 2] for t in texts]
+
+
 def test_token_files(spark, odd, none):
     from tokenizers import Tokenizer
 
